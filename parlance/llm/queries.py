@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontam, pii, quality
+from parlance.llm import decontam, neardup, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +20,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_decontamination": op2_decontamination, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op1_pii": op1_pii, "op2_decontamination": op2_decontamination, "op4_near_duplicates": op4_near_duplicates, "op8_quality_rules": op8_quality_rules}
 SQL: dict[str, str] = {}
