@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.shared import bounded_batches, whole_text
+from parlance.llm.shared import bounded_batches, map_rows, texts_of, whole_text
 
 #: Edits allowed for each word of an item.
 ERROR_SHARE = 0.15
@@ -120,7 +120,7 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The test items in blocks of at most BLOCK_CHARS, read one partition at a time; items without a word are left out."""
     block: list[tuple[int, str]] = []
     chars = 0
-    rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
+    rows = benchmark.filter("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long")).agg(F.max("text"))
     for item, text in rows.toLocalIterator():
         if block and chars + len(text) > BLOCK_CHARS:
             yield sorted(block)
@@ -143,20 +143,17 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc
     the items, a block at a time, go to the tasks; each task reads whole texts.
     """
     spark = documents.sparkSession
-    bounded_batches(spark)
-    texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
+    texts = texts_of(documents, id_column, text_column)
     result = None
     for block in blocks(benchmark):
         items = spark.sparkContext.broadcast(block)
 
-        def scan(batches: Iterator[pd.DataFrame], items=items) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[list[list]], items=items) -> Iterator[list[tuple]]:
             matcher = Matcher(items.value)
-            for batch in batches:
-                ids = batch["doc_id"].astype("Int64")
-                rows = [(ids.iloc[i], *hit, len(matcher.items[hit[0]])) for i, t in enumerate(batch["text"]) for hit in matcher.found(t)]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype("Int64")
+            for ids, batch in batches:
+                yield [(i, *hit, len(matcher.items[hit[0]])) for i, t in zip(ids, batch) for hit in matcher.found(t)]
 
-        part = texts.mapInPandas(scan, SCHEMA)
+        part = map_rows(texts, scan, SCHEMA)
         result = part if result is None else result.unionAll(part)
     return spark.createDataFrame([], SCHEMA) if result is None else result
 

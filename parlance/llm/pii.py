@@ -10,11 +10,10 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.shared import bounded_batches, whole_text
+from parlance.llm.shared import map_rows, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "routing")
@@ -129,14 +128,12 @@ def find_pii(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     Null and empty texts have empty arrays; null ids and repeated rows stay as they are; other columns are ignored.
     Whole texts are scanned, whatever their length. No shuffle.
     """
-    bounded_batches(documents.sparkSession)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [list(scored(t)) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "kinds": [[x[0] for x in f] for f in found], "starts": [[x[1] for x in f] for f in found], "ends": [[x[2] for x in f] for f in found], "scores": [[x[3] for x in f] for f in found]})
+    def scan(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
+        for ids, texts in batches:
+            yield [(i, *(map(list, zip(*found)) if found else ([], [], [], []))) for i, found in ((i, list(scored(t))) for i, t in zip(ids, texts))]
 
-    return documents.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text")).mapInPandas(scan, SPANS_SCHEMA)
+    return map_rows(texts_of(documents, id_column, text_column), scan, SPANS_SCHEMA)
 
 
 def pii_digest(found: DataFrame) -> DataFrame:

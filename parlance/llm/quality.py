@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.shared import bounded_batches, stored, whole_text
+from parlance.llm.shared import map_rows, stored, texts_of
 
 #: Labelled documents the trees are fitted to, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
@@ -70,16 +70,13 @@ BASE_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wo
 
 def document_statistics(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, the base counts and the features of each row's whole text; null and empty texts count 0 everywhere."""
-    bounded_batches(documents.sparkSession)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = [counts(t) for t in batch["text"]]
-            base = {k: [x[0][i] for x in got] for i, k in enumerate(BASE_COUNTS)}
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), **base, "features": [x[1] for x in got]})
+    def scan(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
+        for ids, texts in batches:
+            yield [(i, *base, features) for i, (base, features) in ((i, counts(t)) for i, t in zip(ids, texts))]
 
     schema = "doc_id long, " + ", ".join(f"{k} long" for k in BASE_COUNTS) + ", features array<double>"
-    return documents.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text")).mapInPandas(scan, schema)
+    return map_rows(texts_of(documents, id_column, text_column), scan, schema)
 
 
 @dataclass

@@ -6,9 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch handed to a Python worker; documents can be long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 256
@@ -54,3 +58,24 @@ def with_small(df: DataFrame, small: DataFrame, on: str, how: str = "left") -> D
     """Join ``small``; it is broadcast if it has at most BROADCAST_ROWS rows, else both sides are shuffled."""
     few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return df.join(F.broadcast(small) if few else small, on, how)
+
+
+def map_rows(df: DataFrame, scan: Callable[[Iterator[list[list]]], Iterator[list[tuple]]], schema: str) -> DataFrame:
+    """``df`` through Python, Arrow batch by batch: ``scan`` gets each batch as a list of columns and yields lists of rows.
+
+    Values stay Python objects, so nullable 64-bit ids lose no digits.
+    """
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in scan([c.to_pylist() for c in b.columns] for b in batches):
+            columns = list(zip(*rows)) if rows else [()] * len(out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+
+    return df.mapInArrow(run, schema)
+
+
+def texts_of(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The columns doc_id and text (null: empty) alone, in Arrow batches bounded for long texts."""
+    bounded_batches(documents.sparkSession)
+    return documents.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
