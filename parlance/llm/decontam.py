@@ -8,11 +8,12 @@ hit Myers' bit-parallel algorithm measures the edit distance, one machine-word o
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.shared import bounded_batches, map_rows, texts_of, whole_text
@@ -158,20 +159,24 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc
     return spark.createDataFrame([], SCHEMA) if result is None else result
 
 
+def holds_any(items: Broadcast) -> Callable[[Column], Column]:
+    """A column function: whether a text holds one of the broadcast items."""
+    held: list[Matcher] = []
+
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        if not held:
+            held.append(Matcher(items.value))
+        return pd.Series([bool(held[0].found(t)) for t in texts], dtype=bool)
+
+    return hit
+
+
 def contaminated_flag(documents: DataFrame, benchmark: DataFrame, text_column: str = "text", flag: str = "contaminated") -> DataFrame:
     """``documents`` with a boolean column ``flag``: whether any test item occurs in the row's text. No shuffle."""
     spark = documents.sparkSession
     bounded_batches(spark)
     out = F.lit(False)
     for block in blocks(benchmark):
-        items = spark.sparkContext.broadcast(block)
-        held: list[Matcher] = []
-
-        @F.pandas_udf("boolean")
-        def hit(texts: pd.Series, items=items, held=held) -> pd.Series:
-            if not held:
-                held.append(Matcher(items.value))
-            return pd.Series([bool(held[0].found(t)) for t in texts], dtype=bool)
-
-        out = out | hit(whole_text(text_column))
+        out = out | holds_any(spark.sparkContext.broadcast(block))(whole_text(text_column))
     return documents.withColumn(flag, out)

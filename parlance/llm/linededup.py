@@ -65,20 +65,20 @@ def dedup_lines(documents: DataFrame, id_column: str = "doc_id", text_column: st
 
 SQL = r"""
 with docs as (select doc_id, text, md5(coalesce(text, '')) as version, str_split(coalesce(text, ''), chr(10)) as lines from documents),
-line as (select doc_id, version, unnest(lines) as raw, generate_subscripts(lines, 1) - 1 as at from docs),
-solid as (select doc_id, version, at, trim(raw, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) as line from line),
+line as (select doc_id, version, unnest(lines) as raw, generate_subscripts(lines, 1) - 1 as pos from (select distinct doc_id, version, lines from docs)),
+solid as (select doc_id, version, pos, ltrim(rtrim(raw, b), b) as line from line, (select chr(32) || chr(9) || chr(13) || chr(11) || chr(12) as b)),
 win as (
-  select doc_id, version, at as first, lead(at, 2) over w as last,
+  select doc_id, version, pos as first, lead(pos, 2) over w as last,
     line || chr(10) || lead(line, 1) over w || chr(10) || lead(line, 2) over w as body
-  from solid where line <> '' window w as (partition by doc_id, version order by at)),
+  from solid where line <> '' window w as (partition by doc_id, version order by pos)),
 wins as (select * from win where last is not null),
 origin as (
   select body, count(*) as n, min(struct_pack(d := doc_id, f := first, l := last)) as o from wins group by body having count(*) > 1),
 later as (select doc_id, version, first, last from wins join origin using (body) where doc_id <> o.d or first > o.l),
-gone as (select distinct doc_id, version, unnest(generate_series(first, last)) as at from later),
+gone as (select distinct doc_id, version, unnest(generate_series(first, last)) as pos from later),
 rest as (
-  select l.doc_id, l.version, string_agg(raw, chr(10) order by l.at) filter (where g.at is null) as text, count(g.at) as n_removed, count(*) as n_lines
-  from line l left join gone g on l.doc_id = g.doc_id and l.version = g.version and l.at = g.at group by all)
+  select l.doc_id, l.version, string_agg(raw, chr(10) order by l.pos) filter (where g.pos is null) as text, count(g.pos) as n_removed, count(*) as n_lines
+  from line l left join gone g on l.doc_id = g.doc_id and l.version = g.version and l.pos = g.pos group by all)
 select d.doc_id, case when d.text is null then 0 else n_lines end as n_lines, n_removed, md5(coalesce(r.text, '')) as text_md5, case when d.text is null then null else coalesce(r.text, '') end as text
 from docs d join rest r on d.doc_id = r.doc_id and d.version = r.version
 """

@@ -189,7 +189,12 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """``documents`` with only the document of each class that has the class's id; repeated rows become one."""
-    keep = near_duplicates(documents).filter("doc_id = class_id or doc_id is null and class_id is null").select("doc_id").distinct()
-    hit = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return documents.join(keep.withColumnRenamed("doc_id", "keep_id"), hit, "left_semi").dropDuplicates(["doc_id", "text"])
+    """``documents`` with one document of each class, that whose id is the class's; of repeated rows one stays.
+
+    Rows with a null id stay, those with equal texts once.
+    """
+    classes = near_duplicates(documents)
+    keep = stored(classes.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    single = with_small(documents, keep.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
+    several = with_small(documents, keep.filter("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.unionAll(several).unionAll(documents.filter("doc_id is null").dropDuplicates(["text"]))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.shared import map_rows, stored, texts_of
+from parlance.llm.shared import bounded_batches, map_rows, stored, texts_of, whole_text
 
 #: Labelled documents the trees are fitted to, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
@@ -65,6 +65,11 @@ def counts(text: str) -> tuple[list[int], list[float]]:
     return [n, word_chars, n_symbols, dup_lines, repeat], [float(x) for x in features]
 
 
+def base_failed(n_words, n_repeat_words):
+    """The base rules, for numbers and columns."""
+    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
+
+
 BASE_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -164,10 +169,14 @@ def flat(nodes: list[list[float]], roots: list[int], start: float, offset: int)
     return Trees(at(0), a[:, 1], at(2) - offset, at(3) - offset, a[:, 4], np.array(roots, np.int64), start)
 
 
+def sampled(labels: DataFrame, rows: int) -> DataFrame:
+    good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
 def labelled_sample(statistics: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Features and quality of at most ``rows`` labelled documents, those with the smallest hash of their id."""
-    good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sample = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = sampled(labels, rows)
     got = statistics.join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "features").select("features", "quality").limit(2 * rows).toPandas()
     x = np.array(got["features"].tolist(), float).reshape(-1, len(FEATURES))
     return x, got["quality"].to_numpy(float)
@@ -181,9 +190,9 @@ def verdicts(statistics: DataFrame, trees: Trees) -> DataFrame:
     def probability(features: pd.Series) -> pd.Series:
         return pd.Series(where.value.probability(np.array(features.tolist(), float).reshape(-1, len(FEATURES))))
 
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = statistics.withColumn("base_failed", failed).withColumn("quality", probability("features"))
-    return scored.select("doc_id", *BASE_COUNTS, "base_failed", F.round("quality", 6).alias("quality"), (~F.col("base_failed") & (F.col("quality") >= KEEP_FROM)).alias("kept"))
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    scored = statistics.withColumn("base_failed", failed).withColumn("quality", F.round(probability("features"), 6))
+    return scored.select("doc_id", *BASE_COUNTS, "base_failed", "quality", (~F.col("base_failed") & (F.col("quality") >= KEEP_FROM)).alias("kept"))
 
 
 def quality_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -196,3 +205,24 @@ def quality_rules(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """
     statistics = stored(document_statistics(documents), "statistics")
     return verdicts(statistics, fit(*labelled_sample(statistics, labels), list(FEATURES.values())))
+
+
+def accepted(documents: DataFrame, labels: DataFrame, text_column: str = "text") -> DataFrame:
+    """The rows of ``documents`` that :func:`quality_rules` keeps, with their columns.
+
+    The trees are fitted to the same bounded sample, whose texts are read first; all texts are then scored where they
+    lie, without a shuffle.
+    """
+    spark = documents.sparkSession
+    bounded_batches(spark)
+    few = documents.join(F.broadcast(sampled(labels, SAMPLE_ROWS).select("doc_id")), "doc_id", "left_semi")
+    trees = spark.sparkContext.broadcast(fit(*labelled_sample(document_statistics(few), labels), list(FEATURES.values())))
+
+    @F.pandas_udf("boolean")
+    def keeps(texts: pd.Series) -> pd.Series:
+        got = [counts(t) for t in texts]
+        failed = np.array([base_failed(*(base[i] for i in (0, 4))) for base, _ in got], bool)
+        good = trees.value.probability(np.array([x for _, x in got], float).reshape(-1, len(FEATURES)))
+        return pd.Series(~failed & (good.round(6) >= KEEP_FROM))
+
+    return documents.filter(keeps(whole_text(text_column)))
