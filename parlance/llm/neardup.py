@@ -26,8 +26,16 @@ WIDTH = 5
 LEAST_SIMILARITY = 0.8
 #: Coordinates are BANDS x BAND_ROWS: a pair at the least similarity misses every band with probability 3e-6.
 BANDS, BAND_ROWS = 24, 4
-#: Documents of a band's bucket that the others are compared with in one round.
-CENTRES = 3
+#: One-bit coordinates that pairs are filtered by before their texts are read. Texts at the least similarity differ in 102 of
+#: 1024 on average; more than MOST_UNEQUAL are 4.5 standard deviations away, a probability of 5e-6.
+FILTER_BITS, MOST_UNEQUAL = 1024, 146
+FILTER = [f"w{i}" for i in range(FILTER_BITS // 64)]
+#: Shingles that a task remembers while it compares texts.
+HELD_SHINGLES = 1_000_000
+#: The band keys of a document in 32 bits, to tell in which band a pair meets first.
+SHORT_KEYS = [f"k{i}" for i in range(BANDS)]
+#: In turn t the documents of the largest bucket are compared with about SPREAD ** t of them, so that few turns cover any size.
+SPREAD = 8
 
 
 def darts(elements: np.ndarray, cells: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> np.ndarray:
@@ -54,9 +62,12 @@ def darts(elements: np.ndarray, cells: np.ndarray, rows: np.ndarray, n_rows: int
             got.append((at, salt, rank))
         at, salt, rank = (np.concatenate(x) for x in zip(*got))
         coordinate = (H.mix(salt ^ H.STEP) % H.U(k)).astype(np.int64)
-        order = np.argsort(-rank, kind="stable")
+        cell = at * k + coordinate
+        earliest = np.full(n_rows * k, np.inf)
+        np.minimum.at(earliest, cell, rank)
+        kept_here = rank == earliest[cell]
         sketch = np.zeros(n_rows * k, H.U)
-        sketch[(at * k + coordinate)[order]] = salt[order] | H.U(1)
+        sketch[cell[kept_here]] = salt[kept_here] | H.U(1)
         sketch = sketch.reshape(n_rows, k)
         full = todo & (sketch != 0).all(1)
         kept[full] = sketch[full]
@@ -106,21 +117,74 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / max(int(a[1].sum() + b[1].sum()) - both, 1)
 
 
+def with_filters(texts: DataFrame) -> DataFrame:
+    """``texts`` (doc_id, text) with their weight and the FILTER words of their one-bit coordinates."""
+    bounded_batches(texts.sparkSession)
+    k, names = FILTER_BITS, ["doc_id", "text", "weight", *FILTER]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weights, bits = [], []
+            for _, offsets, data in H.chunks(batch.column(1)):
+                elements, rows = H.shingles(*H.words(offsets, data), WIDTH, len(offsets) - 1)
+                sketch = darts(elements, H.occurrence(elements, rows), rows, len(offsets) - 1, k)
+                weights.append(np.bincount(rows, minlength=len(offsets) - 1))
+                bits.append(np.packbits((sketch >> H.U(40) & H.U(1)).astype(bool), axis=1).view(np.int64))
+            if bits:
+                words = np.concatenate(bits)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(weights)), *map(pa.array, words.T.copy())], names=names)
+
+    return texts.mapInArrow(scan, "doc_id long, text string, weight long, " + ", ".join(f"{w} long" for w in FILTER))
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts are at least LEAST_SIMILARITY alike."""
+    """(to_a, to_b) of those of ``pairs`` (a, b, to_a, to_b) whose texts are at least LEAST_SIMILARITY alike."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple[int, tuple] = (-1, ())
+        counted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held = 0
+
+        def of(doc: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal held
+            if doc not in counted:
+                if held > HELD_SHINGLES:
+                    counted.clear()
+                    held = 0
+                counted[doc] = shingle_counts(text)
+                held += len(counted[doc][0])
+            return counted[doc]
+
         for batch in batches:
-            keep = []
-            for b, x, y in zip(batch["b"], batch["text_a"], batch["text_b"]):
-                if b != last[0] or not last[1]:
-                    last = (b, shingle_counts(y))
-                keep.append(similarity(shingle_counts(x), last[1]) >= LEAST_SIMILARITY)
-            yield batch.loc[keep, ["a", "b"]]
+            told = zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"])
+            yield batch.loc[[similarity(of(a, x), of(b, y)) >= LEAST_SIMILARITY for a, b, x, y in told], ["to_a", "to_b"]]
 
     a, b = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(scan, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "to_a", "to_b", "text_a", "text_b").mapInPandas(scan, "to_a long, to_b long")
+
+
+def proposed(entries: DataFrame, turn: int) -> DataFrame:
+    """The pairs (a, b, to_a, to_b) that a turn compares: b is a centre of a bucket that holds a, their labels differ.
+
+    In turn 0 a bucket's centre is the document with the most company in all its buckets, which is the original of many
+    copies. In later turns all documents of that turn are centres; documents of earlier turns have been compared already.
+    A pair is proposed in the first band where it meets, and left out, within the join, if its weights or FILTER words
+    tell that it is less alike than LEAST_SIMILARITY.
+    """
+    kept = ["doc_id", "label", "weight", "turn", *FILTER, *SHORT_KEYS]
+    if turn:
+        centres = entries.filter(F.col("turn") == turn).select("band", "key", F.struct(*kept).alias("c"))
+        once = F.expr("turn > c.turn or doc_id > c.doc_id")
+    else:
+        order = F.struct("company", (-F.col("doc_id")).alias("first"))
+        centres = entries.groupBy("band", "key").agg(F.max_by(F.struct(*kept), order).alias("c"))
+        once = F.expr("doc_id != c.doc_id")
+    unequal = " + ".join(f"bit_count({w} ^ c.{w})" for w in FILTER)
+    alike = F.expr(f"least(weight, c.weight) >= {LEAST_SIMILARITY} * greatest(weight, c.weight) and {unequal} <= {MOST_UNEQUAL}")
+    meets = F.expr("e.band = case " + " ".join(f"when {k} = c.{k} then {i}" for i, k in enumerate(SHORT_KEYS)) + " end")
+    on = (F.col("e.band") == F.col("k.band")) & (F.col("e.key") == F.col("k.key")) & once & F.expr("label != c.label") & alike
+    pairs = entries.alias("e").join(centres.alias("k"), on & meets if turn else on)
+    pairs = pairs.select(F.col("doc_id").alias("a"), F.col("c.doc_id").alias("b"), F.col("label").alias("to_a"), F.col("c.label").alias("to_b"))
+    return pairs if turn else pairs.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -148,44 +212,47 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     run of all its words; texts without words, null or empty ones included, are only linked if they are equal (null
     counts as empty). Repeated rows each have their row; of a row with a null id, the class is that of its equals.
 
-    Equal texts are first reduced to their least id. In each bucket of each band all documents are compared with
-    CENTRES of them; buckets whose documents are then still in several classes are compared with other centres,
-    until a round finds no link. Pairs within a bucket are never listed.
+    Equal texts are first reduced to their least id. In each turn the documents of each bucket of each band are then
+    compared with that turn's documents in the bucket, as long as it holds several classes. Every document has its turn, by
+    a hash of its id, and later turns have more of them. So every pair of a bucket is compared once unless its documents
+    are in one class by then or their sketches rule it out, and pairs within a class are never listed.
     """
     texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
     seen = stored(sketches(documents, id_column, text_column), "sketches")
     least = seen.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     members = seen.select("doc_id", "digest").join(least, "digest").select("doc_id", "rep")
     first = seen.filter("bands is not null and doc_id is not null").join(least, "digest").filter("doc_id = rep").dropDuplicates(["doc_id"])
-    entries = first.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = entries.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    short = [F.shiftright(F.col("bands")[i], 32).cast("int").alias(k) for i, k in enumerate(SHORT_KEYS)]
+    entries = first.select("doc_id", *short, F.posexplode("bands").alias("band", "key"))
+    shared = entries.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = stored(entries.join(shared, ["band", "key"]), "buckets")
-    wanted = with_small(texts, buckets.select("doc_id").distinct(), "doc_id", "left_semi")
-    compared = stored(wanted.dropDuplicates(["doc_id"]), "compared")
-
-    classes, links = None, None
-    for turn in itertools.count():
-        if classes is None:
-            open_buckets = buckets.withColumn("label", F.col("doc_id"))
-        else:
-            labelled = buckets.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-            mixed = labelled.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("band", "key")
-            open_buckets = labelled.join(mixed, ["band", "key"])
-        orders = [F.xxhash64("doc_id", F.lit(turn * CENTRES + i)) for i in range(CENTRES)]
-        if turn == 0:
-            orders[0] = F.col("doc_id")
-        picks = open_buckets.groupBy("band", "key").agg(F.array(*[F.min(F.struct(o.alias("o"), F.col("doc_id").alias("b"), F.col("label").alias("to"))) for o in orders]).alias("centres"))
-        picks = picks.withColumn("centres", F.array_distinct(F.transform("centres", lambda c: F.struct(c["b"].alias("b"), c["to"].alias("to")))))
-        pairs = open_buckets.join(picks, ["band", "key"]).select("doc_id", "label", F.explode("centres").alias("c")).filter("doc_id != c.b and label != c.to")
-        pairs = pairs.select(F.least("doc_id", "c.b").alias("b"), F.greatest("doc_id", "c.b").alias("a")).distinct()
-        found = stored(verified(pairs, compared), "links")
-        if not found.limit(1).count():
+    company = buckets.groupBy("doc_id").agg(F.sum("n").alias("company"))
+    wanted = with_small(texts, company.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    compared = stored(with_filters(wanted), "compared")
+
+    largest = buckets.agg(F.max("n")).first()[0] or 0
+    turns = next(t for t in itertools.count(1) if SPREAD**t >= largest)
+    place, turn_of = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.lit(largest), F.lit(turns)
+    for t in range(turns - 1, 0, -1):
+        turn_of = F.when(place < SPREAD**t << 30, t).otherwise(turn_of)
+    entries = buckets.drop("n").join(company.join(compared.drop("text"), "doc_id"), "doc_id").withColumns({"label": F.col("doc_id"), "turn": turn_of})
+    merges: list[DataFrame] = []
+    for turn in range(turns + 1):
+        entries = stored(entries, "open")
+        if not entries.limit(1).count():
             break
-        links = found if links is None else links.union(found)
-        classes = components(links)
-    if classes is None:
-        return members.select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"))
-    return members.join(classes, members["rep"] == classes["node"], "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
+        found = stored(verified(proposed(entries, turn), compared), "links")
+        if found.limit(1).count():
+            merges.append(components(found.toDF("a", "b")).select(F.col("node").alias("old"), F.col("label").alias("new")))
+            entries = entries.join(merges[-1], F.col("label") == F.col("old"), "left").withColumn("label", F.coalesce("new", "label")).drop("old", "new")
+        entries = entries.filter(F.col("turn") > turn)
+        several = entries.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+        entries = entries.join(several.select("band", "key"), ["band", "key"], "left_semi")
+    labels = company.select("doc_id", F.col("doc_id").alias("label"))
+    for merge in merges:
+        labels = labels.join(merge, F.col("label") == F.col("old"), "left").select("doc_id", F.coalesce("new", "label").alias("label"))
+    labels = labels.filter("label != doc_id").withColumnRenamed("doc_id", "node")
+    return members.join(labels, members["rep"] == labels["node"], "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
