@@ -223,7 +223,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     members = seen.select("doc_id", "digest").join(least, "digest").select("doc_id", "rep")
     first = seen.filter("bands is not null and doc_id is not null").join(least, "digest").filter("doc_id = rep").dropDuplicates(["doc_id"])
     short = [F.shiftright(F.col("bands")[i], 32).cast("int").alias(k) for i, k in enumerate(SHORT_KEYS)]
-    entries = first.select("doc_id", *short, F.posexplode("bands").alias("band", "key"))
+    entries = first.select("doc_id", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = stored(entries.join(shared, ["band", "key"]), "buckets")
     company = buckets.groupBy("doc_id").agg(F.sum("n").alias("company"))
@@ -235,7 +235,8 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     place, turn_of = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.lit(largest), F.lit(turns)
     for t in range(turns - 1, 0, -1):
         turn_of = F.when(place < SPREAD**t << 30, t).otherwise(turn_of)
-    entries = buckets.drop("n").join(company.join(compared.drop("text"), "doc_id"), "doc_id").withColumns({"label": F.col("doc_id"), "turn": turn_of})
+    known = company.join(compared.drop("text"), "doc_id").join(first.select("doc_id", *short), "doc_id")
+    entries = buckets.drop("n").join(known, "doc_id").withColumns({"label": F.col("doc_id"), "turn": turn_of})
     merges: list[DataFrame] = []
     for turn in range(turns + 1):
         entries = stored(entries, "open")
