@@ -157,10 +157,11 @@ def test_transcripts(spark, tmp_path):
     files = transcripts.read_files(spark, str(tmp_path))
     got = {r.relpath: (r.machine_id, r.root_slug, r.project, r.session, r.is_subagent) for r in files.collect()}
     assert got == {"box/root/proj/one.jsonl": ("box", "root", "proj", "one", False), "box/root/proj/subagents/two.jsonl": ("box", "root", "proj", "two", True), "box/top.jsonl": ("box", "", "", "top", False)}
-    m = {(r.file_id.rpartition("/")[2], r.line_no): r for r in transcripts.read_messages(spark, str(tmp_path), files).collect()}
+    read = transcripts.read_messages(spark, str(tmp_path), files)
+    m = {(r.file_id.rpartition("/")[2], r.line_no): r for r in read.collect()}
     assert {k: r.text for k, r in m.items()} == {("one.jsonl", 1): "You’re right ok", ("one.jsonl", 7): "fix the build now", ("one.jsonl", 8): None, ("one.jsonl", 9): None, ("one.jsonl", 10): None, ("two.jsonl", 1): "You’re right ok"}
     assert m["one.jsonl", 8].is_meta and not m["one.jsonl", 8].has_text and m["one.jsonl", 1].model == "m" and len(m["one.jsonl", 1].fingerprint) == 16
-    kept = turns.population(spark.createDataFrame(list(m.values())), files, "other")
+    kept = turns.population(read, files, "other")
     assert turns.first_occurrence(kept).count() == 2  # one of the copies, and the user message without an id
 
 
