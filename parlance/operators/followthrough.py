@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parlance.functions import dictionary as D
 from parlance.functions.lexicon import unicode
 from parlance.functions.text import content_words, gap, normalize, parse_ts
+from parlance.sources.scratch import settled
 
 ELIGIBLE = ("concession", "acknowledgment")
 LEAST_DOWNSTREAM, WINDOW_DAYS, WINDOW_TURNS, LEAST_TRIGGER = 20, 14, 5000, 4
@@ -56,39 +57,74 @@ def without_quotes(turns: DataFrame) -> DataFrame:
     return turns.filter(~F.col("norm").rlike(D.QUOTEBACK))
 
 
-def evidence_path(norm: Column, shared: Column, rare: Column, variant: str = "full") -> Column:
-    """explicit, complaint or strong, by what words a turn shares with the trigger; else null. Variants add rules in turn."""
-    out = F.when(norm.rlike(unicode(D.RERAISE)) & (F.size(shared) >= 2), "explicit")
-    if variant != "explicit":
-        out = out.when((F.size(rare) >= 2) & norm.rlike(unicode(D.COMPLAINT)), "complaint")
-    return out.when(F.size(rare) >= 3, "strong") if variant == "full" else out
+def placed(promises: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(promises with first and last, turns with place): real turns of a project are numbered in time, from 1.
+
+    Those that follow a promise within the window are first < place <= last, at most WINDOW_TURNS. Each promise adds two
+    marks to the timeline, so that one running count by days, then over the days' sums, gives all numbers: no promise
+    meets its turns. ``turns`` are those that quote nothing; rows whose time doesn't parse have no place.
+    """
+    day = F.floor(F.col("at") / 86_400)
+    slim = ["project", "at", "ts", "kind", "file_id", "line_no", "promise_id"]
+    none = lambda kind: F.lit(None).cast(kind)
+    file_type = dict(turns.dtypes)["file_id"]
+    t = turns.filter("at is not null").withColumns({"kind": F.lit(0), "promise_id": none(dict(promises.dtypes)["promise_id"])}).select(slim)
+    marks = promises.filter("at is not null").withColumns({"file_id": none(file_type), "line_no": none("long")})
+    start = marks.withColumn("kind", F.lit(1)).select(slim)
+    end = marks.withColumns({"kind": F.lit(-1), "at": F.col("at") + BIN_SECONDS, "ts": F.lit("")}).select(slim)
+    events = t.unionByName(start).unionByName(end).withColumns({"_day": day, "_turn": (F.col("kind") == 0).cast("long")})
+    sums = events.groupBy("project", "_day").agg(F.sum("_turn").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("project").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("project", "_day", before.alias("_before"))
+    inner = F.sum("_turn").over(Window.partitionBy("project", "_day").orderBy("at", "ts", "kind", "file_id", "line_no").rowsBetween(Window.unboundedPreceding, 0))
+    told = events.withColumn("_inner", inner).join(sums, ["project", "_day"]).withColumn("place", F.col("_inner") + F.col("_before"))
+    edges = told.filter("kind != 0").groupBy("promise_id").agg(F.max(F.when(F.col("kind") == 1, F.col("place"))).alias("first"), F.max(F.when(F.col("kind") == -1, F.col("place"))).alias("last"))
+    edges = edges.withColumn("last", F.least("last", F.col("first") + WINDOW_TURNS))
+    at = told.filter("kind = 0").select("project", "file_id", "line_no", "place")
+    return promises.join(edges, "promise_id", "left"), turns.join(at, ["project", "file_id", "line_no"])
 
 
 def follow_through(promises: DataFrame, users: DataFrame, variant: str = "full") -> DataFrame:
     """Label and evidence of each promise.
 
     ``promises``: promise_id, project, session, ts, text, trigger (the user text answered), one row each; ``users`` as for
-    :func:`timeline`. Labels: ineligible (no commitment), unobserved (under 20 later turns, or under 4 distinctive trigger
-    words), not_honored (raised again), honored. Evidence is the first explicit turn, else the first of any path. Words of a
-    project are matched by joins on (project, word), so that no vocabulary is gathered anywhere.
+    :func:`timeline`, (project, file_id, line_no) being unique. Labels: ineligible (no commitment), unobserved (under 20
+    later turns, or under 4 distinctive trigger words), not_honored (raised again), honored. Evidence is the first explicit
+    turn, else the first of any path. A turn can only raise a promise again if it has a marker or shares rare words, so
+    promises meet turns by joins on (project, word) with one of both given; nothing is gathered by project.
     """
-    turns = timeline(users)
+    turns = settled(timeline(users), "timeline")
     vocab = vocabulary(turns).select("project", "word", "is_ambient", "is_rare")
     told = promises.withColumns({"at": F.unix_timestamp(parse_ts(F.col("ts"))), "eligible": commits(F.coalesce("text", F.lit("")))})
     words = told.filter("eligible").select("promise_id", "project", F.explode(content_words(normalize(F.coalesce("trigger", F.lit(""))), 2)).alias("word"))
-    trigger = words.join(vocab, ["project", "word"], "left").filter("not coalesce(is_ambient, false)").groupBy("promise_id").agg(F.collect_set("word").alias("trigger_words"), F.collect_set(F.when(F.coalesce("is_rare", F.lit(False)), F.col("word"))).alias("trigger_rare"))
-    met = forward(told.filter("eligible").select("promise_id", "project", "ts", "at"), without_quotes(turns))
-    downstream = met.groupBy("promise_id").agg(F.count("*").alias("downstream"))
-    # trigger words are not ambient, so a turn's shared words need no look at the vocabulary
-    shared = met.join(trigger, "promise_id").withColumns({"shared": F.array_intersect("trigger_words", "words"), "shared_rare": F.array_intersect("trigger_rare", "words")}).filter(F.size("shared") > 0)
-    hits = shared.withColumn("path", evidence_path(F.col("norm"), F.col("shared"), F.col("shared_rare"), variant)).filter("path is not null")
-    first = hits.groupBy("promise_id").agg(F.min_by(F.struct("path", F.slice(F.array_sort("shared_rare"), 1, 8).alias("shared_rare"), F.slice(F.array_sort("shared"), 1, 8).alias("shared"), "turns_later", F.col("session").alias("turn_session"), F.col("ts").alias("turn_ts"), F.substring("norm", 1, 160).alias("quote")), F.struct(F.col("path") != "explicit", F.col("turns_later"))).alias("evidence"))
-    out = told.join(downstream, "promise_id", "left").join(trigger, "promise_id", "left").join(first, "promise_id", "left")
-    n, known = F.coalesce("downstream", F.lit(0)), F.coalesce(F.size("trigger_words"), F.lit(0))
-    known = F.when(F.col("trigger_words").isNull(), 0).otherwise(known)
-    label = F.when(~F.col("eligible"), "ineligible").when((n < LEAST_DOWNSTREAM) | (known < LEAST_TRIGGER), "unobserved").when(F.col("evidence").isNotNull(), "not_honored").otherwise("honored")
-    said = F.when(F.col("label") == "not_honored", F.col("evidence"))
-    return out.withColumn("label", label).select("promise_id", "project", "session", "ts", "label", n.alias("downstream"), said["path"].alias("path"), said["turns_later"].alias("turns_later"), (said["turn_session"] != F.col("session")).alias("cross_session"), said["turn_ts"].alias("evidence_ts"), said["shared"].alias("shared"), said["shared_rare"].alias("shared_rare"), said["quote"].alias("quote"))
+    distinct = words.join(vocab, ["project", "word"], "left").filter("not coalesce(is_ambient, false)").withColumn("is_rare", F.coalesce("is_rare", F.lit(False)))
+    marked, line = placed(told, without_quotes(turns))
+    # these flags are settled with the line, as beside an explode they would be told anew for every word
+    line = settled(line.withColumns({"again": F.col("norm").rlike(unicode(D.RERAISE)), "complains": F.col("norm").rlike(unicode(D.COMPLAINT))}), "line")
+    # trigger words are not ambient, so the words that a turn shares with them need no look at the vocabulary
+    trigger = distinct.join(marked.select("promise_id", "first", "last"), "promise_id")
+    spoken = line.select("project", "place", "again", "complains", F.explode("words").alias("word"))
+    inside = (F.col("place") > F.col("first")) & (F.col("place") <= F.col("last"))
+    meet = lambda t, s: t.join(s, ["project", "word"]).filter(inside)
+    met = meet(trigger, spoken.filter("again")).unionByName(meet(trigger.filter("is_rare"), spoken.filter("not again")))
+    met = met.groupBy("promise_id", "project", "place").agg(F.count("*").alias("n"), F.sum(F.col("is_rare").cast("long")).alias("few"), F.first("again").alias("again"), F.first("complains").alias("complains"), F.first("first").alias("first"))
+    path = F.when(F.col("again") & (F.col("n") >= 2), "explicit")
+    if variant != "explicit":
+        path = path.when((F.col("few") >= 2) & F.col("complains"), "complaint")
+    path = path.when(F.col("few") >= 3, "strong") if variant == "full" else path
+    hits = met.withColumn("path", path).filter("path is not null")
+    best = hits.groupBy("promise_id", "project").agg(F.min_by(F.struct("path", "place", (F.col("place") - F.col("first")).alias("turns_later")), F.struct(F.col("path") != "explicit", F.col("place"))).alias("e")).select("promise_id", "project", "e.*")
+    own = distinct.join(best.select("promise_id"), "promise_id", "left_semi").groupBy("promise_id").agg(F.collect_set("word").alias("all"), F.collect_set(F.when(F.col("is_rare"), F.col("word"))).alias("rare"))
+    said = best.join(line.select("project", "place", F.col("session").alias("turn_session"), F.col("ts").alias("evidence_ts"), "words", F.substring("norm", 1, 160).alias("quote")), ["project", "place"]).join(own, "promise_id")
+    least = lambda xs: F.slice(F.array_sort(F.array_intersect(xs, "words")), 1, 8)
+    said = said.select("promise_id", "path", "turns_later", "turn_session", "evidence_ts", least("all").alias("shared"), least("rare").alias("shared_rare"), "quote")
+    known = distinct.groupBy("promise_id").agg(F.count("*").alias("known"))
+    out = marked.join(known, "promise_id", "left").join(said, "promise_id", "left").withColumn("downstream", F.coalesce(F.col("last") - F.col("first"), F.lit(0)))
+    thin = (F.col("downstream") < LEAST_DOWNSTREAM) | (F.coalesce("known", F.lit(0)) < LEAST_TRIGGER)
+    label = F.when(~F.col("eligible"), "ineligible").when(thin, "unobserved").when(F.col("path").isNotNull(), "not_honored").otherwise("honored")
+    shown = lambda c, name: F.when(F.col("label") == "not_honored", c).alias(name)
+    evidence = [shown(F.col(c), c) for c in ("path", "turns_later", "evidence_ts", "shared", "shared_rare", "quote")]
+    return out.withColumn("label", label).select("promise_id", "project", "session", "ts", "label", "downstream", *evidence, shown(F.col("turn_session") != F.col("session"), "cross_session"))
 
 
 def downstream_view(promises: DataFrame, users: DataFrame, k: int = 6) -> DataFrame:
