@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from parlance.functions.lexicon import Lexicon
 from parlance.functions.text import normalize, snippet
-from parlance.operators.turns import classified, first_occurrence, next_reply, prior_similarity, with_turns, with_user_context
+from parlance.operators.turns import classified, first_occurrence, next_reply, prior_similarity, with_turns
+from parlance.sources.scratch import settled
 
 #: Characters kept of a message, and of the other side's.
 MOST_TEXT = 4000
@@ -24,14 +25,15 @@ def match_rows(population: DataFrame, lexicon: Lexicon | None = None) -> DataFra
     """COLUMNS, then file_id, line_no and hit_no, which give the rows their order.
 
     ``population`` has the columns of messages and of their files. The next reply is found before repeated fingerprints go;
-    turns, context and similarity after. An assistant message before any user message has null turn columns.
+    turns, context and similarity after. An assistant message before any user message has null turn columns. Turns and
+    classified user messages are written to the shared folder once, since several branches read them.
     """
     lex = lexicon or Lexicon()
     base = population.select("machine_id", "root_slug", "project", "session", F.coalesce("ts", F.lit("")).alias("timestamp"), F.coalesce("model", F.lit("")).alias("model"), F.col("fingerprint").alias("msg_fingerprint"), "file_id", "line_no", "side", F.coalesce("text", F.lit("")).alias("text"))
     every = with_turns(base)
     replies = next_reply(every).join(every.filter("side = 'user'").select("file_id", "turn_id", "line_no"), ["file_id", "turn_id"]).select("file_id", "line_no", "reply")
-    turns = with_turns(first_occurrence(base, "msg_fingerprint"))
-    users = classified(turns.filter("side = 'user'"), lex)
+    turns = settled(with_turns(first_occurrence(base, "msg_fingerprint")), "turns")
+    users = settled(classified(turns.filter("side = 'user'"), lex), "users")
     users = users.join(prior_similarity(users), ["file_id", "line_no"])
     context = users.select("file_id", "turn_id", *[F.col(c).alias(f"user_{c}") for c in CONTEXT])
     cut = lambda c: F.substring(c, 1, MOST_TEXT)
@@ -63,6 +65,3 @@ def match_rows(population: DataFrame, lexicon: Lexicon | None = None) -> DataFra
 def tally(matches: DataFrame) -> DataFrame:
     """Hits and distinct messages by side, category and phrase, with subtotals (null: all)."""
     return matches.rollup("side", "category", "phrase").agg(F.count("*").alias("hits"), F.countDistinct("msg_fingerprint").alias("messages"))
-
-
-__all__ = ["COLUMNS", "match_rows", "tally", "with_user_context"]
