@@ -78,6 +78,7 @@ def placed(promises: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]
     sums = sums.select("project", "_day", before.alias("_before"))
     inner = F.sum("_turn").over(Window.partitionBy("project", "_day").orderBy("at", "ts", "kind", "file_id", "line_no").rowsBetween(Window.unboundedPreceding, 0))
     told = events.withColumn("_inner", inner).join(sums, ["project", "_day"]).withColumn("place", F.col("_inner") + F.col("_before"))
+    told = settled(told.select("project", "file_id", "line_no", "promise_id", "kind", "place"), "places")
     edges = told.filter("kind != 0").groupBy("promise_id").agg(F.max(F.when(F.col("kind") == 1, F.col("place"))).alias("first"), F.max(F.when(F.col("kind") == -1, F.col("place"))).alias("last"))
     edges = edges.withColumn("last", F.least("last", F.col("first") + WINDOW_TURNS))
     at = told.filter("kind = 0").select("project", "file_id", "line_no", "place")
@@ -93,29 +94,33 @@ def follow_through(promises: DataFrame, users: DataFrame, variant: str = "full")
     turn, else the first of any path. A turn can only raise a promise again if it has a marker or shares rare words, so
     promises meet turns by joins on (project, word) with one of both given; nothing is gathered by project.
     """
-    turns = settled(timeline(users), "timeline")
+    # the flags are settled with the text, as beside an explode they would be told anew for every word
+    flags = {"again": F.col("norm").rlike(unicode(D.RERAISE)), "complains": F.col("norm").rlike(unicode(D.COMPLAINT)), "quotes": F.col("norm").rlike(D.QUOTEBACK)}
+    quoted = F.substring("norm", 1, 160).alias("quote")
+    turns = settled(timeline(users).withColumns(flags).select("project", "session", "file_id", "line_no", "ts", "at", *flags, "words", quoted), "timeline")
     vocab = vocabulary(turns).select("project", "word", "is_ambient", "is_rare")
     told = promises.withColumns({"at": F.unix_timestamp(parse_ts(F.col("ts"))), "eligible": commits(F.coalesce("text", F.lit("")))})
     words = told.filter("eligible").select("promise_id", "project", F.explode(content_words(normalize(F.coalesce("trigger", F.lit(""))), 2)).alias("word"))
     distinct = words.join(vocab, ["project", "word"], "left").filter("not coalesce(is_ambient, false)").withColumn("is_rare", F.coalesce("is_rare", F.lit(False)))
-    marked, line = placed(told, without_quotes(turns))
-    # these flags are settled with the line, as beside an explode they would be told anew for every word
-    line = settled(line.withColumns({"again": F.col("norm").rlike(unicode(D.RERAISE)), "complains": F.col("norm").rlike(unicode(D.COMPLAINT))}), "line")
+    distinct = settled(distinct.select("promise_id", "project", "word", "is_rare"), "trigger-words")
+    marked, line = placed(told, turns.filter("not quotes").select("project", "file_id", "line_no", "ts", "at", "again", "complains", "words"))
     # trigger words are not ambient, so the words that a turn shares with them need no look at the vocabulary
-    trigger = distinct.join(marked.select("promise_id", "first", "last"), "promise_id")
-    spoken = line.select("project", "place", "again", "complains", F.explode("words").alias("word"))
-    inside = (F.col("place") > F.col("first")) & (F.col("place") <= F.col("last"))
-    meet = lambda t, s: t.join(s, ["project", "word"]).filter(inside)
-    met = meet(trigger, spoken.filter("again")).unionByName(meet(trigger.filter("is_rare"), spoken.filter("not again")))
-    met = met.groupBy("promise_id", "project", "place").agg(F.count("*").alias("n"), F.sum(F.col("is_rare").cast("long")).alias("few"), F.first("again").alias("again"), F.first("complains").alias("complains"), F.first("first").alias("first"))
+    # turns with a marker meet all trigger words, other turns the rare ones alone
+    scope = F.explode(F.when(F.col("is_rare"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("again")
+    trigger = distinct.join(marked.select("promise_id", "first", "last"), "promise_id").select("*", scope)
+    spoken = line.select("project", "place", "file_id", "line_no", "again", "complains", F.explode("words").alias("word"))
+    met = trigger.join(spoken, ["project", "word", "again"]).filter((F.col("place") > F.col("first")) & (F.col("place") <= F.col("last")))
+    carried = [F.first(c).alias(c) for c in ("again", "complains", "first", "file_id", "line_no")]
+    met = met.groupBy("promise_id", "project", "place").agg(F.count("*").alias("n"), F.sum(F.col("is_rare").cast("long")).alias("few"), *carried)
     path = F.when(F.col("again") & (F.col("n") >= 2), "explicit")
     if variant != "explicit":
         path = path.when((F.col("few") >= 2) & F.col("complains"), "complaint")
     path = path.when(F.col("few") >= 3, "strong") if variant == "full" else path
     hits = met.withColumn("path", path).filter("path is not null")
-    best = hits.groupBy("promise_id", "project").agg(F.min_by(F.struct("path", "place", (F.col("place") - F.col("first")).alias("turns_later")), F.struct(F.col("path") != "explicit", F.col("place"))).alias("e")).select("promise_id", "project", "e.*")
+    best = hits.groupBy("promise_id", "project").agg(F.min_by(F.struct("path", "file_id", "line_no", (F.col("place") - F.col("first")).alias("turns_later")), F.struct(F.col("path") != "explicit", F.col("place"))).alias("e")).select("promise_id", "project", "e.*")
     own = distinct.join(best.select("promise_id"), "promise_id", "left_semi").groupBy("promise_id").agg(F.collect_set("word").alias("all"), F.collect_set(F.when(F.col("is_rare"), F.col("word"))).alias("rare"))
-    said = best.join(line.select("project", "place", F.col("session").alias("turn_session"), F.col("ts").alias("evidence_ts"), "words", F.substring("norm", 1, 160).alias("quote")), ["project", "place"]).join(own, "promise_id")
+    shown = turns.select("project", "file_id", "line_no", F.col("session").alias("turn_session"), F.col("ts").alias("evidence_ts"), "words", "quote")
+    said = best.join(shown, ["project", "file_id", "line_no"]).join(own, "promise_id")
     least = lambda xs: F.slice(F.array_sort(F.array_intersect(xs, "words")), 1, 8)
     said = said.select("promise_id", "path", "turns_later", "turn_session", "evidence_ts", least("all").alias("shared"), least("rare").alias("shared_rare"), "quote")
     known = distinct.groupBy("promise_id").agg(F.count("*").alias("known"))
