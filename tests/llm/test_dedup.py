@@ -113,3 +113,12 @@ def test_line_dedup_awkward(spark, make, awkward):
     got = linededup.dedup_lines(make([(None, lines), (5, lines), (5, lines), (3, lines)])).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (3, 3), (5, 3), (5, 3)]
     assert linededup.dedup_lines(make([])).count() == 0
+
+
+def test_families_around_the_threshold_in_many_turns(spark, make, prose, monkeypatch):
+    """Copies between 0.3 and 0.96 alike, most linked through few others; small turns, so that many are needed."""
+    monkeypatch.setattr(neardup, "SPREAD", 2)
+    rows = [(i, edited(prose(150, 11 + i % 2), 0.001 * (1 + i % 60), i)) for i in range(110)]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(make(rows)).collect()}
+    want = brute_classes(rows)
+    assert got == want and 2 < len(set(want.values())) < len(rows)
