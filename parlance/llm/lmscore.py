@@ -1,9 +1,11 @@
 """Cross-entropy difference: every document's loss under a target model less its loss under a background model.
 
-Both are matched bigram models: the same vocabulary, classes and smoothing, fitted to all target documents and to all
-documents. The vocabulary is the VOCABULARY most frequent words of the whole corpus; the HEAD most frequent of them are
-classes of their own, all other words share a class, within which unigram frequencies count, and words outside the
-vocabulary are one unknown word. So both models have a fixed size, whatever the corpus.
+Both are matched bigram models: the same vocabulary, places and smoothing, fitted to all target documents and to all
+documents. Every word seen is in the vocabulary, and every bigram counts as itself. The VOCABULARY most frequent words
+have their counts on every executor, and bigrams of the HEAD most frequent are looked up there too. All other bigrams of
+a document meet their counts in a shuffle: by the word if it is outside VOCABULARY, whose own counts are the sums of the
+same rows, and else by the bigram, so that frequent words are spread by the word before them. Words and bigrams are told
+apart by 64-bit hashes there; among 1e8 words some two are alike with a probability of 3e-4.
 """
 
 from __future__ import annotations
@@ -13,14 +15,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.llm.hashing import mix
 from parlance.llm.shared import map_rows, stored, texts_of, with_small
 
-#: Words of the shared vocabulary, and of those with classes of their own.
+#: Words whose counts every executor has, and of those the ones whose bigrams it has as well.
 VOCABULARY, HEAD = 65_536, 1_023
-#: Classes: the head's, the tail's, and the start of a document.
+#: Classes of the table of frequent bigrams: the head's, one for all other words, and the start of a document.
 TAIL, START, CLASSES = HEAD, HEAD + 1, HEAD + 2
 #: Added to each word's count; weight of the class frequencies in a context.
 ALPHA, WEIGHT = 0.5, 200.0
@@ -32,23 +37,29 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
+COUNTS = ("everywhere", "wanted", "everywhere_ends", "wanted_ends")
+
+
 def word_counts(flagged: DataFrame) -> DataFrame:
-    """word, in all documents and in the target ones, from rows (doc_id, text, target)."""
+    """word, in all documents and in the target ones, and how many of these it ends, from rows (doc_id, text, target)."""
 
     def scan(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
-        everywhere, wanted = Counter(), Counter()
+        told = everywhere, wanted, ends, wanted_ends = [Counter() for _ in COUNTS]
         for _, texts, targets in batches:
             for text, target in zip(texts, targets):
-                words = words_of(text)
-                everywhere.update(words)
-                if target:
-                    wanted.update(words)
+                if words := words_of(text):
+                    everywhere.update(words)
+                    ends[words[-1]] += 1
+                    if target:
+                        wanted.update(words)
+                        wanted_ends[words[-1]] += 1
             if len(everywhere) >= FLUSH_WORDS:
-                yield [(w, n, wanted[w]) for w, n in everywhere.items()]
-                everywhere, wanted = Counter(), Counter()
-        yield [(w, n, wanted[w]) for w, n in everywhere.items()]
+                yield [(w, *[c[w] for c in told]) for w in list(everywhere)]
+                for c in told:
+                    c.clear()
+        yield [(w, *[c[w] for c in told]) for w in list(everywhere)]
 
-    return map_rows(flagged, scan, "word string, everywhere long, wanted long").groupBy("word").agg(F.sum("everywhere").alias("everywhere"), F.sum("wanted").alias("wanted"))
+    return map_rows(flagged, scan, "word string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 def class_ids(words: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +69,7 @@ def class_ids(words: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.n
 
 
 def bigram_counts(flagged: DataFrame, index) -> DataFrame:
-    """code (context class * CLASSES + class), in all documents and in the target ones."""
+    """code (context class * CLASSES + class), in all documents and in the target ones, of bigrams of head words and starts."""
 
     def scan(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
         totals = np.zeros((2, CLASSES * CLASSES), np.int64)
@@ -67,7 +78,7 @@ def bigram_counts(flagged: DataFrame, index) -> DataFrame:
                 if words := words_of(text):
                     _, c = class_ids(words, index.value)
                     codes = np.concatenate([[START], c[:-1]]) * CLASSES + c
-                    codes, n = np.unique(codes, return_counts=True)
+                    codes, n = np.unique(codes[(codes // CLASSES != TAIL) & (c != TAIL)], return_counts=True)
                     totals[0, codes] += n
                     if target:
                         totals[1, codes] += n
@@ -81,7 +92,10 @@ def bigram_counts(flagged: DataFrame, index) -> DataFrame:
 
 @dataclass
 class Model:
-    """Losses (natural log) of a class after a class, and of a vocabulary id within its class."""
+    """Losses (natural log) of a class after a class, and of a vocabulary id within its class, all in memory.
+
+    A model of fixed size, for small vocabularies; score_documents doesn't use it.
+    """
 
     bigram: np.ndarray
     within: np.ndarray
@@ -105,28 +119,106 @@ class Model:
         return self.bigram[np.concatenate([[START], classes[:-1]]), classes].astype(np.float64) + self.within[ids]
 
 
-def fitted_models(flagged: DataFrame) -> tuple[dict[str, int], Model, Model]:
-    """(vocabulary, target model, background model), from counts over all rows.
+@dataclass
+class Side:
+    """What every executor has of one model: words and documents in all, and the frequent words' and bigrams' counts."""
+
+    words: int
+    starts: int
+    places: int
+    counts: np.ndarray
+    ends: np.ndarray
+    bigrams: np.ndarray
+
+    def share(self, counts):
+        """The smoothed frequency of words, from their counts (an array or a column)."""
+        return (counts + ALPHA) / (self.words + ALPHA * self.places)
+
+    def head_losses(self) -> np.ndarray:
+        """Of a head word after a class: what its bigram takes off, the context's part not counted."""
+        return -np.log(self.bigrams[:, :HEAD] + WEIGHT * self.share(self.counts[:HEAD]))
+
+    def contexts(self) -> np.ndarray:
+        """Of a frequent word: the part of the loss of the next word that its context makes."""
+        return np.log(self.counts - self.ends + WEIGHT)
+
+
+def fitted_sides(flagged: DataFrame) -> tuple[dict[str, int], Side, Side]:
+    """(vocabulary ids, target model's side, background model's side), from counts over all rows.
 
     The driver gets the VOCABULARY most frequent words and the counts of at most CLASSES ** 2 class pairs, no more.
     """
     spark = flagged.sparkSession
     counted = stored(word_counts(flagged), "words")
     top = counted.orderBy(F.desc("everywhere"), "word").limit(VOCABULARY).toPandas()
-    total = counted.agg(F.coalesce(F.sum("everywhere"), F.lit(0)), F.coalesce(F.sum("wanted"), F.lit(0))).first()
+    total = counted.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]).first()
     index = {w: i for i, w in enumerate(top["word"])}
     pairs = bigram_counts(flagged, spark.sparkContext.broadcast(index)).toPandas()
     out = []
-    for column, everything in (("wanted", total[1]), ("everywhere", total[0])):
-        unigrams = np.zeros(VOCABULARY + 1)
-        unigrams[: len(top)] = top[column]
-        unigrams[VOCABULARY] = int(everything) - unigrams.sum()
+    for column in ("wanted", "everywhere"):
+        counts, ends = np.zeros(VOCABULARY), np.zeros(VOCABULARY)
+        counts[: len(top)], ends[: len(top)] = top[column], top[f"{column}_ends"]
         bigrams = np.zeros(CLASSES * CLASSES)
         bigrams[pairs["code"].to_numpy(np.int64)] = pairs[column]
-        out.append(Model.fitted(bigrams.reshape(CLASSES, CLASSES), unigrams))
+        out.append(Side(total[column], total[f"{column}_ends"], max(HEAD + 1, total["n"]), counts, ends, bigrams.reshape(CLASSES, CLASSES)))
     return index, *out
 
 
+#: Bits of ``told`` below the number of occurrences: the word's vocabulary id plus 1 (0: outside), target, ends the document.
+ID_BITS = 17
+PIECES = "row long, dealt long, before long, told long, head struct<doc_id: long, n_tokens: long, a: double, b: double>"
+
+
+def pieces(flagged: DataFrame, sides) -> DataFrame:
+    """Rows of a document (``row``): one with its head, the sums of all that is known on the spot, and one for each other bigram.
+
+    ``dealt`` is the hash of a word outside the vocabulary, and ``before`` of the one before it; else ``dealt`` is that of
+    the bigram. The row with the head has no occurrences, and any ``dealt``.
+    """
+    kinds = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("a", pa.float64()), ("b", pa.float64())])
+    start = np.uint64(0x9E3779B97F4A7C15)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, *models = sides.value
+        losses, contexts = [m.head_losses() for m in models], [m.contexts() for m in models]
+        for batch in batches:
+            ids, texts, targets, rows = (c.to_pylist() for c in batch.columns)
+            split = [words_of(t) for t in texts]
+            size = np.array([len(w) for w in split], np.int64)
+            words = [w for x in split for w in x]
+            doc = np.repeat(np.arange(len(split)), size)
+            known, c = class_ids(words, index)
+            hashed = pd.util.hash_array(np.array(words, object), categorize=False) if words else np.zeros(0, np.uint64)
+            first, last = (np.zeros(len(words), bool) for _ in range(2))
+            first[(np.cumsum(size) - size)[size > 0]] = True
+            last[(np.cumsum(size) - 1)[size > 0]] = True
+            before, c_before = np.where(first, start, np.roll(hashed, 1)), np.where(first, START, np.roll(c, 1))
+            here, followed = (c != TAIL) & (c_before != TAIL), (known < VOCABULARY) & ~last
+            sums = []
+            for m, loss, context in zip(models, losses, contexts):
+                x = np.bincount(doc[here], loss[c_before[here], c[here]], len(split)) + np.bincount(doc[followed], context[known[followed]], len(split))
+                sums.append(np.where(size > 0, x + np.log(m.starts + WEIGHT), 0.0))
+            rare = known == VOCABULARY
+            pair = mix(before) * np.uint64(3) + hashed
+            _, at, which, n = np.unique((pair ^ mix(doc.astype(np.uint64) + start))[~here], return_index=True, return_inverse=True, return_counts=True)
+            ended = np.bincount(which, last[~here], len(at)).astype(np.int64)
+            at = np.flatnonzero(~here)[at]
+            row, flag = np.array(rows, np.int64), np.array(targets, np.int64)
+            told = (((n * 2 + ended) * 2 + flag[doc[at]]) << ID_BITS) + np.where(rare[at], 0, known[at] + 1)
+            dealt = np.where(rare, hashed, mix(pair))[at]
+            kept = np.where(rare, before, np.uint64(0))[at]
+            none = pa.nulls(len(at), kinds)
+            heads = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(size), *map(pa.array, sums)], fields=list(kinds))
+            columns = [
+                np.concatenate([row, row[doc[at]]]), np.concatenate([mix(row.astype(np.uint64)), dealt]).view(np.int64), np.concatenate([np.zeros(len(row), np.uint64), kept]).view(np.int64),
+                np.concatenate([np.zeros(len(row), np.int64), told]),
+            ]
+            out = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.concat_arrays([heads, none])], names=["row", "dealt", "before", "told", "head"])
+            yield from (out.slice(i, 100_000) for i in range(0, len(out), 100_000))
+
+    return flagged.withColumn("row", F.monotonically_increasing_id()).mapInArrow(scan, PIECES)
+
+
 SCHEMA = "doc_id long, n_tokens long, ce_target double, ce_background double, ce_difference double"
 
 
@@ -137,21 +229,27 @@ def score_documents(documents: DataFrame, labels: DataFrame, id_column: str = "d
     without words, null ones included, have 0 tokens and null losses. Repeated rows count and are scored each; null ids
     stay null. Without any target document the target model is the smoothed uniform one. Other columns are ignored.
     """
+    spark = documents.sparkSession
     good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("target")).filter("target")
     flagged = with_small(texts_of(documents, id_column, text_column), good, "doc_id").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    models = documents.sparkSession.sparkContext.broadcast(fitted_models(flagged))
-
-    def scan(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
-        index, target, background = models.value
-        for ids, texts in batches:
-            rows = []
-            for i, text in zip(ids, texts):
-                if words := words_of(text):
-                    known, classes = class_ids(words, index)
-                    a, b = target.loss(known, classes).mean(), background.loss(known, classes).mean()
-                    rows.append((i, len(words), float(a), float(b), float(a - b)))
-                else:
-                    rows.append((i, 0, None, None, None))
-            yield rows
-
-    return map_rows(texts_of(documents, id_column, text_column), scan, SCHEMA)
+    index, target, background = fitted_sides(flagged)
+    told = pieces(flagged, spark.sparkContext.broadcast((index, target, background))).repartition("dealt")
+    bits = lambda low, n: F.shiftright("told", low).bitwiseAND(F.lit((1 << n) - 1))
+    n, ended, wanted = F.shiftright("told", ID_BITS + 2), bits(ID_BITS + 1, 1), bits(ID_BITS, 1)
+    told = told.select("row", "dealt", "before", "head", bits(0, ID_BITS).alias("k"), n.alias("n"), (n - ended).alias("c"), wanted.alias("w"))
+    bigram, word = Window.partitionBy("dealt", "before"), Window.partitionBy("dealt")
+    # both windows run over one sort
+    told = told.withColumns({"bi_b": F.sum("n").over(bigram), "bi_a": F.sum(F.col("n") * F.col("w")).over(bigram)})
+    sums = {"uni_b": F.sum("n"), "uni_a": F.sum(F.col("n") * F.col("w")), "context_b": F.sum("c"), "context_a": F.sum(F.col("c") * F.col("w"))}
+    told = told.withColumns({name: x.over(word) for name, x in sums.items()})
+    frequent = spark.createDataFrame(pd.DataFrame({"k": np.arange(1, len(index) + 1), "top_a": target.counts[: len(index)], "top_b": background.counts[: len(index)]}), "k long, top_a double, top_b double")
+    told = told.join(F.broadcast(frequent), "k", "left")
+
+    def loss(side: Side, x: str):
+        share = side.share(F.coalesce(f"top_{x}", F.col(f"uni_{x}").cast("double")))
+        after = F.when(F.col("k") == 0, F.col("c") * F.log(F.col(f"context_{x}") + F.lit(WEIGHT))).otherwise(0.0)
+        return F.sum(F.coalesce(f"head.{x}", F.lit(0.0)) + F.when(F.col("n") > 0, after - F.col("n") * F.log(F.col(f"bi_{x}") + F.lit(WEIGHT) * share)).otherwise(0.0)).alias(x)
+
+    scored = told.groupBy("row").agg(F.max("head.doc_id").alias("doc_id"), F.max("head.n_tokens").alias("n_tokens"), loss(target, "a"), loss(background, "b"))
+    mean = lambda x: F.when(F.col("n_tokens") > 0, F.col(x) / F.col("n_tokens"))
+    return scored.select("doc_id", "n_tokens", mean("a").alias("ce_target"), mean("b").alias("ce_background"), (mean("a") - mean("b")).alias("ce_difference"))

@@ -106,6 +106,31 @@ def test_scores_equal_brute_force(spark, make, prose, monkeypatch):
     assert head
 
 
+def test_scores_beyond_the_head(make, spark):
+    """Every word and bigram counts as itself, however few words executors hold counts of."""
+    r = random.Random(8)
+    some = lambda: f"w{int(r.paretovariate(0.6)) % 5000}" if r.random() < 0.4 else f"x{r.randrange(80_000)}"
+    rows = [(i, " ".join(some() for _ in range(r.randint(1, 8000)))) for i in range(60)] + [(70, "w1 w1 w1 w2999 w2999 w2999"), (71, "new words alone"), (71, "new words alone"), (None, "w1 new"), (72, "")]
+    target = {i for i, _ in rows[:60:4]}
+    labels = spark.createDataFrame([(i, 1, 0) for i in target], "doc_id long, quality int, toxic int")
+    got = {(x.doc_id, x.n_tokens): x for x in lmscore.score_documents(make(rows), labels).collect()}
+    places = len({w for _, t in rows for w in t.split()})
+    assert places > lmscore.VOCABULARY
+    for column, texts in (("ce_target", [t for i, t in rows if i in target]), ("ce_background", [t for _, t in rows])):
+        uni, bi, context = Counter(), Counter(), Counter()
+        for w in (["<s>", *t.split()] for t in texts if t):
+            uni.update(w[1:])
+            bi.update(zip(w, w[1:]))
+            context.update(w[:-1])
+        total = sum(uni.values()) + lmscore.ALPHA * places
+        share = {w: (uni[w] + lmscore.ALPHA) / total for _, t in rows for w in t.split()}
+        for i, t in rows:
+            w = ["<s>", *t.split()]
+            told = [-math.log((bi[u, v] + lmscore.WEIGHT * share[v]) / (context[u] + lmscore.WEIGHT)) for u, v in zip(w, w[1:])]
+            value = got[i, len(told)][column]
+            assert value is None if not told else abs(sum(told) / len(told) - value) < 1e-9, (i, t)
+
+
 def test_models_are_distributions():
     rng = np.random.default_rng(1)
     bigrams = rng.integers(0, 3, (lmscore.CLASSES, lmscore.CLASSES)).astype(float)
