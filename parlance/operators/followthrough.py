@@ -13,8 +13,8 @@ from parlance.sources.scratch import settled
 ELIGIBLE = ("concession", "acknowledgment")
 LEAST_DOWNSTREAM, WINDOW_DAYS, WINDOW_TURNS, LEAST_TRIGGER = 20, 14, 5000, 4
 AMBIENT, RARE = 0.30, 0.005
-#: A promise meets the turns of its own time bin and the next one; a bin is as long as the window lasts at most.
-BIN_SECONDS = (WINDOW_DAYS + 1) * 86_400
+#: Turns of a project among which the next marked one is found at once.
+SEGMENT_TURNS = 4096
 
 
 def commits(text: Column) -> Column:
@@ -39,17 +39,32 @@ def vocabulary(docs: DataFrame, group: str = "project", words: str = "words", am
 def forward(promises: DataFrame, turns: DataFrame, days: int = WINDOW_DAYS, most: int = WINDOW_TURNS) -> DataFrame:
     """Later turns of each promise's project within ``days`` whole days, with turns_later, at most ``most`` of them.
 
-    ``promises`` has promise_id, project, ts and at; ``turns`` project, ts, at, file_id, line_no and more. Time bins turn the
-    range into an equality on (project, bin). Rows whose time doesn't parse meet nothing.
+    ``promises`` has promise_id, project, ts and at, one row each; ``turns`` project, ts, at, file_id, line_no and more,
+    (project, file_id, line_no) being unique. Turns are numbered once, and a promise meets exactly the numbers it is to
+    have, by (project, place). Rows whose time doesn't parse meet nothing.
     """
-    size = (days + 1) * 86_400
-    bins = promises.select("*", F.explode(F.array(F.floor(F.col("at") / size), F.floor(F.col("at") / size) + 1)).alias("_bin"))
-    told = turns.select("*", F.floor(F.col("at") / size).alias("_bin"))
-    p, t = bins.alias("p"), told.alias("t")
-    near = (F.col("p.project") == F.col("t.project")) & (F.col("p._bin") == F.col("t._bin")) & (F.col("t.ts") > F.col("p.ts")) & (F.floor((F.col("t.at") - F.col("p.at")) / 86_400) <= days)
-    met = p.join(t, near).select("p.promise_id", F.col("p.at").alias("from_at"), *[F.col(f"t.{c}") for c in turns.columns])
-    order = Window.partitionBy("promise_id").orderBy("ts", "file_id", "line_no")
-    return met.withColumn("turns_later", F.row_number().over(order)).filter(F.col("turns_later") <= most)
+    marked, line = placed(promises.select("promise_id", "project", "ts", "at"), turns, days, most)
+    ahead = marked.filter("last > first").select("promise_id", "project", F.col("at").alias("from_at"), "first", F.explode(F.sequence(F.col("first") + 1, F.col("last"))).alias("place"))
+    met = ahead.withColumn("turns_later", (F.col("place") - F.col("first")).cast("int")).alias("p").join(line.alias("t"), ["project", "place"])
+    return met.select("p.promise_id", "p.from_at", *[F.col("project") if c == "project" else F.col(f"t.{c}") for c in turns.columns], "p.turns_later")
+
+
+def first_marked(promises: DataFrame, turns: DataFrame, marked: str, days: int = WINDOW_DAYS, most: int = WINDOW_TURNS) -> DataFrame:
+    """(promise_id, turns_later) of the first later turn within the window for which the condition ``marked`` holds, if any.
+
+    Both as for :func:`forward`. No promise meets its turns: the next marked turn is found in segments of a project's
+    timeline, then over the segments.
+    """
+    told, line = placed(promises.select("promise_id", "project", "ts", "at"), turns, days, most)
+    hits = line.filter(marked).select("project", "place", F.col("place").alias("hit"), F.lit(False).alias("asks"))
+    events = hits.unionByName(told.filter("last > first").select("project", F.col("first").alias("place"), "promise_id", "last", F.lit(True).alias("asks")), allowMissingColumns=True)
+    events = events.withColumn("segment", F.floor(F.col("place") / SEGMENT_TURNS))
+    here = F.min("hit").over(Window.partitionBy("project", "segment").orderBy(F.desc("place")).rangeBetween(Window.unboundedPreceding, -1))
+    firsts = events.groupBy("project", "segment").agg(F.min("hit").alias("hit"))
+    after = F.min("hit").over(Window.partitionBy("project").orderBy(F.desc("segment")).rowsBetween(Window.unboundedPreceding, -1))
+    firsts = firsts.select("project", "segment", after.alias("after"))
+    found = events.withColumn("here", here).filter("asks").join(firsts, ["project", "segment"]).withColumn("at", F.coalesce("here", "after"))
+    return found.filter("at <= last").select("promise_id", (F.col("at") - F.col("place")).alias("turns_later"))
 
 
 def without_quotes(turns: DataFrame) -> DataFrame:
@@ -57,10 +72,10 @@ def without_quotes(turns: DataFrame) -> DataFrame:
     return turns.filter(~F.col("norm").rlike(D.QUOTEBACK))
 
 
-def placed(promises: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def placed(promises: DataFrame, turns: DataFrame, days: int = WINDOW_DAYS, most: int = WINDOW_TURNS) -> tuple[DataFrame, DataFrame]:
     """(promises with first and last, turns with place): real turns of a project are numbered in time, from 1.
 
-    Those that follow a promise within the window are first < place <= last, at most WINDOW_TURNS. Each promise adds two
+    Those that follow a promise within the window of ``days`` whole days are first < place <= last, at most ``most``. Each promise adds two
     marks to the timeline, so that one running count by days, then over the days' sums, gives all numbers: no promise
     meets its turns. ``turns`` are those that quote nothing; rows whose time doesn't parse have no place.
     """
@@ -71,7 +86,7 @@ def placed(promises: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]
     t = turns.filter("at is not null").withColumns({"kind": F.lit(0), "promise_id": none(dict(promises.dtypes)["promise_id"])}).select(slim)
     marks = promises.filter("at is not null").withColumns({"file_id": none(file_type), "line_no": none("long")})
     start = marks.withColumn("kind", F.lit(1)).select(slim)
-    end = marks.withColumns({"kind": F.lit(-1), "at": F.col("at") + BIN_SECONDS, "ts": F.lit("")}).select(slim)
+    end = marks.withColumns({"kind": F.lit(-1), "at": F.col("at") + (days + 1) * 86_400, "ts": F.lit("")}).select(slim)
     events = t.unionByName(start).unionByName(end).withColumns({"_day": day, "_turn": (F.col("kind") == 0).cast("long")})
     sums = events.groupBy("project", "_day").agg(F.sum("_turn").alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy("project").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -80,7 +95,7 @@ def placed(promises: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]
     told = events.withColumn("_inner", inner).join(sums, ["project", "_day"]).withColumn("place", F.col("_inner") + F.col("_before"))
     told = settled(told.select("project", "file_id", "line_no", "promise_id", "kind", "place"), "places")
     edges = told.filter("kind != 0").groupBy("promise_id").agg(F.max(F.when(F.col("kind") == 1, F.col("place"))).alias("first"), F.max(F.when(F.col("kind") == -1, F.col("place"))).alias("last"))
-    edges = edges.withColumn("last", F.least("last", F.col("first") + WINDOW_TURNS))
+    edges = edges.withColumn("last", F.least("last", F.col("first") + most))
     at = told.filter("kind = 0").select("project", "file_id", "line_no", "place")
     return promises.join(edges, "promise_id", "left"), turns.join(at, ["project", "file_id", "line_no"])
 

@@ -436,6 +436,25 @@ def downstream_k(spark, d):
     return met.select("promise_id", F.col("turns_later").cast("long").alias("pos"), T.gap(F.col("at") - F.col("from_at")).alias("gap"))
 
 
+@query()
+def first_reraise_14d(spark, d):
+    """first_reraise over the whole window of 14 days and 5,000 turns."""
+    return followthrough.first_marked(*_timeline(spark, d), "event_type = 'error'")
+
+
+@query()
+def downstream_k_14d(spark, d):
+    """downstream_k over the whole window of 14 days: a promise's six next turns."""
+    met = followthrough.forward(*_timeline(spark, d), most=6)
+    return met.select("promise_id", F.col("turns_later").cast("long").alias("pos"), T.gap(F.col("at") - F.col("from_at")).alias("gap"))
+
+
+@query()
+def forward_window_join_14d(spark, d):
+    """forward_window_join over the whole window of 14 days and 5,000 turns: all pairs in it, as many as there are."""
+    return followthrough.forward(*_timeline(spark, d)).select("promise_id", "line_no", F.col("turns_later").cast("long").alias("turns_later"))
+
+
 def _promises(spark, d) -> tuple[DataFrame, DataFrame]:
     """Documents as a log: every tenth by hash promises to act and answers its own text, the others are the users' turns."""
     docs = table(spark, d, "documents").filter("text is not null")

@@ -122,6 +122,32 @@ def test_follow_through_equals_brute_force(spark):
     assert followthrough.downstream_view(p, u).groupBy("promise_id").count().agg(F.max("count")).first()[0] <= 6
 
 
+def test_whole_forward_window(spark, tmp_path):
+    """The 14-day queries have all turns of 14 whole days, not those of 4 days or the first dozen."""
+    from parlance.plans.queries import QUERIES
+
+    r = random.Random(6)
+    start = datetime(2026, 1, 1)
+    kinds = ["purchase"] * 2 + ["view"] * 7
+    events = [(i, r.choice([1, 1, 1, 2]), start + timedelta(seconds=r.randrange(60 * 86_400)), "error" if i % 150 == 0 else r.choice(kinds)) for i in range(1200)]
+    events += [(2000, 9, start, "purchase"), (2001, 9, start, "error"), (2002, 9, start + timedelta(days=15, seconds=-1), "error"), (2003, 9, start + timedelta(days=15), "error")]
+    events += [(3000 + i, 7, start + timedelta(minutes=i), "view") for i in range(9000)] + [(2999, 7, start - timedelta(minutes=1), "purchase"), (2998, 7, start + timedelta(minutes=4500), "purchase"), (20_000, 7, start + timedelta(minutes=9001), "error")]
+    spark.createDataFrame(events, "event_id long, user_id long, ts timestamp, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    pairs = set()
+    for p in (e for e in events if e[3] == "purchase"):
+        later = sorted((e for e in events if e[1] == p[1] and e[3] != "purchase" and e[2] > p[2] and (e[2] - p[2]).days <= 14), key=lambda e: (e[2], e[0]))[:5000]
+        pairs |= {(p[0], e[0], k) for k, e in enumerate(later, 1)}
+    errors = {e[0] for e in events if e[3] == "error"}
+    first = {}
+    for p, e, k in sorted(pairs, key=lambda x: -x[2]):
+        if e in errors:
+            first[p] = k
+    assert max(first.values()) > 4096 and 2999 not in first and first[2000] == 1
+    assert sorted(map(tuple, QUERIES["first_reraise_14d"](spark, str(tmp_path)).collect())) == sorted(first.items())
+    assert sorted(map(tuple, QUERIES["forward_window_join_14d"](spark, str(tmp_path)).collect())) == sorted(pairs)
+    assert sorted((x.promise_id, x.pos) for x in QUERIES["downstream_k_14d"](spark, str(tmp_path)).collect()) == sorted((p, k) for p, _, k in pairs if k <= 6)
+
+
 def test_statistics_goldens(spark):
     df = spark.createDataFrame([(948, 27208), (0, 0)], "k long, n long")
     low, high = stats.wilson(F.col("k"), F.col("n"))
