@@ -72,10 +72,11 @@ def myers(pattern: Sequence[str], text: Sequence[str]) -> tuple[int, int]:
 
 
 class Matcher:
-    """The automaton of all pieces of some items, and the items' words."""
+    """The automaton of all pieces of some items, and the items' words, by the items' places in the sequence."""
 
-    def __init__(self, items: Sequence[tuple[int, str]]) -> None:
-        self.items = {i: normal(t).split() for i, t in items}
+    def __init__(self, items: Sequence[tuple[int | None, str]]) -> None:
+        self.ids = [i for i, _ in items]
+        self.items = {k: normal(t).split() for k, (_, t) in enumerate(items)}
         owners: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, words in self.items.items():
             for first, piece in pieces(words) if words else ():
@@ -86,7 +87,7 @@ class Matcher:
         self.automaton.make_automaton()
 
     def found(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, distance, first word, end) of each item's best occurrence in the text, the first of equal ones."""
+        """(item's place, distance, first word, end) of each item's best occurrence in the text, the first of equal ones."""
         norm = normal(text)
         windows: dict[int, set[int]] = defaultdict(set)
         at, place = 0, 0
@@ -117,19 +118,20 @@ class Matcher:
         return out
 
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The test items in blocks of at most BLOCK_CHARS, read one partition at a time; items without a word are left out."""
-    block: list[tuple[int, str]] = []
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    """The distinct test items (id, text) in blocks of at most BLOCK_CHARS, read one partition at a time; null texts are left out."""
+    block: list[tuple[int | None, str]] = []
+    order = lambda item: (item[0] is None, item[0] or 0, item[1])
     chars = 0
-    rows = benchmark.filter("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long")).agg(F.max("text"))
+    rows = benchmark.filter("text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     for item, text in rows.toLocalIterator():
         if block and chars + len(text) > BLOCK_CHARS:
-            yield sorted(block)
+            yield sorted(block, key=order)
             block, chars = [], 0
         block.append((item, text))
         chars += len(text)
     if block:
-        yield sorted(block)
+        yield sorted(block, key=order)
 
 
 SCHEMA = "doc_id long, item_id long, n_edits long, first_word long, end_word long, item_words long"
@@ -140,7 +142,8 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc
 
     The row has the item's least distance n_edits and the place of its first best occurrence, in normalised words.
     Null and empty texts match nothing, nor do items without words; repeated document rows each have their rows, null
-    ids stay null; of items with the same id the last in order of text counts. Other columns are ignored. No shuffle:
+    ids stay null. Items are the distinct (item_id, text): those with a null id are looked for as well, and of items with
+    the same id each that occurs has its row. Other columns are ignored. No shuffle:
     the items, a block at a time, go to the tasks; each task reads whole texts.
     """
     spark = documents.sparkSession
@@ -152,7 +155,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc
         def scan(batches: Iterator[list[list]], items=items) -> Iterator[list[tuple]]:
             matcher = Matcher(items.value)
             for ids, batch in batches:
-                yield [(i, *hit, len(matcher.items[hit[0]])) for i, t in zip(ids, batch) for hit in matcher.found(t)]
+                yield [(i, matcher.ids[hit[0]], *hit[1:], len(matcher.items[hit[0]])) for i, t in zip(ids, batch) for hit in matcher.found(t)]
 
         part = map_rows(texts, scan, SCHEMA)
         result = part if result is None else result.unionAll(part)

@@ -286,6 +286,15 @@ def test_leaks_equal_brute_force(spark, make, prose, awkward):
     assert decontam.find_leaks(make(rows), benchmark.limit(0)).count() == 0
 
 
+def test_items_with_null_and_shared_ids(spark, make, prose):
+    """Every distinct (item_id, text) is looked for."""
+    texts = [prose(30, 900 + k) for k in range(4)]
+    benchmark = spark.createDataFrame([(0, texts[0]), (0, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (1, None)], "item_id long, text string")
+    docs = make([(k, f"before it {t} after it") for k, t in enumerate(texts)] + [(9, prose(30, 950))])
+    assert sorted((r.doc_id, r.item_id or 0, r.item_id is None) for r in decontam.find_leaks(docs, benchmark).collect()) == [(0, 0, False), (1, 0, False), (2, 0, True), (3, 0, True)]
+    assert {r.doc_id for r in decontam.contaminated_flag(docs, benchmark).filter("contaminated").collect()} == {0, 1, 2, 3}
+
+
 def test_pipeline_stages(spark, make, prose):
     import corpus_pipeline as p
 
