@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.shared import bounded_batches, map_rows, texts_of, whole_text
+from parlance.llm.shared import map_rows, texts_of, whole_text
 
 #: Edits allowed for each word of an item.
 ERROR_SHARE = 0.15
@@ -178,7 +178,6 @@ def holds_any(items: Broadcast) -> Callable[[Column], Column]:
 def contaminated_flag(documents: DataFrame, benchmark: DataFrame, text_column: str = "text", flag: str = "contaminated") -> DataFrame:
     """``documents`` with a boolean column ``flag``: whether any test item occurs in the row's text. No shuffle."""
     spark = documents.sparkSession
-    bounded_batches(spark)
     out = F.lit(False)
     for block in blocks(benchmark):
         out = out | holds_any(spark.sparkContext.broadcast(block))(whole_text(text_column))

@@ -9,7 +9,6 @@ their weighted Jaccard similarity. Coordinates are joined in bands; what meets i
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import hashing as H
-from parlance.llm.shared import bounded_batches, stored, whole_text, with_small
+from parlance.llm.shared import discard, hinted, join_by_share, slices, stored, whole_text, with_small
 
 WIDTH = 5
 LEAST_SIMILARITY = 0.8
@@ -87,21 +86,23 @@ def band_keys(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     return np.where(sketch[:, :, 0] == 0, H.U(0), out)
 
 
-def sketches(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, the digest of the whole text, and the band keys (null for texts without words) of each row."""
-    bounded_batches(documents.sparkSession)
+def with_digests(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """doc_id, text (null: empty) and its digest of 128 bits; texts with equal digests count as equal."""
+    texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
+    return texts.withColumn("digest", F.unhex(F.md5("text")))
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """doc_id, digest and the band keys (null for texts without words) of each row of :func:`with_digests`."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1)
-            digests = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts.to_pylist()]
-            keys = np.concatenate([band_keys(o, d) for _, o, d in H.chunks(texts)] or [np.zeros((0, BANDS), H.U)])
+        for batch in slices(batches):
+            keys = np.concatenate([band_keys(o, d) for _, o, d in H.chunks(batch.column(2))] or [np.zeros((0, BANDS), H.U)])
             lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
             wordless = pa.array((keys == 0).all(1)) if len(keys) else pa.array([], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.compute.if_else(wordless, None, lists)], names=["doc_id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.compute.if_else(wordless, None, lists)], names=["doc_id", "digest", "bands"])
 
-    texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    return texts.mapInArrow(scan, "doc_id long, digest binary, bands array<long>")
+    return texts.select("doc_id", "digest", "text").mapInArrow(scan, "doc_id long, digest binary, bands array<long>")
 
 
 def shingle_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -118,12 +119,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def with_filters(texts: DataFrame) -> DataFrame:
-    """``texts`` (doc_id, text) with their weight and the FILTER words of their one-bit coordinates."""
-    bounded_batches(texts.sparkSession)
-    k, names = FILTER_BITS, ["doc_id", "text", "weight", *FILTER]
+    """``texts`` (node, text) with their weight and the FILTER words of their one-bit coordinates."""
+    k, names = FILTER_BITS, ["node", "text", "weight", *FILTER]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             weights, bits = [], []
             for _, offsets, data in H.chunks(batch.column(1)):
                 elements, rows = H.shingles(*H.words(offsets, data), WIDTH, len(offsets) - 1)
@@ -134,7 +134,7 @@ def with_filters(texts: DataFrame) -> DataFrame:
                 words = np.concatenate(bits)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(weights)), *map(pa.array, words.T.copy())], names=names)
 
-    return texts.mapInArrow(scan, "doc_id long, text string, weight long, " + ", ".join(f"{w} long" for w in FILTER))
+    return texts.mapInArrow(scan, "node long, text string, weight long, " + ", ".join(f"{w} long" for w in FILTER))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             told = zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"])
             yield batch.loc[[similarity(of(a, x), of(b, y)) >= LEAST_SIMILARITY for a, b, x, y in told], ["to_a", "to_b"]]
 
-    a, b = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    a, b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "to_a", "to_b", "text_a", "text_b").mapInPandas(scan, "to_a long, to_b long")
 
 
@@ -168,22 +168,23 @@ def proposed(entries: DataFrame, turn: int) -> DataFrame:
     In turn 0 a bucket's centre is the document with the most company in all its buckets, which is the original of many
     copies. In later turns all documents of that turn are centres; documents of earlier turns have been compared already.
     A pair is proposed in the first band where it meets, and left out, within the join, if its weights or FILTER words
-    tell that it is less alike than LEAST_SIMILARITY.
+    tell that it is less alike than LEAST_SIMILARITY. Which band is the first is told by 32 bits of the keys: a chance match
+    in an earlier band, which hides the meeting, has a probability of 6e-9 a pair (the bands themselves miss 3e-6 at 0.8).
     """
-    kept = ["doc_id", "label", "weight", "turn", *FILTER, *SHORT_KEYS]
+    kept = ["node", "label", "weight", "turn", *FILTER, *SHORT_KEYS]
     if turn:
         centres = entries.filter(F.col("turn") == turn).select("band", "key", F.struct(*kept).alias("c"))
-        once = F.expr("turn > c.turn or doc_id > c.doc_id")
+        once = F.expr("turn > c.turn or node > c.node")
     else:
-        order = F.struct("company", (-F.col("doc_id")).alias("first"))
+        order = F.struct("company", (-F.col("node")).alias("first"))
         centres = entries.groupBy("band", "key").agg(F.max_by(F.struct(*kept), order).alias("c"))
-        once = F.expr("doc_id != c.doc_id")
+        once = F.expr("node != c.node")
     unequal = " + ".join(f"bit_count({w} ^ c.{w})" for w in FILTER)
     alike = F.expr(f"least(weight, c.weight) >= {LEAST_SIMILARITY} * greatest(weight, c.weight) and {unequal} <= {MOST_UNEQUAL}")
     meets = F.expr("e.band = case " + " ".join(f"when {k} = c.{k} then {i}" for i, k in enumerate(SHORT_KEYS)) + " end")
     on = (F.col("e.band") == F.col("k.band")) & (F.col("e.key") == F.col("k.key")) & once & F.expr("label != c.label") & alike
     pairs = entries.alias("e").join(centres.alias("k"), on & meets if turn else on)
-    pairs = pairs.select(F.col("doc_id").alias("a"), F.col("c.doc_id").alias("b"), F.col("label").alias("to_a"), F.col("c.label").alias("to_b"))
+    pairs = pairs.select(F.col("node").alias("a"), F.col("c.node").alias("b"), F.col("label").alias("to_a"), F.col("c.label").alias("to_b"))
     return pairs if turn else pairs.distinct()
 
 
@@ -200,69 +201,105 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("low"), "label")
         jump = lower.select(F.col("node").alias("low"), F.col("low").alias("lower"))
         step = stored(lower.join(jump, "low", "left").select("node", F.least("low", F.coalesce("lower", "low")).alias("label"), F.col("label").alias("before")), "labels")
+        discard(labels)
         labels = step.select("node", "label")
+        labels.settled_at = step.settled_at
         if not step.filter("label < before").limit(1).count():
+            discard(both)
             return labels
 
 
-def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id and class_id of each row: the least id among the documents it is linked with, directly or by others.
-
-    Links are equal texts and pairs of texts at least LEAST_SIMILARITY alike. A text with fewer than five words is one
-    run of all its words; texts without words, null or empty ones included, are only linked if they are equal (null
-    counts as empty). Repeated rows each have their row; of a row with a null id, the class is that of its equals.
+def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, label): of each text that is linked with one of a lesser node, the least node of its class.
 
-    Equal texts are first reduced to their least id. In each turn the documents of each bucket of each band are then
-    compared with that turn's documents in the bucket, as long as it holds several classes. Every document has its turn, by
-    a hash of its id, and later turns have more of them. So every pair of a bucket is compared once unless its documents
-    are in one class by then or their sketches rule it out, and pairs within a class are never listed.
+    In each turn the texts of each bucket of each band are compared with that turn's texts in the bucket, as long as it holds
+    several classes. Every text has its turn, by a hash of its node, and later turns have more of them. So every pair of a
+    bucket is compared once unless its texts are in one class by then or their sketches rule it out, and pairs within a
+    class are never listed. ``nodes`` has node, digest, rep and bands; ``texts`` is :func:`with_digests`.
     """
-    texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    seen = stored(sketches(documents, id_column, text_column), "sketches")
-    least = seen.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = seen.select("doc_id", "digest").join(least, "digest").select("doc_id", "rep")
-    first = seen.filter("bands is not null and doc_id is not null").join(least, "digest").filter("doc_id = rep").dropDuplicates(["doc_id"])
-    short = [F.shiftright(F.col("bands")[i], 32).cast("int").alias(k) for i, k in enumerate(SHORT_KEYS)]
-    entries = first.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    entries = nodes.filter("bands is not null").select("node", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = stored(entries.join(shared, ["band", "key"]), "buckets")
-    company = buckets.groupBy("doc_id").agg(F.sum("n").alias("company"))
-    wanted = with_small(texts, company.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    compared = stored(with_filters(wanted), "compared")
+    company = buckets.groupBy("node").agg(F.sum("n").alias("company"))
+    found = nodes.join(company.select("node"), "node", "left_semi").select("node", F.col("digest").alias("_digest"), "rep")
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("_digest"))
+    compared = stored(with_filters(texts.join(hinted(found), same).select("node", "text").dropDuplicates(["node"])), "compared")
 
     largest = buckets.agg(F.max("n")).first()[0] or 0
     turns = next(t for t in itertools.count(1) if SPREAD**t >= largest)
-    place, turn_of = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.lit(largest), F.lit(turns)
+    place, turn_of = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.lit(largest), F.lit(turns)
     for t in range(turns - 1, 0, -1):
         turn_of = F.when(place < SPREAD**t << 30, t).otherwise(turn_of)
-    known = company.join(compared.drop("text"), "doc_id").join(first.select("doc_id", *short), "doc_id")
-    entries = buckets.drop("n").join(known, "doc_id").withColumns({"label": F.col("doc_id"), "turn": turn_of})
+    short = [F.shiftright(F.col("bands")[i], 32).cast("int").alias(k) for i, k in enumerate(SHORT_KEYS)]
+    known = company.join(compared.drop("text"), "node").join(nodes.select("node", *short), "node")
+    entries = buckets.drop("n").join(known, "node").withColumns({"label": F.col("node"), "turn": turn_of})
     merges: list[DataFrame] = []
+    before: list[DataFrame] = []
     for turn in range(turns + 1):
         entries = stored(entries, "open")
+        discard(*before)
+        before = [entries]
         if not entries.limit(1).count():
             break
-        found = stored(verified(proposed(entries, turn), compared), "links")
-        if found.limit(1).count():
-            merges.append(components(found.toDF("a", "b")).select(F.col("node").alias("old"), F.col("label").alias("new")))
+        pairs = stored(verified(proposed(entries, turn), compared), "links")
+        if pairs.limit(1).count():
+            merges.append(components(pairs.toDF("a", "b")).select(F.col("node").alias("old"), F.col("label").alias("new")))
             entries = entries.join(merges[-1], F.col("label") == F.col("old"), "left").withColumn("label", F.coalesce("new", "label")).drop("old", "new")
+        discard(pairs)
         entries = entries.filter(F.col("turn") > turn)
         several = entries.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
         entries = entries.join(several.select("band", "key"), ["band", "key"], "left_semi")
-    labels = company.select("doc_id", F.col("doc_id").alias("label"))
+    labels = company.select("node", F.col("node").alias("label"))
     for merge in merges:
-        labels = labels.join(merge, F.col("label") == F.col("old"), "left").select("doc_id", F.coalesce("new", "label").alias("label"))
-    labels = labels.filter("label != doc_id").withColumnRenamed("doc_id", "node")
-    return members.join(labels, members["rep"] == labels["node"], "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
+        labels = labels.join(merge, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+    out = stored(labels.filter("label != node"), "linked")
+    discard(buckets, compared, *before)
+    return out
+
+
+def classes(documents: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, int]:
+    """(seen, told, rows): doc_id and digest of each row; digest, n (its rows), class_id and whether its least row stands for the class; the number of rows.
+
+    A distinct text is a node, whatever its ids; ids come in at the end, when a class gets the least id of its rows.
+    """
+    texts = with_digests(documents, id_column, text_column)
+    seen = stored(sketches(texts), "sketches")
+    least = seen.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    nodes = stored(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    linked = links(nodes, texts)
+    named = nodes.select("node", "digest", "n", "rep", F.struct(F.col("rep").isNull(), "rep", "digest").alias("first"))
+    merged = linked.union(linked.select("label", "label").distinct())
+    best = named.join(merged, "node").groupBy("label").agg(F.min("first").alias("best"))
+    told = named.join(merged, "node", "left").join(hinted(best), "label", "left")
+    told = told.select("digest", "n", F.coalesce("best", "first").alias("best"), "first")
+    told = stored(told.select("digest", "n", F.col("best.rep").alias("class_id"), (F.col("best") == F.col("first")).alias("stands"), F.col("first.rep").alias("rep")), "classes")
+    discard(nodes, linked)
+    return seen, told, told.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id and class_id of each row: the least id among the rows it is linked with, directly or by others.
+
+    Links are equal texts and pairs of texts at least LEAST_SIMILARITY alike. A text with fewer than five words is one
+    run of all its words; texts without words, null or empty ones included, are only linked if they are equal (null
+    counts as empty). Repeated rows each have their row. An id that repeats with another text links nothing: each text has
+    its own class, named by the least id of its rows. Texts whose rows all have null ids are compared like others; a class
+    without any id has a null class_id. Other columns are ignored.
+    """
+    seen, told, rows = classes(documents, id_column, text_column)
+    return join_by_share(seen.select("doc_id", "digest"), told.select("digest", "n", "class_id"), "digest", rows).select("doc_id", "class_id")
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
-    """``documents`` with one document of each class, that whose id is the class's; of repeated rows one stays.
+def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``documents`` with one row of each class: that with the least id (null last), of its rows one.
 
-    Rows with a null id stay, those with equal texts once.
+    All rows have a class, those with null ids and repeated ids too; columns stay as they are.
     """
-    classes = near_duplicates(documents)
-    keep = stored(classes.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    single = with_small(documents, keep.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
-    several = with_small(documents, keep.filter("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionAll(several).unionAll(documents.filter("doc_id is null").dropDuplicates(["text"]))
+    seen, told, _ = classes(documents, id_column, text_column)
+    kept = told.filter("stands").select(F.col("digest").alias("_digest"), F.col("rep").alias("_rep"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("digest") == F.col("_digest"))
+    kept = stored(seen.join(kept, chosen).groupBy("_digest", "_rep").agg(F.count("*").alias("_n")), "kept")
+    here = F.col(id_column).cast("long").eqNullSafe(F.col("_rep")) & (F.unhex(F.md5(whole_text(text_column))) == F.col("_digest"))
+    single = documents.join(hinted(kept.filter("_n = 1")), here, "left_semi")
+    several = documents.join(hinted(kept.filter("_n > 1")), here).dropDuplicates(["_digest", "_rep"]).select(*[documents[c] for c in documents.columns])
+    return single.unionAll(several)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.shared import bounded_batches, map_rows, stored, texts_of, whole_text
+from parlance.llm.shared import map_rows, stored, texts_of, whole_text
 
 #: Labelled documents the trees are fitted to, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
@@ -214,7 +214,6 @@ def accepted(documents: DataFrame, labels: DataFrame, text_column: str = "text")
     lie, without a shuffle.
     """
     spark = documents.sparkSession
-    bounded_batches(spark)
     few = documents.join(F.broadcast(sampled(labels, SAMPLE_ROWS).select("doc_id")), "doc_id", "left_semi")
     trees = spark.sparkContext.broadcast(fit(*labelled_sample(document_statistics(few), labels), list(FEATURES.values())))
 

@@ -1,74 +1,64 @@
-"""What the corpus operators share: scratch tables, Arrow batch bounds, size-checked broadcasts."""
+"""What the corpus operators share: scratch tables, bounded batches, size-checked broadcasts, joins on hot keys."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows of one Arrow batch handed to a Python worker; documents can be long, so far fewer than Spark's 10,000.
-BATCH_ROWS = 256
-#: A side of a join is broadcast only if it was counted and has no more rows than this.
-BROADCAST_ROWS = 1_000_000
+from parlance.sources.scratch import discard, hinted, settled, shared_folder
 
+__all__ = ["BATCH_ROWS", "discard", "hinted", "join_by_share", "map_rows", "shared_folder", "slices", "stored", "texts_of", "whole_text", "with_small"]
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or (in tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        own = tempfile.mkdtemp(prefix="parlance-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Rows that are Python objects at once; documents can be long, so far fewer than the rows of an Arrow batch.
+BATCH_ROWS = 256
+#: Keys with at least one in HOT_KEYS of a table's rows count as hot; there are at most HOT_KEYS of them.
+HOT_KEYS = 10_000
 
+stored = settled
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/parlance/{name}-{uuid.uuid4().hex}"
 
+def whole_text(column: str = "text") -> Column:
+    """The text; null counts as empty."""
+    return F.coalesce(F.col(column), F.lit(""))
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: lineage ends there and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def with_small(df: DataFrame, small: DataFrame, on: str, how: str = "left", row_bytes: int | Column = 64) -> DataFrame:
+    """Join ``small``; it is broadcast if it was counted to be small, else both sides are shuffled."""
+    return df.join(hinted(small, row_bytes), on, how)
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Hold Arrow batches to ``rows`` rows, unless the session asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
 
+def join_by_share(df: DataFrame, told: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` (of ``rows`` rows) left joined with ``told`` (key, n, further columns), where n is how many rows of ``df`` have the key.
 
-def whole_text(column: str = "text") -> Column:
-    """The text; null counts as empty."""
-    return F.coalesce(F.col(column), F.lit(""))
+    Hot keys, at most HOT_KEYS, meet their rows by a broadcast; all others have too few rows each to fill a task.
+    """
+    hot = F.col("n") * HOT_KEYS >= rows
+    hot_keys = told.filter(hot).select(F.col(key).alias("_key")).distinct()
+    marked = df.join(F.broadcast(hot_keys), df[key] == F.col("_key"), "left")
+    first = marked.filter("_key is not null").drop("_key").join(F.broadcast(told.filter(hot).drop("n")), key)
+    return first.unionByName(marked.filter("_key is null").drop("_key").join(told.filter(~hot).drop("n"), key, "left"))
 
 
-def with_small(df: DataFrame, small: DataFrame, on: str, how: str = "left") -> DataFrame:
-    """Join ``small``; it is broadcast if it has at most BROADCAST_ROWS rows, else both sides are shuffled."""
-    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(small) if few else small, on, how)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into pieces of at most ``rows`` rows, without a copy."""
+    for batch in batches:
+        yield from (batch.slice(i, rows) for i in range(0, max(1, batch.num_rows), rows))
 
 
 def map_rows(df: DataFrame, scan: Callable[[Iterator[list[list]]], Iterator[list[tuple]]], schema: str) -> DataFrame:
-    """``df`` through Python, Arrow batch by batch: ``scan`` gets each batch as a list of columns and yields lists of rows.
+    """``df`` through Python, BATCH_ROWS rows at a time: ``scan`` gets each piece as a list of columns and yields lists of rows.
 
     Values stay Python objects, so nullable 64-bit ids lose no digits.
     """
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in scan([c.to_pylist() for c in b.columns] for b in batches):
+        for rows in scan([c.to_pylist() for c in b.columns] for b in slices(batches)):
             columns = list(zip(*rows)) if rows else [()] * len(out)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
@@ -76,6 +66,5 @@ def map_rows(df: DataFrame, scan: Callable[[Iterator[list[list]]], Iterator[list
 
 
 def texts_of(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """The columns doc_id and text (null: empty) alone, in Arrow batches bounded for long texts."""
-    bounded_batches(documents.sparkSession)
+    """The columns doc_id and text (null: empty) alone."""
     return documents.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))

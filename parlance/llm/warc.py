@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.shared import bounded_batches, map_rows, scratch_path
+from parlance.llm.shared import map_rows, shared_folder
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -159,7 +159,6 @@ def write_archives(pages: DataFrame, folder: str) -> int:
     writes under a name of its own and then renames, so a task that runs again replaces its archives.
     """
     spark = pages.sparkSession
-    bounded_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
     least = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("least")).filter("n > 1").select("digest", "least")
     told = rows.select("page_id", "digest").distinct().join(least, "digest").filter("not page_id <=> least").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "least")
@@ -228,7 +227,6 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         except (ValueError, zstandard.ZstdError, struct.error) as why:
             yield {"error": f"the archive breaks off: {why}"}
 
-    bounded_batches(spark, 1)
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.warc.zst").load(folder)
     return map_rows(files.select("path", "content"), read, RECORD)
 
@@ -236,7 +234,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives into the shared folder and read the records back."""
     spark = pages.sparkSession
-    folder = scratch_path(spark, "warc")
+    folder = shared_folder(spark, "warc")
     if not write_archives(pages, folder):
         return spark.createDataFrame([], RECORD)
     return read_archives(spark, folder)

@@ -55,6 +55,7 @@ def test_awkward_rows(spark, make, awkward):
     assert {r.class_id for r in got if r.doc_id in (1, 2)} == {1}
     kept = neardup.one_of_each(make(awkward)).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id) == [1, 3, 4, 5, 6] and sum(r.doc_id is None for r in kept) == 1
+    assert neardup.one_of_each(make(awkward)).columns == make([]).columns
     assert neardup.near_duplicates(make([])).count() == 0
 
 
@@ -122,3 +123,23 @@ def test_families_around_the_threshold_in_many_turns(spark, make, prose, monkeyp
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(make(rows)).collect()}
     want = brute_classes(rows)
     assert got == want and 2 < len(set(want.values())) < len(rows)
+
+
+def test_ids_that_repeat_with_another_text(make, prose):
+    """Each text has its own class; near copies without ids are linked as well."""
+    a, b, c = prose(120, 31), prose(120, 32), prose(120, 33)
+    rows = [(1, a), (1, b), (2, f"{a} two"), (3, f"{b} three"), (None, f"more {b}"), (None, c), (None, f"{c} more"), (9, c), (None, "alone here"), (None, "alone here")]
+    got = sorted((r.doc_id or 0, r.class_id or 0) for r in neardup.near_duplicates(make(rows)).collect())
+    assert got == [(0, 0), (0, 0), (0, 1), (0, 9), (0, 9), (1, 1), (1, 1), (2, 1), (3, 1), (9, 9)]
+    kept = sorted((r.doc_id or 0, r.text) for r in neardup.one_of_each(make(rows)).collect())
+    assert kept == sorted([(1, a), (1, b), (9, c), (0, "alone here")])
+
+
+def test_hot_and_cold_keys_meet_alike(spark):
+    from parlance.llm.shared import join_by_share
+
+    df = spark.range(5000).selectExpr("id", "case when id % 2 = 0 then 'hot' else cast(id as string) end as k")
+    told = df.groupBy("k").count().selectExpr("k", "count as n", "upper(k) as v").filter("k != '7'")
+    for rows in (5000, 10**9):  # with 1e9 rows no key is hot
+        got = {(r.id, r.k, r.v) for r in join_by_share(df, told, "k", rows).select("id", "k", "v").collect()}
+        assert len(got) == 5000 and all(v == (None if k == "7" else k.upper()) for _, k, v in got)
