@@ -32,14 +32,15 @@ POOL = 8192
 CACHE_WORDS = 300_000
 VOCABULARY = "byte_bpe_50k"
 
-#: Texts with white space other than single blanks and line ends go to the tokenizers library whole; any other text can be cut
-#: before each blank, since a blank between two other characters begins a token.
+#: Texts with white space other than single blanks and line ends, or with special tokens, go to the tokenizers library whole; any
+#: other text can be cut before each blank, since a blank between two other characters begins a token.
 UNUSUAL = re.compile(r"[^\S \n]|[ \n] |  | \n|^ ")
 
 
 class Ids:
     """Token ids of texts by the byte-level BPE vocabulary, as little-endian uint32 bytes.
 
+    They are the tokenizers library's, by its defaults: strings of special tokens in a text are those tokens.
     The same vocabulary as ranks (the library's faster sibling, equal by test) is used word by word, with a cache.
     """
 
@@ -48,11 +49,12 @@ class Ids:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.whole = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-        self.whole.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added)) if added else None
         self.cache: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
+        if UNUSUAL.search(text) or self.special and self.special.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.split(" ")
         return b"".join([self.word(first), *map(self.cache_get, rest)]) if rest else self.word(first)

@@ -142,16 +142,15 @@ def test_models_are_distributions():
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-ODD = ["", " ", "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n b", "x\n\ny z\n", "tab\there", "<|endoftext|> it's we'll", "\xa0n b s", "é ü 😀 ß 12 345!!", "a\r\nb c", "\x1c x", "don't  stop", "naïve café́ x"]
+ODD = ["", " ", "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n b", "x\n\ny z\n", "tab\there", "<|endoftext|> it's we'll", "x<|endoftext|><|endoftext|>y <|endoftext",  "\xa0n b s", "é ü 😀 ß 12 345!!", "a\r\nb c", "\x1c x", "don't  stop", "naïve café́ x"]
 
 
 def test_ids_equal_the_library(library, prose):
     ids = packing.Ids()
+    assert np.frombuffer(ids("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
     r = random.Random(4)
     texts = ODD + ["".join(r.choice("ab \n é'1.\t") for _ in range(60)) for _ in range(200)] + [prose(300, 5)]
     for t in texts:
