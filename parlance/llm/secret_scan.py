@@ -1,17 +1,19 @@
 """Secret scans over an incremental blob ledger, in DataFrame functions only.
 
 Every historical version of a path is content-addressed. A blob is scanned once by each version of a rule: the ledger holds
-the pairs already scanned, only unseen pairs are scanned, and findings, kept by blob, are joined back to all paths.
+the pairs already scanned, only unseen pairs are scanned, and findings, kept by blob and rule version, are joined back to all
+paths. Ledger and findings are Parquet tables in one folder; each run appends to both.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.shared import stored, whole_text
+from parlance.llm.shared import discard, hinted, join_by_share, shared_folder, stored, whole_text
 
 
 @dataclass(frozen=True)
@@ -37,7 +39,7 @@ RULES = (
     Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", r"PRIVATE KEY-----"),
     Rule("code_host", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("chat_token", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", r"xox[abprs]-"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ[A-Za-z0-9_-]{8}"),
+    Rule("jwt", 1, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8}"),
 )
 BASE = ("assign", "access", "hex")
 SPAN = "struct<start:long,kind:int,end:long>"
@@ -74,41 +76,67 @@ def rule_key(rule: Rule) -> str:
     return f"{rule.kind}@{rule.version}"
 
 
-def scan_unseen(documents: DataFrame, versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger) of this run: blob and spans (array of SPAN) of unseen pairs; the pairs (blob, rule) now scanned.
+LEDGER, FINDINGS = "blob string, rule string", f"blob string, rule string, spans array<{SPAN}>"
 
-    ``versions`` is :func:`address` of the documents; ``ledger`` has the pairs (blob, rule) scanned before. Of equal blobs
-    one copy is read, that of the least id; only its text is shuffled.
+
+def book(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table ``ledger`` or ``findings`` of a folder; empty before the first run."""
+    columns = LEDGER if name == "ledger" else FINDINGS
+    try:
+        return spark.read.schema(columns).parquet(f"{folder}/{name}")
+    except AnalysisException as why:
+        if why.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.range(0).select(F.from_json(F.lit("{}"), columns).alias("row")).select("row.*")
+
+
+def unseen(documents: DataFrame, versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """blob, text and the array ``rules`` of rule versions that haven't scanned the blob, of each blob with any.
+
+    ``versions`` is :func:`address` of the documents. Blobs meet the ledger by their address; of equal blobs one copy's
+    text is read, that of the least id (of blobs with only null ids, each copy's).
     """
-    blobs = versions.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
-    if ledger is None:
-        todo = blobs.withColumn("done", F.array().cast("array<string>"))
-    else:
-        done = ledger.filter(F.col("rule").isin([rule_key(r) for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("done"))
-        todo = blobs.join(done, "blob", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>"))).filter(F.size("done") < len(rules))
-    here = documents.select(F.col("doc_id").cast("long").alias("_id"), whole_text().alias("text"))
-    same = F.col("_id").eqNullSafe(F.col("doc_id"))
-    texts = here.join(todo, same).filter(F.sha2("text", 256) == F.col("blob")).filter(F.col("text").rlike("|".join(f"(?:{r.gate})" for r in rules)))
+    every = F.array(*[F.lit(rule_key(r)) for r in rules])
+    done = ledger.filter(F.col("rule").isin([rule_key(r) for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("done"))
+    blobs = versions.groupBy("blob").agg(F.min("doc_id").alias("least"))
+    todo = blobs.join(done, "blob", "left").withColumn("rules", F.coalesce(F.array_except(every, "done"), every)).filter(F.size("rules") > 0)
+    here = documents.select(F.col(id_column).cast("long").alias("_id"), whole_text(text_column).alias("text"), F.sha2(whole_text(text_column), 256).alias("_blob"))
+    same = F.col("_id").eqNullSafe(F.col("least")) & (F.col("_blob") == F.col("blob"))
+    return here.join(hinted(todo.select("blob", "least", "rules"), 128 + 32 * len(rules)), same).select("blob", "rules", "text")
+
+
+def scanned(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob, rule and spans of each pair of :func:`unseen` with findings. Texts without any rule's gate are passed over."""
     none = F.array().cast(f"array<{SPAN}>")
-    found = [F.when(~F.array_contains("done", rule_key(r)) & F.col("text").rlike(r.gate), spans(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules)]
-    findings = texts.select("blob", F.concat(*found).alias("spans")).filter(F.size("spans") > 0)
-    pairs = todo.select("blob", F.explode(F.array_except(F.array(*[F.lit(rule_key(r)) for r in rules]), "done")).alias("rule"))
-    return findings, pairs
+    told = [F.struct(F.lit(rule_key(r)).alias("rule"), F.when(F.array_contains("rules", rule_key(r)) & F.col("text").rlike(r.gate), spans(F.col("text"), r, k)).otherwise(none).alias("spans")) for k, r in enumerate(rules)]
+    gated = texts.filter(F.col("text").rlike("|".join(f"(?:{r.gate})" for r in rules)))
+    return gated.select("blob", F.explode(F.array(*told)).alias("found")).select("blob", "found.*").filter(F.size("spans") > 0)
+
 
+def scan_secrets(documents: DataFrame, folder: str | None = None, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id and spans of each row, by its blob, of the rule versions in ``rules``.
 
-def scan_secrets(documents: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id and spans of each row: this run's findings and those of earlier runs (``known``: blob, spans), by blob.
+    ``folder`` holds the tables ledger (blob, rule) and findings (blob, rule, spans) of earlier runs; this run scans the
+    pairs that are not in the ledger, appends what it finds and then the pairs. A run that is lost in between scans its
+    pairs again, which adds equal findings; they count once. Without a folder the books are new ones. Texts of unseen pairs
+    are written out before any rule sees them, so that seen texts cost no more than their address.
 
-    Null and empty texts have no spans. Repeated rows each have their row, and null ids stay null (of equal blobs with only
-    null ids, one copy is scanned for each). Other columns of ``documents`` (doc_id, text) are ignored. Findings by blob
-    are few next to the paths; a blob with very many paths is a skewed key, which Spark's skew join splits.
+    Null and empty texts have no spans. Repeated rows each have their row, and null ids stay null. Other columns of
+    ``documents`` are ignored. A blob with very many paths meets its findings by a broadcast.
     """
-    versions = stored(address(documents), "versions")
-    findings, _ = scan_unseen(documents, versions, ledger, rules)
-    if known is not None:
-        findings = findings.union(known.select("blob", "spans"))
-    by_blob = findings.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return versions.join(by_blob, "blob", "left").select("doc_id", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+    spark = documents.sparkSession
+    folder = folder or shared_folder(spark, "secrets")
+    versions = stored(address(documents, id_column, text_column), "versions")
+    texts = stored(unseen(documents, versions, book(spark, folder, "ledger"), rules, id_column, text_column), "unseen")
+    scanned(texts, rules).dropDuplicates(["blob", "rule"]).write.mode("append").parquet(f"{folder}/findings")
+    texts.select("blob", F.explode("rules").alias("rule")).distinct().write.mode("append").parquet(f"{folder}/ledger")
+    discard(texts)
+    kinds = {rule_key(r): k for k, r in enumerate(rules)}
+    found = book(spark, folder, "findings").filter(F.col("rule").isin(list(kinds)))
+    by_blob = found.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    told = versions.join(hinted(by_blob.select("blob")), "blob", "left_semi").groupBy("blob").agg(F.count("*").alias("n")).join(by_blob, "blob")
+    joined = join_by_share(versions, told, "blob", versions.count())
+    return joined.select("doc_id", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
 def secret_digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -74,25 +74,46 @@ def test_secrets_base(spark, make, awkward):
     assert {x.split(":")[0] for r in found if r.doc_id == 109 for x in r.spans.split(",")} >= {"private_key", "chat_token", "jwt"}
 
 
-def test_ledger_is_incremental(spark, make):
-    first = make([(1, TEXTS[6]), (2, "clean text")])
-    v1 = secret_scan.address(first)
-    findings, ledger = secret_scan.scan_unseen(first, v1)
-    assert findings.count() == 1 and ledger.count() == 2 * len(secret_scan.RULES)
-    second = make([(1, TEXTS[6]), (3, TEXTS[7]), (4, TEXTS[6])])
-    v2 = secret_scan.address(second)
-    more, pairs = secret_scan.scan_unseen(second, v2, ledger)
-    assert more.count() == 1 and pairs.select("blob").distinct().count() == 1
-    joined = secret_scan.scan_secrets(second, ledger, findings).collect()
-    assert {r.doc_id for r in joined if r.spans} == {1, 3, 4}
-    newer = tuple(secret_scan.Rule(r.kind, r.version + (r.kind == "hex"), r.pattern, r.gate, r.group, r.least) for r in secret_scan.RULES)
-    _, pairs = secret_scan.scan_unseen(second, v2, ledger.union(pairs), newer)
-    assert {r.rule for r in pairs.collect()} == {"hex@2"}
+def bumped(kind, pattern=None):
+    return tuple(secret_scan.Rule(r.kind, r.version + (r.kind == kind), pattern or r.pattern if r.kind == kind else r.pattern, r.gate, r.group, r.least) for r in secret_scan.RULES)
+
+
+def test_ledger_is_incremental(spark, make, tmp_path, monkeypatch):
+    books = f"file://{tmp_path}/books"
+    scans = []
+    kept = secret_scan.scanned
+    monkeypatch.setattr(secret_scan, "scanned", lambda texts, rules: scans.append({(r.blob, x) for r in texts.collect() for x in r.rules}) or kept(texts, rules))
+    blob = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    every = {secret_scan.rule_key(r) for r in secret_scan.RULES}
+    secret_scan.scan_secrets(make([(1, TEXTS[6]), (2, "clean text"), (None, TEXTS[6])]), books).collect()
+    assert scans[-1] == {(blob(t), k) for t in (TEXTS[6], "clean text") for k in every}
+    second = make([(1, TEXTS[6]), (3, TEXTS[7]), (4, TEXTS[6]), (2, "clean text")])
+    got = secret_scan.scan_secrets(second, books).collect()
+    assert scans[-1] == {(blob(TEXTS[7]), k) for k in every}  # only the unseen blob
+    assert {r.doc_id for r in got if r.spans} == {1, 3, 4} and len(got) == 4  # findings of the first run on all paths
+    again = secret_scan.scan_secrets(second, books).collect()
+    assert scans[-1] == set() and sorted(again) == sorted(got)
+    # a rule's narrower next version: it alone scans, and the old version's spans are no longer told
+    newer = bumped("hex", "[0-9a-f]{300,}")
+    third = secret_scan.scan_secrets(second, books, newer).collect()
+    assert scans[-1] == {(blob(t), "hex@2") for t in (TEXTS[6], TEXTS[7], "clean text")}
+    hexes = lambda rows: sum(s.kind == 2 for r in rows for s in r.spans)
+    assert hexes(got) > 0 and hexes(third) == 0 and sum(len(r.spans) for r in third) == sum(len(r.spans) for r in got) - hexes(got)
+
+
+def test_scan_names_and_long_runs(spark):
+    df = spark.createDataFrame([(1, TEXTS[9]), (2, "eyJ" * 40_000)], "path long, body string")
+    got = {r.doc_id: {s.kind for s in r.spans} for r in secret_scan.scan_secrets(df, id_column="path", text_column="body").collect()}
+    assert got == {1: {3, 5, 6}, 2: set()}
 
 
 def test_secrets_plan_is_native(spark, make):
-    plan = secret_scan.secret_digest(secret_scan.scan_secrets(make([(1, "x")])))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    docs = make([(1, "x")])
+    versions = secret_scan.stored(secret_scan.address(docs), "versions")
+    ledger = secret_scan.book(spark, "file:///nowhere", "ledger")
+    frames = [secret_scan.secret_digest(secret_scan.scan_secrets(docs)), secret_scan.address(docs), secret_scan.scanned(secret_scan.stored(secret_scan.unseen(docs, versions, ledger), "unseen"))]
+    for plan in (f._jdf.queryExecution().executedPlan().toString() for f in frames):
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
 def test_licences(spark, make, awkward):
