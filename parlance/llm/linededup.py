@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.shared import stored, whole_text
+from parlance.llm.shared import discard, hinted, stored, whole_text
 
 WIDTH = 3
 #: The white space trimmed off a line before it is hashed.
@@ -40,7 +40,9 @@ def removals(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     found = stored(windows(documents, id_column, text_column), "windows")
     repeated = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "last")).alias("origin")).filter("n > 1")
     later = found.join(repeated, "hash").filter(~F.col("doc_id").eqNullSafe(F.col("origin.doc_id")) | (F.col("first") > F.col("origin.last")))
-    return later.groupBy("doc_id", "version").agg(F.array_distinct(F.collect_list(F.struct("first", "last"))).alias("covered"))
+    gone = stored(later.groupBy("doc_id", "version").agg(F.array_distinct(F.collect_list(F.struct("first", "last"))).alias("covered")), "removals")
+    discard(found)
+    return gone
 
 
 def dedup_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -49,11 +51,12 @@ def dedup_lines(documents: DataFrame, id_column: str = "doc_id", text_column: st
     All rows and columns stay (columns named n_lines and n_removed are replaced); a text may become empty. Null texts stay
     null, with 0 lines. Texts with fewer than three non-blank lines have no window. An occurrence that overlaps the first
     one in the same document is no later one, so a line's last copy never goes. Rows with equal ids count as one document:
-    exact repeats of a row keep their text. Null ids count as one document that comes first.
+    exact repeats of a row keep their text. Null ids count as one document that comes first. Texts move only if the ranges to
+    remove are too many to broadcast.
     """
     gone = removals(documents, id_column, text_column).withColumnsRenamed({"doc_id": "_gone_id", "version": "_gone_version", "covered": "_covered"})
     hit = F.col(id_column).cast("long").eqNullSafe(F.col("_gone_id")) & (F.md5(whole_text(text_column)) == F.col("_gone_version"))
-    joined = documents.join(gone, hit, "left")
+    joined = documents.join(hinted(gone, 64 + 16 * F.size("_covered")), hit, "left")
     n = F.when(F.col(text_column).isNull(), 0).otherwise(F.size(lines_of(F.col(text_column))))
     covered = F.array_distinct(F.flatten(F.transform("_covered", lambda x: F.sequence(x["first"], x["last"]))))
     lines = lines_of(F.col(text_column))
