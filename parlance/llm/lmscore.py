@@ -1,127 +1,139 @@
 """Cross-entropy difference: every document's loss under a target model less its loss under a background model.
 
-Both are matched bigram models: the same vocabulary, places and smoothing, fitted to all target documents and to all
-documents. Every word seen is in the vocabulary, and every bigram counts as itself. The VOCABULARY most frequent words
-have their counts on every executor, and bigrams of the HEAD most frequent are looked up there too. All other bigrams of
-a document meet their counts in a shuffle: by the word if it is outside VOCABULARY, whose own counts are the sums of the
-same rows, and else by the bigram, so that frequent words are spread by the word before them. Words and bigrams are told
-apart by 64-bit hashes there; among 1e8 words some two are alike with a probability of 3e-4.
+Both are matched bigram models: the same vocabulary (every word seen), places and smoothing, counted over all target
+documents and over all documents. A document is scored by what the other documents hold: its own occurrences are taken off
+every count of a word, a bigram or a context.
+
+Words are told apart by 64-bit hashes (among 1e8 words some two are alike with a probability of 3e-4). The counts of the
+FREQUENT_WORDS most frequent words and of bigrams with about one in FREQUENT_BIGRAMS occurrences are broadcast, and what they
+say is added up where the document lies. All other bigrams of a document meet their counts in one shuffle: dealt by the word
+if it isn't a frequent one, so that its own counts are sums of the same entries, else by the bigram. Entries travel as packed
+arrays of a few thousand documents, and the sums come back to the documents the same way. No count is capped or left out.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.hashing import mix
-from parlance.llm.shared import map_rows, stored, texts_of, with_small
+from parlance.llm import hashing as H
+from parlance.llm.shared import discard, hinted, slices, stored, texts_of
 
-#: Words whose counts every executor has, and of those the ones whose bigrams it has as well.
-VOCABULARY, HEAD = 65_536, 1_023
-#: Classes of the table of frequent bigrams: the head's, one for all other words, and the start of a document.
-TAIL, START, CLASSES = HEAD, HEAD + 1, HEAD + 2
-#: Added to each word's count; weight of the class frequencies in a context.
+#: Bounds of what is broadcast: words, and bigrams (those with at least one in FREQUENT_BIGRAMS of all occurrences).
+FREQUENT_WORDS, FREQUENT_BIGRAMS = 65_536, 262_144
+#: Added to each word's count; weight of the words' shares in a context.
 ALPHA, WEIGHT = 0.5, 200.0
-#: Different words a task counts before it hands the counts on.
-FLUSH_WORDS = 200_000
+#: Words counted, and entries packed, by a task before it hands them on.
+FLUSH_WORDS, FLUSH_ENTRIES = 2_000_000, 1_000_000
+#: Entries that one bucket of the shuffle should hold.
+BUCKET_ENTRIES = 1_000_000
+START = H.U(0x9E3779B97F4A7C15)
 
-
-def words_of(text: str) -> list[str]:
-    return text.lower().split()
+WORD, BIGRAM = 0, 1
+COUNTS = ("everywhere", "wanted", "everywhere_ends", "wanted_ends")
 
 
-COUNTS = ("everywhere", "wanted", "everywhere_ends", "wanted_ends")
+@dataclass
+class Tokens:
+    """The words of some documents, in order: hash, the hash before, the document's place, and whether they begin or end it."""
+
+    word: np.ndarray
+    before: np.ndarray
+    doc: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+    @property
+    def bigram(self) -> np.ndarray:
+        return H.mix(self.before) * H.U(3) + self.word
+
+
+def tokens(texts: pa.Array) -> Iterator[tuple[int, int, Tokens]]:
+    """(first row, rows, words) of runs of texts; words are what stands between ASCII white space, in lower case."""
+    for at, offsets, data in H.chunks(pc.utf8_lower(texts)):
+        word, doc = H.words(offsets, data)
+        edge = np.ones(len(word) + 1, bool)
+        edge[1:-1] = doc[1:] != doc[:-1]
+        first, last = edge[:-1], edge[1:]
+        before = np.where(first, START, np.roll(word, 1)) if len(word) else word
+        yield at, len(offsets) - 1, Tokens(word, before, doc, first, last)
+
+
+def counted(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys, how often each occurs, and its sums of the weights."""
+    distinct, which, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return distinct, n, *[np.bincount(which, w, len(distinct)).astype(np.int64) for w in weights]
+
+
+def first_counts(flagged: DataFrame) -> DataFrame:
+    """kind, key and COUNTS: of every word, and of bigrams that are frequent in the words a task counts at once."""
+    names = ["kind", "key", *COUNTS]
+
+    def told(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        word, bigram, target, last = (np.concatenate(x) for x in zip(*parts))
+        keys, n, wanted, ends, wanted_ends = counted(word, target, last, last & target)
+        pair, many, few = counted(bigram, target)
+        kept = many >= max(2, len(bigram) / FREQUENT_BIGRAMS)
+        zero = np.zeros(int(kept.sum()), np.int64)
+        for kind, columns in ((WORD, (keys, n, wanted, ends, wanted_ends)), (BIGRAM, (pair[kept], many[kept], few[kept], zero, zero))):
+            columns = [np.full(len(columns[0]), kind, np.int8), *(c.view(np.int64) for c in columns)]
+            for i in range(0, len(columns[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in columns], names=names)
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in slices(batches):
+            flags = np.array(batch.column(2).to_pylist(), bool)
+            for at, rows, t in tokens(batch.column(1)):
+                parts.append((t.word, t.bigram, flags[at : at + rows][t.doc], t.last))
+                size += len(t.word)
+            if size >= FLUSH_WORDS:
+                yield from told(parts)
+                parts, size = [], 0
+        if parts:
+            yield from told(parts)
 
-def word_counts(flagged: DataFrame) -> DataFrame:
-    """word, in all documents and in the target ones, and how many of these it ends, from rows (doc_id, text, target)."""
-
-    def scan(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
-        told = everywhere, wanted, ends, wanted_ends = [Counter() for _ in COUNTS]
-        for _, texts, targets in batches:
-            for text, target in zip(texts, targets):
-                if words := words_of(text):
-                    everywhere.update(words)
-                    ends[words[-1]] += 1
-                    if target:
-                        wanted.update(words)
-                        wanted_ends[words[-1]] += 1
-            if len(everywhere) >= FLUSH_WORDS:
-                yield [(w, *[c[w] for c in told]) for w in list(everywhere)]
-                for c in told:
-                    c.clear()
-        yield [(w, *[c[w] for c in told]) for w in list(everywhere)]
-
-    return map_rows(flagged, scan, "word string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
-
-
-def class_ids(words: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary ids (VOCABULARY: unknown) and classes of words."""
-    ids = np.array([index.get(w, VOCABULARY) for w in words], np.int64)
-    return ids, np.minimum(ids, TAIL)
-
-
-def bigram_counts(flagged: DataFrame, index) -> DataFrame:
-    """code (context class * CLASSES + class), in all documents and in the target ones, of bigrams of head words and starts."""
-
-    def scan(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
-        totals = np.zeros((2, CLASSES * CLASSES), np.int64)
-        for _, texts, targets in batches:
-            for text, target in zip(texts, targets):
-                if words := words_of(text):
-                    _, c = class_ids(words, index.value)
-                    codes = np.concatenate([[START], c[:-1]]) * CLASSES + c
-                    codes, n = np.unique(codes[(codes // CLASSES != TAIL) & (c != TAIL)], return_counts=True)
-                    totals[0, codes] += n
-                    if target:
-                        totals[1, codes] += n
-        seen = np.flatnonzero(totals[0])
-        for i in range(0, len(seen), 50_000):
-            part = seen[i : i + 50_000]
-            yield list(zip(part.tolist(), totals[0, part].tolist(), totals[1, part].tolist()))
-
-    return map_rows(flagged, scan, "code long, everywhere long, wanted long").groupBy("code").agg(F.sum("everywhere").alias("everywhere"), F.sum("wanted").alias("wanted"))
+    counts = flagged.select("doc_id", "text", "target").mapInArrow(scan, "kind byte, key long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return counts.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
-@dataclass
-class Model:
-    """Losses (natural log) of a class after a class, and of a vocabulary id within its class, all in memory.
+def bigram_counts(flagged: DataFrame, wanted: Broadcast) -> DataFrame:
+    """place, everywhere, wanted: the counts of the bigrams whose hashes, sorted, are broadcast."""
 
-    A model of fixed size, for small vocabularies; score_documents doesn't use it.
-    """
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = wanted.value
+        totals = np.zeros((2, len(keys) + 1), np.int64)
+        for batch in slices(batches):
+            flags = np.array(batch.column(2).to_pylist(), bool)
+            for at, rows, t in tokens(batch.column(1)):
+                place = found(keys, t.bigram)
+                totals[0] += np.bincount(place, minlength=len(keys) + 1)
+                totals[1] += np.bincount(place[flags[at : at + rows][t.doc]], minlength=len(keys) + 1)
+        seen = np.flatnonzero(totals[0, :-1])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(totals[0, seen]), pa.array(totals[1, seen])], names=["place", "everywhere", "wanted"])
 
-    bigram: np.ndarray
-    within: np.ndarray
+    counts = flagged.select("doc_id", "text", "target").mapInArrow(scan, "place long, everywhere long, wanted long")
+    return counts.groupBy("place").agg(F.sum("everywhere").alias("everywhere"), F.sum("wanted").alias("wanted"))
 
-    @classmethod
-    def fitted(cls, bigrams: np.ndarray, unigrams: np.ndarray) -> Model:
-        """From counts of class pairs [CLASSES, CLASSES] and of vocabulary ids [VOCABULARY + 1]."""
-        tail = unigrams[TAIL:] + ALPHA
-        within = np.zeros(VOCABULARY + 1)
-        within[TAIL:] = np.log(tail.sum()) - np.log(tail)
-        classes = bigrams.sum(0) + ALPHA
-        classes[START] = 0  # nothing is followed by a start
-        share = classes / classes.sum()
-        context = bigrams.sum(1, keepdims=True)
-        with np.errstate(divide="ignore"):
-            bigram = np.log(context + WEIGHT) - np.log(bigrams + WEIGHT * share)
-        return cls(bigram.astype(np.float32), within.astype(np.float32))
 
-    def loss(self, ids: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Of each word, given the one before it."""
-        return self.bigram[np.concatenate([[START], classes[:-1]]), classes].astype(np.float64) + self.within[ids]
+def found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted key among the sorted keys; their number where it is none of them."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, len(keys))
 
 
 @dataclass
 class Side:
-    """What every executor has of one model: words and documents in all, and the frequent words' and bigrams' counts."""
+    """One model: words, documents and vocabulary in all, and the counts of frequent words, their ends and frequent bigrams."""
 
     words: int
     starts: int
@@ -130,126 +142,212 @@ class Side:
     ends: np.ndarray
     bigrams: np.ndarray
 
-    def share(self, counts):
-        """The smoothed frequency of words, from their counts (an array or a column)."""
-        return (counts + ALPHA) / (self.words + ALPHA * self.places)
+    def share(self, counts: np.ndarray) -> np.ndarray:
+        """The smoothed frequency of words, from their counts. The total keeps the document's own words, a factor near 1."""
+        return (counts + ALPHA) / (self.words + ALPHA * max(self.places, 1))
 
-    def head_losses(self) -> np.ndarray:
-        """Of a head word after a class: what its bigram takes off, the context's part not counted."""
-        return -np.log(self.bigrams[:, :HEAD] + WEIGHT * self.share(self.counts[:HEAD]))
+    def loss(self, n: np.ndarray, bigrams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of n occurrences of a bigram, the context's part not counted."""
+        return -n * np.log(bigrams + WEIGHT * self.share(counts))
 
-    def contexts(self) -> np.ndarray:
-        """Of a frequent word: the part of the loss of the next word that its context makes."""
-        return np.log(self.counts - self.ends + WEIGHT)
 
+@dataclass
+class Models:
+    words: np.ndarray
+    bigrams: np.ndarray
+    target: Side
+    background: Side
 
-def fitted_sides(flagged: DataFrame) -> tuple[dict[str, int], Side, Side]:
-    """(vocabulary ids, target model's side, background model's side), from counts over all rows.
+    @property
+    def sides(self) -> tuple[Side, Side]:
+        return self.target, self.background
 
-    The driver gets the VOCABULARY most frequent words and the counts of at most CLASSES ** 2 class pairs, no more.
-    """
+
+def fitted(flagged: DataFrame) -> Models:
+    """The counts over all rows. The driver gets at most FREQUENT_WORDS words and FREQUENT_BIGRAMS bigrams."""
     spark = flagged.sparkSession
-    counted = stored(word_counts(flagged), "words")
-    top = counted.orderBy(F.desc("everywhere"), "word").limit(VOCABULARY).toPandas()
-    total = counted.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]).first()
-    index = {w: i for i, w in enumerate(top["word"])}
-    pairs = bigram_counts(flagged, spark.sparkContext.broadcast(index)).toPandas()
-    out = []
+    first = stored(first_counts(flagged), "counts")
+    words, pairs = first.filter(F.col("kind") == WORD), first.filter(F.col("kind") == BIGRAM)
+    total = words.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]).first()
+    top = words.orderBy(F.desc("everywhere"), "key").limit(FREQUENT_WORDS).toPandas()
+    # a bigram that is frequent over all is so in some task's words; there are at most FREQUENT_BIGRAMS of these
+    keys = np.sort(pairs.filter(F.col("everywhere") * FREQUENT_BIGRAMS >= total["everywhere"]).select("key").toPandas()["key"].to_numpy(np.int64).view(H.U))
+    counts = bigram_counts(flagged, spark.sparkContext.broadcast(keys)).toPandas()
+    discard(first)
+    order = np.argsort(top["key"].to_numpy(np.int64).view(H.U))
+    pick = lambda c: top[c].to_numpy(np.int64)[order]
+    sides = []
     for column in ("wanted", "everywhere"):
-        counts, ends = np.zeros(VOCABULARY), np.zeros(VOCABULARY)
-        counts[: len(top)], ends[: len(top)] = top[column], top[f"{column}_ends"]
-        bigrams = np.zeros(CLASSES * CLASSES)
-        bigrams[pairs["code"].to_numpy(np.int64)] = pairs[column]
-        out.append(Side(total[column], total[f"{column}_ends"], max(HEAD + 1, total["n"]), counts, ends, bigrams.reshape(CLASSES, CLASSES)))
-    return index, *out
+        bigrams = np.zeros(len(keys), np.int64)
+        bigrams[counts["place"].to_numpy(np.int64)] = counts[column]
+        sides.append(Side(total[column], total[f"{column}_ends"], total["n"], pick(column), pick(f"{column}_ends"), bigrams))
+    return Models(pick("key").view(H.U), keys, *sides)
 
 
-#: Bits of ``told`` below the number of occurrences: the word's vocabulary id plus 1 (0: outside), target, ends the document.
-ID_BITS = 17
-PIECES = "row long, dealt long, before long, told long, head struct<doc_id: long, n_tokens: long, a: double, b: double>"
+#: Entries of one bucket from one flush. Arrays of ``key`` (uint64) and ``rest`` (uint32): a bigram and its frequent word's place, or a
+#: rare word and 32 bits of the word before it. ``doc`` (uint32) is twice the document's place, plus 1 if it is a target; ``n`` and
+#: ``own`` (uint32) are twice the occurrences of the bigram and of the word, plus 1 if these, or the word at all, end the document.
+#: The row HEADS of a flush has its documents: ``key``: ids, ``rest``: words, ``doc`` and ``n``: their sums of what is known on the spot.
+ENTRIES = "bucket int, flush long, kind byte, key binary, rest binary, doc binary, n binary, own binary"
+COMMON, RARE, HEADS = 0, 1, 2
 
 
-def pieces(flagged: DataFrame, sides) -> DataFrame:
-    """Rows of a document (``row``): one with its head, the sums of all that is known on the spot, and one for each other bigram.
-
-    ``dealt`` is the hash of a word outside the vocabulary, and ``before`` of the one before it; else ``dealt`` is that of
-    the bigram. The row with the head has no occurrences, and any ``dealt``.
-    """
-    kinds = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("a", pa.float64()), ("b", pa.float64())])
-    start = np.uint64(0x9E3779B97F4A7C15)
+def entries(flagged: DataFrame, models: Broadcast, buckets: int) -> DataFrame:
+    """ENTRIES of all documents. A flush is named by its task and its number there."""
+    names = [c.split()[0] for c in ENTRIES.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, *models = sides.value
-        losses, contexts = [m.head_losses() for m in models], [m.contexts() for m in models]
-        for batch in batches:
-            ids, texts, targets, rows = (c.to_pylist() for c in batch.columns)
-            split = [words_of(t) for t in texts]
-            size = np.array([len(w) for w in split], np.int64)
-            words = [w for x in split for w in x]
-            doc = np.repeat(np.arange(len(split)), size)
-            known, c = class_ids(words, index)
-            hashed = pd.util.hash_array(np.array(words, object), categorize=False) if words else np.zeros(0, np.uint64)
-            first, last = (np.zeros(len(words), bool) for _ in range(2))
-            first[(np.cumsum(size) - size)[size > 0]] = True
-            last[(np.cumsum(size) - 1)[size > 0]] = True
-            before, c_before = np.where(first, start, np.roll(hashed, 1)), np.where(first, START, np.roll(c, 1))
-            here, followed = (c != TAIL) & (c_before != TAIL), (known < VOCABULARY) & ~last
+        m, flush = models.value, TaskContext.get().partitionId() << 32
+        heads: list[tuple] = []
+        held: list[tuple] = []
+        docs = size = 0
+        for batch in slices(batches):
+            ids, flags = batch.column(0), np.array(batch.column(2).to_pylist(), np.int64)
+            for at, rows, t in tokens(batch.column(1)):
+                flag = flags[at : at + rows]
+                sums, part = of_documents(t, rows, flag, m, docs)
+                heads.append((ids.slice(at, rows), np.bincount(t.doc, minlength=rows), *sums))
+                held.append(part)
+                docs, size = docs + rows, size + len(part[0])
+            if size >= FLUSH_ENTRIES:
+                yield from packed(flush, heads, held)
+                heads, held, docs, size, flush = [], [], 0, 0, flush + 1
+        if heads:
+            yield from packed(flush, heads, held)
+
+    def packed(flush: int, heads: list[tuple], held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, n, a, b = zip(*heads)
+        told = pa.concat_arrays([pa.concat_arrays(i.chunks) if isinstance(i, pa.ChunkedArray) else i for i in ids])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64())])) as out:
+            out.write_batch(pa.RecordBatch.from_arrays([told], names=["doc_id"]))
+        raw = lambda xs: np.concatenate(xs).tobytes()
+        rows = [(flush % buckets, flush, HEADS, sink.getvalue().to_pybytes(), raw([x.astype(np.int64) for x in n]), raw(a), raw(b), b"")]
+        key, kind, rest, doc, times, own = (np.concatenate(x) for x in zip(*held))
+        bucket = (key % H.U(buckets)).astype(np.int64)
+        order = np.lexsort((kind, bucket))  # stable, so that documents stay in order
+        key, kind, rest, doc, times, own, bucket = (x[order] for x in (key, kind, rest, doc, times, own, bucket))
+        cuts = np.flatnonzero(np.diff(bucket * 2 + kind)) + 1
+        for i, j in zip([0, *cuts], [*cuts, len(key)] if len(key) else []):
+            rows.append((int(bucket[i]), flush, int(kind[i]), key[i:j].tobytes(), rest[i:j].tobytes(), doc[i:j].tobytes(), times[i:j].tobytes(), own[i:j].tobytes()))
+        types = (pa.int32(), pa.int64(), pa.int8(), *[pa.binary()] * 5)
+        for i in range(0, len(rows), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 1000]), types)], names=names)
+
+    return flagged.select("doc_id", "text", "target").mapInArrow(scan, ENTRIES)
+
+
+def of_documents(t: Tokens, rows: int, flag: np.ndarray, m: Models, shift: int) -> tuple[list[np.ndarray], tuple[np.ndarray, ...]]:
+    """The sums (target, background) of each document that are known on the spot, and the entries (key, kind, rest, doc, n, own) of the others."""
+    salt = H.mix(t.doc.astype(H.U) + START)
+    _, word_at, word_of, own = np.unique(t.word ^ salt, return_index=True, return_inverse=True, return_counts=True)
+    ends_doc = np.bincount(word_of, t.last, len(word_at)).astype(np.int64)  # a word ends its document once at most
+    pair = t.bigram
+    _, at, of, n = np.unique(pair ^ salt, return_index=True, return_inverse=True, return_counts=True)
+    ended = np.bincount(of, t.last, len(at)).astype(np.int64)
+    order = np.argsort(t.doc[at], kind="stable")
+    at, n, ended = at[order], n[order], ended[order]
+    doc, place, pair = t.doc[at], found(m.words, t.word[at]), pair[at]
+    known = place < len(m.words)
+    hot = found(m.bigrams, pair)
+    here = known & (hot < len(m.bigrams))
+    mine, mine_ends = own[word_of[at]], ends_doc[word_of[at]]
+    word_doc, word_place = t.doc[word_at], found(m.words, t.word[word_at])
+    frequent = word_place < len(m.words)
+    w_doc, w_place, w_own, w_ends = word_doc[frequent], word_place[frequent], own[frequent], ends_doc[frequent]
+    filled = np.bincount(t.doc, minlength=rows) > 0
+    sums = []
+    for side, less in zip(m.sides, (flag, np.ones(rows, np.int64))):
+        # what a model counted of the document itself is taken off
+        told = side.loss(n[here], side.bigrams[hot[here]] - n[here] * less[doc[here]], side.counts[place[here]] - mine[here] * less[doc[here]])
+        context = side.counts[w_place] - side.ends[w_place] - (w_own - w_ends) * less[w_doc]
+        x = np.bincount(doc[here], told, rows) + np.bincount(w_doc, (w_own - w_ends) * np.log(context + WEIGHT), rows)
+        sums.append(np.where(filled, x + np.log(np.maximum(side.starts - less, 0) + WEIGHT), 0.0))
+    go = ~here
+    rare = ~known[go]
+    key = np.where(rare, t.word[at][go], H.mix(pair[go]))
+    rest = np.where(rare, H.mix(t.before[at][go]) >> H.U(32), place[go].astype(H.U)).astype(np.uint32)
+    numbers = ((doc[go] + shift) * 2 + flag[doc[go]], n[go] * 2 + ended[go], mine[go] * 2 + mine_ends[go])
+    return sums, (key, rare.astype(np.int8), rest, *(x.astype(np.uint32) for x in numbers))
+
+
+def bucket_losses(models: Broadcast):
+    """For ``applyInArrow``: the entries of one bucket to the sums of its documents, a row for each flush."""
+    schema = pa.schema([("flush", pa.int64()), ("kind", pa.int8()), ("key", pa.binary()), ("doc", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+
+    def losses(table: pa.Table) -> pa.Table:
+        m = models.value
+        rows = {c: table.column(c).to_pylist() for c in table.column_names}
+        out = [(f, HEADS, *(rows[c][i] for c in ("key", "rest", "doc", "n"))) for i, (f, k) in enumerate(zip(rows["flush"], rows["kind"])) if k == HEADS]
+        for kind in (COMMON, RARE):
+            mine = [i for i, k in enumerate(rows["kind"]) if k == kind]
+            if not mine:
+                continue
+            size = np.array([len(rows["key"][i]) // 8 for i in mine])
+            flush = np.repeat(np.arange(len(mine)), size)
+            key = np.frombuffer(b"".join(rows["key"][i] for i in mine), H.U)
+            rest, doc, n, own = (np.frombuffer(b"".join(rows[c][i] for i in mine), np.uint32).astype(np.int64) for c in ("rest", "doc", "n", "own"))
+            flag, doc, ended, n, ends, own = doc & 1, doc >> 1, n & 1, n >> 1, own & 1, own >> 1
+            _, word = np.unique(key, return_inverse=True)
+            if kind == RARE:
+                _, pair = np.unique(H.mix(key) ^ H.mix(rest.astype(H.U)), return_inverse=True)
+            else:
+                pair = word
             sums = []
-            for m, loss, context in zip(models, losses, contexts):
-                x = np.bincount(doc[here], loss[c_before[here], c[here]], len(split)) + np.bincount(doc[followed], context[known[followed]], len(split))
-                sums.append(np.where(size > 0, x + np.log(m.starts + WEIGHT), 0.0))
-            rare = known == VOCABULARY
-            pair = mix(before) * np.uint64(3) + hashed
-            _, at, which, n = np.unique((pair ^ mix(doc.astype(np.uint64) + start))[~here], return_index=True, return_inverse=True, return_counts=True)
-            ended = np.bincount(which, last[~here], len(at)).astype(np.int64)
-            at = np.flatnonzero(~here)[at]
-            row, flag = np.array(rows, np.int64), np.array(targets, np.int64)
-            told = (((n * 2 + ended) * 2 + flag[doc[at]]) << ID_BITS) + np.where(rare[at], 0, known[at] + 1)
-            dealt = np.where(rare, hashed, mix(pair))[at]
-            kept = np.where(rare, before, np.uint64(0))[at]
-            none = pa.nulls(len(at), kinds)
-            heads = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(size), *map(pa.array, sums)], fields=list(kinds))
-            columns = [
-                np.concatenate([row, row[doc[at]]]), np.concatenate([mix(row.astype(np.uint64)), dealt]).view(np.int64), np.concatenate([np.zeros(len(row), np.uint64), kept]).view(np.int64),
-                np.concatenate([np.zeros(len(row), np.int64), told]),
-            ]
-            out = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.concat_arrays([heads, none])], names=["row", "dealt", "before", "told", "head"])
-            yield from (out.slice(i, 100_000) for i in range(0, len(out), 100_000))
-
-    return flagged.withColumn("row", F.monotonically_increasing_id()).mapInArrow(scan, PIECES)
+            for side, in_model in zip(m.sides, (flag, np.ones(len(n), np.int64))):
+                less = in_model * n
+                bigrams = np.bincount(pair, less)[pair] - less
+                if kind == RARE:
+                    counts, contexts = np.bincount(word, less)[word] - in_model * own, np.bincount(word, in_model * (n - ended))[word] - in_model * (own - ends)
+                    sums.append(side.loss(n, bigrams, counts) + (n - ended) * np.log(contexts + WEIGHT))
+                else:
+                    sums.append(side.loss(n, bigrams, side.counts[rest] - in_model * own))
+            # entries of a flush are in order of their documents
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(flush) != 0) | (np.diff(doc) != 0)]))
+            a, b = (np.add.reduceat(s, new) for s in sums)
+            bounds = np.searchsorted(flush[new], np.arange(len(mine) + 1))
+            places = doc[new].astype(np.uint32)
+            for i, x, y in zip(mine, bounds[:-1], bounds[1:]):
+                out.append((rows["flush"][i], kind, None, places[x:y].tobytes(), a[x:y].tobytes(), b[x:y].tobytes()))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return losses
 
 
 SCHEMA = "doc_id long, n_tokens long, ce_target double, ce_background double, ce_difference double"
 
 
+def flush_scores(table: pa.Table) -> pa.Table:
+    """For ``applyInArrow``: the sums of one flush's documents to their rows."""
+    rows = table.to_pylist()
+    head = next(r for r in rows if r["kind"] == HEADS)
+    ids = pa.ipc.open_stream(head["key"]).read_all().column(0).combine_chunks()
+    n = np.frombuffer(head["doc"], np.int64)
+    a, b = (np.frombuffer(head[c]).copy() for c in "ab")
+    for r in rows:
+        if r["kind"] != HEADS:
+            at = np.frombuffer(r["doc"], np.uint32)
+            a[at] += np.frombuffer(r["a"])
+            b[at] += np.frombuffer(r["b"])
+    filled = n > 0
+    a, b = (np.divide(x, n, where=filled, out=np.zeros(len(n))) for x in (a, b))
+    mean = lambda x: pa.array(x, mask=~filled)
+    return pa.table([ids, pa.array(n), mean(a), mean(b), mean(a - b)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+
 def score_documents(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, mean losses under either model and their difference (low: like the target).
 
     The target documents are those ``labels`` gives quality 1 and toxic 0 (doc_id null or a null label: not). Texts
-    without words, null ones included, have 0 tokens and null losses. Repeated rows count and are scored each; null ids
-    stay null. Without any target document the target model is the smoothed uniform one. Other columns are ignored.
+    without words, null ones included, have 0 tokens and null losses. Repeated rows count and are scored each, every other
+    row of an equal text staying in the counts; null ids stay null. Without any target document the target model is the
+    smoothed uniform one. Other columns are ignored.
     """
     spark = documents.sparkSession
     good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("target")).filter("target")
-    flagged = with_small(texts_of(documents, id_column, text_column), good, "doc_id").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    index, target, background = fitted_sides(flagged)
-    told = pieces(flagged, spark.sparkContext.broadcast((index, target, background))).repartition("dealt")
-    bits = lambda low, n: F.shiftright("told", low).bitwiseAND(F.lit((1 << n) - 1))
-    n, ended, wanted = F.shiftright("told", ID_BITS + 2), bits(ID_BITS + 1, 1), bits(ID_BITS, 1)
-    told = told.select("row", "dealt", "before", "head", bits(0, ID_BITS).alias("k"), n.alias("n"), (n - ended).alias("c"), wanted.alias("w"))
-    bigram, word = Window.partitionBy("dealt", "before"), Window.partitionBy("dealt")
-    # both windows run over one sort
-    told = told.withColumns({"bi_b": F.sum("n").over(bigram), "bi_a": F.sum(F.col("n") * F.col("w")).over(bigram)})
-    sums = {"uni_b": F.sum("n"), "uni_a": F.sum(F.col("n") * F.col("w")), "context_b": F.sum("c"), "context_a": F.sum(F.col("c") * F.col("w"))}
-    told = told.withColumns({name: x.over(word) for name, x in sums.items()})
-    frequent = spark.createDataFrame(pd.DataFrame({"k": np.arange(1, len(index) + 1), "top_a": target.counts[: len(index)], "top_b": background.counts[: len(index)]}), "k long, top_a double, top_b double")
-    told = told.join(F.broadcast(frequent), "k", "left")
-
-    def loss(side: Side, x: str):
-        share = side.share(F.coalesce(f"top_{x}", F.col(f"uni_{x}").cast("double")))
-        after = F.when(F.col("k") == 0, F.col("c") * F.log(F.col(f"context_{x}") + F.lit(WEIGHT))).otherwise(0.0)
-        return F.sum(F.coalesce(f"head.{x}", F.lit(0.0)) + F.when(F.col("n") > 0, after - F.col("n") * F.log(F.col(f"bi_{x}") + F.lit(WEIGHT) * share)).otherwise(0.0)).alias(x)
-
-    scored = told.groupBy("row").agg(F.max("head.doc_id").alias("doc_id"), F.max("head.n_tokens").alias("n_tokens"), loss(target, "a"), loss(background, "b"))
-    mean = lambda x: F.when(F.col("n_tokens") > 0, F.col(x) / F.col("n_tokens"))
-    return scored.select("doc_id", "n_tokens", mean("a").alias("ce_target"), mean("b").alias("ce_background"), (mean("a") - mean("b")).alias("ce_difference"))
+    flagged = texts_of(documents, id_column, text_column).join(hinted(good, 16), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    models = fitted(flagged)
+    held = spark.sparkContext.broadcast(models)
+    buckets = max(1, -(-models.background.words // BUCKET_ENTRIES))
+    sums = entries(flagged, held, buckets).groupBy("bucket").applyInArrow(bucket_losses(held), "flush long, kind byte, key binary, doc binary, a binary, b binary")
+    return sums.groupBy("flush").applyInArrow(flush_scores, SCHEMA)

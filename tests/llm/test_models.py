@@ -71,73 +71,80 @@ def test_quality_awkward(spark, make, awkward):
     assert quality.quality_rules(make([]), labels).count() == 0
 
 
-def test_scores_equal_brute_force(spark, make, prose, monkeypatch):
-    rows = [(i, prose(60, i % 25)) for i in range(40)] + [(90, None), (91, " "), (None, prose(10, 3))]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 3)] + [(1, 1, 1), (2, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    monkeypatch.setattr(lmscore, "FLUSH_WORDS", 50)
-    got = {(r.doc_id, r.n_tokens): r for r in lmscore.score_documents(make(rows), labels).collect()}
-    assert len(got) == len(rows)
-    target = set(range(0, 40, 3))
-    words = Counter(w for _, t in rows for w in (t or "").split())
-    order = sorted(words, key=lambda w: (-words[w], w))
-    head, tail = set(order[: lmscore.HEAD]), order[lmscore.HEAD :]
-    assert not tail  # the small vocabulary fits in the head, so every word is a class of its own
-
-    def model(texts):
+def brute_scores(rows, target):
+    """(target loss, background loss) of each row, from the counts of the other rows."""
+    texts = [["<s>", *(t or "").lower().split()] for _, t in rows]
+    places = len({w for t in texts for w in t[1:]})
+    out = []
+    for side in (lambda i: i in target, lambda i: True):
         uni, bi, context = Counter(), Counter(), Counter()
-        for t in texts:
-            w = ["<s>", *t.split()]
-            uni.update(w[1:])
-            bi.update(zip(w, w[1:]))
-            context.update(w[:-1])
-        total = sum(uni.values()) + lmscore.ALPHA * (lmscore.CLASSES - 1)
-        share = lambda x: (uni[x] + lmscore.ALPHA) / total
-        return lambda u, x: -math.log((bi[u, x] + lmscore.WEIGHT * share(x)) / (context[u] + lmscore.WEIGHT))
-
-    a, b = model([t for i, t in rows if i in target]), model([t for _, t in rows if t])
-    for i, t in rows:
-        w = ["<s>", *(t or "").split()]
-        r = got[i, len(w) - 1]
-        if len(w) == 1:
-            assert r.ce_difference is None
+        for (i, _), w in zip(rows, texts):
+            if side(i) and len(w) > 1:
+                uni.update(w[1:])
+                bi.update(zip(w, w[1:]))
+                context.update(w[:-1])
+        total = sum(uni.values()) + lmscore.ALPHA * places
+        losses = []
+        for (i, _), w in zip(rows, texts):
+            own = [Counter(x) if side(i) else Counter() for x in (w[1:], zip(w, w[1:]), w[:-1])]
+            share = lambda v: (uni[v] - own[0][v] + lmscore.ALPHA) / total
+            told = [-math.log((bi[u, v] - own[1][u, v] + lmscore.WEIGHT * share(v)) / (context[u] - own[2][u] + lmscore.WEIGHT)) for u, v in zip(w, w[1:])]
+            losses.append(sum(told) / len(told) if told else None)
+        out.append(losses)
+    return list(zip(*out))
+
+
+def check_scores(spark, make, rows, target):
+    labels = spark.createDataFrame([(i, 1, 0) for i in target] + [(None, 1, 0), (-5, 1, 1), (-6, 0, 0), (-7, None, 0)], "doc_id long, quality int, toxic int")
+    got = defaultdict(list)
+    for x in lmscore.score_documents(make(rows).repartition(3), labels).collect():
+        got[x.doc_id, x.n_tokens].append((x.ce_target, x.ce_background))
+        assert x.ce_difference is None if x.ce_target is None else abs(x.ce_difference - x.ce_target + x.ce_background) < 1e-12
+    assert sum(map(len, got.values())) == len(rows)
+    want = defaultdict(list)
+    for (i, t), pair in zip(rows, brute_scores(rows, target)):
+        want[i, len((t or "").split())].append(pair)
+    for key, pairs in want.items():
+        if pairs[0][0] is None:
+            assert got[key] == pairs, key
         else:
-            for loss, value in ((a, r.ce_target), (b, r.ce_background)):
-                assert abs(sum(loss(u, x) for u, x in zip(w, w[1:])) / (len(w) - 1) - value) < 1e-4
-    assert head
+            assert np.allclose(sorted(got[key]), sorted(pairs), atol=1e-9, rtol=0), key
+
+
+@pytest.mark.parametrize("bounds", [{}, {"FREQUENT_WORDS": 40, "FREQUENT_BIGRAMS": 300, "FLUSH_WORDS": 500, "FLUSH_ENTRIES": 400, "BUCKET_ENTRIES": 200}, {"FREQUENT_WORDS": 0}])
+def test_scores_equal_brute_force(spark, make, prose, monkeypatch, bounds):
+    """Whatever is frequent, and however the entries are packed."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(lmscore, name, value)
+    rows = [(i, prose(60, i % 25)) for i in range(40)] + [(90, None), (91, " "), (92, ""), (None, prose(10, 3)), (None, "New words"), (-6, "new words"), (-5, "words words words"), (50, "é Ü\n\tx"), (50, "É ü x")]
+    check_scores(spark, make, rows, set(range(0, 40, 3)) | {50})
 
 
-def test_scores_beyond_the_head(make, spark):
-    """Every word and bigram counts as itself, however few words executors hold counts of."""
+def test_scores_beyond_the_frequent_words(spark, make):
     r = random.Random(8)
     some = lambda: f"w{int(r.paretovariate(0.6)) % 5000}" if r.random() < 0.4 else f"x{r.randrange(80_000)}"
     rows = [(i, " ".join(some() for _ in range(r.randint(1, 8000)))) for i in range(60)] + [(70, "w1 w1 w1 w2999 w2999 w2999"), (71, "new words alone"), (71, "new words alone"), (None, "w1 new"), (72, "")]
-    target = {i for i, _ in rows[:60:4]}
-    labels = spark.createDataFrame([(i, 1, 0) for i in target], "doc_id long, quality int, toxic int")
-    got = {(x.doc_id, x.n_tokens): x for x in lmscore.score_documents(make(rows), labels).collect()}
-    places = len({w for _, t in rows for w in t.split()})
-    assert places > lmscore.VOCABULARY
-    for column, texts in (("ce_target", [t for i, t in rows if i in target]), ("ce_background", [t for _, t in rows])):
-        uni, bi, context = Counter(), Counter(), Counter()
-        for w in (["<s>", *t.split()] for t in texts if t):
-            uni.update(w[1:])
-            bi.update(zip(w, w[1:]))
-            context.update(w[:-1])
-        total = sum(uni.values()) + lmscore.ALPHA * places
-        share = {w: (uni[w] + lmscore.ALPHA) / total for _, t in rows for w in t.split()}
-        for i, t in rows:
-            w = ["<s>", *t.split()]
-            told = [-math.log((bi[u, v] + lmscore.WEIGHT * share[v]) / (context[u] + lmscore.WEIGHT)) for u, v in zip(w, w[1:])]
-            value = got[i, len(told)][column]
-            assert value is None if not told else abs(sum(told) / len(told) - value) < 1e-9, (i, t)
-
-
-def test_models_are_distributions():
-    rng = np.random.default_rng(1)
-    bigrams = rng.integers(0, 3, (lmscore.CLASSES, lmscore.CLASSES)).astype(float)
-    bigrams[:, lmscore.START] = 0
-    m = lmscore.Model.fitted(bigrams, rng.integers(0, 5, lmscore.VOCABULARY + 1).astype(float))
-    assert np.allclose(np.exp(-m.bigram.astype(float)).sum(1), 1, atol=1e-4)
-    assert abs(np.exp(-m.within[lmscore.TAIL :].astype(float)).sum() - 1) < 1e-3
+    assert len({w for _, t in rows for w in t.split()}) > lmscore.FREQUENT_WORDS
+    check_scores(spark, make, rows, {i for i, _ in rows[:60:4]})
+
+
+def test_scores_without_targets_or_rows(spark, make):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in lmscore.score_documents(make([(1, "a b"), (2, "a b c")]), labels).collect()}
+    assert abs(got[1].ce_target - math.log(3)) < 1e-12
+    assert lmscore.score_documents(make([]), labels).count() == 0
+
+
+def test_scores_tell_held_out_prose(spark):
+    """Documents labelled good, but not shown as targets, score lower than those labelled bad."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    got = lmscore.score_documents(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id").filter("n_tokens >= 50").select("ce_difference", "quality", "toxic").toPandas()
+    good = got[(got.quality == 1) & (got.toxic == 0)].ce_difference.to_numpy()
+    bad = got[(got.quality == 0) | (got.toxic == 1)].ce_difference.to_numpy()
+    auc = np.mean(good[:, None] < bad[None, :])
+    print("held-out separation", len(good), len(bad), auc)
+    assert auc > 0.6
 
 
 @pytest.fixture(scope="module")
