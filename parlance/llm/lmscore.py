@@ -30,10 +30,10 @@ from parlance.llm.shared import discard, hinted, slices, stored, texts_of
 FREQUENT_WORDS, FREQUENT_BIGRAMS = 65_536, 262_144
 #: Added to each word's count; weight of the words' shares in a context.
 ALPHA, WEIGHT = 0.5, 200.0
-#: Words counted, and entries packed, by a task before it hands them on.
-FLUSH_WORDS, FLUSH_ENTRIES = 2_000_000, 1_000_000
+#: Words counted, and entries packed, by a task before it hands them on; documents of a flush, whose places must fit 16 bits.
+FLUSH_WORDS, FLUSH_ENTRIES, FLUSH_DOCUMENTS = 2_000_000, 1_000_000, 50_000
 #: Entries that one bucket of the shuffle should hold.
-BUCKET_ENTRIES = 1_000_000
+BUCKET_ENTRIES = 2_000_000
 START = H.U(0x9E3779B97F4A7C15)
 
 WORD, BIGRAM = 0, 1
@@ -185,8 +185,9 @@ def fitted(flagged: DataFrame) -> Models:
 
 
 #: Entries of one bucket from one flush. Arrays of ``key`` (uint64) and ``rest`` (uint32): a bigram and its frequent word's place, or a
-#: rare word and 32 bits of the word before it. ``doc`` (uint32) is twice the document's place, plus 1 if it is a target; ``n`` and
-#: ``own`` (uint32) are twice the occurrences of the bigram and of the word, plus 1 if these, or the word at all, end the document.
+#: rare word and 32 bits of the word before it. ``doc`` (uint16) is how far the document's place is from that of the entry before;
+#: ``n`` and ``own`` (uint32) are twice the occurrences of the bigram and of the word, plus 1 if these, or the word at all, end the
+#: document; ``n`` is doubled again, plus 1 in a target document.
 #: The row HEADS of a flush has its documents: ``key``: ids, ``rest``: words, ``doc`` and ``n``: their sums of what is known on the spot.
 ENTRIES = "bucket int, flush long, kind byte, key binary, rest binary, doc binary, n binary, own binary"
 COMMON, RARE, HEADS = 0, 1, 2
@@ -209,7 +210,7 @@ def entries(flagged: DataFrame, models: Broadcast, buckets: int) -> DataFrame:
                 heads.append((ids.slice(at, rows), np.bincount(t.doc, minlength=rows), *sums))
                 held.append(part)
                 docs, size = docs + rows, size + len(part[0])
-            if size >= FLUSH_ENTRIES:
+            if size >= FLUSH_ENTRIES or docs >= FLUSH_DOCUMENTS:
                 yield from packed(flush, heads, held)
                 heads, held, docs, size, flush = [], [], 0, 0, flush + 1
         if heads:
@@ -229,7 +230,7 @@ def entries(flagged: DataFrame, models: Broadcast, buckets: int) -> DataFrame:
         key, kind, rest, doc, times, own, bucket = (x[order] for x in (key, kind, rest, doc, times, own, bucket))
         cuts = np.flatnonzero(np.diff(bucket * 2 + kind)) + 1
         for i, j in zip([0, *cuts], [*cuts, len(key)] if len(key) else []):
-            rows.append((int(bucket[i]), flush, int(kind[i]), key[i:j].tobytes(), rest[i:j].tobytes(), doc[i:j].tobytes(), times[i:j].tobytes(), own[i:j].tobytes()))
+            rows.append((int(bucket[i]), flush, int(kind[i]), key[i:j].tobytes(), rest[i:j].tobytes(), gaps(doc[i:j]), times[i:j].tobytes(), own[i:j].tobytes()))
         types = (pa.int32(), pa.int64(), pa.int8(), *[pa.binary()] * 5)
         for i in range(0, len(rows), 1000):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 1000]), types)], names=names)
@@ -237,6 +238,15 @@ def entries(flagged: DataFrame, models: Broadcast, buckets: int) -> DataFrame:
     return flagged.select("doc_id", "text", "target").mapInArrow(scan, ENTRIES)
 
 
+def gaps(places: np.ndarray) -> bytes:
+    """Ascending places as 16-bit steps."""
+    return np.diff(places, prepend=0).astype(np.uint16).tobytes()
+
+
+def places(steps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, np.uint16), dtype=np.int64)
+
+
 def of_documents(t: Tokens, rows: int, flag: np.ndarray, m: Models, shift: int) -> tuple[list[np.ndarray], tuple[np.ndarray, ...]]:
     """The sums (target, background) of each document that are known on the spot, and the entries (key, kind, rest, doc, n, own) of the others."""
     salt = H.mix(t.doc.astype(H.U) + START)
@@ -267,7 +277,7 @@ def of_documents(t: Tokens, rows: int, flag: np.ndarray, m: Models, shift: int)
     rare = ~known[go]
     key = np.where(rare, t.word[at][go], H.mix(pair[go]))
     rest = np.where(rare, H.mix(t.before[at][go]) >> H.U(32), place[go].astype(H.U)).astype(np.uint32)
-    numbers = ((doc[go] + shift) * 2 + flag[doc[go]], n[go] * 2 + ended[go], mine[go] * 2 + mine_ends[go])
+    numbers = (doc[go] + shift, n[go] * 4 + ended[go] * 2 + flag[doc[go]], mine[go] * 2 + mine_ends[go])
     return sums, (key, rare.astype(np.int8), rest, *(x.astype(np.uint32) for x in numbers))
 
 
@@ -286,8 +296,9 @@ def bucket_losses(models: Broadcast):
             size = np.array([len(rows["key"][i]) // 8 for i in mine])
             flush = np.repeat(np.arange(len(mine)), size)
             key = np.frombuffer(b"".join(rows["key"][i] for i in mine), H.U)
-            rest, doc, n, own = (np.frombuffer(b"".join(rows[c][i] for i in mine), np.uint32).astype(np.int64) for c in ("rest", "doc", "n", "own"))
-            flag, doc, ended, n, ends, own = doc & 1, doc >> 1, n & 1, n >> 1, own & 1, own >> 1
+            rest, n, own = (np.frombuffer(b"".join(rows[c][i] for i in mine), np.uint32).astype(np.int64) for c in ("rest", "n", "own"))
+            doc = np.concatenate([places(rows["doc"][i]) for i in mine])
+            flag, ended, n, ends, own = n & 1, n >> 1 & 1, n >> 2, own & 1, own >> 1
             _, word = np.unique(key, return_inverse=True)
             if kind == RARE:
                 _, pair = np.unique(H.mix(key) ^ H.mix(rest.astype(H.U)), return_inverse=True)
@@ -306,9 +317,9 @@ def bucket_losses(models: Broadcast):
             new = np.flatnonzero(np.concatenate([[True], (np.diff(flush) != 0) | (np.diff(doc) != 0)]))
             a, b = (np.add.reduceat(s, new) for s in sums)
             bounds = np.searchsorted(flush[new], np.arange(len(mine) + 1))
-            places = doc[new].astype(np.uint32)
+            at = doc[new]
             for i, x, y in zip(mine, bounds[:-1], bounds[1:]):
-                out.append((rows["flush"][i], kind, None, places[x:y].tobytes(), a[x:y].tobytes(), b[x:y].tobytes()))
+                out.append((rows["flush"][i], kind, None, gaps(at[x:y]), a[x:y].tobytes(), b[x:y].tobytes()))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return losses
@@ -326,7 +337,7 @@ def flush_scores(table: pa.Table) -> pa.Table:
     a, b = (np.frombuffer(head[c]).copy() for c in "ab")
     for r in rows:
         if r["kind"] != HEADS:
-            at = np.frombuffer(r["doc"], np.uint32)
+            at = places(r["doc"])
             a[at] += np.frombuffer(r["a"])
             b[at] += np.frombuffer(r["b"])
     filled = n > 0
