@@ -2,51 +2,38 @@
 
 Normalising folds case, drops copyright lines and "all rights reserved", unifies equivalent spellings, and turns every run of
 punctuation or white space into one blank. What is looked up is an entire text: of the document, and of each of its lines,
-which catches licence notices of one line.
+which catches licence notices of one line. Complete licences are files in ``licence_texts``, named by SPDX identifier.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.shared import whole_text, with_small
+from parlance.llm.shared import hinted, stored, whole_text
 
-# A line to drop, and pairs of equivalent spellings (after case folding, as whole words).
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*([0-9]{4}|\(c\)|©|yyyy|<year>|\[year\])[^\n]*$"
-RESERVED_LINE = r"(?m)^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
+# Lines to drop, and pairs of equivalent spellings (after case folding, as whole words, in this order).
+# BARE_LINE is a copyright of names alone, in the line's own case; wrapped text such as "copyright notice" is none.
+COPYRIGHT_LINE = r"^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*([0-9]{4}|\(c\)|©|yyyy|<year>|\[year\])[^\n]*$"
+RESERVED_LINE = r"^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
+BARE_LINE = r"^[^A-Za-z0-9\n]*Copyright( [A-Z][^ .,;:\n]*){1,4}[^A-Za-z0-9\n]*$"
+WITHIN = ("licenc", "licens")  # within any word, first of all
 SPELLINGS = (
-    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sub licence", "sublicense"),
+    ("sub license", "sublicense"),
     ("noncommercial", "non commercial"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("favour", "favor"),
     ("honour", "honor"), ("whilst", "while"), ("acknowledgement", "acknowledgment"), ("programme", "program"), ("http", "https"),
 )
+#: Those that may lie across two lines.
+ACROSS = tuple(pair for pair in SPELLINGS if " " in pair[0])
 
-# Known licence texts and notices, by SPDX identifier.
-MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-ZERO_BSD = ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")
-APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
-http://www.apache.org/licenses/LICENSE-2.0
-Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
-ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
-Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
-1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
-2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
-3. This notice may not be removed or altered from any source distribution."""
-KNOWN = (
-    ("MIT", MIT),
-    ("MIT", f"MIT License\n{MIT}"),
-    ("MIT", f"The MIT License (MIT)\n{MIT}"),
-    ("ISC", ISC),
-    ("ISC", f"ISC License\n{ISC}"),
-    ("0BSD", ZERO_BSD),
-    ("Zlib", ZLIB),
-    ("Apache-2.0", APACHE),
+TEXTS = Path(__file__).with_name("licence_texts")
+# Notices of one line, by SPDX identifier.
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -54,59 +41,118 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
 )
+# The titles under which a text is also published.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "Zlib": ("zlib License", "The zlib/libpng License"), "BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License", "The BSD License"),
+}
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(licence, text) of all files, with and without their titles, and of the notices."""
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        name, text = path.stem.partition("+")[0], path.read_text()
+        out += [(name, text), *((name, f"{title}\n{text}") for title in TITLES.get(name, ()))]
+    return out + list(NOTICES)
+
+
+def flat(line: Column) -> Column:
+    """A line normalised: words between two blanks each, so that neighbouring words can both be replaced; empty if it is dropped."""
+    low = F.lower(line)
+    words = F.replace(F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", "  ")), *map(F.lit, WITHIN))
+    # few lines have any word that the patterns or the spellings look for
+    dropped = low.rlike(r"copyright|\(c\)|©|all rights reserved") & (low.rlike(COPYRIGHT_LINE) | low.rlike(RESERVED_LINE) | line.rlike(BARE_LINE))
+    told = respelt(F.concat(F.lit(" "), words, F.lit(" ")), SPELLINGS)
+    return F.when(dropped, "").when(words.rlike("|".join(sorted({a.split(" ")[0] for a, _ in SPELLINGS}))), F.trim(told)).otherwise(words)
+
+
+def respelt(text: Column, pairs) -> Column:
+    return reduce(lambda t, pair: F.replace(t, F.lit(f" {pair[0].replace(' ', '  ')} "), F.lit(f" {pair[1].replace(' ', '  ')} ")), pairs, text)
+
+
+def single(text: Column) -> Column:
+    return F.replace(text, F.lit("  "), F.lit(" "))
+
+
+def joined(flats: Column) -> Column:
+    """The canonical text of normalised lines: words joined by single blanks."""
+    body = F.array_join(F.filter(flats, lambda x: x != ""), "  ")
+    return F.trim(single(respelt(F.concat(F.lit(" "), body, F.lit(" ")), ACROSS)))
 
 
 def canonical(text: Column) -> Column:
     """The normalised text: words joined by single blanks."""
-    low = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "), RESERVED_LINE, " ")
-    # two blanks between words, so that neighbouring words can both be replaced
-    flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
-    told = reduce(lambda t, pair: F.replace(t, F.lit(f" {pair[0].replace(' ', '  ')} "), F.lit(f" {pair[1].replace(' ', '  ')} ")), SPELLINGS, flat)
-    return F.trim(F.replace(told, F.lit("  "), F.lit(" ")))
+    return joined(F.transform(F.split(text, "\n", -1), flat))
 
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
-    """digest and licence of the known texts (columns licence, text); equal digests keep the least name."""
-    texts = known if known is not None else spark.createDataFrame(list(KNOWN), "licence string, text string")
+    """digest, licence and length (of the canonical text) of the known texts (columns licence, text); equal digests keep the least name."""
+    texts = known if known is not None else spark.createDataFrame(known_texts(), "licence string, text string")
     told = texts.filter("licence is not null and text is not null").select("licence", canonical(F.col("text")).alias("canonical")).filter("canonical != ''")
-    return told.groupBy(F.sha2("canonical", 256).alias("digest")).agg(F.min("licence").alias("licence"))
+    return told.groupBy(F.sha2("canonical", 256).alias("digest")).agg(F.min("licence").alias("licence"), F.max(F.length("canonical")).alias("length"))
 
 
 def scan_licences(documents: DataFrame, known: DataFrame | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: doc_id, digest (of the canonical whole text; null if that is empty), licence (of the whole
     text, or null) and notices (the sorted distinct licences that an entire line is, comma-joined; empty if none).
 
-    Null texts count as empty. Repeated rows and null ids stay as they are; other columns are ignored. The known digests
-    are broadcast after a count, else joined by shuffling.
+    Null texts count as empty. Repeated rows and null ids stay as they are; other columns are ignored. Each line is
+    normalised once, and the whole text is made of its lines. Lines as long as some known text are digested. What is known
+    is broadcast after a count, else joined by shuffling; texts aren't shuffled.
     """
-    digests = known_digests(documents.sparkSession, known)
-    texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"), F.md5(whole_text(text_column)).alias("version"))
-    body = canonical(F.col("text"))
-    whole = with_small(texts.select("doc_id", "version", F.when(body != "", F.sha2(body, 256)).alias("digest")), digests, "digest")
-    lines = texts.select("doc_id", "version", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc_id", "version", F.sha2(canonical(F.col("line")), 256).alias("digest"))
-    notices = with_small(lines, digests, "digest", "inner").groupBy("doc_id", "version").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
-    at = notices.withColumnsRenamed({"doc_id": "_id", "version": "_version"})
-    joined = whole.join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")), "left")
-    return joined.select("doc_id", "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"))
+    digests = stored(known_digests(documents.sparkSession, known), "known")
+    lengths = [r.length for r in digests.select("length").distinct().limit(10_001).collect()]
+    fits = (lambda x: F.length(x).isin(lengths)) if len(lengths) <= 10_000 else (lambda x: x != "")
+    texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
+    split = texts.select("doc_id", F.md5("text").alias("version"), F.transform(F.split("text", "\n", -1), flat).alias("lines"))
+    split = split.withColumn("body", joined(F.col("lines")))
+    lines = F.transform(F.filter(F.transform("lines", lambda x: F.trim(single(x))), fits), lambda x: F.sha2(x, 256))
+    told = stored(split.select("doc_id", "version", F.when(F.col("body") != "", F.sha2("body", 256)).alias("digest"), F.array_distinct(lines).alias("lines")), "digests")
+    small = hinted(digests.select("digest", "licence"), 256)
+    whole = told.select("doc_id", "version", "digest").join(small, "digest", "left")
+    hits = told.select("doc_id", "version", F.explode("lines").alias("digest")).join(small, "digest")
+    notices = hits.groupBy("doc_id", "version").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
+    at = stored(notices.withColumnsRenamed({"doc_id": "_id", "version": "_version"}), "notices")
+    met = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))
+    return whole.join(hinted(at, 128 + F.length("notices")), met, "left").select("doc_id", "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"))
+
+
+def canonical_text(text: str) -> str:
+    """:func:`canonical` of one text, in plain Python."""
+    out = []
+    for line in text.split("\n"):
+        low = line.lower()
+        if not (re.search(COPYRIGHT_LINE, low) or re.search(RESERVED_LINE, low) or re.search(BARE_LINE, line)):
+            out += re.sub(r"[\W_]+", " ", low).split()
+    told = f" {'  '.join(out)} ".replace(*WITHIN)
+    for a, b in SPELLINGS:
+        told = told.replace(f" {a.replace(' ', '  ')} ", f" {b.replace(' ', '  ')} ")
+    return " ".join(told.split())
 
 
 def sql() -> str:
-    """DuckDB SQL for :func:`scan_licences` with the known texts."""
+    """DuckDB SQL for :func:`scan_licences`. Notices are normalised there; of complete licences it has the digests."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     rx = lambda x, pattern, to: f"regexp_replace({x}, {quote(pattern)}, {quote(to)}, 'g')"
 
     def said(x: str) -> str:
-        low = rx(rx(f"lower({x})", COPYRIGHT_LINE, " "), RESERVED_LINE, " ")
-        flat = f"' ' || trim({rx(low, r'[^\p{L}\p{N}]+', '  ')}) || ' '"
+        low = rx(rx(f"lower({rx(x, f'(?m){BARE_LINE}', ' ')})", f"(?m){COPYRIGHT_LINE}", " "), f"(?m){RESERVED_LINE}", " ")
+        flat = f"replace(' ' || trim({rx(low, r'[^\p{L}\p{N}]+', '  ')}) || ' ', {quote(WITHIN[0])}, {quote(WITHIN[1])})"
         for a, b in SPELLINGS:
             flat = f"replace({flat}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
         return f"trim(replace({flat}, '  ', ' '))"
 
-    values = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in KNOWN)
+    values = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in NOTICES)
+    files = ", ".join(f"({quote(n)}, {quote(hashlib.sha256(canonical_text(t).encode()).hexdigest())})" for n, t in known_texts() if (n, t) not in NOTICES)
     return f"""
-with known(licence, text) as (values {values}),
-digests as (select sha256({said("text")}) as digest, min(licence) as licence from known group by 1),
+with notice(licence, text) as (values {values}),
+complete(licence, digest) as (values {files}),
+digests as (select digest, min(licence) as licence from (select sha256({said("text")}) as digest, licence from notice union all select digest, licence from complete) group by 1),
 texts as (select doc_id, coalesce(text, '') as text, md5(coalesce(text, '')) as version from documents),
 body as (select doc_id, version, {said("text")} as body from texts),
 line as (select doc_id, version, unnest(str_split(text, chr(10))) as line from (select distinct * from texts)),

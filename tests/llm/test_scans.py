@@ -116,15 +116,43 @@ def test_secrets_plan_is_native(spark, make):
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def text_of(name):
+    return (licences.TEXTS / f"{name}.txt").read_text()
+
+
 def test_licences(spark, make, awkward):
-    mit = "Copyright (c) 2019 Some One\nAll rights reserved.\n\n" + licences.MIT.upper().replace("SUBLICENSE", "sub-licence").replace(", ", " ,\n")
-    rows = [(100, mit), (101, licences.MIT + " And more."), (102, "prose\nReleased  under the MIT licence!\nmore"), (103, licences.APACHE.replace("http:", "https:")), *awkward]
+    mit = "Copyright (c) 2019 Some One\nAll rights reserved.\n\n" + text_of("MIT").upper().replace("SUBLICENSE", "sub-licence").replace(", ", " ,\n")
+    bsd = "Copyright Some Company\n\n" + text_of("BSD-3-Clause").replace(" ", "\n  # ")
+    rows = [(100, mit), (101, text_of("MIT") + " And more."), (102, "prose\nReleased  under the MIT licence!\nmore"), (103, text_of("Apache-2.0+header").replace("http:", "https:")), (104, bsd), (105, bsd.replace("source", "sauce")), (106, "MIT licence\r\nCopyright 2020 x\r\n" + text_of("MIT")), *awkward]
     got = {}
     for r in licences.scan_licences(make(rows)).collect():
         got.setdefault(r.doc_id, []).append(r)
     assert sum(map(len, got.values())) == len(rows)
     assert got[100][0].licence == "MIT" and got[101][0].licence is None and got[102][0].licence is None
     assert got[102][0].notices == "MIT" and got[103][0].licence == "Apache-2.0" and got[1][0].digest is None and got[1][0].notices == ""
+    assert got[104][0].licence == "BSD-3-Clause" and got[105][0].licence is None and got[106][0].licence == "MIT"
+
+
+def test_every_complete_licence_is_known_in_variants(make):
+    """In the other case, with other line ends, punctuation and spellings; and no text stands for two licences."""
+    files = sorted(licences.TEXTS.glob("*.txt"))
+    assert len(files) >= 24
+    rows = []
+    for i, plain in enumerate(f.read_text() for f in files):
+        rows += [(10 * i, plain), (10 * i + 1, plain.replace(", ", " -- ").replace("license", "licence").replace("\n", " \r\n\n")), (10 * i + 2, f"(c) 1999 me\n\n{plain.upper()}\n* all rights reserved *")]
+    got = {r.doc_id: r.licence for r in licences.scan_licences(make(rows)).collect()}
+    for i, f in enumerate(files):
+        assert {got[10 * i + k] for k in range(3)} == {f.stem.partition("+")[0]}, f
+    digests = [licences.canonical_text(f.read_text()) for f in files]
+    assert len(set(digests)) == len(files)
+
+
+def test_plain_canonical_text_equals_the_columns(spark):
+    from pyspark.sql import functions as F
+
+    texts = [t for _, t in licences.known_texts()] + ["Copyright Jane Doe\ncopyright notice\n(c) 2001\nall rights  reserved", "sub\nlicence HTTP-licences_whilst", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", licences.canonical(F.col("t")).alias("c"))
+    assert [r.c for r in df.orderBy("i").collect()] == [licences.canonical_text(t) for t in texts]
 
 
 @pytest.mark.parametrize("scan", [lambda d: pii.pii_digest(pii.find_pii(d)), lambda d: secret_scan.secret_digest(secret_scan.scan_secrets(d)), licences.scan_licences])
