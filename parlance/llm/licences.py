@@ -61,14 +61,18 @@ def known_texts() -> list[tuple[str, str]]:
     return out + list(NOTICES)
 
 
-def flat(line: Column) -> Column:
-    """A line normalised: words between two blanks each, so that neighbouring words can both be replaced; empty if it is dropped."""
-    low = F.lower(line)
-    words = F.replace(F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", "  ")), *map(F.lit, WITHIN))
-    # few lines have any word that the patterns or the spellings look for
-    dropped = low.rlike(r"copyright|\(c\)|©|all rights reserved") & (low.rlike(COPYRIGHT_LINE) | low.rlike(RESERVED_LINE) | line.rlike(BARE_LINE))
-    told = respelt(F.concat(F.lit(" "), words, F.lit(" ")), SPELLINGS)
-    return F.when(dropped, "").when(words.rlike("|".join(sorted({a.split(" ")[0] for a, _ in SPELLINGS}))), F.trim(told)).otherwise(words)
+def flats(text: Column) -> Column:
+    """The lines of a text, normalised: words two blanks apart, so that neighbouring words can both be replaced; empty if a line is dropped.
+
+    What is used more than once is a field of a step's result, since nothing else is kept within a lambda.
+    """
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), F.lower(x).alias("low")))
+    # few lines hold what the patterns look for
+    dropped = lambda x: reduce(lambda a, b: a | b, [x["low"].contains(w) for w in ("copyright", "(c)", "©", "all rights reserved")]) & (x["low"].rlike(COPYRIGHT_LINE) | x["low"].rlike(RESERVED_LINE) | x["line"].rlike(BARE_LINE))
+    words = F.transform(lines, lambda x: F.when(dropped(x), "").otherwise(F.replace(F.trim(F.regexp_replace(x["low"], r"[^\p{L}\p{N}]+", "  ")), *map(F.lit, WITHIN))))
+    # all lines are respelt at once, the line ends standing as words between them
+    told = respelt(F.concat(F.lit(" "), F.array_join(words, " \n "), F.lit(" ")), SPELLINGS)
+    return F.transform(F.split(told, "\n", -1), lambda x: F.trim(x))
 
 
 def respelt(text: Column, pairs) -> Column:
@@ -87,7 +91,7 @@ def joined(flats: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """The normalised text: words joined by single blanks."""
-    return joined(F.transform(F.split(text, "\n", -1), flat))
+    return joined(flats(text))
 
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
@@ -109,7 +113,7 @@ def scan_licences(documents: DataFrame, known: DataFrame | None = None, id_colum
     lengths = [r.length for r in digests.select("length").distinct().limit(10_001).collect()]
     fits = (lambda x: F.length(x).isin(lengths)) if len(lengths) <= 10_000 else (lambda x: x != "")
     texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    split = texts.select("doc_id", F.md5("text").alias("version"), F.transform(F.split("text", "\n", -1), flat).alias("lines"))
+    split = texts.select("doc_id", F.md5("text").alias("version"), flats(F.col("text")).alias("lines"))
     split = split.withColumn("body", joined(F.col("lines")))
     lines = F.transform(F.filter(F.transform("lines", lambda x: F.trim(single(x))), fits), lambda x: F.sha2(x, 256))
     told = stored(split.select("doc_id", "version", F.when(F.col("body") != "", F.sha2("body", 256)).alias("digest"), F.array_distinct(lines).alias("lines")), "digests")
