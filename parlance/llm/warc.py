@@ -1,7 +1,9 @@
 """WARC archives compressed with Zstandard: one frame per record, a dictionary in the leading skippable frame.
 
 Records with equal payloads are stored once: that of the least page id is a response, the others are revisits that refer to it.
-Archives are written by Spark tasks into a folder (any file system pyarrow opens) and read back as Spark's binary files.
+Archives are written by Spark tasks into a folder (any file system pyarrow opens). The reader takes archives of any writer, WARC
+1.0 or 1.1, with or without a dictionary, as Spark's binary files: a task reads files of at most
+``spark.sql.files.maxPartitionBytes`` together, or one larger file.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.shared import map_rows, shared_folder
+from parlance.llm.shared import join_by_share, map_rows, shared_folder, stored
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
-VERSION = "WARC/1.1"
+VERSION, VERSIONS = "WARC/1.1", (b"WARC/1.0", b"WARC/1.1")
+NEEDED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: An archive is closed once its records have this many bytes; it is read by one task at a time.
@@ -37,23 +40,41 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """A response record, or a revisit without the payload."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
-    uri = "".join(f"%{b:02X}" if b < 33 or b > 126 else chr(b) for b in (url or "").encode("utf-8", "replace"))
-    fields = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{uri}')}>"), ("WARC-Date", DATE),
-        ("WARC-Target-URI", uri), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{sha1_base32(payload)}"),
-        ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"), ("X-Page-ID", "" if page_id is None else str(page_id)),
-    ]
-    if refers_to is not None:
-        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To-Page", str(refers_to))]
-    head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))])
+def target_uri(url: str | None) -> str:
+    return "".join(f"%{b:02X}" if b < 33 or b > 126 else chr(b) for b in (url or "").encode("utf-8", "replace"))
+
+
+def record_id(page_id: int | None, url: str | None) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{target_uri(url)}')}>"
+
+
+def written(kind: str, identity: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
+    """A record with the fields all records have, and further ones."""
+    named = [("WARC-Type", kind), ("WARC-Record-ID", identity), ("WARC-Date", DATE), *fields, ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"), ("Content-Length", str(len(block)))]
+    head = "".join(f"{k}: {v}\r\n" for k, v in named)
     return f"{VERSION}\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
 
 
-def archive_bytes(records: list[bytes]) -> bytes:
+def warcinfo(name: str) -> bytes:
+    """The first record of an archive."""
+    block = b"software: parlance\r\nformat: WARC File Format 1.1\r\n"
+    return written("warcinfo", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'archive:{name}')}>", [("WARC-Filename", name), ("Content-Type", "application/warc-fields")], block)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: tuple[int, str | None] | None) -> bytes:
+    """A response record, or a revisit without the payload, which names the response (page id, url) it refers to.
+
+    Page ids travel in extension fields; the standard fields of a revisit are there for other readers.
+    """
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    fields = [("WARC-Target-URI", target_uri(url)), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{sha1_base32(payload)}"), ("X-Page-ID", "" if page_id is None else str(page_id))]
+    if refers_to is None:
+        return written("response", record_id(page_id, url), fields, http + payload)
+    fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(*refers_to)), ("WARC-Refers-To-Target-URI", target_uri(refers_to[1])), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-ID", str(refers_to[0]))]
+    return written("revisit", record_id(page_id, url), fields, http)
+
+
+def archive_bytes(records: list[bytes], name: str | None = None) -> bytes:
     """The dictionary, itself compressed, in a skippable frame (none if there is too little to train on), then a frame a record."""
     sample, size = [], 0
     for r in records:
@@ -70,7 +91,7 @@ def archive_bytes(records: list[bytes]) -> bytes:
         packed = zstandard.ZstdCompressor(level=LEVEL).compress(trained.as_bytes())
         out.append(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_checksum=True)
-    out += [packer.compress(r) for r in records]
+    out += [packer.compress(r) for r in ([warcinfo(name)] if name else []) + records]
     return b"".join(out)
 
 
@@ -116,38 +137,94 @@ def frames(data: bytes) -> Iterator[bytes]:
 
 
 def fields_of(head: bytes) -> dict[str, str]:
-    out = {}
-    for line in head.decode().split("\r\n"):
+    """Header fields by lower-case name, the first of equal ones; a line that begins with white space continues the one before."""
+    out: dict[str, str] = {}
+    name = None
+    for line in head.decode("utf-8", "replace").replace("\r\n", "\n").split("\n"):
+        if line[:1] in (" ", "\t") and name:
+            out[name] = f"{out[name]} {line.strip()}"
+            continue
         name, colon, value = line.partition(":")
         if not colon or name != name.strip():
             raise ValueError(f"bad header line: {line[:80]!r}")
-        out[name.lower()] = value.strip()
+        name = name.lower()
+        out.setdefault(name, value.strip())
     return out
 
 
+def dechunked(body: bytes) -> bytes:
+    """The payload of a body in HTTP's chunked transfer coding."""
+    out, at = [], 0
+    while True:
+        end = body.index(b"\r\n", at)
+        size = int(body[at:end].split(b";")[0], 16)
+        if not size:
+            return b"".join(out)
+        if end + 2 + size > len(body):
+            raise ValueError("a chunk breaks off")
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def digest_agrees(told: str | None, data: bytes) -> bool:
+    """Whether a digest field fits; digests by other algorithms, or none, aren't checked."""
+    algorithm, _, value = (told or "").partition(":")
+    if algorithm.lower() != "sha1":
+        return True
+    return value.upper() == sha1_base32(data) if len(value) == 32 else value.lower() == hashlib.sha1(data).hexdigest()
+
+
+def http_payload(block: bytes) -> tuple[bytes, int]:
+    """(payload, its length as the HTTP head says or as found) of an HTTP message."""
+    head, gap, body = block.partition(b"\r\n\r\n")
+    if not gap:
+        head, gap, body = block.partition(b"\n\n")
+    if not head.startswith(b"HTTP/"):
+        raise ValueError("not an HTTP response")
+    lines = head.partition(b"\n")[2].strip()
+    fields = fields_of(lines) if lines else {}
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        body = dechunked(body)
+        return body, len(body)
+    told = fields.get("content-length", "")
+    return body, int(told) if told.isdigit() else len(body)
+
+
 def parsed(data: bytes) -> dict:
-    """A record's fields and payload, after checks of its version, headers, lengths and digests."""
+    """A record's fields and payload, after checks of its version, headers, lengths and digests.
+
+    Responses, resources and conversions have a payload; revisits have its digest, and its length if their HTTP head tells
+    it; warcinfo, request and metadata records have neither.
+    """
     head, gap, rest = data.partition(b"\r\n\r\n")
     version, _, lines = head.partition(b"\r\n")
-    if version != VERSION.encode() or not gap:
+    if version not in VERSIONS or not gap:
         raise ValueError("not a WARC record")
     f = fields_of(lines)
-    for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
-        if name not in f:
-            raise ValueError(f"no {name}")
+    if missing := [name for name in NEEDED if name not in f]:
+        raise ValueError(f"no {missing[0]}")
     size = int(f["content-length"])
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise ValueError("the block isn't as long as its header says")
-    block = rest[:size]
-    if f.get("warc-block-digest") != f"sha1:{sha1_base32(block)}":
+    block, kind = rest[:size], f["warc-type"].lower()
+    if not digest_agrees(f.get("warc-block-digest"), block):
         raise ValueError("the block's digest differs")
-    http, _, body = block.partition(b"\r\n\r\n")
-    payload_bytes = int(fields_of(http.partition(b"\r\n")[2])["content-length"])
-    kind = f["warc-type"]
-    if kind == "response" and (len(body) != payload_bytes or f["warc-payload-digest"] != f"sha1:{sha1_base32(body)}"):
-        raise ValueError("the payload's length or digest differs")
-    page = f.get("x-page-id")
-    return {"page_id": int(page) if page else None, "payload_bytes": payload_bytes, "payload_digest": f["warc-payload-digest"].removeprefix("sha1:"), "record_type": kind, "refers_to": int(f["warc-refers-to-page"]) if kind == "revisit" else None, "url": f.get("warc-target-uri", ""), "payload": body if kind == "response" else None}
+    digest, payload, length = f.get("warc-payload-digest"), None, None
+    http = "application/http" in f.get("content-type", "").lower()
+    if kind in ("response", "resource", "conversion"):
+        payload, length = http_payload(block) if http and kind == "response" else (block, len(block))
+        if len(payload) != length or not digest_agrees(digest, payload):
+            raise ValueError("the payload's length or digest differs")
+        digest = sha1_base32(payload)
+    elif kind == "revisit":
+        length = http_payload(block)[1] if http and block else None
+        digest = digest.partition(":")[2] if digest else None
+    number = lambda name: int(f[name]) if f.get(name, "").lstrip("-").isdigit() else None
+    return {
+        "page_id": number("x-page-id"), "payload_bytes": length, "payload_digest": digest if payload is not None or kind == "revisit" else None, "record_type": kind,
+        "refers_to": number("x-refers-to-page-id"), "url": f.get("warc-target-uri", "").strip("<>"), "payload": payload, "record_id": f["warc-record-id"], "date": f["warc-date"],
+        "refers_to_id": f.get("warc-refers-to"), "refers_to_url": f.get("warc-refers-to-target-uri"), "refers_to_date": f.get("warc-refers-to-date"),
+    }
 
 
 def write_archives(pages: DataFrame, folder: str) -> int:
@@ -160,9 +237,12 @@ def write_archives(pages: DataFrame, folder: str) -> int:
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
-    least = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("least")).filter("n > 1").select("digest", "least")
-    told = rows.select("page_id", "digest").distinct().join(least, "digest").filter("not page_id <=> least").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "least")
-    marked = rows.join(told, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "least")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    least = rows.groupBy("digest").agg(F.count("*").alias("n"), first.alias("least")).filter("n > 1 and least is not null")
+    ids = stored(rows.groupBy("page_id", "digest").agg(F.count("*").alias("rows")), "page-digests")
+    told = join_by_share(ids, least, "digest", ids.count()).filter("not page_id <=> least.page_id").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "least")
+    marked = rows.join(told, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "least.page_id", "least.url")
+    marked = marked.toDF("page_id", "url", "html", "least_id", "least_url")
 
     def write(batches: Iterator[list[list]]) -> Iterator[list[tuple]]:
         where, root = fs.FileSystem.from_uri(folder)
@@ -175,14 +255,14 @@ def write_archives(pages: DataFrame, folder: str) -> int:
             nonlocal size, n
             name = f"{root}/part-{task.partitionId():06d}-{n:05d}.warc.zst"
             with where.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as out:
-                out.write(archive_bytes(held))
+                out.write(archive_bytes(held, name.rpartition("/")[2]))
             where.move(f"{name}.{task.taskAttemptId()}.tmp", name)
             held.clear()
             size, n = 0, n + 1
 
         for columns in batches:
-            for page, url, html, refers_to in zip(*columns):
-                held.append(record(page, url, html.encode("utf-8", "replace"), refers_to))
+            for page, url, html, *least in zip(*columns):
+                held.append(record(page, url, html.encode("utf-8", "replace"), tuple(least) if least[0] is not None else None))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     close()
@@ -194,13 +274,15 @@ def write_archives(pages: DataFrame, folder: str) -> int:
     return int(map_rows(ordered, write, "n long").agg(F.sum("n")).first()[0] or 0)
 
 
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, archive string, error string"
+RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, record_id string, date string, refers_to_id string, refers_to_url string, refers_to_date string, archive string, error string"
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of all ``*.warc.zst`` files of a folder, one task per archive at a time.
+    """The records of all ``*.warc.zst`` files of a folder, whoever wrote them; a frame may hold one record.
 
-    A record that fails a check, or an archive that breaks off, gives a row with ``error`` and nulls.
+    payload_digest is the bare upper-case base32 SHA-1 of a payload that is there, else what the record says. page_id and
+    refers_to are extension fields of this module's archives, null elsewhere; refers_to_id, _url and _date are the standard
+    ones. A record that fails a check, or an archive that breaks off, gives a row with ``error`` and nulls.
     """
     names = [c.split()[0] for c in RECORD.split(", ")]
 
@@ -237,4 +319,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     folder = shared_folder(spark, "warc")
     if not write_archives(pages, folder):
         return spark.createDataFrame([], RECORD)
-    return read_archives(spark, folder)
+    return read_archives(spark, folder).filter("record_type is null or record_type != 'warcinfo'")

@@ -1,5 +1,6 @@
 """Quality rules, language-model scores, packing, archives, decontamination and the pipeline."""
 
+import hashlib
 import math
 import random
 import re
@@ -215,7 +216,15 @@ def test_warc_round_trip(spark, tmp_path, awkward):
     folder = f"file://{tmp_path}/w"
     assert warc.write_archives(pages, folder) >= 1
     got = warc.read_archives(spark, folder).collect()
-    assert len(got) == len(rows) and not any(r.error for r in got)
+    assert not any(r.error for r in got)
+    assert sum(r.record_type == "warcinfo" for r in got) == len({r.archive for r in got})
+    got = [r for r in got if r.record_type != "warcinfo"]
+    by_id = {r.record_id: r for r in got}
+    for r in got:
+        if r.record_type == "revisit":  # the standard fields name the response
+            there = by_id[r.refers_to_id]
+            assert (there.record_type, there.page_id, there.url, there.date) == ("response", r.refers_to, r.refers_to_url, r.refers_to_date)
+    assert len(got) == len(rows)
     first = {}
     for i, _, h, _ in rows:
         if i is not None:
@@ -239,11 +248,44 @@ def test_archive_dictionary_and_damage():
         list(warc.frames(data[:-5]))
     with pytest.raises((ValueError, zstandard.ZstdError)):
         list(warc.frames(data[:-1] + b"" + b"junkjunkjunk"))
-    for broken in (records[0][:-1], records[0].replace(b"Content-Length", b"Content-Size", 1), records[0].replace(b"boilerplate", b"boilerplatE", 1), b"WARC/1.0" + records[0][8:]):
+    for broken in (records[0][:-1], records[0].replace(b"Content-Length", b"Content-Size", 1), records[0].replace(b"boilerplate", b"boilerplatE", 1), b"WARC/0.9" + records[0][8:]):
         with pytest.raises((ValueError, KeyError)):
             warc.parsed(broken)
 
 
+def foreign(kind, block, *fields, version="WARC/1.0", newline="\r\n"):
+    """A record as other writers make it."""
+    head = newline.join([version, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x:{kind}{len(block)}>", "warc-date: 2020-01-02T03:04:05Z", *fields, f"content-length: {len(block)}", "", ""])
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """WARC/1.0 and 1.1, no block digest, no HTTP length, chunked bodies, other record types, no dictionary."""
+    http, url = "Content-Type: application/http;msgtype=response", "WARC-Target-URI: <http://a.example/>"
+    hexed = f"WARC-Payload-Digest: sha1:{hashlib.sha1(b'plain').hexdigest()}"
+    data = [
+        foreign("warcinfo", b"software: x\r\n"),
+        foreign("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http;msgtype=request"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nplain", http, url, hexed),
+        foreign("response", b"HTTP/1.0 200 OK\r\n\r\n", http, "X-Long: one", " two", version="WARC/1.1"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4;x=1\r\nchun\r\n3\r\nked\r\n0\r\n\r\n", http),
+        foreign("resource", b"%PDF", "Content-Type: application/pdf"),
+        foreign("revisit", b"", "WARC-Refers-To-Target-URI: http://a.example/", "WARC-Refers-To-Date: 2020-01-01T00:00:00Z", hexed),
+        foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\nshort", http),
+        foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nff\r\nx", http),
+        foreign("response", b"HTTP/1.1 200 OK\r\n\r\nplaiN", http, hexed),
+    ]
+    packer = zstandard.ZstdCompressor(write_content_size=False)
+    (tmp_path / "a.warc.zst").write_bytes(b"\x50\x2a\x4d\x18\x03\x00\x00\x00abc" + b"".join(map(packer.compress, data)))
+    got = warc.read_archives(spark, f"file://{tmp_path}").collect()
+    assert [r.error is not None for r in got] == [False] * 7 + [True] * 3
+    assert [(r.record_type, r.payload and bytes(r.payload), r.payload_bytes) for r in got[:7]] == [
+        ("warcinfo", None, None), ("request", None, None), ("response", b"plain", 5), ("response", b"", 0), ("response", b"chunked", 7), ("resource", b"%PDF", 4), ("revisit", None, None),
+    ]
+    assert got[2].payload_digest == warc.sha1_base32(b"plain") and got[2].url == "http://a.example/" and got[2].page_id is None
+    assert got[6].refers_to_url == "http://a.example/" and got[6].refers_to_date == "2020-01-01T00:00:00Z"
+
+
 def brute_distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):
