@@ -257,24 +257,24 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
-def classes(documents: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, int]:
-    """(seen, told, rows): doc_id and digest of each row; digest, n (its rows), class_id and whether its least row stands for the class; the number of rows.
+def classes(documents: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """(seen, told): doc_id and digest of each row; digest, class_id, and rep (its least id) and whether that row stands for the class.
 
     A distinct text is a node, whatever its ids; ids come in at the end, when a class gets the least id of its rows.
     """
     texts = with_digests(documents, id_column, text_column)
     seen = stored(sketches(texts), "sketches")
-    least = seen.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    least = seen.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     nodes = stored(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
     linked = links(nodes, texts)
-    named = nodes.select("node", "digest", "n", "rep", F.struct(F.col("rep").isNull(), "rep", "digest").alias("first"))
+    named = nodes.select("node", "digest", "rep", F.struct(F.col("rep").isNull(), "rep", "digest").alias("first"))
     merged = linked.union(linked.select("label", "label").distinct())
     best = named.join(merged, "node").groupBy("label").agg(F.min("first").alias("best"))
     told = named.join(merged, "node", "left").join(hinted(best), "label", "left")
-    told = told.select("digest", "n", F.coalesce("best", "first").alias("best"), "first")
-    told = stored(told.select("digest", "n", F.col("best.rep").alias("class_id"), (F.col("best") == F.col("first")).alias("stands"), F.col("first.rep").alias("rep")), "classes")
+    told = told.select("digest", F.coalesce("best", "first").alias("best"), "first")
+    told = stored(told.select("digest", F.col("best.rep").alias("class_id"), (F.col("best") == F.col("first")).alias("stands"), F.col("first.rep").alias("rep")), "classes")
     discard(nodes, linked)
-    return seen, told, told.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return seen, told
 
 
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -286,8 +286,8 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     its own class, named by the least id of its rows. Texts whose rows all have null ids are compared like others; a class
     without any id has a null class_id. Other columns are ignored.
     """
-    seen, told, rows = classes(documents, id_column, text_column)
-    return join_by_share(seen.select("doc_id", "digest"), told.select("digest", "n", "class_id"), "digest", rows).select("doc_id", "class_id")
+    seen, told = classes(documents, id_column, text_column)
+    return join_by_share(seen.select("doc_id", "digest"), told.select("digest", "class_id"), "digest").select("doc_id", "class_id")
 
 
 def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -295,7 +295,7 @@ def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: st
 
     All rows have a class, those with null ids and repeated ids too; columns stay as they are.
     """
-    seen, told, _ = classes(documents, id_column, text_column)
+    seen, told = classes(documents, id_column, text_column)
     kept = told.filter("stands").select(F.col("digest").alias("_digest"), F.col("rep").alias("_rep"))
     chosen = F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("digest") == F.col("_digest"))
     kept = stored(seen.join(kept, chosen).groupBy("_digest", "_rep").agg(F.count("*").alias("_n")), "kept")

@@ -134,8 +134,7 @@ def scan_secrets(documents: DataFrame, folder: str | None = None, rules: tuple[R
     kinds = {rule_key(r): k for k, r in enumerate(rules)}
     found = book(spark, folder, "findings").filter(F.col("rule").isin(list(kinds)))
     by_blob = found.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-    told = versions.join(hinted(by_blob.select("blob")), "blob", "left_semi").groupBy("blob").agg(F.count("*").alias("n")).join(by_blob, "blob")
-    joined = join_by_share(versions, told, "blob", versions.count())
+    joined = join_by_share(versions, stored(by_blob, "by-blob"), "blob")
     return joined.select("doc_id", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 

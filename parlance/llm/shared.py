@@ -32,16 +32,18 @@ def with_small(df: DataFrame, small: DataFrame, on: str, how: str = "left", row_
     return df.join(hinted(small, row_bytes), on, how)
 
 
-def join_by_share(df: DataFrame, told: DataFrame, key: str, rows: int) -> DataFrame:
-    """``df`` (of ``rows`` rows) left joined with ``told`` (key, n, further columns), where n is how many rows of ``df`` have the key.
+def join_by_share(df: DataFrame, told: DataFrame, key: str) -> DataFrame:
+    """``df``, which is read three times, left joined with ``told``, one row a key.
 
-    Hot keys, at most HOT_KEYS, meet their rows by a broadcast; all others have too few rows each to fill a task.
+    Hot keys of ``df``, at most HOT_KEYS whether ``told`` has them or not, meet their rows by a broadcast; all others have
+    too few rows each to fill a task.
     """
-    hot = F.col("n") * HOT_KEYS >= rows
-    hot_keys = told.filter(hot).select(F.col(key).alias("_key")).distinct()
-    marked = df.join(F.broadcast(hot_keys), df[key] == F.col("_key"), "left")
-    first = marked.filter("_key is not null").drop("_key").join(F.broadcast(told.filter(hot).drop("n")), key)
-    return first.unionByName(marked.filter("_key is null").drop("_key").join(told.filter(~hot).drop("n"), key, "left"))
+    rows = df.count()
+    hot = stored(df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).filter(F.col("_n") * HOT_KEYS >= rows).select("_key", F.lit(True).alias("_hot")), "hot-keys")
+    marked = df.join(F.broadcast(hot), df[key].eqNullSafe(F.col("_key")), "left").drop("_key")
+    few = told.join(F.broadcast(hot), told[key] == F.col("_key"), "left_semi")
+    first = marked.filter("_hot").drop("_hot").join(F.broadcast(few), key, "left")
+    return first.unionByName(marked.filter("_hot is null").drop("_hot").join(told, key, "left"))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:

@@ -240,7 +240,7 @@ def write_archives(pages: DataFrame, folder: str) -> int:
     first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
     least = rows.groupBy("digest").agg(F.count("*").alias("n"), first.alias("least")).filter("n > 1 and least is not null")
     ids = stored(rows.groupBy("page_id", "digest").agg(F.count("*").alias("rows")), "page-digests")
-    told = join_by_share(ids, least, "digest", ids.count()).filter("not page_id <=> least.page_id").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "least")
+    told = join_by_share(ids, least, "digest").filter("not page_id <=> least.page_id").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "least")
     marked = rows.join(told, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "least.page_id", "least.url")
     marked = marked.toDF("page_id", "url", "html", "least_id", "least_url")
 

@@ -135,11 +135,12 @@ def test_ids_that_repeat_with_another_text(make, prose):
     assert kept == sorted([(1, a), (1, b), (9, c), (0, "alone here")])
 
 
-def test_hot_and_cold_keys_meet_alike(spark):
-    from parlance.llm.shared import join_by_share
-
-    df = spark.range(5000).selectExpr("id", "case when id % 2 = 0 then 'hot' else cast(id as string) end as k")
-    told = df.groupBy("k").count().selectExpr("k", "count as n", "upper(k) as v").filter("k != '7'")
-    for rows in (5000, 10**9):  # with 1e9 rows no key is hot
-        got = {(r.id, r.k, r.v) for r in join_by_share(df, told, "k", rows).select("id", "k", "v").collect()}
-        assert len(got) == 5000 and all(v == (None if k == "7" else k.upper()) for _, k, v in got)
+def test_hot_and_cold_keys_meet_alike(spark, monkeypatch):
+    from parlance.llm import shared
+
+    df = spark.range(5000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 3 = 1 then 'hot too' when id % 7 = 0 then null else cast(id as string) end as k")
+    told = df.filter("k is not null and k != 'hot too' and k != '5'").select("k").distinct().selectExpr("k", "upper(k) as v")
+    for keys in (0, 4, 10_000):  # none, three or all of the keys are hot
+        monkeypatch.setattr(shared, "HOT_KEYS", keys)
+        got = [(r.id, r.k, r.v) for r in shared.join_by_share(df, told, "k").select("id", "k", "v").collect()]
+        assert len(got) == len(set(got)) == 5000 and all(v == (None if k in (None, "hot too", "5") else k.upper()) for _, k, v in got)
