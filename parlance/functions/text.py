@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def normalize(text: Column) -> Column:
 
 def normalize_text(text: str) -> str:
     """The same for one dictionary entry, on the driver."""
-    return " ".join(text.translate(str.maketrans(SMART_FROM, SMART_TO)).replace("'", "").lower().replace("\t", " ").replace("\n", " ").split(" ")) if text else ""
+    return re.sub(r"\s+", " ", text.translate(str.maketrans(SMART_FROM, SMART_TO)).replace("'", "").lower()) if text else ""
 
 
 def strip_wrappers(text: Column) -> Column:
@@ -92,6 +94,33 @@ def month(ts: Column) -> Column:
     return F.when(F.length(ts) >= 7, F.substring(ts, 1, 7)).otherwise("unknown")
 
 
+def month_span(first: Column, last: Column) -> Column:
+    """Full months between two ISO dates: a month counts once its day is reached."""
+    part = lambda c, at, n: F.substring(c, at, n).cast("int")
+    return (part(last, 1, 4) - part(first, 1, 4)) * 12 + part(last, 6, 2) - part(first, 6, 2) - F.when(part(last, 9, 2) < part(first, 9, 2), 1).otherwise(0)
+
+
+def days_in_month(month: Column) -> Column:
+    """Days of a month (ISO), February always with 28; null if it is none."""
+    n = F.try_element_at(F.split(month, "-"), F.lit(2)).try_cast("int")
+    return F.when(n == 2, 28).when(n.isin(4, 6, 9, 11), 30).when(n.between(1, 12), 31)
+
+
+def short_model(model: Column, prefix: str) -> Column:
+    """A model's name without its maker's prefix."""
+    return F.replace(model, F.lit(prefix), F.lit(""))
+
+
+def machine_id(name: Column) -> Column:
+    """A stable name of a machine that doesn't tell its own: eight hexadecimal digits."""
+    return F.substring(F.sha2(name, 256), 1, 8)
+
+
+def hidden(name: Column) -> Column:
+    """A name as twelve hexadecimal digits, to be told apart and looked up by those who know it."""
+    return F.substring(F.sha2(name, 256), 1, 12)
+
+
 def parse_ts(ts: Column) -> Column:
     """The first 19 characters of an ISO timestamp as a timestamp, else null."""
     return F.try_to_timestamp(F.substring(ts, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))

@@ -11,6 +11,7 @@ from parlance.functions import dictionary as D
 from parlance.functions.lexicon import Lexicon, unicode
 from parlance.functions.text import month, normalize, stripped_sentences
 from parlance.operators.samples import every_nth
+from parlance.sources.scratch import hinted, settled
 
 # Capitals that are vocabulary, and capitals that are anger.
 TECH_CAPS = """
@@ -48,15 +49,19 @@ def near_misses(unmatched: DataFrame, text: str = "text") -> DataFrame:
 
 
 def sweep(messages: DataFrame, constructions: dict[str, str], lexicon: Lexicon | None = None, text: str = "text") -> DataFrame:
-    """kind, candidate, n and two samples of what broad constructions find in sentences where no phrase of the lexicon matches."""
+    """kind, candidate, n and up to two samples (the least sentences) of what broad constructions find.
+
+    A candidate is left out if the lexicon has a phrase within it; the rest of its sentence doesn't matter.
+    """
     lex = lexicon or Lexicon()
     told = messages.select(F.explode(stripped_sentences(normalize(F.col(text)), " -*#`>|")).alias("norm")).filter(F.length("norm").between(4, 300))
-    told = told.withColumn("known", F.size(lex.phrase_hits("norm")))
     found = [F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("norm", F.lit(unicode(p)), F.lit(0)).alias("candidates")) for k, p in constructions.items()]
-    hits = told.filter("known = 0").select("norm", F.explode(F.array(*found)).alias("f")).select("norm", "f.kind", F.explode("f.candidates").alias("candidate"))
-    # the first two samples in order: the least, and the least of the others
-    least = hits.groupBy("kind", "candidate").agg(F.count("*").alias("n"), F.min("norm").alias("first"), F.max("norm").alias("last"))
-    return least.withColumn("samples", F.array_distinct(F.array("first", "last"))).drop("first", "last")
+    hits = told.select("norm", F.explode(F.array(*found)).alias("f")).select("norm", "f.kind", F.explode("f.candidates").alias("candidate"))
+    hits = hits.withColumn("candidate", F.trim("candidate")).filter(F.size(lex.phrase_hits("candidate")) == 0)
+    sentences = settled(hits.groupBy("kind", "candidate", "norm").agg(F.count("*").alias("n")), "sweep")
+    first = sentences.groupBy("kind", "candidate").agg(F.sum("n").alias("n"), F.min("norm").alias("first"))
+    second = sentences.join(first.drop("n"), ["kind", "candidate"]).filter("norm > first").groupBy("kind", "candidate").agg(F.min("norm").alias("second"))
+    return first.join(second, ["kind", "candidate"], "left").select("kind", "candidate", "n", F.array_compact(F.array("first", "second")).alias("samples"))
 
 
 def precision_audit(hits: DataFrame, text: str, k: int, least: int = 1, most: int | None = None) -> DataFrame:
@@ -66,7 +71,7 @@ def precision_audit(hits: DataFrame, text: str, k: int, least: int = 1, most: in
     """
     n = hits.groupBy("phrase").agg(F.count("*").alias("n")).filter((F.col("n") >= least) & (F.lit(most).isNull() | (F.col("n") <= F.lit(most))))
     begin = F.greatest(F.col("start") - 75, F.lit(0))
-    told = hits.join(F.broadcast(n), "phrase").withColumn("context", F.substring(F.col(text), begin + 1, F.col("start") + 65 - begin))
+    told = hits.join(hinted(n, 256), "phrase").withColumn("context", F.substring(F.col(text), begin + 1, F.col("start") + 65 - begin))
     return every_nth(told, ["phrase"], ["file_id", "line_no", "start"], F.lit(k)).select("phrase", "n", "file_id", "line_no", "start", "context")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from parlance.sources.sinks import rows_of
 # What a bundle must have, its participants' names and its dates.
 SECTIONS = ("analysis", "denominators", "tally")
 PARTICIPANT, DATE = r"^[a-z0-9][a-z0-9-]{1,30}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+STRING = r'"(?:[^"\\]|\\.)*"'
 SUB_DAY = r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}"
 
 
@@ -67,24 +66,22 @@ def assemble(participant: str, exported: str, provenance: dict, sections: dict[s
 
 
 def intake(spark: SparkSession, documents: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(name, error) of bundle files (name, value): order of checks as listed; without errors, no rows.
+    """(name, error) of bundle files (name, value), one row for each thing that is wrong; without errors, no rows.
 
-    Bundles are small documents of aggregates; their strings are flattened on the driver, one file at a time.
+    Files are parsed and their strings told in tasks. A file must be a JSON object with all SECTIONS, a participant, a date
+    and no time of day; every string and key outside participant, date and provenance must pass the guard.
     """
-    errors = []
-    for row in documents.toLocalIterator():
-        try:
-            doc = json.loads(row["value"])
-        except ValueError:
-            errors.append((row["name"], "not JSON"))
-            continue
-        if not isinstance(doc, dict) or (missing := [s for s in SECTIONS if s not in doc]):
-            errors.append((row["name"], "no object" if not isinstance(doc, dict) else f"missing: {', '.join(missing)}"))
-            continue
-        told = spark.createDataFrame([(str(doc.get("participant", "")), str(doc.get("exported", "")), row["value"])], "p string, e string, v string")
-        tests = [(~F.col("p").rlike(PARTICIPANT), "participant"), (~F.col("e").rlike(DATE), "date"), (F.col("v").rlike(SUB_DAY), "time of day")]
-        bad = told.select(F.array_compact(F.array(*[F.when(t, m) for t, m in tests])).alias("bad")).first()["bad"]
-        errors += [(row["name"], m) for m in bad]
-        body = {k: v for k, v in doc.items() if k not in ("participant", "exported", "provenance")}
-        errors += [(row["name"], f"TEXT GUARD {r['path']}: {r['reason']}") for r in offenders(spark, body, lexicon).limit(20).collect()]
-    return spark.createDataFrame(errors, "name string, error string")
+    told = documents.select("name", "value", F.try_parse_json("value").alias("v"))
+    get = lambda path: F.expr(f"try_variant_get(v, '$.{path}', 'string')")
+    shape = F.schema_of_variant("v")
+    gone = F.array_compact(F.array(*[F.when(F.expr(f"try_variant_get(v, '$.{s}', 'variant') is null"), s) for s in SECTIONS]))
+    whole = F.when(F.col("v").isNull(), "not JSON").when(~shape.startswith("OBJECT"), "no object").when(F.size(gone) > 0, F.concat(F.lit("missing: "), F.array_join(gone, ", ")))
+    tests = [(~F.coalesce(get("participant"), F.lit("")).rlike(PARTICIPANT), "participant"), (~F.coalesce(get("exported"), F.lit("")).rlike(DATE), "date"), (F.col("value").rlike(SUB_DAY), "time of day")]
+    errors = F.when(whole.isNotNull(), F.array(whole)).otherwise(F.array_compact(F.array(*[F.when(t, m) for t, m in tests])))
+    plain = told.select("name", F.explode(errors).alias("error"))
+    parts = told.filter(whole.isNull()).select("name", "v").lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("name", F.col("key").alias("section"), F.to_json(F.col("value")).alias("json"))
+    parts = parts.filter(~F.col("section").isin("participant", "exported", "provenance"))
+    raw = parts.select("name", "section", F.explode(F.regexp_extract_all("json", F.lit(STRING), F.lit(0))).alias("raw"))
+    strings = raw.select("name", "section", F.expr("try_variant_get(try_parse_json(raw), '$', 'string')").alias("value")).filter("value is not null")
+    refused = guard(strings.union(parts.select("name", "section", "section")), vocabulary(spark, lexicon))
+    return plain.union(refused.select("name", F.concat(F.lit("TEXT GUARD "), F.col("section"), F.lit(": "), F.col("reason")))).distinct()

@@ -27,6 +27,11 @@ def short_of(expected: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame
     return expected.join(held.select(*keys, F.col("bytes").alias("got")), keys, "left").filter(F.coalesce("got", F.lit(-1)) < F.col("bytes"))
 
 
+def not_configured(found: DataFrame, configured: DataFrame, keys: tuple[str, ...] = ("machine_id", "root")) -> DataFrame:
+    """Roots that were found but that no configuration names."""
+    return found.select(*keys).distinct().join(configured.select(*keys), [*keys], "left_anti")
+
+
 def leaks(text: Column) -> Column:
     """Whether injected markup survived in a text."""
     return text.contains("<task-notification>") | text.contains("<system-reminder>")

@@ -67,7 +67,7 @@ def head_to_head(denominators: DataFrame, period: str, least: int) -> DataFrame:
     """The rows of the period with the most qualifying groups, the latest of equal ones."""
     kept = denominators.filter(F.col("n") >= least)
     best = top(kept.groupBy(period).agg(F.count("*").alias("_groups")), 1, F.desc("_groups"), F.desc(period))
-    return kept.join(F.broadcast(best), period).drop("_groups")
+    return kept.join(F.broadcast(best.limit(1)), period).drop("_groups")
 
 
 def pushback_per_message(turns: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ the segments' sums; what a turn carries is joined by (file_id, turn_id).
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,33 @@ from parlance.functions.text import content_words, normalize, strip_code
 SEGMENT = 4096
 
 
-def population(messages: DataFrame, files: DataFrame, own_project: str = "") -> DataFrame:
-    """Messages with prose that people or the assistant wrote, outside ``own_project``, with their file's columns."""
-    told = messages.filter("has_text and not is_sidechain and not is_compact and not is_meta and not is_visible_only")
-    return told.join(files.select("file_id", "machine_id", "root_slug", "project", "session"), "file_id").filter(F.col("project") != own_project)
+#: Flags of entries that nobody wrote.
+SYNTHETIC = ("is_sidechain", "is_compact", "is_meta", "is_visible_only")
+
+
+def synthetic(*flags: str) -> Column:
+    """Whether an entry is one that nobody wrote; null flags count as unset."""
+    return F.coalesce(F.greatest(*[F.coalesce(F.col(c), F.lit(False)) for c in flags or SYNTHETIC]), F.lit(False))
+
+
+def valid_model(model: Column) -> Column:
+    """Whether a model has a name, and not that of made-up entries."""
+    return model.isNotNull() & ~model.isin("", "<synthetic>")
+
+
+def population(messages: DataFrame, files: DataFrame, excluded: str | Iterable[str] | None = None) -> DataFrame:
+    """Messages with prose that people or the assistant wrote, outside the ``excluded`` projects, with their file's columns.
+
+    Files below no project have the project ''; they stay unless it is excluded.
+    """
+    told = messages.filter(F.col("has_text") & ~synthetic()).join(files.select("file_id", "machine_id", "root_slug", "project", "session"), "file_id")
+    away = [excluded] if isinstance(excluded, str) else list(excluded or [])
+    return told.filter(~F.coalesce(F.col("project").isin(away), F.lit(False))) if away else told
+
+
+def files_of(files: DataFrame, population: DataFrame) -> DataFrame:
+    """The files with at least one message of the population."""
+    return files.join(population.select("file_id").distinct(), "file_id", "left_semi")
 
 
 def first_occurrence(df: DataFrame, key: str = "fingerprint", order: tuple[str, ...] = ("file_id", "line_no")) -> DataFrame:

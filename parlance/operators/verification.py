@@ -1,0 +1,66 @@
+"""Checks that finished artefacts still agree with the messages they came from. Each check is a row (name, holds, detail)."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from parlance.operators.checks import leaks
+
+
+def check(df: DataFrame, name: str, holds: Column, detail: Column | None = None) -> DataFrame:
+    """One row from an aggregated one; a check that can't be told doesn't hold."""
+    return df.select(F.lit(name).alias("name"), F.coalesce(holds, F.lit(False)).alias("holds"), (F.lit("") if detail is None else detail.cast("string")).alias("detail"))
+
+
+def equal_counts(name: str, a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Whether two tables have as many rows of each group; the detail tells the groups that differ."""
+    by = by or []
+    count = lambda df, n: df.groupBy(*by).agg(F.count("*").alias(n)) if by else df.agg(F.count("*").alias(n))
+    x, y = count(a, "_a"), count(b, "_b")
+    met = x.join(y, by, "full") if by else x.crossJoin(F.broadcast(y))
+    off = met.filter(F.coalesce("_a", F.lit(0)) != F.coalesce("_b", F.lit(0)))
+    told = off.agg(F.count("*").alias("n"), F.sum(F.coalesce("_a", F.lit(0))).alias("a"), F.sum(F.coalesce("_b", F.lit(0))).alias("b"))
+    return check(told, name, F.col("n") == 0, F.when(F.col("n") > 0, F.concat_ws(" ", F.col("n"), F.lit("groups differ:"), F.col("a"), F.lit("and"), F.col("b"))).otherwise(""))
+
+
+def dataset_checks(matches: DataFrame, live: DataFrame, population: DataFrame, files: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """The dataset against a live count, its schema and keys, files against those found, denominators and leaked markup.
+
+    ``live`` has side, one row for each hit the current dictionary gives; ``found`` the files on disk (file_id).
+    """
+    missing = [c for c in columns if c not in matches.columns]
+    sides = population.groupBy("side").agg(F.countDistinct("fingerprint").alias("n"))
+    rows = [
+        equal_counts("rows equal a live count, both sides", matches.select("side"), live.select("side"), ["side"]),
+        check(matches.agg(F.count("*").alias("n")), "all columns are there", F.lit(not missing), F.lit(", ".join(missing))),
+        check(matches.agg(F.sum((F.coalesce("msg_fingerprint", F.lit("")) == "").cast("long")).alias("n")), "every row has a fingerprint", F.coalesce("n", F.lit(0)) == 0, F.coalesce("n", F.lit(0))),
+        equal_counts("files equal those found", files.select("file_id").distinct(), found.select("file_id").distinct()),
+        check(sides.agg(F.sum((F.col("side").isin("user", "assistant") & (F.col("n") > 0)).cast("long")).alias("n")), "both sides have a denominator", F.col("n") == 2, F.col("n")),
+        check(population.agg(F.sum(leaks(F.coalesce("text", F.lit(""))).cast("long")).alias("n")), "no injected markup is left", F.coalesce("n", F.lit(0)) == 0, F.coalesce("n", F.lit(0))),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def freshness(tally: DataFrame, matches: DataFrame, stated: DataFrame, files: DataFrame, messages: DataFrame) -> DataFrame:
+    """Whether derived artefacts are those of the current tables: a tally's total (n), and the stated counts (files, messages; one row)."""
+    totals = tally.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("a")).crossJoin(F.broadcast(matches.agg(F.count("*").alias("b"))))
+    counts = files.agg(F.count("*").alias("f")).crossJoin(F.broadcast(messages.agg(F.count("*").alias("m")))).crossJoin(F.broadcast(stated.select("files", "messages").limit(1)))
+    same = (F.col("f") == F.col("files")) & (F.col("m") == F.col("messages"))
+    return check(totals, "the tally's total is the dataset's", F.col("a") == F.col("b"), F.concat_ws(" and ", "a", "b")).unionByName(check(counts, "the stated counts are the tables'", same, F.concat_ws(" and ", "files", "f", "messages", "m")))
+
+
+def claims(facts: DataFrame, predicates: dict[str, str]) -> DataFrame:
+    """Each claim's name and whether its SQL predicate holds over ``facts``, a table of one row; a null doesn't hold."""
+    one = facts.limit(1)
+    return reduce(DataFrame.unionByName, [check(one, name, F.expr(p)) for name, p in predicates.items()])
+
+
+def intervals_overlap(rows: DataFrame, low: str = "low", high: str = "high") -> DataFrame:
+    """One row (clear): whether no two intervals of a small table of groups overlap, told by its order, without pairs."""
+    from pyspark.sql import Window
+
+    before = F.max(high).over(Window.partitionBy(F.lit(0)).orderBy(low).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_before", before).agg(F.coalesce(F.min((F.col("_before") < F.col(low)).cast("int")), F.lit(1)).cast("boolean").alias("clear"))

@@ -556,13 +556,13 @@ def archive_only(spark, d):
 
 GUARD = r"""select value, reason from (select value, case when value in (select r_name from region) and not regexp_matches(value, '[/\\@<>]') then null when regexp_matches(value, '^[0-9a-f]{8,64}$') then null when contains(value, chr(10)) then 'line break'
  when regexp_matches(value, '[/\\@<>]') or regexp_matches(value, '^-[A-Za-z]') then 'path, address or tag' when length(value) > 48 then 'long' when len(list_filter(string_split(value, ' '), lambda w: w <> '')) > 5 then 'prose'
- when not regexp_matches(value, '^[A-Za-z0-9][A-Za-z0-9 _.,:%+*()''!?-]*$') then 'no label' end as reason from (select url as value from pages union all select substr(text, 1, 60) from documents union all select r_name from region union all select md5(url) from pages)) where reason is not null"""
+ when not regexp_matches(value, '^[A-Za-z0-9][A-Za-z0-9 _.,:%+*()''!?-]*$') then 'no label' end as reason from (select url as value from pages union all select text from documents union all select r_name from region union all select md5(url) from pages)) where reason is not null"""
 
 
 @query(GUARD)
 def text_guard(spark, d):
     pages, region = table(spark, d, "pages"), table(spark, d, "region").select(F.col("r_name").alias("value"))
-    strings = pages.select(F.col("url").alias("value")).unionAll(table(spark, d, "documents").select(F.substring("text", 1, 60))).unionAll(region).unionAll(pages.select(F.md5("url")))
+    strings = pages.select(F.col("url").alias("value")).unionAll(table(spark, d, "documents").select("text")).unionAll(region).unionAll(pages.select(F.md5("url")))
     return checks.guard(strings, region).select("value", "reason")
 
 

@@ -30,3 +30,8 @@ def markdown_table(df: DataFrame) -> str:
 def script_document(name: str, sections: dict[str, DataFrame]) -> str:
     """``window.<name> = {...};`` for pages; closing tags are escaped."""
     return f"window.{name} = {json_document(sections)};".replace("</", "<\\/")
+
+
+def write_partitioned(df: DataFrame, folder: str, machine: str, run_date: str) -> None:
+    """A scan's aggregates below machine_id=<machine>/run_date=<date>: a run of the same day replaces its own part alone."""
+    df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/machine_id={machine}/run_date={run_date}")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions.text import collapse, fingerprint, strip_wrappers
+from parlance.sources.scratch import hinted
 
 #: The last four parts of a path.
 PARTS = ("machine_id", "root_slug", "project", "session")
@@ -64,10 +65,15 @@ def messages_of(lines: DataFrame) -> DataFrame:
 
 
 def read_messages(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
-    """messages of all transcripts under ``root``. A file is read whole, which gives line numbers; sessions are small files."""
-    files = read_files(spark, root) if files is None else files
+    """messages of all transcripts under ``root``, or of those in ``files`` alone. AppleDouble files are skipped.
+
+    A file is read whole, which gives line numbers, and its id is its path: nothing is shuffled. A transcript must be
+    under 2 GB.
+    """
     whole = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl").withColumn("path", F.col("_metadata.file_path"))
-    whole = whole.select(path_columns(F.col("path"), root)["relpath"].alias("relpath"), "value").join(files.select("relpath", "file_id"), "relpath")
+    whole = whole.filter(~F.element_at(F.split("path", "/"), -1).startswith("._")).select(path_columns(F.col("path"), root)["relpath"].alias("file_id"), "value")
+    if files is not None:
+        whole = whole.join(hinted(files.select("file_id"), 512), "file_id", "left_semi")
     lines = whole.select("file_id", F.posexplode(F.split("value", "\n", -1)).alias("at", "value")).filter(F.trim("value") != "")
     return messages_of(lines.select("file_id", (F.col("at") + 1).alias("line_no"), "value"))
 

@@ -26,15 +26,15 @@ def first_seen(messages: DataFrame, key: str = "fingerprint", event_time: str |
     return messages.dropDuplicates([key])
 
 
-TURNS = "file_id long, line_no long, side string, turn_id long, depth long, late boolean"
+TURNS = "line_no long, side string, turn_id long, depth long, late boolean"
 STATE = "last long, turn_id long, depth long"
 
 
 def turn_numbers(messages: DataFrame) -> DataFrame:
     """(file_id, line_no, side, turn_id, depth, late) of each message, from a state of three numbers per file.
 
-    Lines of a batch are put in order; a line at or before the last one told is late and gets nulls. Files end by time-out
-    elsewhere: the state of a file is small and stays.
+    file_id keeps its type. Lines of a batch are put in order, which holds one file's lines of a batch (line number and side)
+    in a task; a line at or before the last one told is late and gets nulls. The state of a file is three numbers and stays.
     """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,8 +51,49 @@ def turn_numbers(messages: DataFrame) -> DataFrame:
         out = pd.DataFrame(rows, columns=["file_id", "line_no", "side", "turn_id", "depth", "late"])
         yield out.astype({"turn_id": "Int64", "depth": "Int64"})
 
-    slim = messages.select(F.col("file_id").cast("long"), F.col("line_no").cast("long"), "side")
-    return slim.groupBy("file_id").applyInPandasWithState(advance, TURNS, STATE, "append", GroupStateTimeout.NoTimeout)
+    slim = messages.select("file_id", F.col("line_no").cast("long"), "side")
+    return slim.groupBy("file_id").applyInPandasWithState(advance, f"file_id {dict(slim.dtypes)['file_id']}, {TURNS}", STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+CLOSED = "turn_id long, bucket string, replies long, folded boolean"
+OPEN = "turn_id long, bucket string, replies long, folded boolean, begun boolean"
+
+
+def closed_turns(messages: DataFrame) -> DataFrame:
+    """(file_id, turn_id, bucket, replies, folded) of each turn, once it is over: at the next user message, or a row with side 'end'.
+
+    ``messages`` has file_id, line_no, side, bucket (of user messages) and conceded. Replies before any user message belong
+    to no turn. What is open is kept as five values a file.
+    """
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        turn, bucket, replies, folded, begun = state.get if state.exists else (0, None, 0, False, False)
+        rows = []
+        lines = sorted((int(n), s, b, bool(c)) for batch in batches for n, s, b, c in zip(batch["line_no"], batch["side"], batch["bucket"].fillna(""), batch["conceded"].fillna(False)))
+        for _, side, own, conceded in lines:
+            if side == "assistant":
+                replies, folded = replies + begun, folded or (begun and conceded)
+                continue
+            if begun:
+                rows.append((key[0], turn, bucket, replies, folded))
+            begun, replies, folded = side == "user", 0, False
+            turn, bucket = (turn + 1, own) if begun else (turn, None)
+        state.update((turn, bucket, replies, folded, begun))
+        yield pd.DataFrame(rows, columns=["file_id", "turn_id", "bucket", "replies", "folded"])
+
+    slim = messages.select("file_id", F.col("line_no").cast("long"), "side", F.col("bucket").cast("string"), F.col("conceded").cast("boolean"))
+    return slim.groupBy("file_id").applyInPandasWithState(advance, f"file_id {dict(slim.dtypes)['file_id']}, {CLOSED}", OPEN, "append", GroupStateTimeout.NoTimeout)
+
+
+def later_turns(promises: DataFrame, turns: DataFrame, days: int = 14, delay: str = "1 day") -> DataFrame:
+    """Each promise (promise_id, project, at) with the turns (project, at and more) of its project within ``days`` whole days, as streams.
+
+    Both streams have a watermark, so a promise is forgotten once its window is over and ``delay`` has passed.
+    """
+    p = promises.select("promise_id", F.col("project").alias("_project"), F.col("at").alias("promised")).withWatermark("promised", delay)
+    t = turns.withWatermark("at", delay)
+    ahead = (F.col("at") > F.col("promised")) & (F.col("at") < F.col("promised") + F.expr(f"interval {days + 1} days"))
+    return p.join(t, (F.col("_project") == F.col("project")) & ahead).drop("_project")
 
 
 def monthly(messages: DataFrame, time: str, delay: str = "7 days") -> DataFrame:
