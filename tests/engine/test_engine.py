@@ -248,3 +248,66 @@ def test_streams_equal_batch(spark, tmp_path):
     (folder / "two.jsonl").write_text(json.dumps(ENTRY))
     again = streaming.drained(streaming.first_seen(streaming.stream_messages(spark, str(tmp_path / "in")).filter("has_text")), str(tmp_path / "out"))
     assert again.count() == got.count()  # the copy of a message seen before stays out
+
+
+def test_turn_state_keeps_string_ids(spark, tmp_path):
+    from parlance.streaming import conversations as streaming
+
+    rows = [("box/a.jsonl", 1, "user"), ("box/a.jsonl", 2, "assistant"), ("box/b.jsonl", 1, "assistant"), ("box/a.jsonl", 3, "assistant")]
+    spark.createDataFrame(rows, "file_id string, line_no long, side string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("file_id string, line_no long, side string").parquet(f"{tmp_path}/in")
+    got = streaming.drained(streaming.turn_numbers(stream), str(tmp_path / "out"))
+    assert sorted((r.file_id, r.line_no, r.turn_id, r.depth) for r in got.collect()) == [("box/a.jsonl", 1, 1, 0), ("box/a.jsonl", 2, 1, 1), ("box/a.jsonl", 3, 1, 2), ("box/b.jsonl", 1, 0, 1)]
+
+
+def test_later_turns_as_streams(spark, tmp_path):
+    from parlance.streaming import conversations as streaming
+
+    day = datetime(2026, 1, 1)
+    promises = [(1, "p", day), (2, "q", day + timedelta(days=3))]
+    users = [("p", day, 0), ("p", day + timedelta(hours=1), 1), ("p", day + timedelta(days=15, seconds=-1), 2), ("p", day + timedelta(days=15), 3), ("q", day, 4), ("q", day + timedelta(days=4), 5)]
+    spark.createDataFrame(promises, "promise_id long, project string, at timestamp").write.parquet(f"{tmp_path}/p")
+    spark.createDataFrame(users, "project string, at timestamp, n int").write.parquet(f"{tmp_path}/u")
+    streams = [spark.readStream.schema(spark.read.parquet(f"{tmp_path}/{x}").schema).parquet(f"{tmp_path}/{x}") for x in "pu"]
+    got = streaming.drained(streaming.later_turns(*streams), str(tmp_path / "out"))
+    assert sorted((r.promise_id, r.n) for r in got.collect()) == [(1, 1), (1, 2), (2, 5)]
+
+
+def test_population_without_project(spark):
+    flags = "is_sidechain boolean, is_compact boolean, is_meta boolean, is_visible_only boolean"
+    m = spark.createDataFrame([(f, True, False, False, None, False) for f in "abc"] + [("a", True, False, False, True, False)], f"file_id string, has_text boolean, {flags}")
+    files = spark.createDataFrame([("a", "m", "r", "", "s"), ("b", "m", "r", "own", "s"), ("c", "m", "r", None, "s")], "file_id string, machine_id string, root_slug string, project string, session string")
+    told = lambda *away: sorted(r.file_id for r in turns.population(m, files, *away).collect())
+    assert told() == ["a", "b", "c"] and told("own") == ["a", "c"] and told(["own", ""]) == ["c"]
+
+
+def test_sweep_drops_spans_alone(spark):
+    m = spark.createDataFrame([("good catch and a fair point about good tests",), ("good tests",), ("good tests",), ("a good tests run",)], "text string")
+    got = {r.candidate: (r.n, r.samples) for r in audits.sweep(m, {"praise": r"\bgood \w+"}).collect()}
+    assert got == {"good tests": (4, ["a good tests run", "good catch and a fair point about good tests"])}
+
+
+def test_documents_of_tables(spark, tmp_path):
+    from parlance.sources import sinks
+
+    df = spark.createDataFrame([(1, "</script>")], "n int, s string")
+    assert sinks.markdown_table(df) == "| n | s |\n| --- | --- |\n| 1 | </script> |"
+    assert sinks.script_document("d", {"t": df}) == 'window.d = {\n "t": [\n  {\n   "n": 1,\n   "s": "<\\/script>"\n  }\n ]\n};'
+    for day in ("2026-01-01", "2026-01-02", "2026-01-02"):
+        sinks.write_partitioned(df, str(tmp_path), "box", day)
+    assert spark.read.parquet(str(tmp_path)).count() == 2
+
+
+def test_ranks_by_ranges_equal_a_sort(spark):
+    from parlance.operators import samples
+
+    r = random.Random(3)
+    rows = [(r.choice("aaaab"), r.randrange(10**6), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, o long, i long")
+    for by in (["g"], []):
+        got = {x.i for x in samples.every_nth(df, by, ["o", "i"], F.lit(9)).collect()}
+        want = set()
+        for g in "ab" if by else [None]:
+            mine = [i for h, o, i in sorted(rows, key=lambda x: x[1:]) if g in (None, h)]
+            want |= set(mine[:: max(1, len(mine) // 9)][:9])
+        assert got == want
