@@ -357,3 +357,16 @@ def test_pipeline_stages(spark, make, prose):
         docs, ids = after, kept
     assert {r.doc_id for r in p.run(spark, d).select("doc_id").distinct().collect()} == ids
     assert not decontam.find_leaks(docs, spark.read.parquet(f"{d}/benchmark.parquet")).count()
+
+
+def test_no_query_changes_the_session(spark):
+    import __spark_entry__
+
+    from parlance.llm import queries
+
+    told = lambda: dict(spark.conf.getAll)
+    before = told()
+    for name in ("op1_pii", "op3_warc", "op6_secrets", "op8_quality_rules"):
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+        assert told() == before, name
+    assert set(queries.QUERIES) <= set(__spark_entry__.queries())
