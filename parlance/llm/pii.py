@@ -23,7 +23,7 @@ CONTEXT = 48
 
 # Words that make a kind likelier.
 CONTEXT_WORDS = {
-    "email": ("mail", "contact", "write", "reply"),
+    "email": ("email", "mail", "contact", "write", "reply"),
     "ip": ("ip", "address", "host", "server"),
     "card": ("card", "visa", "mastercard", "credit", "payment"),
     "phone": ("phone", "tel", "call", "mobile", "fax"),
@@ -31,6 +31,8 @@ CONTEXT_WORDS = {
     "ssn": ("ssn", "social security", "taxpayer"),
     "routing": ("routing", "aba", "bank"),
 }
+#: The words as whole words, plurals too: "cabana" is no "aba", nor "tip" an "ip".
+NEAR = {kind: re.compile(rf"(?<![^\W_])(?:{'|'.join(words)})s?(?![^\W_])") for kind, words in CONTEXT_WORDS.items()}
 #: Score of a confirmed span without context; context adds CONTEXT_BONUS.
 START_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "routing": 0.4}
 CONTEXT_BONUS = 0.2
@@ -114,7 +116,7 @@ def scored(text: str) -> Iterator[tuple[str, int, int, float]]:
     """Spans with their score; added kinds only from MIN_SCORE on."""
     for kind, start, end in proposals(text):
         near = f"{text[max(0, start - CONTEXT):start]} {text[end:end + CONTEXT]}".lower()
-        score = min(1.0, START_SCORE[kind] + CONTEXT_BONUS * any(w in near for w in CONTEXT_WORDS[kind]))
+        score = min(1.0, START_SCORE[kind] + CONTEXT_BONUS * bool(NEAR[kind].search(near)))
         if kind in BASE or score >= MIN_SCORE:
             yield kind, start, end, score
 

@@ -53,6 +53,14 @@ def test_checksums():
     assert pii.aba("021000021") and not pii.aba("021000022") and not pii.aba("000000000")
 
 
+def test_context_is_whole_words():
+    kinds = lambda text: [k for k, *_ in pii.scored(text)]
+    assert kinds("routing 021000021") == kinds("Banks: 021000021") == kinds("021000021 (aba_no)") == ["routing"]
+    assert kinds("the cabana 021000021") == kinds("embankment 021000021") == []
+    assert kinds("SSN 123-45-6789") == ["ssn"] and kinds("assns 123-45-6789") == []
+    assert [round(x[3], 1) for x in pii.scored("tip 1.2.3.4")] == [0.6] and [round(x[3], 1) for x in pii.scored("ip 1.2.3.4")] == [0.8]
+
+
 def base_secrets(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
