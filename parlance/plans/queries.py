@@ -411,50 +411,31 @@ def _timeline(spark, d) -> tuple[DataFrame, DataFrame]:
     return told.filter("event_type = 'purchase'").select("promise_id", "project", "ts", "at"), users
 
 
-FWD = """with e as (select event_id, user_id, date_trunc('second', ts) as ts, event_type from events), m as (
+#: The whole window: WINDOW_DAYS whole days and WINDOW_TURNS turns.
+FWD = f"""with e as (select event_id, user_id, date_trunc('second', ts) as ts, event_type from events), m as (
  select p.event_id as promise_id, t.event_id as line_no, row_number() over (partition by p.event_id order by t.ts, t.event_id) as turns_later, t.event_type, floor((epoch(t.ts) - epoch(p.ts)) / 60) as mins
- from e p join e t on p.user_id = t.user_id and t.ts > p.ts and floor((epoch(t.ts) - epoch(p.ts)) / 86400) <= 4 where p.event_type = 'purchase' and t.event_type <> 'purchase')
+ from e p join e t on p.user_id = t.user_id and t.ts > p.ts and floor((epoch(t.ts) - epoch(p.ts)) / 86400) <= {followthrough.WINDOW_DAYS} where p.event_type = 'purchase' and t.event_type <> 'purchase'
+ qualify turns_later <= {followthrough.WINDOW_TURNS})
 """
 
 
-@query(FWD + "select promise_id, line_no, turns_later from m where turns_later <= 12")
+@query(FWD + "select promise_id, line_no, turns_later from m")
 def forward_window_join(spark, d):
-    promises, users = _timeline(spark, d)
-    return followthrough.forward(promises, users, 4, 12).select("promise_id", "line_no", F.col("turns_later").cast("long").alias("turns_later"))
+    return followthrough.forward(*_timeline(spark, d)).select("promise_id", "line_no", F.col("turns_later").cast("long").alias("turns_later"))
 
 
-@query(FWD + "select promise_id, min(turns_later) as turns_later from m where turns_later <= 50 and event_type = 'error' group by 1")
+@query(FWD + "select promise_id, min(turns_later) as turns_later from m where event_type = 'error' group by 1")
 def first_reraise(spark, d):
-    promises, users = _timeline(spark, d)
-    return followthrough.forward(promises, users, 4, 50).filter("event_type = 'error'").groupBy("promise_id").agg(F.min("turns_later").cast("long").alias("turns_later"))
+    return followthrough.first_marked(*_timeline(spark, d), "event_type = 'error'")
 
 
 @query(FWD + "select promise_id, turns_later as pos, case when mins < 120 then cast(mins as bigint) || 'm' when mins < 2880 then cast(floor(mins / 60) as bigint) || 'h' else cast(floor(mins / 1440) as bigint) || 'd' end as gap from m where turns_later <= 6")
 def downstream_k(spark, d):
-    promises, users = _timeline(spark, d)
-    met = followthrough.forward(promises, users, 4, 6)
-    return met.select("promise_id", F.col("turns_later").cast("long").alias("pos"), T.gap(F.col("at") - F.col("from_at")).alias("gap"))
-
-
-@query()
-def first_reraise_14d(spark, d):
-    """first_reraise over the whole window of 14 days and 5,000 turns."""
-    return followthrough.first_marked(*_timeline(spark, d), "event_type = 'error'")
-
-
-@query()
-def downstream_k_14d(spark, d):
-    """downstream_k over the whole window of 14 days: a promise's six next turns."""
+    """A promise's six next turns, the length of the view."""
     met = followthrough.forward(*_timeline(spark, d), most=6)
     return met.select("promise_id", F.col("turns_later").cast("long").alias("pos"), T.gap(F.col("at") - F.col("from_at")).alias("gap"))
 
 
-@query()
-def forward_window_join_14d(spark, d):
-    """forward_window_join over the whole window of 14 days and 5,000 turns: all pairs in it, as many as there are."""
-    return followthrough.forward(*_timeline(spark, d)).select("promise_id", "line_no", F.col("turns_later").cast("long").alias("turns_later"))
-
-
 def _promises(spark, d) -> tuple[DataFrame, DataFrame]:
     """Documents as a log: every tenth by hash promises to act and answers its own text, the others are the users' turns."""
     docs = table(spark, d, "documents").filter("text is not null")
