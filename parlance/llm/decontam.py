@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.shared import map_rows, texts_of, whole_text
+from parlance.llm.shared import discard, map_rows, stored, texts_of, whole_text
 
 #: Edits allowed for each word of an item.
 ERROR_SHARE = 0.15
@@ -176,9 +176,18 @@ def holds_any(items: Broadcast) -> Callable[[Column], Column]:
 
 
 def contaminated_flag(documents: DataFrame, benchmark: DataFrame, text_column: str = "text", flag: str = "contaminated") -> DataFrame:
-    """``documents`` with a boolean column ``flag``: whether any test item occurs in the row's text. No shuffle."""
+    """``documents`` with a boolean column ``flag``: whether any test item occurs in the row's text. No shuffle.
+
+    A benchmark of several blocks takes one pass a block, the rows being written to the shared folder in between, so that a
+    task holds one block's automaton whatever the benchmark's size. A column of the same name is replaced.
+    """
     spark = documents.sparkSession
-    out = F.lit(False)
+    out, earlier = None, []
     for block in blocks(benchmark):
-        out = out | holds_any(spark.sparkContext.broadcast(block))(whole_text(text_column))
-    return documents.withColumn(flag, out)
+        if out is not None:
+            out = stored(out, "flagged")
+            discard(*earlier)
+            earlier = [out]
+        holds = holds_any(spark.sparkContext.broadcast(block))(whole_text(text_column))
+        out = documents.withColumn(flag, holds) if out is None else out.withColumn(flag, F.col(flag) | holds)
+    return documents.withColumn(flag, F.lit(False)) if out is None else out

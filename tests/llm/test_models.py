@@ -343,6 +343,19 @@ def test_items_with_null_and_shared_ids(spark, make, prose):
     assert {r.doc_id for r in decontam.contaminated_flag(docs, benchmark).filter("contaminated").collect()} == {0, 1, 2, 3}
 
 
+def test_flag_over_several_blocks(spark, make, prose, monkeypatch):
+    """A benchmark in many blocks flags what one block flags; rows, repeated ones too, and other columns stay."""
+    items = [prose(40, 700 + k) for k in range(6)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, f"before this {t} and after it") for i, t in enumerate(items[:4])] + [(4, "nothing to be found"), (4, "nothing to be found"), (5, None), (None, items[5])]
+    docs = make(rows).selectExpr("*", "doc_id as contaminated")
+    told = lambda: sorted(map(str, decontam.contaminated_flag(docs, benchmark).collect()))
+    whole = told()
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 1)
+    assert told() == whole
+    assert len(whole) == len(rows) and sum("contaminated=True" in r for r in whole) == 5
+
+
 def test_pipeline_stages(spark, make, prose):
     import corpus_pipeline as p
 
