@@ -12,7 +12,7 @@ import base64
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -34,7 +34,24 @@ VOCABULARY = "byte_bpe_50k"
 
 #: Texts with white space other than single blanks and line ends, or with special tokens, go to the tokenizers library whole; any
 #: other text can be cut before each blank, since a blank between two other characters begins a token.
-UNUSUAL = re.compile(r"[^\S \n]|[ \n] |  | \n|^ ")
+OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
+def unusual(text: str) -> bool:
+    return "  " in text or "\n " in text or " \n" in text or text.startswith(" ") or OTHER_SPACE.search(text) is not None
+
+
+class Words(dict):
+    """The ids of words that follow a blank, encoded when first asked for; emptied when there are CACHE_WORDS of them."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        got = self[word] = self.encode(f" {word}")
+        return got
 
 
 class Ids:
@@ -51,25 +68,17 @@ class Ids:
         self.whole = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
         added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(added)) if added else None
-        self.cache: dict[str, bytes] = {}
+        self.after_blank = Words(self.word)
 
     def __call__(self, text: str) -> bytes:
-        if UNUSUAL.search(text) or self.special and self.special.search(text):
+        if unusual(text) or self.special and self.special.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.split(" ")
-        return b"".join([self.word(first), *map(self.cache_get, rest)]) if rest else self.word(first)
+        return b"".join([self.word(first), *map(self.after_blank.__getitem__, rest)]) if rest else self.word(first)
 
     def word(self, word: str) -> bytes:
         return np.array(self.fast.encode_ordinary(word), "<u4").tobytes()
 
-    def cache_get(self, word: str) -> bytes:
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            got = self.cache[word] = self.word(f" {word}")
-        return got
-
 
 class Packer:
     """Packs the documents of one task; windows are numbered from ``first``."""
