@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import codes, decontam, licences, linededup, lmscore, neardup, packing, pii, quality, secret_scan, warc, whitening
+from parlance.llm import codes, decontam, extraction, licences, linededup, lmscore, neardup, packing, pii, quality, secret_scan, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,14 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_pii": op1_pii, "op2_decontamination": op2_decontamination, "op3_warc": op3_warc, "op4_near_duplicates": op4_near_duplicates,
     "op5_line_dedup": op5_line_dedup, "op6_secrets": op6_secrets, "op7_packing": op7_packing, "op8_quality_rules": op8_quality_rules,
     "op9_lm_scores": op9_lm_scores, "op10_licences": op10_licences, "op11_whitening": op11_whitening, "op12_vector_codes": op12_vector_codes,
+    "op13_html_extraction": op13_html_extraction,
 }
 SQL: dict[str, str] = {"op5_line_dedup": linededup.SQL, "op10_licences": licences.sql(), "op12_vector_codes": codes.sql()}
