@@ -99,14 +99,11 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, width: int, n_rows: int) -> t
     return out, at
 
 
-def occurrence(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """How many equal hashes of the same row stand before each one."""
+def counted(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each hash of a row once, how often it occurs there, and its row."""
     if not len(hashes):
-        return np.zeros(0, np.int64)
-    key = mix(hashes ^ mix(rows.astype(U) + BASE))
-    order = np.argsort(key, kind="stable")
-    s = key[order]
-    new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    out = np.empty(len(s), np.int64)
-    out[order] = np.arange(len(s)) - np.repeat(new, np.diff(np.append(new, len(s))))
-    return out
+        return hashes, np.zeros(0, np.int64), rows
+    order = np.argsort(mix(hashes ^ mix(rows.astype(U) + BASE)), kind="stable")
+    h, r = hashes[order], rows[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])]))
+    return h[new], np.diff(np.append(new, len(h))), r[new]

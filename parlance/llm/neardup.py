@@ -1,9 +1,9 @@
 """Near duplicates by DartMinHash.
 
-A document is a weighted set: its runs of five words, each weighing as often as it occurs. Every element owns a region
-(its weight) x (all ranks), into which darts fall at unit density, their places given by hashes alone. A document
-receives the darts under its weights; of those with a rank under a bound set by its total weight (enough darts for all
-coordinates) it keeps the earliest per coordinate. Two documents agree in a coordinate with probability equal to
+A document is a weighted set: its runs of five words, each weighing as often as it occurs. Every element owns regions of
+(weight) x (rank), into which darts fall at unit density, their places given by hashes alone. A document receives the
+darts under its weights; of those with a rank under a bound set by its total weight (enough darts for all coordinates) it
+keeps the earliest per coordinate. Two documents agree in a coordinate with probability equal to
 their weighted Jaccard similarity. Coordinates are joined in bands; what meets in a band is verified exactly.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import hashing as H
-from parlance.llm.shared import discard, hinted, join_by_share, slices, stored, whole_text, with_small
+from parlance.llm.shared import discard, fresh, hinted, join_by_share, slices, stored, whole_text, with_small
 
 WIDTH = 5
 LEAST_SIMILARITY = 0.8
@@ -37,28 +37,40 @@ SHORT_KEYS = [f"k{i}" for i in range(BANDS)]
 SPREAD = 8
 
 
-def darts(elements: np.ndarray, cells: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> np.ndarray:
+def darts(elements: np.ndarray, weights: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> np.ndarray:
     """The hash of the earliest dart for each row and coordinate; 0 throughout for rows without elements.
 
-    ``elements[i]`` with ``cells[i]`` is one unit of weight of ``rows[i]``. The darts of a unit arrive at ranks that are
-    sums of hashed exponential steps, which is a Poisson process of unit density.
+    ``elements[i]`` weighs ``weights[i]``, any number above 0, in ``rows[i]``. An element's weights are cut into regions, [0, 1),
+    [1, 2), [2, 4) and so on. The darts of a region arrive at ranks that are sums of hashed exponential steps, as many in a
+    unit of rank as the region is wide, and each lands at a hashed weight in it; those under the element's weight are the
+    row's, so a heavier element receives all darts of a lighter one. A row has as many darts under its bound whatever its weights.
     """
     kept = np.zeros((n_rows, k), H.U)
-    unit = H.mix(elements + cells.astype(H.U) * H.BASE)
-    weight = np.bincount(rows, minlength=n_rows)
-    bound = k * (np.log(k) + 3.0) / np.maximum(weight, 1)
-    todo = weight > 0
+    last = np.ceil(np.log2(np.maximum(weights, 1.0))).astype(np.int64)
+    at_element = np.repeat(np.arange(len(elements)), last + 1)
+    region = np.arange(len(at_element)) - np.repeat(np.cumsum(last + 1) - last - 1, last + 1)
+    low, high = np.where(region > 0, 2.0 ** (region - 1), 0.0), 2.0**region
+    part = H.mix(elements[at_element] + region.astype(H.U) * H.BASE)
+    top, owner = weights[at_element].astype(np.float64), rows[at_element]
+    total = np.bincount(rows, weights, minlength=n_rows)
+    bound = np.divide(k * (np.log(k) + 3.0), total, out=np.zeros(n_rows), where=total > 0)
+    todo = total > 0
     while todo.any():
-        here = np.flatnonzero(todo[rows])
-        at, salt = rows[here], unit[here]
+        here = np.flatnonzero(todo[owner])
+        at, salt = owner[here], part[here]
         rank = np.zeros(len(here))
         got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(here):
             salt = H.mix(salt + H.BASE)
-            rank = rank - np.log1p(-((salt >> H.U(11)).astype(np.float64) * 2.0**-53))
+            rank = rank - np.log1p(-unit(salt)) / (high - low)[here]
             near = rank < bound[at]
             here, at, salt, rank = here[near], at[near], salt[near], rank[near]
-            got.append((at, salt, rank))
+            cut = np.flatnonzero(top[here] < high[here])  # of these regions the element's weight covers a part
+            under = np.ones(len(here), bool)
+            if len(cut):
+                r = here[cut]
+                under[cut] = low[r] + unit(H.mix(salt[cut] ^ H.BASE)) * (high - low)[r] < top[r]
+            got.append((at[under], salt[under], rank[under]))
         at, salt, rank = (np.concatenate(x) for x in zip(*got))
         coordinate = (H.mix(salt ^ H.STEP) % H.U(k)).astype(np.int64)
         cell = at * k + coordinate
@@ -75,11 +87,16 @@ def darts(elements: np.ndarray, cells: np.ndarray, rows: np.ndarray, n_rows: int
     return kept
 
 
+def unit(salt: np.ndarray) -> np.ndarray:
+    """Hashes as numbers from 0 up to 1."""
+    return (salt >> H.U(11)).astype(np.float64) * 2.0**-53
+
+
 def band_keys(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     """The keys of all bands, for each row of a chunk of texts; 0 for rows without words."""
     n = len(offsets) - 1
     elements, rows = H.shingles(*H.words(offsets, data), WIDTH, n)
-    sketch = darts(elements, H.occurrence(elements, rows), rows, n, BANDS * BAND_ROWS).reshape(n, BANDS, BAND_ROWS)
+    sketch = darts(*H.counted(elements, rows), n, BANDS * BAND_ROWS).reshape(n, BANDS, BAND_ROWS)
     out = np.zeros((n, BANDS), H.U)
     for j in range(BAND_ROWS):
         out = H.mix(out + sketch[:, :, j])
@@ -127,7 +144,7 @@ def with_filters(texts: DataFrame) -> DataFrame:
             weights, bits = [], []
             for _, offsets, data in H.chunks(batch.column(1)):
                 elements, rows = H.shingles(*H.words(offsets, data), WIDTH, len(offsets) - 1)
-                sketch = darts(elements, H.occurrence(elements, rows), rows, len(offsets) - 1, k)
+                sketch = darts(*H.counted(elements, rows), len(offsets) - 1, k)
                 weights.append(np.bincount(rows, minlength=len(offsets) - 1))
                 bits.append(np.packbits((sketch >> H.U(40) & H.U(1)).astype(bool), axis=1).view(np.int64))
             if bits:
@@ -296,10 +313,11 @@ def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: st
     All rows have a class, those with null ids and repeated ids too; columns stay as they are.
     """
     seen, told = classes(documents, id_column, text_column)
-    kept = told.filter("stands").select(F.col("digest").alias("_digest"), F.col("rep").alias("_rep"))
-    chosen = F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("digest") == F.col("_digest"))
-    kept = stored(seen.join(kept, chosen).groupBy("_digest", "_rep").agg(F.count("*").alias("_n")), "kept")
-    here = F.col(id_column).cast("long").eqNullSafe(F.col("_rep")) & (F.unhex(F.md5(whole_text(text_column))) == F.col("_digest"))
-    single = documents.join(hinted(kept.filter("_n = 1")), here, "left_semi")
-    several = documents.join(hinted(kept.filter("_n > 1")), here).dropDuplicates(["_digest", "_rep"]).select(*[documents[c] for c in documents.columns])
+    digest, rep, n = fresh(documents, "digest", "rep", "n")
+    kept = told.filter("stands").select(F.col("digest").alias(digest), F.col("rep").alias(rep))
+    chosen = F.col("doc_id").eqNullSafe(F.col(rep)) & (F.col("digest") == F.col(digest))
+    kept = stored(seen.join(kept, chosen).groupBy(digest, rep).agg(F.count("*").alias(n)), "kept")
+    here = F.col(id_column).cast("long").eqNullSafe(F.col(rep)) & (F.unhex(F.md5(whole_text(text_column))) == F.col(digest))
+    single = documents.join(hinted(kept.filter(F.col(n) == 1)), here, "left_semi")
+    several = documents.join(hinted(kept.filter(F.col(n) > 1)), here).dropDuplicates([digest, rep]).select(*documents.columns)
     return single.unionAll(several)

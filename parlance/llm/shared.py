@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from parlance.sources.scratch import discard, hinted, settled, shared_folder
 
-__all__ = ["BATCH_ROWS", "discard", "hinted", "join_by_share", "map_rows", "shared_folder", "slices", "stored", "texts_of", "whole_text", "with_small"]
+__all__ = ["BATCH_ROWS", "discard", "fresh", "hinted", "join_by_share", "map_rows", "shared_folder", "slices", "stored", "texts_of", "whole_text", "with_small"]
 
 #: Rows that are Python objects at once; documents can be long, so far fewer than the rows of an Arrow batch.
 BATCH_ROWS = 256
@@ -27,6 +27,15 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    prefix = "_"
+    while any(f"{prefix}{n}".lower() in taken for n in names):
+        prefix += "_"
+    return [f"{prefix}{n}" for n in names]
+
+
 def with_small(df: DataFrame, small: DataFrame, on: str, how: str = "left", row_bytes: int | Column = 64) -> DataFrame:
     """Join ``small``; it is broadcast if it was counted to be small, else both sides are shuffled."""
     return df.join(hinted(small, row_bytes), on, how)

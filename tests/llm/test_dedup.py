@@ -1,5 +1,6 @@
 """Near duplicates and line dedup against brute force."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -65,10 +66,30 @@ def test_dart_agreement_is_weighted_jaccard():
     for text in (a, b):
         (_, offsets, data), = hashing.chunks(pa.array([text]))
         e, rows = hashing.shingles(*hashing.words(offsets, data), 5, 1)
-        sketches.append(neardup.darts(e, hashing.occurrence(e, rows), rows, 1, 4096)[0])
+        sketches.append(neardup.darts(*hashing.counted(e, rows), 1, 4096)[0])
     assert abs(np.mean(sketches[0] == sketches[1]) - 396 / 596) < 0.03
 
 
+def test_dart_agreement_with_any_weights():
+    rng = np.random.default_rng(2)
+    for k in range(6):
+        e = rng.choice(2**62, 120, replace=False).astype(np.uint64)
+        x = np.exp(rng.normal(0, 2, 120)) if k % 2 else rng.integers(1, 40, 120).astype(float)
+        y = np.where(rng.random(120) < 0.6, x, x * rng.choice([0.25, 0.5, 3.0], 120))
+        x[:10], y[10:20] = 0, 0
+        own, other = x > 0, y > 0
+        a = neardup.darts(e[own], x[own], np.zeros(own.sum(), np.int64), 1, 4096)[0]
+        b = neardup.darts(e[other], y[other], np.zeros(other.sum(), np.int64), 1, 4096)[0]
+        assert abs(np.mean(a == b) - np.minimum(x, y).sum() / np.maximum(x, y).sum()) < 0.04
+    heavy = neardup.darts(e[:2], np.array([1e6, 3e5]), np.zeros(2, np.int64), 1, 64)  # no more work than with small weights
+    assert (heavy != 0).all()
+
+
+def test_counted_hashes():
+    h, rows = np.array([5, 7, 5, 5, 7], np.uint64), np.array([0, 0, 0, 1, 1])
+    assert sorted(zip(*(x.tolist() for x in hashing.counted(h, rows)))) == [(5, 1, 1), (5, 2, 0), (7, 1, 0), (7, 1, 1)]
+
+
 def test_hashed_words_keep_rows_apart():
     (_, offsets, data), = hashing.chunks(pa.array(["ab cd", None, "", "ab", " cd  ab ", "abcd"]))
     h, rows = hashing.words(offsets, data)
@@ -77,34 +98,51 @@ def test_hashed_words_keep_rows_apart():
 
 
 def brute_lines(rows):
-    first = {}
-    wins = []
-    for key in sorted({(i, t or "") for i, t in rows}, key=lambda x: (x[0] is not None, x)):
-        lines = [(k, x.strip(" \t\r\x0b\x0c")) for k, x in enumerate(key[1].split("\n"))]
+    """(doc_id, text before, text after) of each row, copies one after the other."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()))
+    first, wins = {}, []
+    for at, (_, text) in enumerate(order):
+        lines = [(k, x.strip(" \t\r\x0b\x0c")) for k, x in enumerate((text or "").split("\n"))]
         lines = [x for x in lines if x[1]]
         for k in range(len(lines) - 2):
-            wins.append((key, lines[k][0], lines[k + 2][0], tuple(x[1] for x in lines[k : k + 3])))
-    for key, a, b, w in wins:
-        first[w] = min(first.get(w, (key[0], a, b)), (key[0], a, b))
+            w = tuple(x[1] for x in lines[k : k + 3])
+            wins.append((at, lines[k][0], lines[k + 2][0], w))
+            first.setdefault(w, wins[-1])
     gone = {}
-    for key, a, b, w in wins:
-        f = first[w]
-        if key[0] != f[0] or a > f[2]:
-            gone.setdefault(key, set()).update(range(a, b + 1))
-    return {k: "\n".join(x for n, x in enumerate(k[1].split("\n")) if n not in gone.get(k, ())) for k in {(i, t or "") for i, t in rows}}
+    for at, a, b, w in wins:
+        if at != first[w][0] or a > first[w][2]:
+            gone.setdefault(at, set()).update(range(a, b + 1))
+    return [(i, t, t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(at, ()))) for at, (i, t) in enumerate(order)]
+
 
+def told(rows):
+    return Counter((i, t) for i, t in rows)
 
-def test_lines_equal_brute_force(spark, make):
+
+def test_lines_equal_brute_force(spark, make, monkeypatch):
     r = random.Random(3)
     rows = [(i, "\n".join(r.choice(["a", "b", "c", "", " d ", "e\t"]) for _ in range(r.randint(0, 14)))) for i in range(60)]
     rows += [(90, None), (91, "a\na\na\na\na"), (92, "p\nq\nr\nq\np\nq\nr")]
-    want = brute_lines(rows)
+    again = [(i % 7 if i % 3 else None, t) for i, t in rows] + rows[:9] * 2 + [(None, "x\ny\nz")] * 3 + [(1, "x\ny\nz\nmore"), (1, "\nx\n\ny\nz\n")]
+    for data in (rows, again):
+        for keys in (linededup.HOT_KEYS, 1):  # all windows are hot, or none
+            monkeypatch.setattr(linededup, "HOT_KEYS", keys)
+            got = linededup.dedup_lines(make(data)).collect()
+            assert told((x.doc_id, x.text) for x in got) == told((i, after) for i, _, after in brute_lines(data))
+            for x in got:
+                assert x.n_lines - x.n_removed <= len((x.text or "").split("\n")) and (x.n_removed == 0 or x.text is not None)
+
+
+def test_lines_equal_their_sql(spark, make):
+    import duckdb
+
+    w = "one line\ntwo line\nthree line"
+    rows = [(1, w), (1, f"{w}\nmore"), (None, f"{w}\nothers"), (None, w), (None, w), (2, w), (2, w), (3, None), (4, ""), (4, f"\n{w}\n")]
+    documents = make(rows).toPandas().astype({"doc_id": "Int64"})  # noqa: F841
+    want = duckdb.sql(linededup.SQL).fetchall()
     got = linededup.dedup_lines(make(rows)).collect()
-    assert len(got) == len(rows)
-    for row in got:
-        before = dict(rows)[row.doc_id]
-        assert (row.text or "") == want[row.doc_id, before or ""]
-    assert next(x for x in got if x.doc_id == 90).text is None
+    assert Counter((x.doc_id, x.n_lines, x.n_removed, x.text) for x in got) == Counter((a, b, c, e) for a, b, c, _, e in want)
+    assert sum(x.n_removed == 0 for x in got) == 3  # the first with the lines, the null and the empty text
 
 
 def test_line_dedup_awkward(spark, make, awkward):
@@ -116,6 +154,20 @@ def test_line_dedup_awkward(spark, make, awkward):
     assert linededup.dedup_lines(make([])).count() == 0
 
 
+def test_any_column_name_is_kept(spark, prose):
+    """Columns named like every internal one of the stages that keep the documents' columns."""
+    lines = "one line\ntwo line\nthree line"
+    text = prose(60, 4)
+    names = ["id", "version", "gone_id", "gone_version", "covered", "copy", "rank", "least", "digest", "rep", "n", "contaminated", "key", "hot", "Covered"]
+    rows = [(1, lines), (1, lines), (2, f"{lines}\nx"), (3, text), (4, f"{text} more"), (None, None), (1, f"{lines} {text}")]
+    for prefix in ("_", "__", ""):
+        extra = list(dict.fromkeys(f"{prefix}{x}".lower() for x in names))
+        docs = spark.createDataFrame([(i, t, *range(len(extra))) for i, t in rows], ", ".join(["doc_id long", "text string", *(f"{x} int" for x in extra)]))
+        for out, n in ((linededup.dedup_lines(docs), 7), (neardup.one_of_each(docs), 4)):
+            got = out.collect()
+            assert len(got) == n and all([r[x] for x in extra] == list(range(len(extra))) for r in got)
+
+
 def test_families_around_the_threshold_in_many_turns(spark, make, prose, monkeypatch):
     """Copies between 0.3 and 0.96 alike, most linked through few others; small turns, so that many are needed."""
     monkeypatch.setattr(neardup, "SPREAD", 2)
