@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import decontam, linededup, neardup, packing, quality
-from parlance.llm.shared import stored
+from parlance.llm.shared import fresh, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a test item of the benchmark."""
-    flagged = decontam.contaminated_flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), flag="_contaminated")
-    return flagged.filter("not _contaminated").drop("_contaminated")
+    (flag,) = fresh(docs, "contaminated")
+    flagged = decontam.contaminated_flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), flag=flag)
+    return flagged.filter(~F.col(flag)).drop(flag)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
