@@ -11,6 +11,8 @@ from parlance.operators import calibration, checks, constructs, matches, turns,
 from parlance.plans import stats_plans
 from parlance.plans.queries import HITS, MSG, PROBE, QUERIES, SQL, _hits, count_sql, messages, query, table, wilson_sql
 from parlance.streaming import conversations as streaming
+from parlance.streaming import stateful
+from parlance.streaming.ordered import stateful_session
 from parlance.sources.scratch import shared_folder
 
 __all__ = ["QUERIES", "SQL"]
@@ -248,18 +250,56 @@ def stream_dedup_repeats(spark, d):
     return streaming.drained(streaming.first_seen(s), shared_folder(spark, "dedup"))
 
 
+def _landed(spark, rows: DataFrame, name: str, ends: bool = False) -> DataFrame:
+    """``rows`` (file_id, line_no, side, at and more) as a stream; a last row of each file says that it is over, and one far ahead moves the watermark."""
+    own, folder = stateful_session(spark), shared_folder(spark, name)
+    blank = {c: F.lit(None).cast(t) for c, t in rows.dtypes}
+    last = rows.groupBy("file_id").agg((F.max("line_no") + 1).alias("line_no"), (F.max("at") + F.expr("interval 1 minute")).alias("at")).withColumn("side", F.lit("end"))
+    beat = rows.agg(F.lit(-1).cast(dict(rows.dtypes)["file_id"]).alias("file_id"), F.lit(0).cast("long").alias("line_no"), (F.max("at") + F.expr("interval 1 year")).alias("at")).withColumn("side", F.lit("assistant"))
+    filled = lambda df: df.select(*[F.col(c) if c in df.columns else blank[c].alias(c) for c in rows.columns])
+    every = rows.unionByName(filled(last)).unionByName(filled(beat)) if ends else rows.unionByName(filled(beat))
+    every.write.parquet(f"{folder}/in")
+    return own.readStream.schema(every.schema).parquet(f"{folder}/in")
+
+
+def _timed(told: DataFrame) -> DataFrame:
+    return told.withColumns({"line_no": F.col("line_no").cast("long"), "at": F.to_timestamp("ts")})
+
+
 @query(MSG + ", r as (select *, row_number() over (partition by file_id order by line_no desc) as back from probed) select file_id, turn_id, max(user_bucket) as bucket, count(*) filter (where side = 'assistant') as replies, coalesce(bool_or(conceded), false) as folded from r where turn_id > 0 group by 1, 2")
 def stream_closed_turns(spark, d):
     """Turns as they close; a last row of each conversation says that it is over."""
     from parlance.plans.queries import probed
 
-    told = probed(spark, d).select("file_id", F.col("line_no").cast("long").alias("line_no"), "side", "bucket", "conceded")
-    ends = told.groupBy("file_id").agg((F.max("line_no") + 1).alias("line_no")).select("file_id", "line_no", F.lit("end").alias("side"), F.lit(None).cast("string").alias("bucket"), F.lit(False).alias("conceded"))
-    folder = shared_folder(spark, "turns")
-    every = told.unionByName(ends)
-    every.write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(every.schema).parquet(f"{folder}/in")
-    return streaming.drained(streaming.closed_turns(stream), f"{folder}/out")
+    told = _timed(probed(spark, d)).select("file_id", "line_no", "side", "at", "bucket", "conceded")
+    out = streaming.drained(stateful.closed_turns(_landed(spark, told, "turns", ends=True), "1 hour"), shared_folder(spark, "closed-turns"))
+    return out.filter("late_line is null and file_id >= 0").drop("late_line")
+
+
+@query(MSG + """, w as (select distinct file_id, line_no, unnest(regexp_extract_all(norm, '[a-z]{4,}')) as word from msg where side = 'user'), kept as (select * from w where word not in (STOP)),
+size as (select file_id, line_no, count(*) as n from kept group by all),
+pair as (select a.file_id, a.line_no, b.line_no as before, count(*) as k from kept a join kept b on a.file_id = b.file_id and a.word = b.word and b.line_no < a.line_no group by all),
+best as (select p.file_id, p.line_no, max(k / (s.n + t.n - k)) as best from pair p join size s on p.file_id = s.file_id and p.line_no = s.line_no join size t on p.file_id = t.file_id and p.before = t.line_no group by all),
+usr2 as (select u.file_id, u.turn_id, coalesce(round(best, 3), 0.0) as similarity from deep u left join best using (file_id, line_no) where u.side = 'user')
+select p.file_id, p.line_no, p.turn_id, p.depth, p.user_bucket, u.similarity as user_similarity from probed p left join usr2 u using (file_id, turn_id)""".replace("STOP", ", ".join(f"'{w}'" for w in T.STOP_WORDS)))
+def stream_carried_context(spark, d):
+    """What each message carries of its turn, from state: the bucket by the probe's words, the similarity to all earlier user messages."""
+    from parlance.plans.queries import probed
+
+    told = _timed(probed(spark, d)).select("file_id", "line_no", "side", "at", "bucket", F.when(F.col("side") == "user", T.content_words(F.col("norm"))).alias("words"))
+    none = F.array().cast("array<string>")
+    stream = _landed(spark, told, "messages").withColumns({"triggers": none, "directed": F.lit(False), "repeat_markers": none, "unauthorized_markers": none})
+    out = streaming.drained(stateful.carried_context(stream, "1 hour"), shared_folder(spark, "carried"))
+    return out.filter("not late and file_id >= 0").select("file_id", "line_no", "turn_id", "depth", "user_bucket", "user_similarity")
+
+
+@query("select strftime(ts, '%Y-%m') as month, event_type as side, count(*) as n from events group by 1, 2")
+def stream_months(spark, d):
+    """Events by calendar month and type; one far ahead, of no type, moves the watermark."""
+    told = table(spark, d, "events").select(F.col("event_id").alias("file_id"), F.lit(0).cast("long").alias("line_no"), F.col("event_type").alias("side"), F.col("ts").cast("timestamp").alias("at"))
+    stream = _landed(spark, told, "events").withColumn("side", F.when(F.col("file_id") >= 0, F.col("side")))
+    out = streaming.drained(stateful.monthly(stream, "at"), shared_folder(spark, "months"))
+    return out.filter("side is not null")
 
 
 # ---- the default dictionary on known sentences

@@ -1,4 +1,4 @@
-"""Streaming twins: messages as they arrive, first occurrences, and turns with their state."""
+"""Streaming twins that need one kind of state: messages as they arrive, first occurrences, turn numbers, the forward window as a join."""
 
 from __future__ import annotations
 
@@ -55,36 +55,6 @@ def turn_numbers(messages: DataFrame) -> DataFrame:
     return slim.groupBy("file_id").applyInPandasWithState(advance, f"file_id {dict(slim.dtypes)['file_id']}, {TURNS}", STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-CLOSED = "turn_id long, bucket string, replies long, folded boolean"
-OPEN = "turn_id long, bucket string, replies long, folded boolean, begun boolean"
-
-
-def closed_turns(messages: DataFrame) -> DataFrame:
-    """(file_id, turn_id, bucket, replies, folded) of each turn, once it is over: at the next user message, or a row with side 'end'.
-
-    ``messages`` has file_id, line_no, side, bucket (of user messages) and conceded. Replies before any user message belong
-    to no turn. What is open is kept as five values a file.
-    """
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turn, bucket, replies, folded, begun = state.get if state.exists else (0, None, 0, False, False)
-        rows = []
-        lines = sorted((int(n), s, b, bool(c)) for batch in batches for n, s, b, c in zip(batch["line_no"], batch["side"], batch["bucket"].fillna(""), batch["conceded"].fillna(False)))
-        for _, side, own, conceded in lines:
-            if side == "assistant":
-                replies, folded = replies + begun, folded or (begun and conceded)
-                continue
-            if begun:
-                rows.append((key[0], turn, bucket, replies, folded))
-            begun, replies, folded = side == "user", 0, False
-            turn, bucket = (turn + 1, own) if begun else (turn, None)
-        state.update((turn, bucket, replies, folded, begun))
-        yield pd.DataFrame(rows, columns=["file_id", "turn_id", "bucket", "replies", "folded"])
-
-    slim = messages.select("file_id", F.col("line_no").cast("long"), "side", F.col("bucket").cast("string"), F.col("conceded").cast("boolean"))
-    return slim.groupBy("file_id").applyInPandasWithState(advance, f"file_id {dict(slim.dtypes)['file_id']}, {CLOSED}", OPEN, "append", GroupStateTimeout.NoTimeout)
-
-
 def later_turns(promises: DataFrame, turns: DataFrame, days: int = 14, delay: str = "1 day") -> DataFrame:
     """Each promise (promise_id, project, at) with the turns (project, at and more) of its project within ``days`` whole days, as streams.
 
@@ -96,11 +66,6 @@ def later_turns(promises: DataFrame, turns: DataFrame, days: int = 14, delay: st
     return p.join(t, (F.col("_project") == F.col("project")) & ahead).drop("_project")
 
 
-def monthly(messages: DataFrame, time: str, delay: str = "7 days") -> DataFrame:
-    """Messages of each window of 30 days and side, as a stream with a watermark."""
-    return messages.withWatermark(time, delay).groupBy(F.window(time, "30 days").alias("span"), "side").agg(F.count("*").alias("n"))
-
-
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """What a stream gives of all that has landed so far, as a table in ``folder``; its checkpoint lies beside it."""
     spark = stream.sparkSession
