@@ -29,6 +29,8 @@ BANDS, BAND_ROWS = 24, 4
 #: 1024 on average; more than MOST_UNEQUAL are 4.5 standard deviations away, a probability of 5e-6.
 FILTER_BITS, MOST_UNEQUAL = 1024, 146
 FILTER = [f"w{i}" for i in range(FILTER_BITS // 64)]
+#: Strips that a region of weight from one power of two to the next is cut into, at most.
+STRIPS = 64
 #: Shingles that a task remembers while it compares texts.
 HELD_SHINGLES = 1_000_000
 #: The band keys of a document in 32 bits, to tell in which band a pair meets first.
@@ -37,43 +39,66 @@ SHORT_KEYS = [f"k{i}" for i in range(BANDS)]
 SPREAD = 8
 
 
+def regions(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The regions of weight that elements reach into: (element, number of the region, low, width).
+
+    Regions are [0, 1), then strips of [1, 2), [2, 4), [4, 8) and so on, at most STRIPS of each, so that an element has no
+    more of them than some dozens of times the logarithm of its weight. Region 0 of all elements comes first, in their order.
+    """
+    n = len(weights)
+    out = [(np.arange(n), np.zeros(n, np.int64), np.zeros(n), np.ones(n))]
+    heavy, low, number = np.flatnonzero(weights > 1), 1.0, 1
+    while len(heavy):
+        strips = int(min(low, STRIPS))
+        width = low / strips
+        element, strip = np.repeat(heavy, strips), np.tile(np.arange(strips), len(heavy))
+        reached = low + strip * width < weights[element]
+        element, strip = element[reached], strip[reached]
+        out.append((element, number + strip, low + strip * width, np.full(len(strip), width)))
+        low, number = 2 * low, number + strips
+        heavy = heavy[weights[heavy] > low]
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def darts(elements: np.ndarray, weights: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> np.ndarray:
     """The hash of the earliest dart for each row and coordinate; 0 throughout for rows without elements.
 
-    ``elements[i]`` weighs ``weights[i]``, any number above 0, in ``rows[i]``. An element's weights are cut into regions, [0, 1),
-    [1, 2), [2, 4) and so on. The darts of a region arrive at ranks that are sums of hashed exponential steps, as many in a
-    unit of rank as the region is wide, and each lands at a hashed weight in it; those under the element's weight are the
-    row's, so a heavier element receives all darts of a lighter one. A row has as many darts under its bound whatever its weights.
+    ``elements[i]`` weighs ``weights[i]``, any number above 0, in ``rows[i]``. The darts of a region arrive at ranks that are sums
+    of hashed exponential steps, as many in a unit of rank as the region is wide, and each lands at a hashed weight in it;
+    those under the element's weight are the row's, so a heavier element receives all darts of a lighter one. A row has as
+    many darts under its bound whatever its weights.
     """
     kept = np.zeros((n_rows, k), H.U)
-    last = np.ceil(np.log2(np.maximum(weights, 1.0))).astype(np.int64)
-    at_element = np.repeat(np.arange(len(elements)), last + 1)
-    region = np.arange(len(at_element)) - np.repeat(np.cumsum(last + 1) - last - 1, last + 1)
-    low, high = np.where(region > 0, 2.0 ** (region - 1), 0.0), 2.0**region
-    part = H.mix(elements[at_element] + region.astype(H.U) * H.BASE)
-    top, owner = weights[at_element].astype(np.float64), rows[at_element]
+    element, number, low, width = regions(weights)
+    salts = elements[element]
+    salts[len(elements) :] += number[len(elements) :].astype(H.U) * H.BASE
+    salts = H.mix(H.mix(salts) + H.BASE)  # of the first dart of each region
+    owner, first = rows[element], unit(salts)
+    covered = (weights[element] - low) / width  # the share of the region under the element's weight, 1 or more: all of it
+    partly, wide = covered < 1, bool((width != 1).any())
+    parts = bool(partly.any())
     total = np.bincount(rows, weights, minlength=n_rows)
     bound = np.divide(k * (np.log(k) + 3.0), total, out=np.zeros(n_rows), where=total > 0)
     todo = total > 0
     while todo.any():
-        here = np.flatnonzero(todo[owner])
-        at, salt = owner[here], part[here]
-        rank = np.zeros(len(here))
+        # most regions have no dart under a low bound, which their first hash tells before its step is worked out
+        limit = np.where(todo, bound, -1.0)[owner]
+        here = np.flatnonzero(first < -np.expm1(-limit * width))
+        salt, at, most, rank = salts[here], owner[here], limit[here], np.zeros(len(here))
         got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(here):
+            step = np.log1p(-unit(salt))
+            rank = rank - (step / width[here] if wide else step)
+            near = rank < most
+            here, at, salt, rank, most = here[near], at[near], salt[near], rank[near], most[near]
+            got.append((at, salt, rank))
+            if parts and len(some := np.flatnonzero(partly[here])):
+                out = np.ones(len(here), bool)
+                out[some] = unit(H.mix(salt[some] ^ H.BASE)) < covered[here[some]]
+                got[-1] = (at[out], salt[out], rank[out])
             salt = H.mix(salt + H.BASE)
-            rank = rank - np.log1p(-unit(salt)) / (high - low)[here]
-            near = rank < bound[at]
-            here, at, salt, rank = here[near], at[near], salt[near], rank[near]
-            cut = np.flatnonzero(top[here] < high[here])  # of these regions the element's weight covers a part
-            under = np.ones(len(here), bool)
-            if len(cut):
-                r = here[cut]
-                under[cut] = low[r] + unit(H.mix(salt[cut] ^ H.BASE)) * (high - low)[r] < top[r]
-            got.append((at[under], salt[under], rank[under]))
-        at, salt, rank = (np.concatenate(x) for x in zip(*got))
-        coordinate = (H.mix(salt ^ H.STEP) % H.U(k)).astype(np.int64)
-        cell = at * k + coordinate
+        at, salt, rank = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64), np.zeros(0, H.U), np.zeros(0))
+        cell = at * k + (H.mix(salt ^ H.STEP) % H.U(k)).astype(np.int64)
         earliest = np.full(n_rows * k, np.inf)
         np.minimum.at(earliest, cell, rank)
         kept_here = rank == earliest[cell]
