@@ -57,9 +57,9 @@ def first_occurrence(df: DataFrame, key: str = "fingerprint", order: tuple[str,
     return df.join(first, at, "left").filter(F.col("_key").isNotNull() | F.col(key).isNull()).drop("_key", *[f"_{c}" for c in order])
 
 
-def running_count(df: DataFrame, flag: Column, out: str, keys: tuple[str, ...] = ("file_id",), order: str = "line_no") -> DataFrame:
-    """``df`` with the count of flagged rows up to each row, in order within its keys."""
-    told = df.withColumns({"_seg": F.floor(F.col(order) / SEGMENT), "_flag": F.when(flag, 1).otherwise(0).cast("long")})
+def running_count(df: DataFrame, flag: Column, out: str, keys: tuple[str, ...] = ("file_id",), order: str = "line_no", segment: int | None = None) -> DataFrame:
+    """``df`` with the count of flagged rows up to each row, in order within its keys; ``segment`` is how much of the order is sorted at once."""
+    told = df.withColumns({"_seg": F.floor(F.col(order) / (segment or SEGMENT)), "_flag": F.when(flag, 1).otherwise(0).cast("long")})
     sums = told.groupBy(*keys, "_seg").agg(F.sum("_flag").alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("_before", before).drop("_sum")

@@ -6,7 +6,7 @@ others are kept (filters belong to queries).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import collapse, fingerprint, strip_wrappers
@@ -64,18 +64,31 @@ def messages_of(lines: DataFrame) -> DataFrame:
     return told.withColumns({"has_text": F.col("text") != "", "text_len": F.length("text"), "text": F.when(F.col("text") != "", F.col("text"))})
 
 
+def read_lines(spark: SparkSession, root: str) -> DataFrame:
+    """(path, line_no, value) of every line of the transcripts under ``root``, from 1, blank ones included. AppleDouble files are skipped.
+
+    Files of any size: Spark reads them in blocks, of which each row tells the first byte; lines are counted within blocks,
+    then over the blocks of a file, so that no file is read whole and nothing but a row for each block is shuffled.
+    """
+    raw = spark.read.text(root, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
+    lines = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    lines = lines.filter(~F.element_at(F.split("path", "/"), -1).startswith("._"))
+    blocks = lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = hinted(blocks.select("path", "block", "first", before.alias("before")), 512)
+    return lines.join(placed, ["path", "block"]).select("path", (F.col("id") - F.col("first") + F.col("before") + 1).alias("line_no"), "value")
+
+
 def read_messages(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
     """messages of all transcripts under ``root``, or of those in ``files`` alone. AppleDouble files are skipped.
 
-    A file is read whole, which gives line numbers, and its id is its path: nothing is shuffled. A transcript must be
-    under 2 GB.
+    A file's id is its path. Files may have any size, see :func:`read_lines`.
     """
-    whole = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl").withColumn("path", F.col("_metadata.file_path"))
-    whole = whole.filter(~F.element_at(F.split("path", "/"), -1).startswith("._")).select(path_columns(F.col("path"), root)["relpath"].alias("file_id"), "value")
+    lines = read_lines(spark, root)
+    lines = lines.select(path_columns(F.col("path"), root)["relpath"].alias("file_id"), "line_no", "value").filter(F.trim("value") != "")
     if files is not None:
-        whole = whole.join(hinted(files.select("file_id"), 512), "file_id", "left_semi")
-    lines = whole.select("file_id", F.posexplode(F.split("value", "\n", -1)).alias("at", "value")).filter(F.trim("value") != "")
-    return messages_of(lines.select("file_id", (F.col("at") + 1).alias("line_no"), "value"))
+        lines = lines.join(hinted(files.select("file_id"), 512), "file_id", "left_semi")
+    return messages_of(lines)
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
