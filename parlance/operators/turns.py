@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from parlance.functions import dictionary as D
 from parlance.functions.lexicon import Lexicon, correction, markers, shouts
 from parlance.functions.text import content_words, normalize, strip_code
+from parlance.sources.scratch import settled
 
 #: Lines of a file in one segment.
 SEGMENT = 4096
+#: Earlier messages that a message is compared with first.
+LOOKED = 8
 
 
 #: Flags of entries that nobody wrote.
@@ -93,18 +96,55 @@ def next_reply(turns: DataFrame, text: str = "text") -> DataFrame:
     return at.join(told, ["file_id", "line_no"], "left").select("file_id", "turn_id", "reply")
 
 
+def ordered_words(users: DataFrame, words: str = "words") -> DataFrame:
+    """(file_id, line_no, n, words, before): distinct words, those of the fewest messages of the file first; the last earlier lines with one of the LOOKED rarest."""
+    long = users.select("file_id", "line_no", F.explode(F.array_distinct(words)).alias("word"))
+    holders = Window.partitionBy("file_id", "word")
+    told = long.withColumns({"df": F.count("*").over(holders), "last": F.lag("line_no").over(holders.orderBy("line_no"))})
+    rare = F.sort_array(F.collect_list(F.struct("df", "word", "last")))
+    each = told.groupBy("file_id", "line_no").agg(rare.alias("w"))
+    seen = F.slice(F.array_distinct(F.transform(F.filter("w", lambda x: x["last"].isNotNull()), lambda x: x["last"])), 1, LOOKED)
+    return each.select("file_id", "line_no", F.size("w").alias("n"), F.transform("w", lambda x: x["word"]).alias("words"), seen.alias("before"))
+
+
+def compared_words(pairs: DataFrame, told: DataFrame) -> DataFrame:
+    """(file_id, line_no, before, similarity) of ``pairs`` (file_id, line_no, before): the Jaccard similarity of their words."""
+    one = told.select("file_id", "line_no", "n", "words")
+    other = told.select("file_id", F.col("line_no").alias("before"), F.col("n").alias("m"), F.col("words").alias("others"))
+    k = F.size(F.array_intersect("words", "others"))
+    return pairs.join(one, ["file_id", "line_no"]).join(other, ["file_id", "before"]).select("file_id", "line_no", "before", (k / (F.col("n") + F.col("m") - k)).alias("similarity"))
+
+
+def more_alike(told: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Distinct pairs (file_id, line_no, before) that may be more alike than ``bounds`` (file_id, line_no, bound, above 0) tells.
+
+    With more than bound x n of its n words in common, a message shares one of its n - floor(bound x n) rarest with the other's as
+    many; sizes must be near enough, and from the place of a shared word on enough words must be left.
+    """
+    least = lambda size: F.floor(F.col("bound") * size - 1e-9)  # noqa: E731  a little less, for what division has rounded
+    ahead = told.join(bounds, ["file_id", "line_no"]).select("file_id", "line_no", "n", "bound", F.posexplode(F.expr("slice(words, 1, cast(n - greatest(0, floor(bound * n - 1e-9)) as int))")).alias("i", "word"))
+    index = told.select("file_id", F.col("line_no").alias("before"), F.col("n").alias("m"), F.posexplode("words").alias("j", "word"))
+    left = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    enough = left > F.col("bound") / (1 + F.col("bound")) * (F.col("n") + F.col("m")) - 1e-9
+    near = (F.col("m") > F.col("bound") * F.col("n") - 1e-9) & (F.col("n") > F.col("bound") * F.col("m") - 1e-9)
+    met = ahead.join(index, ["file_id", "word"]).filter((F.col("before") < F.col("line_no")) & (F.col("j") < F.col("m") - F.greatest(F.lit(0), least(F.col("m")))) & near & enough)
+    return met.select("file_id", "line_no", "before").distinct()
+
+
 def prior_similarity(users: DataFrame, words: str = "words") -> DataFrame:
-    """(file_id, line_no, similarity): the highest Jaccard similarity of a user message's words to an earlier one's, 3 decimals.
+    """(file_id, line_no, similarity): the highest Jaccard similarity of a user message's words to any earlier one's, 3 decimals.
 
-    Only pairs that share a word are met, by joining on it; the pairs of a file grow with the square of its user messages,
-    which is what is asked for.
+    A bound first: each message is compared with the last ones that hold one of its rarest words, a handful at most. Then only
+    with those that may be more alike, by prefixes of rare words, sizes and places (:func:`more_alike`). Frequent words, which
+    most messages of a long file share, are met by messages that nothing else is like.
     """
-    slim = users.select("file_id", "line_no", F.array_distinct(words).alias("words")).withColumn("n", F.size("words"))
-    long = slim.select("file_id", "line_no", "n", F.explode("words").alias("word"))
-    earlier = long.select("file_id", "word", F.col("line_no").alias("before"), F.col("n").alias("m"))
-    shared = long.join(earlier, ["file_id", "word"]).filter("before < line_no").groupBy("file_id", "line_no", "before").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
-    best = shared.groupBy("file_id", "line_no").agg(F.max(F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("best"))
-    return slim.join(best, ["file_id", "line_no"], "left").select("file_id", "line_no", F.round(F.coalesce("best", F.lit(0.0)), 3).alias("similarity"))
+    slim = users.select("file_id", "line_no", words)
+    told = settled(ordered_words(slim, words), "ordered-words")
+    first = settled(compared_words(told.select("file_id", "line_no", F.explode("before").alias("before")), told), "first-similarities")
+    bounds = first.groupBy("file_id", "line_no").agg(F.max("similarity").alias("bound")).filter("bound > 0 and bound < 1")
+    rest = more_alike(told, bounds).join(first, ["file_id", "line_no", "before"], "left_anti")
+    best = first.drop("before").unionByName(compared_words(rest, told).drop("before")).groupBy("file_id", "line_no").agg(F.max("similarity").alias("best"))
+    return slim.select("file_id", "line_no").join(best, ["file_id", "line_no"], "left").select("file_id", "line_no", F.round(F.coalesce("best", F.lit(0.0)), 3).alias("similarity"))
 
 
 def classified(users: DataFrame, lexicon: Lexicon | None = None, by_sentence: bool = True) -> DataFrame:
