@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import dictionary as D
+from parlance.functions.bloom import held_rows
 from parlance.functions.lexicon import unicode
 from parlance.functions.text import content_words, gap, normalize, parse_ts
 from parlance.sources.scratch import settled
@@ -28,10 +31,14 @@ def timeline(users: DataFrame) -> DataFrame:
     return told.select("project", "session", "file_id", "line_no", "ts", "at", F.substring("full", 1, 1500).alias("norm"), content_words(F.col("full"), 2).alias("words"))
 
 
-def vocabulary(docs: DataFrame, group: str = "project", words: str = "words", ambient: float = AMBIENT, rare: float = RARE) -> DataFrame:
-    """group, word, df, n, is_ambient, is_rare: in how many of a group's n rows a word occurs. ``words`` has no repeats."""
+def vocabulary(docs: DataFrame, group: str = "project", words: str = "words", ambient: float = AMBIENT, rare: float = RARE, only: DataFrame | None = None) -> DataFrame:
+    """group, word, df, n, is_ambient, is_rare: in how many of a group's n rows a word occurs. ``words`` has no repeats.
+
+    With ``only`` (group, word) the words of its rows are told, and perhaps a few others; the rest are left out before they move.
+    """
     n = docs.groupBy(group).agg(F.count("*").alias("n"))
-    df = docs.select(group, F.explode(words).alias("word")).groupBy(group, "word").agg(F.count("*").alias("df"))
+    said = docs.select(group, F.explode(words).alias("word"))
+    df = (said if only is None else held_rows(said, only, group, "word")).groupBy(group, "word").agg(F.count("*").alias("df"))
     told = df.join(n, group)
     return told.withColumns({"is_ambient": F.col("df") / F.col("n") > ambient, "is_rare": F.col("df") <= F.greatest(F.lit(2), F.floor(F.lit(rare) * F.col("n")))})
 
@@ -100,33 +107,54 @@ def placed(promises: DataFrame, turns: DataFrame, days: int = WINDOW_DAYS, most:
     return promises.join(edges, "promise_id", "left"), turns.join(at, ["project", "file_id", "line_no"])
 
 
-def follow_through(promises: DataFrame, users: DataFrame, variant: str = "full") -> DataFrame:
-    """Label and evidence of each promise.
+@dataclass(frozen=True)
+class Evidence:
+    """What labels are told from, whatever the rules: promises with their place, their trigger words, the turns that meet them, all turns."""
+
+    promises: DataFrame
+    words: DataFrame
+    met: DataFrame
+    turns: DataFrame
+
+
+def evidence(promises: DataFrame, users: DataFrame) -> Evidence:
+    """``promises``: promise_id, project, session, ts, text, trigger (the user text answered), one row each; ``users`` as for
+    :func:`timeline`, (project, file_id, line_no) being unique.
 
-    ``promises``: promise_id, project, session, ts, text, trigger (the user text answered), one row each; ``users`` as for
-    :func:`timeline`, (project, file_id, line_no) being unique. Labels: ineligible (no commitment), unobserved (under 20
-    later turns, or under 4 distinctive trigger words), not_honored (raised again), honored. Evidence is the first explicit
-    turn, else the first of any path. A turn can only raise a promise again if it has a marker or shares rare words, so
-    promises meet turns by joins on (project, word) with one of both given; nothing is gathered by project.
+    A turn can only raise a promise again if it has a marker or shares rare words, so promises meet turns by joins on
+    (project, word) with one of both given; nothing is gathered by project. Of all that was said only words that some promise
+    waits for are counted, and only those that aren't ambient meet one: Bloom filters tell before anything is shuffled.
     """
     # the flags are settled with the text, as beside an explode they would be told anew for every word
     flags = {"again": F.col("norm").rlike(unicode(D.RERAISE)), "complains": F.col("norm").rlike(unicode(D.COMPLAINT)), "quotes": F.col("norm").rlike(D.QUOTEBACK)}
     quoted = F.substring("norm", 1, 160).alias("quote")
     turns = settled(timeline(users).withColumns(flags).select("project", "session", "file_id", "line_no", "ts", "at", *flags, "words", quoted), "timeline")
-    vocab = vocabulary(turns).select("project", "word", "is_ambient", "is_rare")
     told = promises.withColumns({"at": F.unix_timestamp(parse_ts(F.col("ts"))), "eligible": commits(F.coalesce("text", F.lit("")))})
-    words = told.filter("eligible").select("promise_id", "project", F.explode(content_words(normalize(F.coalesce("trigger", F.lit(""))), 2)).alias("word"))
+    words = settled(told.filter("eligible").select("promise_id", "project", F.explode(content_words(normalize(F.coalesce("trigger", F.lit(""))), 2)).alias("word")), "said-words")
+    vocab = vocabulary(turns, only=words).select("project", "word", "is_ambient", "is_rare")
     distinct = words.join(vocab, ["project", "word"], "left").filter("not coalesce(is_ambient, false)").withColumn("is_rare", F.coalesce("is_rare", F.lit(False)))
     distinct = settled(distinct.select("promise_id", "project", "word", "is_rare"), "trigger-words")
     marked, line = placed(told, turns.filter("not quotes").select("project", "file_id", "line_no", "ts", "at", "again", "complains", "words"))
     # trigger words are not ambient, so the words that a turn shares with them need no look at the vocabulary
     # turns with a marker meet all trigger words, other turns the rare ones alone
     scope = F.explode(F.when(F.col("is_rare"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("again")
-    trigger = distinct.join(marked.select("promise_id", "first", "last"), "promise_id").select("*", scope)
+    scoped = distinct.select("*", scope)
+    trigger = scoped.join(marked.select("promise_id", "first", "last"), "promise_id")
     spoken = line.select("project", "place", "file_id", "line_no", "again", "complains", F.explode("words").alias("word"))
+    spoken = held_rows(spoken, scoped, "project", "word", "again")
     met = trigger.join(spoken, ["project", "word", "again"]).filter((F.col("place") > F.col("first")) & (F.col("place") <= F.col("last")))
     carried = [F.first(c).alias(c) for c in ("again", "complains", "first", "file_id", "line_no")]
     met = met.groupBy("promise_id", "project", "place").agg(F.count("*").alias("n"), F.sum(F.col("is_rare").cast("long")).alias("few"), *carried)
+    return Evidence(marked, distinct, settled(met.filter("again and n >= 2 or few >= 2"), "met"), turns)
+
+
+def labels(found: Evidence, variant: str = "full") -> DataFrame:
+    """Label and evidence of each promise by a variant of the rules: explicit (markers alone), no_strong, full.
+
+    Labels: ineligible (no commitment), unobserved (under 20 later turns, or under 4 distinctive trigger words), not_honored
+    (raised again), honored. Evidence is the first explicit turn, else the first of any path.
+    """
+    marked, distinct, met, turns = found.promises, found.words, found.met, found.turns
     path = F.when(F.col("again") & (F.col("n") >= 2), "explicit")
     if variant != "explicit":
         path = path.when((F.col("few") >= 2) & F.col("complains"), "complaint")
@@ -143,8 +171,13 @@ def follow_through(promises: DataFrame, users: DataFrame, variant: str = "full")
     thin = (F.col("downstream") < LEAST_DOWNSTREAM) | (F.coalesce("known", F.lit(0)) < LEAST_TRIGGER)
     label = F.when(~F.col("eligible"), "ineligible").when(thin, "unobserved").when(F.col("path").isNotNull(), "not_honored").otherwise("honored")
     shown = lambda c, name: F.when(F.col("label") == "not_honored", c).alias(name)
-    evidence = [shown(F.col(c), c) for c in ("path", "turns_later", "evidence_ts", "shared", "shared_rare", "quote")]
-    return out.withColumn("label", label).select("promise_id", "project", "session", "ts", "label", "downstream", *evidence, shown(F.col("turn_session") != F.col("session"), "cross_session"))
+    told = [shown(F.col(c), c) for c in ("path", "turns_later", "evidence_ts", "shared", "shared_rare", "quote")]
+    return out.withColumn("label", label).select("promise_id", "project", "session", "ts", "label", "downstream", *told, shown(F.col("turn_session") != F.col("session"), "cross_session"))
+
+
+def follow_through(promises: DataFrame, users: DataFrame, variant: str = "full") -> DataFrame:
+    """Label and evidence of each promise, see :func:`evidence` and :func:`labels`."""
+    return labels(evidence(promises, users), variant)
 
 
 def downstream_view(promises: DataFrame, users: DataFrame, k: int = 6) -> DataFrame:

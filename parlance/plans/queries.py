@@ -452,8 +452,8 @@ def followthrough_labels(spark, d):
 
 @query()
 def rule_variants(spark, d):
-    promises, users = _promises(spark, d)
-    told = [followthrough.follow_through(promises, users, v).groupBy("label").agg(F.count("*").alias("n")).withColumn("variant", F.lit(v)) for v in ("explicit", "no_strong", "full")]
+    found = followthrough.evidence(*_promises(spark, d))
+    told = [followthrough.labels(found, v).groupBy("label").agg(F.count("*").alias("n")).withColumn("variant", F.lit(v)) for v in ("explicit", "no_strong", "full")]
     return reduce(DataFrame.unionByName, told)
 
 

@@ -50,3 +50,15 @@ def test_similarity_of_little(spark):
     users = spark.createDataFrame(rows, "file_id int, line_no long, words array<string>")
     assert sorted((x.file_id, x.line_no, x.similarity) for x in turns.prior_similarity(users).collect()) == [(1, 1, 0.0), (1, 2, 0.0), (1, 3, 1.0), (1, 4, 0.0), (2, 1, 0.0)]
     assert turns.prior_similarity(users.limit(0)).collect() == []
+
+
+def test_bloom_filters_lose_nothing(spark):
+    from parlance.functions import bloom
+
+    keys = spark.range(3000).selectExpr("concat('p', id % 3) as project", "concat('w', id) as word")
+    rows = spark.range(60_000).selectExpr("concat('p', id % 3) as project", "concat('w', id) as word", "id")
+    for log_bits, most in ((16, 200), (8, 60_000)):  # one with room, one overfull
+        got = [r.id for r in bloom.held_rows(rows, keys, "project", "word", log_bits=log_bits).collect()]
+        assert set(range(3000)) <= set(got) and len(got) == len(set(got)) and len(got) <= 3000 + most
+    assert bloom.held_rows(rows, keys.limit(0), "project", "word", log_bits=10).count() == 0
+    assert bloom.bloom(keys, "project", "word", log_bits=12).count() == 1
