@@ -26,6 +26,11 @@ def whole(norm: str) -> str:
     return f"(?<![a-z0-9]){escaped(norm)}(?![a-z0-9'])"
 
 
+def first_token(norm: str) -> str:
+    """The run of letters and digits that a normalised phrase begins with, perhaps none: wherever the phrase matches, it is a whole token of the text."""
+    return re.match("[a-z0-9]*", norm)[0]
+
+
 def alternation(words: list[str]) -> str:
     """Longest first; equal lengths in the order given."""
     return "|".join(escaped(w) for w in sorted(words, key=len, reverse=True))
@@ -77,16 +82,23 @@ class Lexicon:
         for phrase, category in entries(getattr(self, side)):
             norm = normalize_text(phrase)
             guard = "|".join(escaped(normalize_text(w)) for w in self.guards.get(norm, [])) if side == "assistant" else ""
-            rows.append(f"struct({quoted(phrase)} as phrase, {quoted(category)} as category, {quoted(norm)} as norm, {quoted(whole(norm))} as rx, {quoted(guard)} as guard)")
+            fields = {"phrase": phrase, "category": category, "norm": norm, "rx": whole(norm), "guard": guard, "first": first_token(norm)}
+            rows.append(f"struct({', '.join(f'{quoted(v)} as {k}' for k, v in fields.items())})")
         return f"array({', '.join(rows)})"
 
     def phrase_hits(self, text: str = "norm", side: str = "assistant") -> Column:
         """HIT of the phrases in a column of normalised text: longest phrase first, each only where no earlier one lies.
 
-        Normalised text has single blanks, so that an entry can only match where its plain text occurs; patterns run on those.
+        Phrases are indexed by their first token: of a text's tokens, those that begin a phrase are told once, and the text
+        meets the phrases of these tokens alone. Normalised text has single blanks, so that an entry can only match where its
+        plain text occurs; patterns run on those.
         """
-        found = f"filter({self.phrases_sql(side)}, p -> contains({text}, p.norm))"
+        tokens = sorted({first_token(normalize_text(p)) for p, _ in entries(getattr(self, side))})
+        begun = f"array_intersect(array({', '.join(map(quoted, tokens))}), split({text}, '[^a-z0-9]+', -1))"
+        plain = f"array_union({begun}, array(''))"  # phrases that begin with no token always meet the text
         fields = ", p.phrase as phrase, p.category as category, p.guard as guard"
+        # the tokens are a variable of the outer lambda, so that they are told once a text
+        found = f"flatten(transform(array({plain}), b -> filter({self.phrases_sql(side)}, p -> array_contains(b, p.first) and contains({text}, p.norm))))"
         candidates = f"flatten(transform({found}, p -> {spans(text, 'p.rx', fields)}))"
         return F.expr(claimed(candidates))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions import table_function
 from parlance.functions import text as T
 from parlance.functions.lexicon import Lexicon
 from parlance.operators import calibration, checks, constructs, matches, turns, verification
@@ -302,6 +305,17 @@ def stream_months(spark, d):
     return out.filter("side is not null")
 
 
+# ---- the dictionary from SQL
+
+
+@query(HITS + "select file_id, line_no, phrase, category, cast(n as bigint) as n from hits")
+def table_function_hits(spark, d):
+    """The table function beside each message, from SQL; the probe's phrases alone."""
+    table_function.register(spark, replace(PROBE, openers={}), "probe_rows")
+    messages(spark, d).filter("side = 'assistant'").createOrReplaceTempView("probe_messages")
+    return spark.sql("select m.file_id, m.line_no, h.phrase, h.category, count(*) as n from probe_messages m, lateral probe_rows(m.text) h group by all")
+
+
 # ---- the default dictionary on known sentences
 
 # Sentences, and the phrases and offsets the published rules find in them.

@@ -73,3 +73,39 @@ def test_dictionary_file(spark, tmp_path):
     df = spark.createDataFrame([("oh dear oh",)], "norm string").select(lex.assistant_hits().alias("h"), lex.construct(F.lit("a")).alias("c"))
     row = df.first()
     assert [(h.phrase, h.start) for h in row.h] == [("oh dear", 0), ("oh", 8)] and row.c == "c"
+
+
+def random_texts(n, seed):
+    """Texts of dictionary words, whole phrases, punctuation and odd characters."""
+    import random
+
+    r = random.Random(seed)
+    phrases = [p for ps in D.ASSISTANT.values() for p in ps] + [w for ws in D.OPENERS.values() for w in ws] + [w for ws in D.GUARDS.values() for w in ws]
+    words = [w for p in phrases for w in p.split()] + ["parser", "é", "x1", "my", "error", "clean", "crash"]
+    marks = ["", "", "", ",", ". ", "! ", "-", "'s", "’", " ", "\n", " - "]
+    return ["".join(r.choice((r.choice(phrases), r.choice(words))) + r.choice(marks) + r.choice([" ", " ", ""]) for _ in range(r.randint(0, 25))) for _ in range(n)]
+
+
+def test_expressions_and_table_function_agree(spark):
+    """Two implementations, on random texts; and the table function from SQL, beside its message."""
+    from parlance.functions import table_function
+    from parlance.functions.text import normalize, normalize_text
+
+    texts = random_texts(1500, 9)
+    matcher = table_function.Matcher(Lexicon())
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None), (-2, "")], "id int, text string").repartition(4)
+    native = df.withColumn("norm", normalize(F.coalesce("text", F.lit("")))).select("id", F.explode(Lexicon().assistant_hits("norm")).alias("h")).select("id", "h.*")
+    want = sorted((i, *h) for i, t in enumerate(texts) for h in matcher.hits(normalize_text(t)))
+    assert sorted((r.id, r.phrase, r.category, r.start) for r in native.collect()) == want
+    assert len(want) > 2000 and len({p for _, p, _, _ in want}) > 80
+    table_function.register(spark)
+    df.createOrReplaceTempView("said")
+    told = spark.sql("select s.id, h.phrase, h.category, h.char_offset from said s, lateral match_rows(s.text) h")
+    assert sorted(tuple(r) for r in told.collect()) == want
+    assert spark.sql("select construct, snippet from match_rows('You''re right. I''ll fix it')").collect()[0][0] == "concession"
+
+
+def test_pushback_openers(spark):
+    said = {"no, thats wrong": True, "  “no” it isnt": True, "...no": True, "....no": False, "nobody": False, "no's": False, "yes": False, "": False}
+    got = {r.norm: r.hit for r in spark.createDataFrame([(x,) for x in said], "norm string").select("norm", Lexicon(pushback_openers=["no", "wait what"]).pushes_back("norm").alias("hit")).collect()}
+    assert got == said
