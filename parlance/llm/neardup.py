@@ -13,7 +13,6 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,8 @@ BANDS, BAND_ROWS = 24, 4
 #: One-bit coordinates that pairs are filtered by before their texts are read. Texts at the least similarity differ in 102 of
 #: 1024 on average; more than MOST_UNEQUAL are 4.5 standard deviations away, a probability of 5e-6.
 FILTER_BITS, MOST_UNEQUAL = 1024, 146
+#: Texts whose darts for FILTER_BITS coordinates are worked out at once, and pairs of texts that are Python objects at once.
+FILTER_ROWS, PAIR_ROWS = 64, 64
 FILTER = [f"w{i}" for i in range(FILTER_BITS // 64)]
 #: Strips that a region of weight from one power of two to the next is cut into, at most.
 STRIPS = 64
@@ -165,7 +166,7 @@ def with_filters(texts: DataFrame) -> DataFrame:
     k, names = FILTER_BITS, ["node", "text", "weight", *FILTER]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, FILTER_ROWS):
             weights, bits = [], []
             for _, offsets, data in H.chunks(batch.column(1)):
                 elements, rows = H.shingles(*H.words(offsets, data), WIDTH, len(offsets) - 1)
@@ -182,7 +183,7 @@ def with_filters(texts: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(to_a, to_b) of those of ``pairs`` (a, b, to_a, to_b) whose texts are at least LEAST_SIMILARITY alike."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         held = 0
 
@@ -196,12 +197,13 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 held += len(counted[doc][0])
             return counted[doc]
 
-        for batch in batches:
-            told = zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"])
-            yield batch.loc[[similarity(of(a, x), of(b, y)) >= LEAST_SIMILARITY for a, b, x, y in told], ["to_a", "to_b"]]
+        for batch in slices(batches, PAIR_ROWS):
+            told = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")))
+            kept = pa.array([similarity(of(a, x), of(b, y)) >= LEAST_SIMILARITY for a, b, x, y in told], pa.bool_())
+            yield batch.select(["to_a", "to_b"]).filter(kept)
 
     a, b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "to_a", "to_b", "text_a", "text_b").mapInPandas(scan, "to_a long, to_b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "to_a", "to_b", "text_a", "text_b").mapInArrow(scan, "to_a long, to_b long")
 
 
 def proposed(entries: DataFrame, turn: int) -> DataFrame:
