@@ -9,11 +9,11 @@ from parlance.functions.lexicon import Lexicon
 from parlance.functions.text import normalize_text
 from parlance.operators.checks import guard
 from parlance.sources.sinks import rows_of
+from parlance.sources.transcripts import nested_strings
 
 # What a bundle must have, its participants' names and its dates.
 SECTIONS = ("analysis", "denominators", "tally")
 PARTICIPANT, DATE = r"^[a-z0-9][a-z0-9-]{1,30}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-STRING = r'"(?:[^"\\]|\\.)*"'
 SUB_DAY = r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}"
 
 
@@ -79,9 +79,6 @@ def intake(spark: SparkSession, documents: DataFrame, lexicon: Lexicon) -> DataF
     tests = [(~F.coalesce(get("participant"), F.lit("")).rlike(PARTICIPANT), "participant"), (~F.coalesce(get("exported"), F.lit("")).rlike(DATE), "date"), (F.col("value").rlike(SUB_DAY), "time of day")]
     errors = F.when(whole.isNotNull(), F.array(whole)).otherwise(F.array_compact(F.array(*[F.when(t, m) for t, m in tests])))
     plain = told.select("name", F.explode(errors).alias("error"))
-    parts = told.filter(whole.isNull()).select("name", "v").lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("name", F.col("key").alias("section"), F.to_json(F.col("value")).alias("json"))
-    parts = parts.filter(~F.col("section").isin("participant", "exported", "provenance"))
-    raw = parts.select("name", "section", F.explode(F.regexp_extract_all("json", F.lit(STRING), F.lit(0))).alias("raw"))
-    strings = raw.select("name", "section", F.expr("try_variant_get(try_parse_json(raw), '$', 'string')").alias("value")).filter("value is not null")
-    refused = guard(strings.union(parts.select("name", "section", "section")), vocabulary(spark, lexicon))
+    strings = nested_strings(told.filter(whole.isNull()).select("name", "v"), ~F.col("path").rlike(r"^\$\.(participant|exported|provenance)$"))
+    refused = guard(strings.select("name", F.regexp_extract("path", r"^\$\.([^.\[]*)", 1).alias("section"), "value"), vocabulary(spark, lexicon))
     return plain.union(refused.select("name", F.concat(F.lit("TEXT GUARD "), F.col("section"), F.lit(": "), F.col("reason")))).distinct()

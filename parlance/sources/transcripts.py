@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import collapse, fingerprint, strip_wrappers
-from parlance.sources.scratch import hinted
+from parlance.sources.scratch import hinted, settled
 
 #: The last four parts of a path.
 PARTS = ("machine_id", "root_slug", "project", "session")
@@ -103,7 +103,35 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LABELS).json(path, multiLine=True).select(F.explode("records").alias("r")).select("r.*")
 
 
+def nested_strings(documents: DataFrame, keep: Column | None = None) -> DataFrame:
+    """(name, path, value) of every string of the variants ``documents`` (name, v), and of every key: keys have the path of what they name.
+
+    Level by level: objects and lists are opened until none is left, so a job is as long as the deepest document is deep, and
+    no document is walked on the driver. ``keep``, a condition on name and path, leaves out what is not to be opened.
+    """
+    spark = documents.sparkSession
+    level = settled(documents.select("name", F.lit("$").alias("path"), F.to_json("v").alias("json")), "documents")
+    out = None
+    while True:
+        parsed = level.withColumn("v", F.parse_json("json")).withColumn("kind", F.schema_of_variant("v"))
+        told = parsed.filter("kind = 'STRING'").select("name", "path", F.expr("variant_get(v, '$', 'string')").alias("value"))
+        opened = parsed.filter("kind like 'OBJECT%' or kind like 'ARRAY%'").select("name", "path", "v").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        place = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), "pos", F.lit("]"))).otherwise(F.concat("path", F.lit("."), "key"))
+        below = opened.select("name", place.alias("path"), "key", F.to_json("value").alias("json"))
+        below = settled(below if keep is None else below.filter(keep), "documents")
+        keys = below.filter("key is not null").select("name", "path", F.col("key").alias("value"))
+        out = told.unionByName(keys) if out is None else out.unionByName(told).unionByName(keys)
+        if not below.limit(1).count():
+            return out
+        level = below.select("name", "path", "json")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(name, value) of the files under ``path``, each a document of its own."""
+    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), "value")
+
+
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """(name, path, value) of every string of every bundle file: keys and values flattened for checks."""
-    raw = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), "value")
-    return raw.select("name", F.expr("explode(regexp_extract_all(value, '\"((?:[^\"\\\\\\\\]|\\\\\\\\.)*)\"', 1))").alias("value"))
+    """(name, path, value) of every string and key of every bundle file, escapes decoded; files that aren't JSON have none."""
+    raw = read_documents(spark, path).select("name", F.try_parse_json("value").alias("v"))
+    return nested_strings(raw.filter("v is not null"))

@@ -139,3 +139,30 @@ def test_offsets_survive_a_restart(archive, tmp_path):
     small = GrowingReader({**options, "log": f"file://{tmp_path}/log2", "mostBytes": "1"})
     offsets = [small.latestOffset()["batch"] for _ in range(8)]
     assert offsets == sorted(offsets) and 2 <= offsets[-1] <= 5
+
+
+def test_strings_of_nested_documents(spark, tmp_path):
+    r = random.Random(6)
+
+    def made(depth):
+        kind = r.choice("sonal" if depth else "oa")
+        if kind == "s" or depth > 5:
+            return r.choice(["plain", 'quote " and \\ back', "line\nend", "é ", "", "tab\t"])
+        if kind == "o":
+            return {r.choice(["a", "b c", 'k"q', "é", "a.b"]) + str(i): made(depth + 1) for i in range(r.randint(0, 4))}
+        if kind == "a":
+            return [made(depth + 1) for _ in range(r.randint(0, 4))]
+        return r.choice([1, 2.5, None, True]) if kind == "n" else []
+
+    documents = {f"d{i}.json": made(0) for i in range(25)}
+    for name, doc in documents.items():
+        (tmp_path / name).write_text(json.dumps(doc, ensure_ascii=i_ascii(name)), encoding="utf-8")
+    (tmp_path / "broken.json").write_text('{"a": ')
+    from parlance.operators.bundles import strings_of
+
+    got = sorted((x.name, x.path, x.value) for x in transcripts.read_bundles(spark, str(tmp_path)).collect())
+    assert got == sorted((name, p, v) for name, doc in documents.items() for p, v in strings_of(doc)) and len(got) > 100
+
+
+def i_ascii(name):
+    return name < "d2"
