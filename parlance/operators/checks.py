@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.sources.scratch import settled
+
 #: Words and characters a string of an aggregate may have.
 MOST_WORDS, MOST_CHARS = 5, 48
 # Fixed value: what a short label may be made of.
@@ -58,6 +60,43 @@ def guard(strings: DataFrame, vocabulary: DataFrame, value: str = "value") -> Da
     return told.withColumn("reason", refused(F.col(value), F.col("_known").isNotNull())).filter("reason is not null").drop("_known")
 
 
-def differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of one table that the other lacks, counting repeats, with the side they are on."""
-    return a.exceptAll(b).withColumn("only_in", F.lit("first")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("second")))
+#: Buckets that rows are compared in.
+BUCKETS = 4096
+
+
+def row_digest(df: DataFrame, seed: int = 0) -> Column:
+    """A hash of a row's values, nulls told apart from one another by their places."""
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in df.columns])
+    return F.xxhash64(F.lit(seed), nulls, *df.columns)
+
+
+def bucket_digests(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, n, first, second): the rows of each bucket and two sums over their hashes, which no order changes and repeats count in."""
+    part = lambda h: F.pmod(h, F.lit((1 << 31) - 1))
+    h = row_digest(df)
+    return df.select(F.pmod(h, F.lit(buckets)).alias("bucket"), part(h).alias("h"), part(row_digest(df, 1)).alias("g")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("h").alias("first"), F.sum("g").alias("second"))
+
+
+def differing_buckets(a: DataFrame, b: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The buckets whose rows differ between two tables of the same columns: both are read once, and a few numbers a bucket are compared."""
+    x, y = bucket_digests(a, buckets), bucket_digests(b.select(a.columns), buckets)
+    names = ("n", "first", "second")
+    met = x.withColumnsRenamed({c: f"{c}_a" for c in names}).join(y.withColumnsRenamed({c: f"{c}_b" for c in names}), "bucket", "full")
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b"))
+    return met.filter(~same).select("bucket")
+
+
+def differing(a: DataFrame, b: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Rows of one table that the other lacks, counting repeats, with the side they are on.
+
+    Equal tables are told so without moving a row. Else only the rows of buckets that differ are compared with each other.
+    Columns are those of ``a``, of types that can be compared.
+    """
+    b = b.select(a.columns)
+    (mark,) = [next(m for m in ("_bucket", "__bucket", "___bucket") if m not in a.columns)]
+    off = F.broadcast(settled(differing_buckets(a, b, buckets).withColumnRenamed("bucket", mark), "buckets"))
+    few = lambda df: df.join(off, F.pmod(row_digest(df), F.lit(buckets)) == F.col(mark), "left_semi")
+    x, y = few(a), few(b)
+    return x.exceptAll(y).withColumn("only_in", F.lit("first")).unionByName(y.exceptAll(x).withColumn("only_in", F.lit("second")))

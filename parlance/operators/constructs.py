@@ -12,6 +12,8 @@ from parlance.operators.rates import with_rate
 from parlance.operators.turns import first_occurrence, valid_model
 from parlance.sources.scratch import hinted
 
+#: The sides of a conversation.
+SIDES = ("user", "assistant")
 #: The one construct of the user side.
 USER_CONSTRUCT = "frustration"
 KEY = "msg_fingerprint"
@@ -19,10 +21,10 @@ KEY = "msg_fingerprint"
 
 def construct_rates(matches: DataFrame, population: DataFrame) -> DataFrame:
     """Per construct: side, hits, distinct messages, n (distinct messages of its side in ``population``) and the rate with its interval."""
-    n = population.groupBy("side").agg(F.countDistinct("fingerprint").alias("n"))
+    n = population.filter(F.col("side").isin(*SIDES)).groupBy("side").agg(F.countDistinct("fingerprint").alias("n"))
     told = matches.groupBy("construct").agg(F.count("*").alias("hits"), F.countDistinct(KEY).alias("messages"))
     told = told.withColumn("side", F.when(F.col("construct") == USER_CONSTRUCT, "user").otherwise("assistant"))
-    return with_rate(told.join(F.broadcast(n.limit(16)), "side"), "messages", "n")
+    return with_rate(told.join(F.broadcast(n), "side"), "messages", "n")
 
 
 def model_constructs(matches: DataFrame, population: DataFrame, constructs: list[str], least: int) -> DataFrame:

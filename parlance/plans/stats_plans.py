@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.stats import chi2_2x2, cohens_h, odds_ratio, phi, risk_ratio
+from parlance.functions.stats import chi2_2x2, cohens_h, odds_ratio, phi, risk_ratio, tail
+from parlance.sources.scratch import hinted
 
 
 def omnibus(table: DataFrame, k: str = "k", n: str = "n") -> DataFrame:
@@ -34,4 +35,14 @@ def pairs(table: DataFrame, name: str, k: str = "k", n: str = "n") -> DataFrame:
     cells = [F.col(x) for x in "abcd"]
     ratio, low, high = odds_ratio(*cells)
     told = {"phi": phi(*cells), "odds_ratio": ratio, "low": low, "high": high, "risk_ratio": risk_ratio(*cells), "h": cohens_h(*cells), "chi2": chi2_2x2(*cells)}
-    return a.join(F.broadcast(c), F.col("first") < F.col("second")).select("first", "second", *[F.round(v, 6).alias(x) for x, v in told.items()])
+    return a.join(hinted(c), F.col("first") < F.col("second")).select("first", "second", *[F.round(v, 6).alias(x) for x, v in told.items()])
+
+
+def with_p(tests: DataFrame, chi2: str = "chi2", df: str | int = 1, name: str = "p") -> DataFrame:
+    """``tests`` with the p of a chi-squared statistic, ``df`` being a column or a number."""
+    return tests.withColumn(name, tail(F.col(chi2), F.col(df) if isinstance(df, str) else F.lit(df)))
+
+
+def trend_with_p(told: DataFrame) -> DataFrame:
+    """A trend with the two-sided p of its z."""
+    return told.withColumn("p", tail(F.col("z") * F.col("z"), F.lit(1)))
