@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from parlance.functions.lexicon import Lexicon
 from parlance.functions.text import normalize, snippet
-from parlance.operators.turns import classified, first_occurrence, next_reply, prior_similarity, with_turns
-from parlance.sources.scratch import settled
+from parlance.operators.turns import classified, first_occurrence, next_reply_lines, prior_similarity, with_turns
+from parlance.sources.scratch import hinted, settled
 
 #: Characters kept of a message, and of the other side's.
 MOST_TEXT = 4000
@@ -24,16 +24,20 @@ CONTEXT = ["text", "bucket", "triggers", "directed", "repeat_markers", "unauthor
 def match_rows(population: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """COLUMNS, then file_id, line_no and hit_no, which give the rows their order.
 
-    ``population`` has the columns of messages and of their files. The next reply is found before repeated fingerprints go;
-    turns, context and similarity after. An assistant message before any user message has null turn columns. Turns and
-    classified user messages are written to the shared folder once, since several branches read them.
+    ``population`` has the columns of messages and of their files, (file_id, line_no) being unique. The next reply is found
+    before repeated fingerprints go; turns, context and similarity after. An assistant message before any user message has
+    null turn columns. Messages are numbered by slim rows of four columns; texts are read where they lie, and move only of
+    user messages, of assistant messages past the gate, and of replies to heated messages.
     """
     lex = lexicon or Lexicon()
     base = population.select("machine_id", "root_slug", "project", "session", F.coalesce("ts", F.lit("")).alias("timestamp"), F.coalesce("model", F.lit("")).alias("model"), F.col("fingerprint").alias("msg_fingerprint"), "file_id", "line_no", "side", F.coalesce("text", F.lit("")).alias("text"))
-    every = with_turns(base)
-    replies = next_reply(every).join(every.filter("side = 'user'").select("file_id", "turn_id", "line_no"), ["file_id", "turn_id"]).select("file_id", "line_no", "reply")
-    turns = settled(with_turns(first_occurrence(base, "msg_fingerprint")), "turns")
-    users = settled(classified(turns.filter("side = 'user'"), lex), "users")
+    slim = base.select("file_id", "line_no", "side", "msg_fingerprint")
+    every = with_turns(slim)
+    asked = every.filter("side = 'user'").select("file_id", "turn_id", "line_no")
+    replies = next_reply_lines(every).withColumnRenamed("line_no", "reply_line").join(asked, ["file_id", "turn_id"]).select("file_id", "line_no", "reply_line")
+    turns = settled(with_turns(first_occurrence(slim, "msg_fingerprint")).select("file_id", "line_no", "side", "turn_id", "depth"), "turns")
+    placed = turns.select("file_id", "line_no", "turn_id", "depth")
+    users = settled(classified(base.filter("side = 'user'").join(placed, ["file_id", "line_no"]), lex), "users")
     users = users.join(prior_similarity(users), ["file_id", "line_no"])
     context = users.select("file_id", "turn_id", *[F.col(c).alias(f"user_{c}") for c in CONTEXT])
     cut = lambda c: F.substring(c, 1, MOST_TEXT)
@@ -56,9 +60,12 @@ def match_rows(population: DataFrame, lexicon: Lexicon | None = None) -> DataFra
             "file_id", "line_no", "hit_no",
         )
 
-    spoken = turns.filter("side = 'assistant'").withColumn("norm", normalize(F.col("text"))).filter(lex.gate("norm"))
+    spoken = base.filter("side = 'assistant'").withColumn("norm", normalize(F.col("text"))).filter(lex.gate("norm")).join(placed, ["file_id", "line_no"])
     spoken = spoken.join(context, ["file_id", "turn_id"], "left")
     heated = users.filter((F.size("heat") > 0) | (F.size("shouts") > 0)).join(replies, ["file_id", "line_no"], "left")
+    wanted = settled(heated.select("file_id", F.col("reply_line").alias("line_no")).filter("line_no is not null").distinct(), "replies")
+    said = base.filter("side = 'assistant'").join(hinted(wanted), ["file_id", "line_no"], "left_semi")
+    heated = heated.join(said.select("file_id", F.col("line_no").alias("reply_line"), F.col("text").alias("reply")), ["file_id", "reply_line"], "left")
     return rows(heated, F.concat("heat", "shouts"), "user").unionByName(rows(spoken, lex.assistant_hits("norm"), "assistant"))
 
 

@@ -84,16 +84,20 @@ def with_user_context(turns: DataFrame, columns: list[str]) -> DataFrame:
     return turns.join(user, ["file_id", "turn_id"], "left")
 
 
-def next_reply(turns: DataFrame, text: str = "text") -> DataFrame:
-    """(file_id, turn_id, reply) of each user message: the first later assistant message, if any, whatever its turn.
+def next_reply_lines(turns: DataFrame) -> DataFrame:
+    """(file_id, turn_id, line_no) of each user message's reply: the first later assistant message, whatever its turn; null if there is none.
 
-    A window runs over one row of three numbers a turn; texts are joined afterwards.
+    A window runs over one row of three numbers a turn.
     """
     first = turns.groupBy("file_id", "turn_id").agg(F.min(F.when(F.col("side") == "assistant", F.col("line_no"))).alias("line_no"))
     ahead = Window.partitionBy("file_id").orderBy("turn_id").rowsBetween(0, Window.unboundedFollowing)
-    at = first.filter("turn_id > 0").select("file_id", "turn_id", F.first("line_no", ignorenulls=True).over(ahead).alias("line_no"))
+    return first.select("file_id", "turn_id", F.first("line_no", ignorenulls=True).over(ahead).alias("line_no")).filter("turn_id > 0")
+
+
+def next_reply(turns: DataFrame, text: str = "text") -> DataFrame:
+    """(file_id, turn_id, reply) of each user message: the first later assistant message, if any, whatever its turn."""
     told = turns.filter("side = 'assistant'").select("file_id", "line_no", F.col(text).alias("reply"))
-    return at.join(told, ["file_id", "line_no"], "left").select("file_id", "turn_id", "reply")
+    return next_reply_lines(turns).join(told, ["file_id", "line_no"], "left").select("file_id", "turn_id", "reply")
 
 
 def ordered_words(users: DataFrame, words: str = "words") -> DataFrame:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.functions import dictionary as D
 from parlance.functions import text as T
 from parlance.functions.lexicon import Lexicon
 from parlance.operators import checks, followthrough, matches, rates, samples, turns
@@ -269,9 +270,44 @@ def unexplained_share(spark, d):
     return told.select(F.round(F.col("k") / F.col("n"), 6).alias("share"))
 
 
-@query()
+# Places are told by looking at every one, longer phrases first; a phrase's order is that of the dictionary's entries.
+PLACES = f"""{MSG}, pat(o, category, phrase) as (values (0, 'agreement', 'in the'), (1, 'agreement', 'that'), (2, 'validation', 'the'), (3, 'apology', 'to'), (4, 'validation', 'is')),
+spot as (select file_id, line_no, side, norm, unnest(range(0, length(norm))) as p from msg),
+bare as (select a.file_id, a.line_no, a.side, o, category, phrase, p as start, norm from spot a join pat on substr(norm, p + 1, length(phrase)) = phrase
+  where (p = 0 or not regexp_full_match(substr(norm, p, 1), '[a-z0-9]')) and not regexp_full_match(substr(norm, p + 1 + length(phrase), 1), '[a-z0-9'']')),
+open as (select a.file_id, a.line_no, 'assistant' as side, 5 as o, 'compliance' as category, 'of -' as phrase, p as start, norm from spot a where side = 'assistant' and substr(norm, p + 1, 2) = 'of'
+  and regexp_matches(substr(norm, 1, p), '(^|[.!?]\s+)$') and regexp_matches(substr(norm, p + 3), '^\s*[-,.:]')),
+placed as (select * from bare b where side = 'assistant' and not (phrase = 'the' and exists (select 1 from bare c where c.phrase = 'in the' and c.file_id = b.file_id and c.line_no = b.line_no and c.start + 3 = b.start)) union all select * from open),
+heat as (select file_id, line_no, side, 0 as o, 'heat' as category, phrase, start, norm from bare where side = 'user' and phrase in ('the', 'is')),
+nums as (select *, row_number() over (partition by file_id, line_no order by o, start) - 1 as hit_no from (select * from placed union all select * from heat))
+"""
+MARKERS = {side: [(name, rx) for name, rx in told.items()] for side, told in (("repeat", D.REPEATED), ("unauthorized", D.UNAUTHORIZED))}
+marked = lambda side: "array_to_string([" + ", ".join(f"case when regexp_matches(norm, '{rx}') then '{name.replace(chr(39), chr(39) * 2)}' end" for name, rx in MARKERS[side]) + "], '|')"
+WORDS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+@query(f"""{PLACES}, w as (select distinct file_id, line_no, unnest(regexp_extract_all(norm, '[a-z]{{4,}}')) as word from msg where side = 'user'), kept as (select * from w where word not in ({WORDS})),
+size as (select file_id, line_no, count(*) as n from kept group by all),
+pair as (select a.file_id, a.line_no, b.line_no as before, count(*) as k from kept a join kept b on a.file_id = b.file_id and a.word = b.word and b.line_no < a.line_no group by all),
+best as (select p.file_id, p.line_no, max(k / (s.n + t.n - k)) as best from pair p join size s on p.file_id = s.file_id and p.line_no = s.line_no join size t on p.file_id = t.file_id and p.before = t.line_no group by all),
+hot as (select file_id, line_no, string_agg(phrase, '|' order by start) as triggers from heat group by all),
+ctx as (select d.file_id, d.turn_id, d.line_no, d.text, case when h.file_id is not null then 'hot' when regexp_matches(norm, '{D.CORRECTION}') then 'correction' else 'neutral' end as bucket, coalesce(triggers, '') as triggers,
+  h.file_id is not null and exists (select 1 from (select unnest(regexp_split_to_array(d.norm, '[.!?]+')) as s) where regexp_matches(s, '(^|[^a-z0-9])(the|is)($|[^a-z0-9])') and regexp_matches(s, '{D.SECOND_PERSON}')) as directed,
+  {marked('repeat')} as repeats, {marked('unauthorized')} as unauthorized, coalesce(round(best, 3), 0.0) as similarity
+  from deep d left join hot h using (file_id, line_no) left join best using (file_id, line_no) where d.side = 'user'),
+told as (select n.*, d.depth, d.turn_id, d.text, d.fingerprint, (select min(e.line_no) from deep e where e.file_id = n.file_id and e.side = 'assistant' and e.line_no > n.line_no) as reply_line from nums n join deep d on n.file_id = d.file_id and n.line_no = d.line_no)
+select 'm' || (t.file_id % 3) as machine_id, 'r' || (t.file_id % 2) as root_slug, 'p' || (t.file_id % 5) as project, cast(t.file_id as varchar) as session,
+  strftime(make_timestamp((1700000000 + (t.file_id % 97) * 7200 + t.line_no * 60) * 1000000), '%Y-%m-%dT%H:%M:%S') as timestamp, 'model' || (t.file_id % 4) as model, t.fingerprint as msg_fingerprint, t.side, category,
+  case when t.side = 'user' then 'frustration' when category in ('agreement', 'apology') then 'concession' when category = 'validation' then 'flattery' else 'other' end as construct, phrase, cast(start as int) as char_offset,
+  substr(t.text, greatest(start - 40, 0) + 1, start + 200 - greatest(start - 40, 0)) as snippet, substr(t.text, 1, 4000) as message_text, length(t.text) > 4000 as message_truncated,
+  case when t.side = 'user' then 'assistant' else 'user' end as counterpart_side, substr(coalesce(case when t.side = 'user' then r.text else c.text end, ''), 1, 4000) as counterpart_text, c.bucket as turn_bucket,
+  coalesce(c.triggers, '') as trigger_words, coalesce(c.directed, false) as directed_at_claude, t.depth as depth_in_turn, coalesce(c.repeats, '') as repeat_markers, coalesce(c.unauthorized, '') as unauthorized_markers,
+  coalesce(c.similarity, 0.0) as prior_turn_similarity, t.file_id, t.line_no, cast(hit_no as int) as hit_no
+from told t left join ctx c on t.file_id = c.file_id and t.turn_id = c.turn_id left join deep r on r.file_id = t.file_id and r.line_no = t.reply_line""")
 def match_rows(spark, d):
-    return matches.match_rows(messages(spark, d), PROBE)
+    """Lists are joined, and the two columns that people fill in later are left out."""
+    rows = matches.match_rows(messages(spark, d), PROBE)
+    return rows.withColumns({c: F.array_join(c, "|") for c in ("trigger_words", "repeat_markers", "unauthorized_markers")}).drop("user_repeated_prior_instruction", "user_says_action_unauthorized")
 
 
 @query()
