@@ -276,7 +276,7 @@ spot as (select file_id, line_no, side, norm, unnest(range(0, length(norm))) as
 bare as (select a.file_id, a.line_no, a.side, o, category, phrase, p as start, norm from spot a join pat on substr(norm, p + 1, length(phrase)) = phrase
   where (p = 0 or not regexp_full_match(substr(norm, p, 1), '[a-z0-9]')) and not regexp_full_match(substr(norm, p + 1 + length(phrase), 1), '[a-z0-9'']')),
 open as (select a.file_id, a.line_no, 'assistant' as side, 5 as o, 'compliance' as category, 'of -' as phrase, p as start, norm from spot a where side = 'assistant' and substr(norm, p + 1, 2) = 'of'
-  and regexp_matches(substr(norm, 1, p), '(^|[.!?]\s+)$') and regexp_matches(substr(norm, p + 3), '^\s*[-,.:]')),
+  and regexp_matches(substr(norm, 1, p), '(^|[.!?]\\s+)$') and regexp_matches(substr(norm, p + 3), '^\\s*[-,.:]')),
 placed as (select * from bare b where side = 'assistant' and not (phrase = 'the' and exists (select 1 from bare c where c.phrase = 'in the' and c.file_id = b.file_id and c.line_no = b.line_no and c.start + 3 = b.start)) union all select * from open),
 heat as (select file_id, line_no, side, 0 as o, 'heat' as category, phrase, start, norm from bare where side = 'user' and phrase in ('the', 'is')),
 nums as (select *, row_number() over (partition by file_id, line_no order by o, start) - 1 as hit_no from (select * from placed union all select * from heat))
@@ -473,20 +473,51 @@ def downstream_k(spark, d):
 
 
 def _promises(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Documents as a log: every tenth by hash promises to act and answers its own text, the others are the users' turns."""
+    """Documents as a log: some by hash promise to act (or not) and answer their own text, the others are the users' turns."""
     docs = table(spark, d, "documents").filter("text is not null")
     at = F.date_format(F.timestamp_seconds(1_700_000_000 + F.col("doc_id") * 600), "yyyy-MM-dd'T'HH:mm:ss")
-    told = docs.select("doc_id", F.col("source").alias("project"), F.col("lang").alias("session"), at.alias("ts"), "text", (F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0).alias("promise"))
+    chance = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2), 16, 10).cast("int")
+    told = docs.select("doc_id", F.col("source").alias("project"), F.col("lang").alias("session"), at.alias("ts"), "text", (chance % 10 == 0).alias("promise"), (chance == 100).alias("idle"))
     users = told.filter("not promise").select("project", "session", F.lit("f").alias("file_id"), F.col("doc_id").alias("line_no"), "ts", "text")
-    return told.filter("promise").select(F.col("doc_id").alias("promise_id"), "project", "session", "ts", F.lit("I'll fix it").alias("text"), F.col("text").alias("trigger")), users
+    return told.filter("promise").select(F.col("doc_id").alias("promise_id"), "project", "session", "ts", F.when(F.col("idle"), "let me know").otherwise("I'll fix it").alias("text"), F.col("text").alias("trigger")), users
+
+
+FOLLOWED = f"""with log as (
+  select doc_id, source as project, lang as session, 1700000000 + doc_id * 600 as secs, strftime(make_timestamp((1700000000 + doc_id * 600) * 1000000), '%Y-%m-%dT%H:%M:%S') as ts, {norm_sql('text')} as norm,
+    cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 2) as int) as chance from documents where text is not null),
+word as (select distinct doc_id, project, chance % 10 = 0 as promise, unnest(regexp_extract_all(norm, '[a-z]{{4,}}')) as word from log),
+kept as (select * from word where word not in ({', '.join(f"'{w}'" for w in T.STOP_WORDS + T.FURTHER_STOP_WORDS + T.TONE_WORDS)})),
+turn as (select doc_id as line_no, project, session, secs, ts, substr(norm, 1, 1500) as norm from log where chance % 10 <> 0),
+size as (select project, count(*) as n from turn group by 1),
+vocab as (select project, word, count(*) / any_value(n) > 0.3 as ambient, count(*) <= greatest(2, floor(0.005 * any_value(n))) as rare from kept join size using (project) where not promise group by 1, 2),
+own as (select k.doc_id as promise_id, project, word, coalesce(rare, false) as rare from kept k join log l using (doc_id, project) left join vocab v using (project, word) where promise and chance <> 100 and not coalesce(ambient, false)),
+ahead as (
+  select p.doc_id as promise_id, t.*, row_number() over (partition by p.doc_id order by t.secs, t.line_no) as place
+  from log p join turn t on p.project = t.project and t.secs > p.secs and (t.secs - p.secs) // 86400 <= 14 where p.chance % 10 = 0 and not regexp_matches(t.norm, '{D.QUOTEBACK}')),
+met as (
+  select a.promise_id, a.line_no, any_value(place) as place, any_value(regexp_matches(norm, '{D.RERAISE}')) as again, any_value(regexp_matches(norm, '{D.COMPLAINT}')) as complains, count(*) as n, count(*) filter (where rare) as few,
+    array_to_string(list_sort(list(o.word))[1:8], ' ') as shared, array_to_string(list_sort(coalesce(list(o.word) filter (where rare), []))[1:8], ' ') as shared_rare, any_value(a.session) as session, any_value(ts) as ts, any_value(substr(norm, 1, 160)) as quote
+  from ahead a join own o on a.promise_id = o.promise_id join kept k on k.doc_id = a.line_no and k.word = o.word where place <= 5000 group by 1, 2),
+pathed as (select met.*, variant, case when again and n >= 2 then 'explicit' when variant <> 'explicit' and few >= 2 and complains then 'complaint' when variant = 'full' and few >= 3 then 'strong' end as path from met cross join (select unnest(['explicit', 'no_strong', 'full']) as variant)),
+best as (select * from (select *, row_number() over (partition by promise_id, variant order by path <> 'explicit', place) as i from pathed where path is not null) where i = 1),
+counted as (select promise_id, count(*) as downstream from ahead where place <= 5000 group by 1), known as (select promise_id, count(*) as known from own group by 1),
+labelled as (
+  select p.doc_id as promise_id, p.project, p.session, p.ts, v.variant, coalesce(downstream, 0) as downstream,
+    case when chance = 100 then 'ineligible' when coalesce(downstream, 0) < 20 or coalesce(known, 0) < 4 then 'unobserved' when b.path is not null then 'not_honored' else 'honored' end as label,
+    b.path, b.place as turns_later, b.ts as evidence_ts, shared, shared_rare, quote, b.session <> p.session as cross_session
+  from log p cross join (select unnest(['explicit', 'no_strong', 'full']) as variant) v left join counted c on c.promise_id = p.doc_id left join known k on k.promise_id = p.doc_id left join best b on b.promise_id = p.doc_id and b.variant = v.variant
+  where chance % 10 = 0)
+"""
+shown = lambda c: f"case when label = 'not_honored' then {c} end as {c}"
 
 
-@query()
+@query(FOLLOWED + f"select promise_id, project, session, ts, label, downstream, {', '.join(map(shown, ('path', 'turns_later', 'evidence_ts', 'shared', 'shared_rare', 'quote', 'cross_session')))} from labelled where variant = 'full'")
 def followthrough_labels(spark, d):
-    return followthrough.follow_through(*_promises(spark, d))
+    """Lists of shared words are joined."""
+    return followthrough.follow_through(*_promises(spark, d)).withColumns({c: F.array_join(c, " ") for c in ("shared", "shared_rare")})
 
 
-@query()
+@query(FOLLOWED + "select variant, label, count(*) as n from labelled group by 1, 2")
 def rule_variants(spark, d):
     found = followthrough.evidence(*_promises(spark, d))
     told = [followthrough.labels(found, v).groupBy("label").agg(F.count("*").alias("n")).withColumn("variant", F.lit(v)) for v in ("explicit", "no_strong", "full")]
