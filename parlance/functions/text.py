@@ -75,6 +75,11 @@ def rooted(path: Column) -> Column:
     return F.translate(path, "/.", "--")
 
 
+def encoded(path: Column) -> Column:
+    """A path as a project's name: as :func:`dashed`, but with the dashes around it."""
+    return F.regexp_replace(path, "[^A-Za-z0-9]", "-")
+
+
 def content_words(norm: Column, variant: int = 1) -> Column:
     """Distinct words of four or more ASCII letters in normalised text, less stop words; variant 2 drops more of them."""
     drop = STOP_WORDS + (FURTHER_STOP_WORDS + TONE_WORDS if variant == 2 else [])

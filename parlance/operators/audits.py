@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +27,18 @@ STOP NO NOPE WHY WHAT DONT READ LISTEN SERIOUSLY AGAIN ENOUGH WRONG NEVER
 FUCK FUCKING SHIT JESUS CHRIST GOD DAMN DAMNIT GODDAMN HELL WTF FFS
 """.split()
 
+# Constructions of praise, concession and admission that a dictionary may lack, in the published order.
+PRAISE = r"(?:good|great|nice|excellent|fair|valid|solid|sharp|smart|wise|clever|strong|keen|astute)"
+OPENERS = r"(?:good|right|fair|yes|yep|yeah|correct|agreed|true|indeed|noted|understood|exactly|ah|oh|oops|ouch|touche|granted|admittedly|ok|okay)"
+CONSTRUCTIONS = {
+    "praise+noun": r"\b" + PRAISE + r"\s+([a-z]{3,14})\b",
+    "praise+to+verb": r"\b(?:" + PRAISE + r"|right)\s+(?:\w+\s+)?to\s+([a-z]{2,14})\b",
+    "you+concede": r"\byou(?:re|\s+(?:are|were|had|caught|called|nailed|spotted))\s+([a-z]{2,14})\b",
+    "i+fault": r"\bi\s+(?:was|were|should|shouldnt|didnt|failed|missed)\s+([a-z]{2,14})\b",
+    "opener": r"^\W{0,3}(" + OPENERS + r"(?:\s+[a-z]{2,14}){0,2})\s*[-,:]",
+    "exactly+": r"\bexactly\s+(right|correct|so|my|the point|what i)\b",
+}
+
 
 def shouting(raw: Column) -> Column:
     """The angry words in capitals of a message, or all its capitals if it is short and mostly capitals."""
@@ -48,7 +58,7 @@ def near_misses(unmatched: DataFrame, text: str = "text") -> DataFrame:
     return told.groupBy(F.substring("sentence", 1, 70).alias("sentence")).agg(F.count("*").alias("n"))
 
 
-def sweep(messages: DataFrame, constructions: dict[str, str], lexicon: Lexicon | None = None, text: str = "text") -> DataFrame:
+def sweep(messages: DataFrame, constructions: dict[str, str] = CONSTRUCTIONS, lexicon: Lexicon | None = None, text: str = "text") -> DataFrame:
     """kind, candidate, n and up to two samples (the least sentences) of what broad constructions find.
 
     A candidate is left out if the lexicon has a phrase within it; the rest of its sentence doesn't matter.
@@ -64,11 +74,12 @@ def sweep(messages: DataFrame, constructions: dict[str, str], lexicon: Lexicon |
     return first.join(second, ["kind", "candidate"], "left").select("kind", "candidate", "n", F.array_compact(F.array("first", "second")).alias("samples"))
 
 
-def precision_audit(hits: DataFrame, text: str, k: int, least: int = 1, most: int | None = None) -> DataFrame:
-    """Up to k occurrences of every phrase found between ``least`` and ``most`` times, evenly spaced, each with its context.
+def precision_audit(hits: DataFrame, text: str, k: int, least: int = 1, most: int | None = None, phrase: str | None = None) -> DataFrame:
+    """Up to k occurrences of every phrase found between ``least`` and ``most`` times, or of one ``phrase``, evenly spaced, each with its context.
 
     ``hits`` has phrase, start, file_id, line_no and the normalised text.
     """
+    hits = hits if phrase is None else hits.filter(F.col("phrase") == phrase)
     n = hits.groupBy("phrase").agg(F.count("*").alias("n")).filter((F.col("n") >= least) & (F.lit(most).isNull() | (F.col("n") <= F.lit(most))))
     begin = F.greatest(F.col("start") - 75, F.lit(0))
     told = hits.join(hinted(n, 256), "phrase").withColumn("context", F.substring(F.col(text), begin + 1, F.col("start") + 65 - begin))
@@ -87,16 +98,28 @@ def examples(hits: DataFrame, by: str, shown: str, k: int = 3) -> DataFrame:
 
 
 def scan_counters(messages: DataFrame, hits: DataFrame, dimensions: tuple[str, ...] = ("model", "project", "month")) -> DataFrame:
-    """dimension, value, messages, characters and hits of each dimension alone, in one aggregation of grouping sets."""
-    with_month = lambda df: df.withColumn("month", month(F.col("ts"))) if "month" not in df.columns else df
-    total = with_month(messages).groupingSets([[d] for d in dimensions], *dimensions).agg(F.grouping_id().alias("g"), F.count("*").alias("messages"), F.sum(F.length("text")).alias("characters"))
-    found = with_month(hits).groupingSets([[d] for d in dimensions], *dimensions).agg(F.grouping_id().alias("g"), F.count("*").alias("hits"))
-    on = reduce(lambda a, c: a & c, [F.col(f"t.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (*dimensions, "g")])
-    bits = {d: (1 << len(dimensions)) - 1 - (1 << (len(dimensions) - 1 - i)) for i, d in enumerate(dimensions)}
-    name, value = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for d, g in bits.items():
-        name, value = F.when(F.col("t.g") == g, d).otherwise(name), F.when(F.col("t.g") == g, F.col(f"t.{d}").cast("string")).otherwise(value)
-    return total.alias("t").join(found.alias("h"), on, "left").select(name.alias("dimension"), value.alias("value"), "messages", "characters", F.coalesce("hits", F.lit(0)).alias("hits"))
+    """dimension, value, messages, characters, hits and hit messages of each dimension alone, in one aggregation of grouping sets.
+
+    Dimensions are columns of ``messages``; those that ``hits`` alone has (category, phrase) have hits and hit messages, and no
+    messages of their own. The dimension 'all' is everything.
+    """
+    with_month = lambda df: df.withColumn("month", month(F.col("ts"))) if "month" in dimensions and "month" not in df.columns else df
+
+    def by_dimension(df: DataFrame, *sums: Column) -> DataFrame:
+        names = [d for d in dimensions if d in df.columns]
+        grouped = df.groupingSets([[d] for d in names] + [[]], *names).agg(F.grouping_id().alias("g"), *sums)
+        bits = {d: (1 << len(names)) - 1 - (1 << (len(names) - 1 - i)) for i, d in enumerate(names)}
+        name, value = F.lit("all"), F.lit(None).cast("string")
+        for d, g in bits.items():
+            name, value = F.when(F.col("g") == g, d).otherwise(name), F.when(F.col("g") == g, F.col(d).cast("string")).otherwise(value)
+        return grouped.withColumns({"dimension": name, "value": value}).drop("g", *names)
+
+    total = by_dimension(with_month(messages), F.count("*").alias("messages"), F.sum(F.length("text")).alias("characters"))
+    found = by_dimension(with_month(hits), F.count("*").alias("hits"), F.countDistinct("fingerprint").alias("hit_messages"))
+    on = (F.col("t.dimension") == F.col("h.dimension")) & F.col("t.value").eqNullSafe(F.col("h.value"))
+    met = total.alias("t").join(found.alias("h"), on, "full")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return met.select(F.coalesce("t.dimension", "h.dimension").alias("dimension"), F.coalesce("t.value", "h.value").alias("value"), "messages", "characters", none("hits"), none("hit_messages"))
 
 
 def user_control(messages: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import hidden, month, normalize
-from parlance.operators.rates import with_rate
+from parlance.operators.audits import shouting
+from parlance.operators.rates import top_per, with_rate
 from parlance.operators.turns import first_occurrence, valid_model
 from parlance.sources.scratch import hinted
 
@@ -28,7 +27,7 @@ def construct_rates(matches: DataFrame, population: DataFrame) -> DataFrame:
 
 
 def model_constructs(matches: DataFrame, population: DataFrame, constructs: list[str], least: int) -> DataFrame:
-    """Per model with at least ``least`` distinct assistant messages: n, and of each construct <name>_hits, <name>_messages and <name>_rate.
+    """Per model with at least ``least`` distinct assistant messages: n, and of each construct <name>_hits, <name>_messages, <name>_rate, <name>_low and <name>_high.
 
     Models without a name and made-up ones are left out.
     """
@@ -37,7 +36,9 @@ def model_constructs(matches: DataFrame, population: DataFrame, constructs: list
     counts = [x for c in constructs for x in (F.sum(is_one(c).cast("long")).alias(f"{c}_hits"), F.countDistinct(F.when(is_one(c), F.col(KEY))).alias(f"{c}_messages"))]
     told = n.filter(F.col("n") >= least).join(matches.filter("side = 'assistant'").groupBy("model").agg(*counts), "model", "left")
     told = told.na.fill(0, [f"{c}_{x}" for c in constructs for x in ("hits", "messages")])
-    return told.withColumns({f"{c}_rate": F.round(100.0 * F.col(f"{c}_messages") / F.col("n"), 4) for c in constructs})
+    for c in constructs:
+        told = with_rate(told, f"{c}_messages", "n").withColumnsRenamed({x: f"{c}_{x}" for x in ("rate", "low", "high")})
+    return told
 
 
 def user_categories(matches: DataFrame, population: DataFrame) -> DataFrame:
@@ -66,11 +67,25 @@ def composition(matches: DataFrame, construct: str = "concession") -> DataFrame:
     return with_rate(told.agg(F.count("*").alias("n"), F.sum((F.col("construct") == construct).cast("long")).alias("k")), "k", "n")
 
 
-def heat_counters(matches: DataFrame) -> DataFrame:
-    """dimension, value, hits and messages of the user side by category, word, month and session, and directed or not."""
-    told = matches.filter("side = 'user'").select("category", F.col("phrase").alias("word"), month(F.col("timestamp")).alias("month"), "session", F.when(F.col("directed_at_claude"), "directed").otherwise("ambient").alias("aim"), KEY)
-    parts = [told.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("value")).agg(F.count("*").alias("hits"), F.countDistinct(KEY).alias("messages")) for d in ("category", "word", "month", "session", "aim")]
-    return reduce(DataFrame.unionByName, parts)
+def heat_counters(matches: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """dimension, value, hits and messages of the user side by category, word, month and session, and directed or not; one pass.
+
+    With ``users`` (fingerprint, ts and text as written), also the messages in capitals, by month: of angry words, or
+    short and mostly capitals; ``hits`` is how many such words they have. These never make a turn hot.
+    """
+    named = {"category": F.col("category"), "word": F.col("phrase"), "month": month(F.col("timestamp")), "session": F.col("session"), "aim": F.when(F.col("directed_at_claude"), "directed").otherwise("ambient")}
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), v.cast("string").alias("value")) for d, v in named.items()]))
+    told = matches.filter("side = 'user'").select(each.alias("d"), KEY).groupBy("d").agg(F.count("*").alias("hits"), F.countDistinct(KEY).alias("messages")).select("d.*", "hits", "messages")
+    if users is None:
+        return told
+    caps = users.select(month(F.col("ts")).alias("value"), "fingerprint", F.size(shouting(F.coalesce("text", F.lit("")))).cast("long").alias("n")).filter("n > 0")
+    return told.unionByName(caps.groupBy(F.lit("capitals").alias("dimension"), "value").agg(F.sum("n").alias("hits"), F.countDistinct("fingerprint").alias("messages")))
+
+
+def top_phrases(tally: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` most frequent phrases of each side, with their rank; ties by phrase. ``tally`` is that of :func:`export_tally`."""
+    n = tally.groupBy("side", "phrase").agg(F.sum("n").alias("n"))
+    return top_per(n, "side", k, F.desc("n"), F.col("phrase"))
 
 
 def compared_months(series: DataFrame, value: str = "rate", period: str = "month") -> DataFrame:

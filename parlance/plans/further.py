@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from parlance.functions import table_function
 from parlance.functions import text as T
 from parlance.functions.lexicon import Lexicon
-from parlance.operators import calibration, checks, constructs, matches, turns, verification
+from parlance.operators import audits, calibration, checks, constructs, matches, turns, verification
 from parlance.plans import stats_plans
-from parlance.plans.queries import HITS, MSG, PROBE, QUERIES, SQL, _hits, count_sql, messages, query, table, wilson_sql
+from parlance.plans.queries import HITS, MSG, PLACES, PROBE, QUERIES, SQL, _hits, count_sql, messages, query, table, wilson_sql
 from parlance.streaming import conversations as streaming
 from parlance.streaming import stateful
 from parlance.streaming.ordered import stateful_session
@@ -50,7 +50,7 @@ def construct_rates(spark, d):
 @query(HITS + f""", p as (select 'model' || (file_id % 4) as model, count(distinct fingerprint) as n from msg where side = 'assistant' group by 1 having count(distinct fingerprint) >= 50),
 c as (select 'model' || (file_id % 4) as model, {CONSTRUCT} as construct, sum(n) as hits, count(distinct fingerprint) as messages from hits group by 1, 2)
 select p.model, n, cast(coalesce(a.hits, 0) as bigint) as concession_hits, coalesce(a.messages, 0) as concession_messages, cast(coalesce(b.hits, 0) as bigint) as flattery_hits, coalesce(b.messages, 0) as flattery_messages,
- round(100.0 * coalesce(a.messages, 0) / n, 4) as concession_rate, round(100.0 * coalesce(b.messages, 0) / n, 4) as flattery_rate
+ {wilson_sql('coalesce(a.messages, 0)', 'n').replace(' as ', ' as concession_')}, {wilson_sql('coalesce(b.messages, 0)', 'n').replace(' as ', ' as flattery_')}
 from p left join c a on a.model = p.model and a.construct = 'concession' left join c b on b.model = p.model and b.construct = 'flattery'""")
 def model_constructs(spark, d):
     return constructs.model_constructs(_rows(spark, d), messages(spark, d), ["concession", "flattery"], 50)
@@ -103,6 +103,33 @@ def hit_composition_test(spark, d):
     return stats_plans.omnibus(constructs.composition(_rows(spark, d)))
 
 
+@query(PLACES + """, c as (select side, phrase, count(*) as n from nums where phrase <> 'of -' group by 1, 2)
+select side, phrase, n, rank from (select *, cast(row_number() over (partition by side order by n desc, phrase) as int) as rank from c) where rank <= 3""")
+def top_phrases_sides(spark, d):
+    said = _rows(spark, d).select("side", "category", "phrase").unionByName(_heat(spark, d).select("side", "category", "phrase"))
+    return constructs.top_phrases(constructs.export_tally(said), 3)
+
+
+COUNTED = HITS + """, m as (select *, 'model' || (file_id % 4) as model, strftime(make_timestamp((1700000000 + (file_id % 97) * 7200 + line_no * 60) * 1000000), '%Y-%m') as month from msg where side = 'assistant'),
+h as (select n, category, phrase, m.* from hits join m using (file_id, line_no))
+"""
+COUNTED += " union all ".join(
+    f"select '{d}' as dimension, {v} as value, {m} as messages, {c} as characters, cast(coalesce(hits, 0) as bigint) as hits, coalesce(hit_messages, 0) as hit_messages from {t}"
+    for d, v, m, c, t in [
+        *((d, f"t.{d}", "messages", "characters", f"(select {d}, count(*) as messages, cast(sum(length(text)) as bigint) as characters from m group by 1) t left join (select {d}, sum(n) as hits, count(distinct fingerprint) as hit_messages from h group by 1) u on t.{d} = u.{d}") for d in ("model", "project", "month")),
+        *((d, d, "null", "null", f"(select {d}, sum(n) as hits, count(distinct h.fingerprint) as hit_messages from h group by 1)") for d in ("category", "phrase")),
+        ("all", "null", "messages", "characters", "(select count(*) as messages, cast(sum(length(text)) as bigint) as characters from m), (select sum(n) as hits, count(distinct fingerprint) as hit_messages from h)"),
+    ]
+)
+
+
+@query(COUNTED)
+def scan_counters(spark, d):
+    said = messages(spark, d).filter("side = 'assistant'")
+    hits = said.withColumn("norm", T.normalize(F.col("text"))).select("model", "project", "ts", "fingerprint", F.explode(PROBE.phrase_hits("norm")).alias("h"))
+    return audits.scan_counters(said, hits.select("model", "project", "ts", "fingerprint", "h.category", "h.phrase"), ("model", "project", "month", "category", "phrase"))
+
+
 # ---- promises and calibration
 
 FEW = "substr(sha1((file_id % 50) || ':' || line_no), 1, 16)"

@@ -131,9 +131,9 @@ def fingerprints(spark, d):
     return table(spark, d, "documents").select("doc_id", T.fingerprint(F.concat(F.col("doc_id").cast("string"), "source")).alias("fp"))
 
 
-@query("select page_id, trim(regexp_replace(url, '[^A-Za-z0-9]', '-', 'g'), '-') as dashed, translate(url, '/.', '--') as rooted from pages")
+@query("select page_id, trim(regexp_replace(url, '[^A-Za-z0-9]', '-', 'g'), '-') as dashed, translate(url, '/.', '--') as rooted, regexp_replace(url, '[^A-Za-z0-9]', '-', 'g') as encoded from pages")
 def slugs(spark, d):
-    return table(spark, d, "pages").select("page_id", T.dashed(F.col("url")).alias("dashed"), T.rooted(F.col("url")).alias("rooted"))
+    return table(spark, d, "pages").select("page_id", T.dashed(F.col("url")).alias("dashed"), T.rooted(F.col("url")).alias("rooted"), T.encoded(F.col("url")).alias("encoded"))
 
 
 def _words_sql(x: str, variant: int = 1) -> str:
