@@ -346,8 +346,10 @@ def table_function_hits(spark, d):
 # ---- the default dictionary on known sentences
 
 # Sentences, and the phrases and offsets the published rules find in them.
-SENTENCES = ("You're right. I'll fix the parser.", "Let me look.", "I was wrong about it, my mistake", "Good catch", "I introduced neither; both are pre-existing.", "given that, i will", "Good question, you're right", "my error handling caught it cleanly, no crash")
-KNOWN = ((0, "you're right", 0), (2, "i was wrong", 0), (2, "my mistake", 22), (3, "good catch", 0), (6, "good question", 0), (6, "you're right", 15))
+SENTENCES = ("You're right. I'll fix the parser.", "Let me look.", "I was wrong about it, my mistake", "Good catch", "I introduced neither; both are pre-existing.", "given that, i will", "Good question, you're right", "my error handling caught it cleanly, no crash",
+    "That is a valid objection.", "Right - he is talking", "a fair objection, and you're right")
+KNOWN = ((0, "you're right", 0), (2, "i was wrong", 0), (2, "my mistake", 22), (3, "good catch", 0), (6, "good question", 0), (6, "you're right", 15),
+    (8, "valid objection", 10), (9, "right -", 0), (10, "you're right", 22), (10, "fair objection", 2))
 
 
 @query(MSG + f", known(i, phrase, start) as (values {', '.join('(%d, %s, %d)' % (i, chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39), s) for i, p, s in KNOWN)}) select file_id, line_no, phrase, start from msg join known on i = (file_id * 31 + line_no) % {len(SENTENCES)} where side = 'assistant'")
@@ -359,12 +361,12 @@ def dictionary_hits(spark, d):
     return hits.select("file_id", "line_no", "h.phrase", F.col("h.start").cast("int").alias("start"))
 
 
-USERS = ("this is fucking stupid", "actually that isnt it, look at the parser output", "run the tests")
+USERS = ("this is fucking stupid", "actually that isnt it, look at the parser output", "run the tests", "STOP. read it", 'it has loading="lazy" here', "you are so lazy about it")
 
 
 @query(MSG + f""", said as (select *, (file_id * 31 + line_no) % {len(SENTENCES)} as i, (file_id * 17 + line_no) % {len(USERS)} as u from turned),
-known(i, phrase, start) as (values {', '.join('(%d, %s, %d)' % (i, chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39), s) for i, p, s in KNOWN)}), heat(u, phrase, start) as (values (0, 'fucking', 8), (0, 'stupid', 16)),
-usr2 as (select file_id, turn_id, case u when 0 then 'hot' when 1 then 'correction' else 'neutral' end as bucket from said where side = 'user')
+known(i, phrase, start) as (values {', '.join('(%d, %s, %d)' % (i, chr(39) + p.replace(chr(39), chr(39) * 2) + chr(39), s) for i, p, s in KNOWN)}), heat(u, phrase, start) as (values (0, 'fucking', 8), (0, 'stupid', 16), (3, 'STOP', 0), (5, 'lazy', 11)),
+usr2 as (select file_id, turn_id, case when u in (0, 3, 5) then 'hot' when u = 1 then 'correction' else 'neutral' end as bucket from said where side = 'user')
 select s.file_id, s.line_no, s.side, phrase, start as char_offset, u.bucket as turn_bucket, 'p' || (s.file_id % 5) as project from said s join known k on k.i = s.i left join usr2 u using (file_id, turn_id) where s.side = 'assistant'
 union all select s.file_id, s.line_no, s.side, phrase, start, 'hot', 'p' || (s.file_id % 5) from said s join heat h on h.u = s.u where s.side = 'user'""")
 def match_rows_sentences(spark, d):
