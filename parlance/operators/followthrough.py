@@ -16,6 +16,8 @@ from parlance.sources.scratch import settled
 ELIGIBLE = ("concession", "acknowledgment")
 LEAST_DOWNSTREAM, WINDOW_DAYS, WINDOW_TURNS, LEAST_TRIGGER = 20, 14, 5000, 4
 AMBIENT, RARE = 0.30, 0.005
+#: Seconds of a project's timeline that are sorted together, so that a busy project's day is many tasks.
+PART_SECONDS = 900
 #: Turns of a project among which the next marked one is found at once.
 SEGMENT_TURNS = 4096
 
@@ -83,10 +85,10 @@ def placed(promises: DataFrame, turns: DataFrame, days: int = WINDOW_DAYS, most:
     """(promises with first and last, turns with place): real turns of a project are numbered in time, from 1.
 
     Those that follow a promise within the window of ``days`` whole days are first < place <= last, at most ``most``. Each promise adds two
-    marks to the timeline, so that one running count by days, then over the days' sums, gives all numbers: no promise
+    marks to the timeline, so that one running count by parts of a day, then over the parts' sums, gives all numbers: no promise
     meets its turns. ``turns`` are those that quote nothing; rows whose time doesn't parse have no place.
     """
-    day = F.floor(F.col("at") / 86_400)
+    part = F.floor(F.col("at") / PART_SECONDS)
     slim = ["project", "at", "ts", "kind", "file_id", "line_no", "promise_id"]
     none = lambda kind: F.lit(None).cast(kind)
     file_type = dict(turns.dtypes)["file_id"]
@@ -94,12 +96,12 @@ def placed(promises: DataFrame, turns: DataFrame, days: int = WINDOW_DAYS, most:
     marks = promises.filter("at is not null").withColumns({"file_id": none(file_type), "line_no": none("long")})
     start = marks.withColumn("kind", F.lit(1)).select(slim)
     end = marks.withColumns({"kind": F.lit(-1), "at": F.col("at") + (days + 1) * 86_400, "ts": F.lit("")}).select(slim)
-    events = t.unionByName(start).unionByName(end).withColumns({"_day": day, "_turn": (F.col("kind") == 0).cast("long")})
-    sums = events.groupBy("project", "_day").agg(F.sum("_turn").alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("project").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("project", "_day", before.alias("_before"))
-    inner = F.sum("_turn").over(Window.partitionBy("project", "_day").orderBy("at", "ts", "kind", "file_id", "line_no").rowsBetween(Window.unboundedPreceding, 0))
-    told = events.withColumn("_inner", inner).join(sums, ["project", "_day"]).withColumn("place", F.col("_inner") + F.col("_before"))
+    events = t.unionByName(start).unionByName(end).withColumns({"_part": part, "_turn": (F.col("kind") == 0).cast("long")})
+    sums = events.groupBy("project", "_part").agg(F.sum("_turn").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("project").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("project", "_part", before.alias("_before"))
+    inner = F.sum("_turn").over(Window.partitionBy("project", "_part").orderBy("at", "ts", "kind", "file_id", "line_no").rowsBetween(Window.unboundedPreceding, 0))
+    told = events.withColumn("_inner", inner).join(sums, ["project", "_part"]).withColumn("place", F.col("_inner") + F.col("_before"))
     told = settled(told.select("project", "file_id", "line_no", "promise_id", "kind", "place"), "places")
     edges = told.filter("kind != 0").groupBy("promise_id").agg(F.max(F.when(F.col("kind") == 1, F.col("place"))).alias("first"), F.max(F.when(F.col("kind") == -1, F.col("place"))).alias("last"))
     edges = edges.withColumn("last", F.least("last", F.col("first") + most))
@@ -181,8 +183,18 @@ def follow_through(promises: DataFrame, users: DataFrame, variant: str = "full")
 
 
 def downstream_view(promises: DataFrame, users: DataFrame, k: int = 6) -> DataFrame:
-    """The next k real turns of each promise: position among all later turns, gap and text."""
-    met = forward(promises.withColumn("at", F.unix_timestamp(parse_ts(F.col("ts")))).select("promise_id", "project", "ts", "at"), timeline(users))
-    real = without_quotes(met)
-    first = real.withColumn("_n", F.row_number().over(Window.partitionBy("promise_id").orderBy("turns_later"))).filter(F.col("_n") <= k)
-    return first.select("promise_id", F.col("turns_later").alias("pos"), gap(F.col("at") - F.col("from_at")).alias("gap"), F.substring("norm", 1, 260).alias("text"))
+    """The next k real turns of each promise: position among all later turns, gap and text.
+
+    Turns are numbered twice, with and without those that quote the transcript; a promise meets k numbers, and no others.
+    """
+    asked = promises.withColumn("at", F.unix_timestamp(parse_ts(F.col("ts")))).select("promise_id", "project", "ts", "at")
+    turns = settled(timeline(users).select("project", "file_id", "line_no", "ts", "at", "norm"), "timeline")
+    slim = turns.select("project", "file_id", "line_no", "ts", "at", F.col("norm").rlike(D.QUOTEBACK).alias("quotes"))
+    every, line = placed(asked, slim)
+    real, real_line = placed(asked, slim.filter("not quotes"))
+    wanted = real.filter("last > first").select("promise_id", "project", F.explode(F.sequence(F.col("first") + 1, F.least("last", F.col("first") + k))).alias("place"))
+    met = wanted.join(real_line.select("project", "file_id", "line_no", "place"), ["project", "place"]).drop("place")
+    met = met.join(line.select("project", "file_id", "line_no", "place"), ["project", "file_id", "line_no"])
+    met = met.join(every.select("promise_id", F.col("at").alias("from_at"), "first", "last"), "promise_id").filter("place <= last")
+    told = met.join(turns.select("project", "file_id", "line_no", "at", "norm"), ["project", "file_id", "line_no"])
+    return told.select("promise_id", (F.col("place") - F.col("first")).cast("int").alias("pos"), gap(F.col("at") - F.col("from_at")).alias("gap"), F.substring("norm", 1, 260).alias("text"))

@@ -517,6 +517,18 @@ def followthrough_labels(spark, d):
     return followthrough.follow_through(*_promises(spark, d)).withColumns({c: F.array_join(c, " ") for c in ("shared", "shared_rare")})
 
 
+@query(FOLLOWED.replace("substr(norm, 1, 1500) as norm from log", "substr(case when doc_id % 13 = 0 then '/compact ' else '' end || norm, 1, 1500) as norm from log") + f""", later as (
+  select p.doc_id as promise_id, t.norm, t.secs - p.secs as away, row_number() over (partition by p.doc_id order by t.secs, t.line_no) as pos, regexp_matches(t.norm, '{D.QUOTEBACK}') as quotes
+  from log p join turn t on p.project = t.project and t.secs > p.secs and (t.secs - p.secs) // 86400 <= 14 where p.chance % 10 = 0),
+real as (select *, row_number() over (partition by promise_id order by pos) as i from later where not quotes and pos <= 5000)
+select promise_id, cast(pos as int) as pos, case when away // 60 < 120 then (away // 60) || 'm' when away // 3600 < 48 then (away // 3600) || 'h' else (away // 86400) || 'd' end as gap, substr(norm, 1, 260) as text from real where i <= 6""")
+def downstream_texts(spark, d):
+    """The next six real turns of each promise; every thirteenth turn quotes the transcript."""
+    promises, users = _promises(spark, d)
+    quoting = F.when(F.col("line_no") % 13 == 0, F.concat(F.lit("/compact "), "text")).otherwise(F.col("text"))
+    return followthrough.downstream_view(promises, users.withColumn("text", quoting))
+
+
 @query(FOLLOWED + "select variant, label, count(*) as n from labelled group by 1, 2")
 def rule_variants(spark, d):
     found = followthrough.evidence(*_promises(spark, d))
