@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,22 @@ def offenders(spark: SparkSession, document: dict, lexicon: Lexicon) -> DataFram
     return guard(spark.createDataFrame(strings_of(document), "path string, value string"), vocabulary(spark, lexicon))
 
 
+def provenance(spark: SparkSession, dictionary: str, checkout: str | None = None) -> dict:
+    """Where a bundle comes from: the dictionary file's SHA-256, and the commit of a checkout and whether it has changes.
+
+    Without a checkout, or without git, commit and dirty are None.
+    """
+    digest = spark.read.format("binaryFile").load(dictionary).select(F.sha2("content", 256)).first()[0]
+    told = {"dictionary_sha256": digest, "commit": None, "dirty": None}
+    if checkout:
+        say = lambda *words: subprocess.run(["git", *words], cwd=checkout, capture_output=True, text=True, timeout=10, check=True).stdout.strip()
+        try:
+            told |= {"commit": say("rev-parse", "HEAD")[:12], "dirty": bool(say("status", "--porcelain"))}
+        except (OSError, subprocess.SubprocessError):
+            pass
+    return told
+
+
 def assemble(participant: str, exported: str, provenance: dict, sections: dict[str, DataFrame]) -> dict:
     """A bundle of finished tables; each is a document's size or an error."""
     return {"bundle": 1, "participant": participant, "exported": exported, "provenance": provenance} | {k: rows_of(df) for k, df in sections.items()}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from parlance.sources.growing import growing_lines, numbered
-from parlance.sources.transcripts import messages_of
+from parlance.sources.transcripts import messages_of, read_files, read_messages
 
 
 class Ledger:
@@ -61,7 +61,13 @@ class Ledger:
             if schema is None:
                 raise ValueError(f"no run in {self.folder}")
             return self.spark.createDataFrame([], schema)
-        kept = runs[-1:] if last else runs
+        return self.union(runs[-1:] if last else runs, schema)
+
+    def of(self, run: int) -> DataFrame:
+        """One run's rows."""
+        return self.union([self.runs()[run]])
+
+    def union(self, kept: list[dict], schema: StructType | str | None = None) -> DataFrame:
         shape = schema or StructType.fromJson(json.loads(kept[-1]["schema"]))
         parts = {form: [f"{self.folder}/{r['place']}" for r in kept if r["form"] == form] for form in {r["form"] for r in kept}}
         out = None
@@ -82,6 +88,24 @@ def read_rows(spark: SparkSession, folder: str, schema: StructType | str | None
     return Ledger(spark, folder).read(schema, last=True)
 
 
+def write_tables(spark: SparkSession, root: str, folder: str) -> None:
+    """The tables files and messages of all transcripts under ``root``, as the next run of each; readers see the run before until both are there."""
+    files, messages = Ledger(spark, f"{folder}/files"), Ledger(spark, f"{folder}/messages")
+    run = max({**files.runs(), **messages.runs()}, default=0) + 1
+    told = read_files(spark, root)
+    messages.put(read_messages(spark, root), run)
+    files.put(told, run)
+
+
+def read_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(files, messages) of the last run of :func:`write_tables` that has both."""
+    tables = [Ledger(spark, f"{folder}/{name}") for name in ("files", "messages")]
+    both = set(tables[0].runs()) & set(tables[1].runs())
+    if not both:
+        raise ValueError(f"no run in {folder}")
+    return tuple(t.of(max(both)) for t in tables)
+
+
 def ingest(spark: SparkSession, root: str, folder: str, once: bool = True, transform: Callable[[DataFrame], DataFrame] = messages_of, **options) -> DataFrame:
     """Take in what was appended to the transcripts under ``root`` since the last call; all messages so far.
 

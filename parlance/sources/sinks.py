@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows a document may have; a longer table is an error, not a document.
 MOST_ROWS = 100_000
@@ -22,6 +22,18 @@ def json_document(sections: dict[str, DataFrame]) -> str:
     return json.dumps({k: rows_of(df) for k, df in sections.items()}, indent=1, sort_keys=True, ensure_ascii=False, default=str)
 
 
+def read_document(spark: SparkSession, path: str) -> dict:
+    """A finished document (JSON), anywhere Spark reads; its size is bounded as that of a document is."""
+    (text,) = [r[0] for r in spark.read.text(path, wholetext=True).limit(2).collect()]
+    return json.loads(text)
+
+
+def listed(names: list[str], most: int = 10) -> str:
+    """The first names of a report, and how many more there are."""
+    rest = f", and {len(names) - most} more" if len(names) > most else ""
+    return ", ".join(names[:most]) + rest
+
+
 def markdown_table(df: DataFrame) -> str:
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join(str(v) for v in r.values()) + " |" for r in rows_of(df))])

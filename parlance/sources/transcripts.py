@@ -31,7 +31,7 @@ def path_columns(path: Column, root: str) -> dict[str, Column]:
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """files: file_id, the path's parts, bytes, sha256. AppleDouble files are skipped.
+    """files: file_id, the path's parts, bytes, sha256. AppleDouble files are skipped, and so are empty ones, which Spark doesn't read.
 
     file_id is the path below ``root``: it sorts as a rank of paths does and needs no numbering of all files.
     """
@@ -41,6 +41,14 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return told.withColumn("file_id", F.col("relpath"))
 
 
+def held_files(spark: SparkSession, root: str) -> DataFrame:
+    """(machine_id, root_slug, relpath, bytes) of the transcripts held below <machine>/<root>/, relpath being what is below those; no content is read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(root).select("path", "length")
+    parts = F.split(path_columns(F.col("path"), root)["relpath"], "/")
+    told = raw.select(F.get(parts, F.lit(0)).alias("machine_id"), F.get(parts, F.lit(1)).alias("root_slug"), F.array_join(F.slice(parts, 3, F.size(parts)), "/").alias("relpath"), F.col("length").alias("bytes"))
+    return told.filter("relpath != ''")
+
+
 def content_text(entry: str = "v") -> Column:
     """The prose of a parsed entry: a string, or the text blocks of a list joined by line ends; wrappers are stripped."""
     blocks = F.expr(f"try_variant_get({entry}, '$.message.content', 'array<struct<type:string,text:string>>')")

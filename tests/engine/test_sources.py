@@ -166,3 +166,45 @@ def test_strings_of_nested_documents(spark, tmp_path):
 
 def i_ascii(name):
     return name < "d2"
+
+
+def test_tables_of_whole_runs(spark, archive, tmp_path):
+    from parlance.sources.ledger import read_tables, write_tables
+
+    folder = f"file://{tmp_path}/tables"
+    with pytest.raises(ValueError):
+        read_tables(spark, folder)
+    write_tables(spark, str(archive), folder)
+    files, messages = read_tables(spark, folder)
+    n, held = messages.count(), sum(p.stat().st_size > 0 and not p.name.startswith("._") for p in archive.rglob("*.jsonl"))
+    assert n == transcripts.read_messages(spark, str(archive)).count() and files.count() == held
+    (archive / "box/root/proj/more.jsonl").write_text(entry("more"))
+    assert messages.count() == n  # what was read stays as it was
+    write_tables(spark, str(archive), folder)
+    files, messages = read_tables(spark, folder)
+    assert messages.count() == n + 1 and files.count() == held + 1
+    for p in (tmp_path / "tables" / "files" / "manifest").glob("*2.json"):  # a run that lacks a table isn't seen
+        p.unlink()
+    assert [x.count() for x in read_tables(spark, folder)] == [held, n]
+
+
+def test_held_files_documents_and_provenance(spark, archive, tmp_path):
+    import hashlib
+    import subprocess
+
+    from parlance.operators.bundles import provenance
+    from parlance.sources.sinks import listed, read_document
+
+    held = {(r.machine_id, r.root_slug, r.relpath): r.bytes for r in transcripts.held_files(spark, str(archive)).collect()}
+    assert held["box", "root", "proj/big.jsonl"] == (archive / "box/root/proj/big.jsonl").stat().st_size and len(held) == sum(p.stat().st_size > 0 and p.name[0] != "." for p in archive.rglob("*.jsonl"))
+    (tmp_path / "d.json").write_text('{"a": [1, "é"]}', encoding="utf-8")
+    assert read_document(spark, str(tmp_path / "d.json")) == {"a": [1, "é"]}
+    assert listed(list("abc"), 2) == "a, b, and 1 more" and listed(["a"]) == "a"
+    told = provenance(spark, str(tmp_path / "d.json"), str(tmp_path))
+    assert told == {"dictionary_sha256": hashlib.sha256((tmp_path / "d.json").read_bytes()).hexdigest(), "commit": None, "dirty": None}
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    for words in (["init", "-q"], ["-c", "user.name=a", "-c", "user.email=b", "commit", "-q", "--allow-empty", "-m", "x"]):
+        subprocess.run(["git", *words], cwd=repo, check=True)
+    told = provenance(spark, str(tmp_path / "d.json"), str(repo))
+    assert len(told["commit"]) == 12 and told["dirty"] is False
