@@ -11,12 +11,12 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.shared import discard, map_rows, stored, texts_of, whole_text
+from parlance.llm.shared import BATCH_ROWS, discard, map_rows, stored, texts_of, whole_text
 
 #: Edits allowed for each word of an item.
 ERROR_SHARE = 0.15
@@ -166,11 +166,12 @@ def holds_any(items: Broadcast) -> Callable[[Column], Column]:
     """A column function: whether a text holds one of the broadcast items."""
     held: list[Matcher] = []
 
-    @F.pandas_udf("boolean")
-    def hit(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def hit(texts: pa.Array) -> pa.Array:
         if not held:
             held.append(Matcher(items.value))
-        return pd.Series([bool(held[0].found(t)) for t in texts], dtype=bool)
+        pieces = (texts.slice(at, BATCH_ROWS).to_pylist() for at in range(0, len(texts), BATCH_ROWS))
+        return pa.array([bool(held[0].found(t)) for piece in pieces for t in piece], pa.bool_())
 
     return hit
 

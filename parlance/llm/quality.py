@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.shared import map_rows, stored, texts_of, whole_text
+from parlance.llm.shared import BATCH_ROWS, map_rows, stored, texts_of, whole_text
 
 #: Labelled documents the trees are fitted to, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
@@ -221,11 +222,14 @@ def accepted(documents: DataFrame, labels: DataFrame, text_column: str = "text")
     few = documents.join(F.broadcast(sampled(labels, SAMPLE_ROWS).select("doc_id")), "doc_id", "left_semi")
     trees = spark.sparkContext.broadcast(fit(*labelled_sample(document_statistics(few), labels), list(FEATURES.values())))
 
-    @F.pandas_udf("boolean")
-    def keeps(texts: pd.Series) -> pd.Series:
-        got = [counts(t) for t in texts]
-        failed = np.array([base_failed(*(base[i] for i in (0, 4))) for base, _ in got], bool)
-        good = trees.value.probability(np.array([x for _, x in got], float).reshape(-1, len(FEATURES)))
-        return pd.Series(~failed & (good.round(6) >= KEEP_FROM))
+    @F.arrow_udf("boolean")
+    def keeps(texts: pa.Array) -> pa.Array:
+        kept = [np.zeros(0, bool)]
+        for at in range(0, len(texts), BATCH_ROWS):  # so few texts are Python objects at once
+            got = [counts(t) for t in texts.slice(at, BATCH_ROWS).to_pylist()]
+            failed = np.array([base_failed(*(base[i] for i in (0, 4))) for base, _ in got], bool)
+            good = trees.value.probability(np.array([x for _, x in got], float).reshape(-1, len(FEATURES)))
+            kept.append(~failed & (good.round(6) >= KEEP_FROM))
+        return pa.array(np.concatenate(kept))
 
     return documents.filter(keeps(whole_text(text_column)))
