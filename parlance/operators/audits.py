@@ -51,10 +51,10 @@ def shouting(raw: Column) -> Column:
     return F.when(F.size(angry) > 0, angry).when(mostly, caps).otherwise(F.array().cast("array<string>"))
 
 
-def near_misses(unmatched: DataFrame, text: str = "text") -> DataFrame:
+def near_misses(unmatched: DataFrame, text: str = "text", pattern: str = D.NEAR_MISS) -> DataFrame:
     """Sentences (the first 70 characters) that smell of an admission, of messages without a hit, with how often they occur."""
     told = unmatched.select(F.explode(stripped_sentences(normalize(F.col(text)))).alias("sentence"))
-    told = told.filter(F.length("sentence").between(8, 200) & F.col("sentence").rlike(unicode(D.NEAR_MISS)))
+    told = told.filter(F.length("sentence").between(8, 200) & F.col("sentence").rlike(unicode(pattern)))
     return told.groupBy(F.substring("sentence", 1, 70).alias("sentence")).agg(F.count("*").alias("n"))
 
 

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions import dictionary as D
 from parlance.functions import table_function
 from parlance.functions import text as T
 from parlance.functions.lexicon import Lexicon
@@ -130,6 +131,41 @@ def scan_counters(spark, d):
     return audits.scan_counters(said, hits.select("model", "project", "ts", "fingerprint", "h.category", "h.phrase"), ("model", "project", "month", "category", "phrase"))
 
 
+# ---- audits
+
+PLACED = PLACES + ", spoken as (select file_id, line_no, phrase, start, norm from bare where side = 'assistant' and phrase in ('in the', 'that', 'to', 'is'))"
+
+
+def _placed(spark, d) -> DataFrame:
+    said = messages(spark, d).filter("side = 'assistant'").withColumn("norm", T.normalize(F.col("text")))
+    told = said.select("file_id", "line_no", "norm", F.explode(PROBE.phrase_hits("norm")).alias("h")).select("file_id", "line_no", "norm", "h.phrase", F.col("h.start").cast("long").alias("start"))
+    return told.filter("phrase != 'the'")
+
+
+@query(PLACED + """, n as (select phrase, count(*) as n from spoken group by 1 having count(*) <= 400),
+ranked as (select s.*, n, row_number() over (partition by phrase order by file_id, line_no, start) as i from spoken s join n using (phrase))
+select phrase, n, file_id, line_no, start, substr(norm, greatest(start - 75, 0) + 1, start + 65 - greatest(start - 75, 0)) as context from ranked where (i - 1) % greatest(1, n // 7) = 0 and (i - 1) // greatest(1, n // 7) < 7""")
+def precision_audit(spark, d):
+    return audits.precision_audit(_placed(spark, d), "norm", 7, most=400)
+
+
+@query(PLACED + ", once as (select distinct phrase, substr(norm, greatest(start - 20, 0) + 1, 40) as shown from spoken) select phrase, shown from (select *, row_number() over (partition by phrase order by shown) as i from once) where i <= 3")
+def phrase_examples(spark, d):
+    return audits.examples(_placed(spark, d).select("phrase", F.expr("substring(norm, cast(greatest(start - 20, 0) + 1 as int), 40)").alias("shown")), "phrase", "shown")
+
+
+@query(MSG + f", c as (select fingerprint, unnest([struct_pack(phrase := 'in the', n := {count_sql('in the')}), struct_pack(phrase := 'of', n := {count_sql('of')})], recursive := true) from msg where side = 'user') select 'control' as category, phrase, cast(sum(n) as bigint) as hits, count(distinct fingerprint) as messages from c where n > 0 group by 2")
+def user_control(spark, d):
+    return audits.user_control(messages(spark, d), replace(PROBE, user={"control": ["of", "in the"]}))
+
+
+@query(MSG + f""", s as (select trim(unnest(regexp_split_to_array(norm, '[.!?\\n]+')), ' -*#`>') as sentence from msg)
+select substr(sentence, 1, 70) as sentence, count(*) as n from s where length(sentence) between 8 and 200 and regexp_matches(sentence, '{D.NEAR_MISS}|\\b(?:of the|in that)\\b') group by 1""")
+def near_misses(spark, d):
+    """Sentences that smell of an admission, and, since the tables have few of those, some of plain words."""
+    return audits.near_misses(messages(spark, d), pattern=rf"{D.NEAR_MISS}|\b(?:of the|in that)\b")
+
+
 # ---- promises and calibration
 
 FEW = "substr(sha1((file_id % 50) || ':' || line_no), 1, 16)"
