@@ -11,7 +11,7 @@ from parlance.functions import dictionary as D
 from parlance.functions.bloom import held_rows
 from parlance.functions.lexicon import unicode
 from parlance.functions.text import content_words, gap, normalize, parse_ts
-from parlance.sources.scratch import settled
+from parlance.sources.scratch import hinted, settled
 
 ELIGIBLE = ("concession", "acknowledgment")
 LEAST_DOWNSTREAM, WINDOW_DAYS, WINDOW_TURNS, LEAST_TRIGGER = 20, 14, 5000, 4
@@ -136,14 +136,16 @@ def evidence(promises: DataFrame, users: DataFrame) -> Evidence:
     vocab = vocabulary(turns, only=words).select("project", "word", "is_ambient", "is_rare")
     distinct = words.join(vocab, ["project", "word"], "left").filter("not coalesce(is_ambient, false)").withColumn("is_rare", F.coalesce("is_rare", F.lit(False)))
     distinct = settled(distinct.select("promise_id", "project", "word", "is_rare"), "trigger-words")
-    marked, line = placed(told, turns.filter("not quotes").select("project", "file_id", "line_no", "ts", "at", "again", "complains", "words"))
+    real = turns.filter("not quotes")
+    marked, line = placed(told, real.select("project", "file_id", "line_no", "ts", "at"))
     # trigger words are not ambient, so the words that a turn shares with them need no look at the vocabulary
     # turns with a marker meet all trigger words, other turns the rare ones alone
     scope = F.explode(F.when(F.col("is_rare"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias("again")
     scoped = distinct.select("*", scope)
     trigger = scoped.join(marked.select("promise_id", "first", "last"), "promise_id")
-    spoken = line.select("project", "place", "file_id", "line_no", "again", "complains", F.explode("words").alias("word"))
-    spoken = held_rows(spoken, scoped, "project", "word", "again")
+    # words are filtered where the turns lie; those that are left look up their turn's place
+    spoken = held_rows(real.select("project", "file_id", "line_no", "again", "complains", F.explode("words").alias("word")), scoped, "project", "word", "again")
+    spoken = spoken.join(line.select("project", "file_id", "line_no", "place"), ["project", "file_id", "line_no"])
     met = trigger.join(spoken, ["project", "word", "again"]).filter((F.col("place") > F.col("first")) & (F.col("place") <= F.col("last")))
     carried = [F.first(c).alias(c) for c in ("again", "complains", "first", "file_id", "line_no")]
     met = met.groupBy("promise_id", "project", "place").agg(F.count("*").alias("n"), F.sum(F.col("is_rare").cast("long")).alias("few"), *carried)
@@ -162,7 +164,9 @@ def labels(found: Evidence, variant: str = "full") -> DataFrame:
         path = path.when((F.col("few") >= 2) & F.col("complains"), "complaint")
     path = path.when(F.col("few") >= 3, "strong") if variant == "full" else path
     hits = met.withColumn("path", path).filter("path is not null")
-    best = hits.groupBy("promise_id", "project").agg(F.min_by(F.struct("path", "file_id", "line_no", (F.col("place") - F.col("first")).alias("turns_later")), F.struct(F.col("path") != "explicit", F.col("place"))).alias("e")).select("promise_id", "project", "e.*")
+    best = hits.groupBy("promise_id", "project").agg(F.min_by(F.struct("path", "file_id", "line_no", (F.col("place") - F.col("first")).alias("turns_later")), F.struct(F.col("path") != "explicit", F.col("place"))).alias("e"))
+    best = settled(best.select("promise_id", "project", "e.*"), "best")
+    turns = turns.join(hinted(best.select("project", "file_id", "line_no").distinct(), 512), ["project", "file_id", "line_no"], "left_semi")
     own = distinct.join(best.select("promise_id"), "promise_id", "left_semi").groupBy("promise_id").agg(F.collect_set("word").alias("all"), F.collect_set(F.when(F.col("is_rare"), F.col("word"))).alias("rare"))
     shown = turns.select("project", "file_id", "line_no", F.col("session").alias("turn_session"), F.col("ts").alias("evidence_ts"), "words", "quote")
     said = best.join(shown, ["project", "file_id", "line_no"]).join(own, "promise_id")
