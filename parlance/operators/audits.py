@@ -101,13 +101,13 @@ def scan_counters(messages: DataFrame, hits: DataFrame, dimensions: tuple[str, .
     """dimension, value, messages, characters, hits and hit messages of each dimension alone, in one aggregation of grouping sets.
 
     Dimensions are columns of ``messages``; those that ``hits`` alone has (category, phrase) have hits and hit messages, and no
-    messages of their own. The dimension 'all' is everything.
+    messages of their own. A dimension 'all' is everything.
     """
     with_month = lambda df: df.withColumn("month", month(F.col("ts"))) if "month" in dimensions and "month" not in df.columns else df
 
     def by_dimension(df: DataFrame, *sums: Column) -> DataFrame:
         names = [d for d in dimensions if d in df.columns]
-        grouped = df.groupingSets([[d] for d in names] + [[]], *names).agg(F.grouping_id().alias("g"), *sums)
+        grouped = df.groupingSets([[d] for d in names] + [[]] * ("all" in dimensions), *names).agg(F.grouping_id().alias("g"), *sums)
         bits = {d: (1 << len(names)) - 1 - (1 << (len(names) - 1 - i)) for i, d in enumerate(names)}
         name, value = F.lit("all"), F.lit(None).cast("string")
         for d, g in bits.items():

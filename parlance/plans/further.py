@@ -128,7 +128,7 @@ COUNTED += " union all ".join(
 def scan_counters(spark, d):
     said = messages(spark, d).filter("side = 'assistant'")
     hits = said.withColumn("norm", T.normalize(F.col("text"))).select("model", "project", "ts", "fingerprint", F.explode(PROBE.phrase_hits("norm")).alias("h"))
-    return audits.scan_counters(said, hits.select("model", "project", "ts", "fingerprint", "h.category", "h.phrase"), ("model", "project", "month", "category", "phrase"))
+    return audits.scan_counters(said, hits.select("model", "project", "ts", "fingerprint", "h.category", "h.phrase"), ("model", "project", "month", "category", "phrase", "all"))
 
 
 # ---- audits

@@ -15,7 +15,7 @@ from tests.engine.test_engine import MESSAGES, brute_label
 def test_scan_counters_with_dimensions_of_hits(spark):
     m = spark.createDataFrame([("f1", "m1", "p", "2026-01-02", "abc"), ("f2", "m1", "q", "2026-02-02", "de"), ("f3", None, "p", None, "")], "fingerprint string, model string, project string, ts string, text string")
     hits = spark.createDataFrame([("f1", "m1", "p", "2026-01-02", "x"), ("f1", "m1", "p", "2026-01-02", "y"), ("f2", "m1", "q", "2026-02-02", "x")], "fingerprint string, model string, project string, ts string, phrase string")
-    got = {(r.dimension, r["value"]): tuple(r)[2:] for r in audits.scan_counters(m, hits, ("model", "month", "phrase")).collect()}
+    got = {(r.dimension, r["value"]): tuple(r)[2:] for r in audits.scan_counters(m, hits, ("model", "month", "phrase", "all")).collect()}
     assert got == {("model", "m1"): (2, 5, 3, 2), ("model", None): (1, 0, 0, 0), ("month", "2026-01"): (1, 3, 2, 1), ("month", "2026-02"): (1, 2, 1, 1), ("month", "unknown"): (1, 0, 0, 0), ("phrase", "x"): (None, None, 2, 2), ("phrase", "y"): (None, None, 1, 1), ("all", None): (3, 5, 3, 2)}
 
 
