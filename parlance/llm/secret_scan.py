@@ -144,5 +144,7 @@ def secret_digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     ordered = F.array_sort("spans")
     said = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = [k for k, r in enumerate(rules) if r.kind in BASE]
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{rules[k].kind}") for k in base]
+    # a lambda's second parameter, even one with a default, would be the place in the array
+    of_kind = lambda k: F.filter("spans", lambda x: x["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{rules[k].kind}") for k in base]
     return found.select("doc_id", *counts, F.sha2(said(F.filter(ordered, lambda x: x["kind"].isin(base))), 256).alias("base_sha256"), said(ordered).alias("spans"))
