@@ -32,8 +32,8 @@ FREQUENT_WORDS, FREQUENT_BIGRAMS = 65_536, 262_144
 ALPHA, WEIGHT = 0.5, 200.0
 #: Words counted, and entries packed, by a task before it hands them on; documents of a flush, whose places must fit 16 bits.
 FLUSH_WORDS, FLUSH_ENTRIES, FLUSH_DOCUMENTS = 2_000_000, 1_000_000, 50_000
-#: Entries that one bucket of the shuffle should hold.
-BUCKET_ENTRIES = 2_000_000
+#: Entries that one bucket of the shuffle should hold, and keys that are counted at once within a flush or a bucket.
+BUCKET_ENTRIES, PIECE_KEYS = 2_000_000, 131_072
 START = H.U(0x9E3779B97F4A7C15)
 
 WORD, BIGRAM = 0, 1
@@ -72,33 +72,52 @@ def counted(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     return distinct, n, *[np.bincount(which, w, len(distinct)).astype(np.int64) for w in weights]
 
 
+def pieces(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of the keys in parts of about PIECE_KEYS, by their upper bits: equal keys are in one part, lesser ones in earlier parts.
+
+    What is worked out for one part is freed before the next: a worker keeps the memory it had at its peak.
+    """
+    n = min(-(-len(keys) // PIECE_KEYS), 256)
+    share = ((keys >> H.U(56)) * H.U(n) >> H.U(8)).astype(np.uint8)
+    for i in range(n):
+        yield np.flatnonzero(share == i)
+
+
 def first_counts(flagged: DataFrame) -> DataFrame:
     """kind, key and COUNTS: of every word, and of bigrams that are frequent in the words a task counts at once."""
     names = ["kind", "key", *COUNTS]
 
-    def told(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        word, bigram, target, last = (np.concatenate(x) for x in zip(*parts))
-        keys, n, wanted, ends, wanted_ends = counted(word, target, last, last & target)
-        pair, many, few = counted(bigram, target)
-        kept = many >= max(2, len(bigram) / FREQUENT_BIGRAMS)
-        zero = np.zeros(int(kept.sum()), np.int64)
-        for kind, columns in ((WORD, (keys, n, wanted, ends, wanted_ends)), (BIGRAM, (pair[kept], many[kept], few[kept], zero, zero))):
-            columns = [np.full(len(columns[0]), kind, np.int8), *(c.view(np.int64) for c in columns)]
-            for i in range(0, len(columns[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in columns], names=names)
+    def told(words: list[np.ndarray], bigrams: list[np.ndarray], targets: list[np.ndarray], lasts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        target, last = np.concatenate(targets), np.concatenate(lasts)
+        least = max(2, len(target) / FREQUENT_BIGRAMS)
+        for kind, held in ((WORD, words), (BIGRAM, bigrams)):
+            keys = np.concatenate(held)
+            held.clear()
+            for at in pieces(keys):
+                t, z = target[at], last[at]
+                if kind == WORD:
+                    columns = counted(keys[at], t, z, z & t)
+                else:
+                    pair, many, few = counted(keys[at], t)
+                    kept = many >= least
+                    columns = (pair[kept], many[kept], few[kept], *np.zeros((2, int(kept.sum())), np.int64))
+                columns = [np.full(len(columns[0]), kind, np.int8), *(c.view(np.int64) for c in columns)]
+                for i in range(0, len(columns[0]), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in columns], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        parts, size = ([], [], [], []), 0
         for batch in slices(batches):
             flags = np.array(batch.column(2).to_pylist(), bool)
             for at, rows, t in tokens(batch.column(1)):
-                parts.append((t.word, t.bigram, flags[at : at + rows][t.doc], t.last))
+                for held, x in zip(parts, (t.word, t.bigram, flags[at : at + rows][t.doc], t.last)):
+                    held.append(x)
                 size += len(t.word)
             if size >= FLUSH_WORDS:
-                yield from told(parts)
-                parts, size = [], 0
-        if parts:
-            yield from told(parts)
+                yield from told(*parts)
+                parts, size = ([], [], [], []), 0
+        if parts[0]:
+            yield from told(*parts)
 
     counts = flagged.select("doc_id", "text", "target").mapInArrow(scan, "kind byte, key long, " + ", ".join(f"{c} long" for c in COUNTS))
     return counts.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in COUNTS])
@@ -224,13 +243,18 @@ def entries(flagged: DataFrame, models: Broadcast, buckets: int) -> DataFrame:
             out.write_batch(pa.RecordBatch.from_arrays([told], names=["doc_id"]))
         raw = lambda xs: np.concatenate(xs).tobytes()
         rows = [(flush % buckets, flush, HEADS, sink.getvalue().to_pybytes(), raw([x.astype(np.int64) for x in n]), raw(a), raw(b), b"")]
-        key, kind, rest, doc, times, own = (np.concatenate(x) for x in zip(*held))
-        bucket = (key % H.U(buckets)).astype(np.int64)
-        order = np.lexsort((kind, bucket))  # stable, so that documents stay in order
-        key, kind, rest, doc, times, own, bucket = (x[order] for x in (key, kind, rest, doc, times, own, bucket))
-        cuts = np.flatnonzero(np.diff(bucket * 2 + kind)) + 1
-        for i, j in zip([0, *cuts], [*cuts, len(key)] if len(key) else []):
-            rows.append((int(bucket[i]), flush, int(kind[i]), key[i:j].tobytes(), rest[i:j].tobytes(), gaps(doc[i:j]), times[i:j].tobytes(), own[i:j].tobytes()))
+        parts = list(zip(*held))
+        held.clear()
+        key, kind = np.concatenate(parts[0]), np.concatenate(parts[1])
+        place = (key % H.U(buckets)).astype(np.int64) * 2 + kind
+        order = np.argsort(place, kind="stable")  # so that documents stay in order
+        key, place = key[order], place[order]
+        cuts = np.flatnonzero(np.diff(place)) + 1
+        bucket, kind = place[[0, *cuts]] // 2 if len(key) else place, kind[order]
+        rest, doc, times, own = (np.concatenate(x)[order] for x in parts[2:])
+        del parts, place, order
+        for n, i, j in zip(bucket, [0, *cuts], [*cuts, len(key)] if len(key) else []):
+            rows.append((int(n), flush, int(kind[i]), key[i:j].tobytes(), rest[i:j].tobytes(), gaps(doc[i:j]), times[i:j].tobytes(), own[i:j].tobytes()))
         types = (pa.int32(), pa.int64(), pa.int8(), *[pa.binary()] * 5)
         for i in range(0, len(rows), 1000):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 1000]), types)], names=names)
@@ -281,45 +305,55 @@ def of_documents(t: Tokens, rows: int, flag: np.ndarray, m: Models, shift: int)
     return sums, (key, rare.astype(np.int8), rest, *(x.astype(np.uint32) for x in numbers))
 
 
+def entry_losses(m: Models, kind: int, key: np.ndarray, rest: np.ndarray, n: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """The loss of each entry under either model; all entries of a key are among them."""
+    flag, ended, n, ends, own = n & 1, n >> 1 & 1, n >> 2, own & 1, own >> 1
+    _, word = np.unique(key, return_inverse=True)
+    if kind == RARE:
+        _, pair = np.unique(H.mix(key) ^ H.mix(rest.astype(H.U)), return_inverse=True)
+    else:
+        pair = word
+    sums = []
+    for side, in_model in zip(m.sides, (flag, np.ones(len(n), np.int64))):
+        less = in_model * n
+        bigrams = np.bincount(pair, less)[pair] - less
+        if kind == RARE:
+            counts, contexts = np.bincount(word, less)[word] - in_model * own, np.bincount(word, in_model * (n - ended))[word] - in_model * (own - ends)
+            sums.append(side.loss(n, bigrams, counts) + (n - ended) * np.log(contexts + WEIGHT))
+        else:
+            sums.append(side.loss(n, bigrams, side.counts[rest] - in_model * own))
+    return sums
+
+
 def bucket_losses(models: Broadcast):
     """For ``applyInArrow``: the entries of one bucket to the sums of its documents, a row for each flush."""
     schema = pa.schema([("flush", pa.int64()), ("kind", pa.int8()), ("key", pa.binary()), ("doc", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
 
     def losses(table: pa.Table) -> pa.Table:
         m = models.value
-        rows = {c: table.column(c).to_pylist() for c in table.column_names}
-        out = [(f, HEADS, *(rows[c][i] for c in ("key", "rest", "doc", "n"))) for i, (f, k) in enumerate(zip(rows["flush"], rows["kind"])) if k == HEADS]
+        flushes, kinds = (table.column(c).to_pylist() for c in ("flush", "kind"))
+        rows = {c: [x.as_buffer() for x in table.column(c)] for c in ("key", "rest", "doc", "n", "own")}  # no copies
+        out = [(f, HEADS, *(rows[c][i].to_pybytes() for c in ("key", "rest", "doc", "n"))) for i, (f, k) in enumerate(zip(flushes, kinds)) if k == HEADS]
         for kind in (COMMON, RARE):
-            mine = [i for i, k in enumerate(rows["kind"]) if k == kind]
+            mine = [i for i, k in enumerate(kinds) if k == kind]
             if not mine:
                 continue
             size = np.array([len(rows["key"][i]) // 8 for i in mine])
-            flush = np.repeat(np.arange(len(mine)), size)
+            flush = np.repeat(np.arange(len(mine), dtype=np.int32), size)
             key = np.frombuffer(b"".join(rows["key"][i] for i in mine), H.U)
-            rest, n, own = (np.frombuffer(b"".join(rows[c][i] for i in mine), np.uint32).astype(np.int64) for c in ("rest", "n", "own"))
-            doc = np.concatenate([places(rows["doc"][i]) for i in mine])
-            flag, ended, n, ends, own = n & 1, n >> 1 & 1, n >> 2, own & 1, own >> 1
-            _, word = np.unique(key, return_inverse=True)
-            if kind == RARE:
-                _, pair = np.unique(H.mix(key) ^ H.mix(rest.astype(H.U)), return_inverse=True)
-            else:
-                pair = word
-            sums = []
-            for side, in_model in zip(m.sides, (flag, np.ones(len(n), np.int64))):
-                less = in_model * n
-                bigrams = np.bincount(pair, less)[pair] - less
-                if kind == RARE:
-                    counts, contexts = np.bincount(word, less)[word] - in_model * own, np.bincount(word, in_model * (n - ended))[word] - in_model * (own - ends)
-                    sums.append(side.loss(n, bigrams, counts) + (n - ended) * np.log(contexts + WEIGHT))
-                else:
-                    sums.append(side.loss(n, bigrams, side.counts[rest] - in_model * own))
+            packed = [np.frombuffer(b"".join(rows[c][i] for i in mine), np.uint32) for c in ("rest", "n", "own")]
+            doc = np.concatenate([places(rows["doc"][i]).astype(np.int32) for i in mine])
+            a, b = np.empty((2, len(key)))
+            for at in pieces(key):
+                a[at], b[at] = entry_losses(m, kind, key[at], *(x[at].astype(np.int64) for x in packed))
+            del key, packed
             # entries of a flush are in order of their documents
             new = np.flatnonzero(np.concatenate([[True], (np.diff(flush) != 0) | (np.diff(doc) != 0)]))
-            a, b = (np.add.reduceat(s, new) for s in sums)
+            a, b = (np.add.reduceat(s, new) for s in (a, b))
             bounds = np.searchsorted(flush[new], np.arange(len(mine) + 1))
             at = doc[new]
             for i, x, y in zip(mine, bounds[:-1], bounds[1:]):
-                out.append((rows["flush"][i], kind, None, gaps(at[x:y]), a[x:y].tobytes(), b[x:y].tobytes()))
+                out.append((flushes[i], kind, None, gaps(at[x:y]), a[x:y].tobytes(), b[x:y].tobytes()))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return losses

@@ -4,11 +4,14 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from tokenizers import Tokenizer
@@ -129,6 +132,28 @@ def test_scores_beyond_the_frequent_words(spark, make):
     check_scores(spark, make, rows, {i for i, _ in rows[:60:4]})
 
 
+def test_losses_of_a_bucket_take_little_memory():
+    """At most 80 bytes an entry above what comes in, half of the entries rare words; a worker keeps its peak as long as it lives."""
+    rng, n = np.random.default_rng(4), 1_200_000
+    side = lmscore.Side(10**9, 10**6, 10**6, np.full(5, 10**6), np.zeros(5, np.int64), np.zeros(0, np.int64))
+    models = SimpleNamespace(value=lmscore.Models(np.arange(5, dtype=np.uint64), np.zeros(0, np.uint64), side, side))
+    rows = []
+    for flush, kind in ((f, k) for f in range(4) for k in (lmscore.COMMON, lmscore.RARE)):
+        key, rest = rng.integers(0, 2**63, n // 8, np.uint64), rng.integers(0, 5, n // 8, np.uint32)
+        doc = np.sort(rng.integers(0, 5000, n // 8))
+        rows.append((0, flush, kind, key.tobytes(), rest.tobytes(), lmscore.gaps(doc), np.full(n // 8, 5, np.uint32).tobytes(), np.full(n // 8, 2, np.uint32).tobytes()))
+    table = pa.table([pa.array(c) for c in zip(*rows)], names=[c.split()[0] for c in lmscore.ENTRIES.split(", ")])
+    losses = lmscore.bucket_losses(models)
+    tracemalloc.start()
+    try:
+        got = losses(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80 * n
+    assert got.num_rows == 8 and sum(len(lmscore.places(x)) for x in got.column("doc").to_pylist()) <= 8 * 5000
+
+
 def test_scores_without_targets_or_rows(spark, make):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in lmscore.score_documents(make([(1, "a b"), (2, "a b c")]), labels).collect()}
