@@ -36,6 +36,8 @@ STRIPS = 64
 HELD_SHINGLES = 1_000_000
 #: The band keys of a document in 32 bits, to tell in which band a pair meets first.
 SHORT_KEYS = [f"k{i}" for i in range(BANDS)]
+#: Links for each task that writes a table of :func:`components`.
+TASK_EDGES = 100_000
 #: In turn t the documents of the largest bucket are compared with about SPREAD ** t of them, so that few turns cover any size.
 SPREAD = 8
 
@@ -236,15 +238,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of ``edges`` (a, b) is connected with.
 
     Every round each node takes the least label among its own and its neighbours', then that label's own label; rounds
-    are written to the shared folder and end when no label changes.
+    are written to the shared folder and end when no label changes. Tables of few rows are written by few tasks, and meet
+    by a broadcast, so that a round over some thousand links is no thousand tasks.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
+    tasks = 1 + edges.count() // TASK_EDGES
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct().coalesce(tasks), "edges")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")).coalesce(tasks), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("low"), "label")
-        jump = lower.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        step = stored(lower.join(jump, "low", "left").select("node", F.least("low", F.coalesce("lower", "low")).alias("label"), F.col("label").alias("before")), "labels")
+        known = hinted(labels, 32)
+        near = both.join(known, both["b"] == known["node"]).select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("before"))
+        own = labels.select("node", "label", F.col("label").alias("before"))
+        lower = near.union(own).groupBy("node").agg(F.min("label").alias("low"), F.max("before").alias("before"))
+        jump = known.select(F.col("node").alias("low"), "label")
+        step = stored(lower.join(jump, "low").select("node", "label", "before").coalesce(tasks), "labels")
         discard(labels)
         labels = step.select("node", "label")
         labels.settled_at = step.settled_at

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from parlance.llm import hashing, linededup, neardup
 
@@ -177,6 +178,26 @@ def test_families_around_the_threshold_in_many_turns(spark, make, prose, monkeyp
     assert got == want and 2 < len(set(want.values())) < len(rows)
 
 
+@pytest.mark.parametrize("task_edges", [100_000, 30])
+def test_components_of_paths_and_hubs(spark, monkeypatch, task_edges):
+    """A long path in shuffled numbers, a hub, a ring, pairs, an edge twice; few links lie in few files."""
+    monkeypatch.setattr(neardup, "TASK_EDGES", task_edges, raising=False)
+    r = random.Random(6)
+    names = r.sample(range(10_000), 80)
+    path, hub, ring = names[:8], names[8:50], names[50:60]
+    edges = [*zip(path, path[1:]), *((hub[7], x) for x in hub if x != hub[7]), *zip(ring, ring[1:] + ring[:1]), *zip(names[60::2], names[61::2]), (path[0], path[1]), (path[1], path[0])]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # as on a session that keeps all its partitions
+    spark.conf.set(coalesce, "false")
+    try:
+        labels = neardup.components(spark.createDataFrame(edges, "a long, b long").repartition(4))
+    finally:
+        spark.conf.unset(coalesce)
+    got = {x.node: x.label for x in labels.collect()}
+    want = {x: min(g) for g in (path, hub, ring, *zip(names[60::2], names[61::2])) for x in g}
+    assert got == want and labels.count() == len(want)
+    assert task_edges == 30 or len(labels.inputFiles()) == 1
+
+
 def test_ids_that_repeat_with_another_text(make, prose):
     """Each text has its own class; near copies without ids are linked as well."""
     a, b, c = prose(120, 31), prose(120, 32), prose(120, 33)
